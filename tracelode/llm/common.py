@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch.  Texts of documents average a few kB, so a batch stays in the tens of MB at most.
-BATCH_ROWS = "1000"
+#: Rows in one Arrow batch.  Texts of documents average a few kB, so a batch holds about a MB.
+BATCH_ROWS = "256"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import as_list, new_path, partitions, texts
 
 #: White-space chunks whose ids a task remembers before it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
+#: Chunks that go to the library at once; what it returns takes about a kB each.
+SLICE = 5_000
 _SUMMARY = "part long, n_docs long, n_null long, n_tokens long"
 
 
@@ -56,8 +58,10 @@ class ChunkEncoder:
         if len(self.known) + len(new) > self.cache_words:
             self.known = {}
         new = list(new.difference(self.known))
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update(zip(new, (e.ids for e in found), strict=True))
+        for at in range(0, len(new), SLICE):
+            part = new[at : at + SLICE]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.known.update(zip(part, (e.ids for e in found), strict=True))
         get = self.known.__getitem__
         for c in chunks:
             yield np.fromiter(chain(chain.from_iterable(map(get, c)), end), self.dtype)
