@@ -146,6 +146,7 @@ def labelled_examples() -> list[tuple[int, str, str, float]]:
         lambda: (2, f"{d(3)}.{d(6)}", prose() + r.choice(["is ", "of ", "about "])),
         lambda: (2, " ".join(d(r.randint(1, 3)) for _ in range(r.randint(4, 12))), prose()),
         lambda: (2, f"{d(4)} {d(4)} {d(4)} {d(4)}", prose()),
+        lambda: (2, d(r.randint(21, 300)), prose()),
     ]
     return [(*make(), label) for k in range(ROWS // 2) for label, makes in ((1.0, personal), (0.0, harmless)) for make in [makes[k % len(makes)]]]
 

@@ -6,22 +6,39 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, simhash, token_files
+from . import decontaminate, html_extract, pii, quality, secrets, sentencepiece_codec, simhash, token_counts, token_files
 from .common import table
 
 #: Tokenizer files of the installed package; another deployment passes its own paths to the operators.
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def hex64(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality.quality(table(spark, sf_dir, "documents")).select(*base, F.round("p_good", 6).alias("p_good"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
@@ -29,6 +46,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=1)
     return token_files.read(spark, folder)
@@ -39,6 +60,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op7_decontamination, op9_token_files, op10_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secret_scans, op3_pii, op4_html_extraction, op5_quality_rules, op6_token_counts, op7_decontamination, op8_sentencepiece, op9_token_files, op10_simhash)
+}
 
 ORACLES: dict[str, str] = {}
