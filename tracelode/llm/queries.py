@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, pii, quality, secrets, sentencepiece_codec, simhash, token_counts, token_files
+from . import decontaminate, html_extract, pii, quality, secrets, sentencepiece_codec, simhash, suffix_dedup, token_counts, token_files
 from .common import table
 
 #: Tokenizer files of the installed package; another deployment passes its own paths to the operators.
@@ -22,6 +22,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scans, op3_pii, op4_html_extraction, op5_quality_rules, op6_token_counts, op7_decontamination, op8_sentencepiece, op9_token_files, op10_simhash)
+    for f in (op1_secret_scans, op2_suffix_dedup, op3_pii, op4_html_extraction, op5_quality_rules, op6_token_counts, op7_decontamination, op8_sentencepiece, op9_token_files, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {}
