@@ -14,6 +14,8 @@ Defined cases: null, empty and blank texts have no tokens; equal rows get equal
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 
 from .common import map_batches, texts
@@ -83,15 +85,17 @@ class TrieCounter:
         return [sum(map(get, words)) for words in batch]
 
 
+@lru_cache(maxsize=1)
+def counter_of(path: str, cache_words: int) -> TrieCounter:
+    """One counter a worker process, so that later tasks find its pre-tokens."""
+    return TrieCounter(Model.load(path).unigram_scores(), cache_words)
+
+
 def count_tokens(docs: DataFrame, model_path: str, cache_words: int = CACHE_WORDS) -> DataFrame:
     """doc_id, n_words and n_tokens of every document."""
-    scores = Model.load(model_path).unigram_scores()
-    made: list[TrieCounter] = []
 
     def run(c: dict) -> dict:
-        if not made:
-            made.append(TrieCounter(scores, cache_words))
         words = [t.split() for t in c["text"]]
-        return {"doc_id": c["doc_id"], "n_words": [len(w) for w in words], "n_tokens": made[0].count(words)}
+        return {"doc_id": c["doc_id"], "n_words": [len(w) for w in words], "n_tokens": counter_of(model_path, cache_words).count(words)}
 
     return map_batches(texts(docs), run, "doc_id long, n_words long, n_tokens long")
