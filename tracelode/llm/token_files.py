@@ -18,9 +18,11 @@ Defined cases: a null or empty text is one end id; documents with equal ids are
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import as_list, new_path, partitions, texts
 
-#: White-space chunks whose ids a task remembers before it starts anew.
-CACHE_WORDS = 120_000
-#: Chunks that go to the library at once; what it returns takes about a kB each.
-SLICE = 5_000
+#: White-space chunks whose ids a worker remembers in each of two generations; about 200 bytes each.
+CACHE_WORDS = 700_000
+#: Chunks that go to the library in one call, and in one string of it.
+SLICE, JOINED = 16_000, 1_000
+_STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n])")
 _SUMMARY = "part long, n_docs long, n_null long, n_tokens long"
 
 
@@ -41,30 +44,94 @@ class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct white-space chunk once.
 
     ASCII white space bounds pre-tokens in the tokenizers that this is for (their patterns never match it, no
-    composition crosses it), so the ids of a text are those of its chunks in order.
+    composition crosses it), so the ids of a text are those of its chunks in order.  Many chunks go to the library
+    in one string, with a separator between them that is a token of its own.
     """
 
+    SEPARATOR = "\x01"
+
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache_words = cache_words
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        normal = self.tokenizer.normalizer
+        self.lowers = normal is not None and normal.normalize_str("AZ") == "az"
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.stops = all(ids(f"b{c}{stop} b") == [*ids(f"b{c}"), *ids(stop), *ids("b")] for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" for stop in ".,")
+        self.specials = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        alone = self.tokenizer.encode(f"a {self.SEPARATOR} a", add_special_tokens=False).ids
+        self.separator = alone[1] if len(alone) == 3 and alone[0] == alone[2] else None
+
+    def _alone(self, chunks: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+
+    def ids_of(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk as bytes."""
+        if self.separator is None:
+            return self._alone(chunks)
+        mark = self.SEPARATOR.encode()
+        if any(mark in c for c in chunks):
+            own = {c: ids for c in chunks if mark in c for ids in self._alone([c])}
+            others = [c for c in chunks if c not in own]
+            own.update(zip(others, self.ids_of(others), strict=True))
+            return [own[c] for c in chunks]
+        out: list[bytes] = []
+        parts = [chunks[at : at + JOINED] for at in range(0, len(chunks), JOINED)]
+        found = self.tokenizer.encode_batch_fast([f" {self.SEPARATOR} ".join(c.decode() for c in part) for part in parts], add_special_tokens=False)
+        for part, e in zip(parts, found, strict=True):
+            ids = np.array(e.ids, self.dtype)
+            cuts = np.flatnonzero(ids == self.separator)
+            if len(cuts) != len(part) - 1:
+                out += self._alone(part)
+                continue
+            size, data = self.dtype.itemsize, ids.tobytes()
+            starts, ends = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(data)]
+            out += [data[s:t] for s, t in zip(starts, ends, strict=True)]
+        return out
+
+    def chunks_of(self, text: bytes) -> list[bytes]:
+        """White-space chunks, made fewer where the tokenizer's rules allow it: a full stop or comma between a letter and white
+        space is a pre-token by itself, and ASCII text is in lower case, unless that would make a special token."""
+        if self.stops:
+            text = _STOP.sub(rb" \1", text)
+        if self.lowers and text.isascii():
+            lower = text.lower()
+            if not any(s in lower for s in self.specials):
+                text = lower
+        return text.split()
 
     def encode(self, batch: list[bytes], end: list[int]) -> Iterator[np.ndarray]:
-        chunks = [t.split() for t in batch]
-        new = {w for c in chunks for w in c}
+        chunks = list(map(self.chunks_of, batch))
+        found = [list(map(self.known.get, c)) for c in chunks]
+        new = {w for c, f in zip(chunks, found, strict=True) if None in f for w, ids in zip(c, f, strict=True) if ids is None}
         if len(self.known) + len(new) > self.cache_words:
-            self.known = {}
-        new = list(new.difference(self.known))
-        for at in range(0, len(new), SLICE):
-            part = new[at : at + SLICE]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (e.ids for e in found), strict=True))
-        get = self.known.__getitem__
-        for c in chunks:
-            yield np.fromiter(chain(chain.from_iterable(map(get, c)), end), self.dtype)
+            self.older, self.known = self.known, {}
+        # what the generation before knew moves on; the rest of it is forgotten with the next one
+        older = self.older
+        old = [w for w in new if w in older]
+        self.known.update((w, older.pop(w)) for w in old)
+        new.difference_update(old)
+        fresh = list(new)
+        for at in range(0, len(fresh), SLICE):
+            part = fresh[at : at + SLICE]
+            self.known.update(zip(part, self.ids_of(part), strict=True))
+        get, last = self.known.get, np.array(end, self.dtype).tobytes()
+        for c, f in zip(chunks, found, strict=True):
+            if None in f:
+                f = [get(w) if ids is None else ids for w, ids in zip(c, f, strict=True)]
+            f.append(last)
+            yield np.frombuffer(b"".join(f), self.dtype)
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder a worker process: its tokenizer is loaded once, and its chunks serve later tasks."""
+    return ChunkEncoder(path)
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None) -> str:
@@ -77,7 +144,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | N
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, root = pafs.FileSystem.from_uri(folder)
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         name = f"{root}/part-{task.partitionId():05d}"
         own = f"{name}.{task.taskAttemptId()}.tmp"
         docs_in, sizes = [], [0]
@@ -86,7 +153,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | N
                 docs_in += as_list(b.column(0))
                 for ids in encoder.encode(as_list(b.column(1)), [end_id]):
                     sizes.append(len(ids))
-                    out.write(ids.astype(ids.dtype.newbyteorder("<")).tobytes())
+                    out.write(ids.tobytes())
         offsets = np.cumsum(np.array(sizes, "<u8"), dtype="<u8")
         for kind, data in (("off", offsets), ("doc", np.array([d or 0 for d in docs_in], "<i8"))):
             with fs.open_output_stream(f"{own}.{kind}") as out:
@@ -99,10 +166,10 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | N
     parts = sorted((r.asDict() for r in ranged.mapInArrow(write_part, _SUMMARY).collect()), key=lambda r: r["part"])  # one row a partition
     for p, base in zip(parts, accumulate([0, *(p["n_tokens"] for p in parts)]), strict=False):
         p["base"] = base
-    encoder = ChunkEncoder(tokenizer_path)
+    dtype = encoder_of(tokenizer_path).dtype
     fs, root = pafs.FileSystem.from_uri(folder)
     with fs.open_output_stream(f"{root}/manifest.json") as out:
-        out.write(json.dumps({"dtype": np.dtype(encoder.dtype).name, "end_id": end_id, "parts": parts}).encode())
+        out.write(json.dumps({"dtype": dtype.name, "end_id": end_id, "parts": parts}).encode())
     return folder
 
 
