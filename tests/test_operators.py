@@ -378,3 +378,105 @@ def test_points(spark):
     assert points.sample_rate(frame, 0.0001).count() == 1
     with pytest.raises(ValueError):
         points.sample(frame, 101)
+
+
+# -- patterns with repeated labels
+
+
+def test_pattern_text_and_keys(spark):
+    from tracelode.functions import patterns
+
+    r = random.Random(2)
+    v = ["a", "b(c)", "a", "]\\x"]
+    e = [(0, 1, "x"), (2, 1, ""), (1, 3, "[y]")]
+    assert patterns.parse_pretty(patterns.pretty(v, e)) == (v, e)
+    assert patterns.parse_pretty("{0:1}(f(x) blk 1)") == (["f(x) blk 1"], [])
+    assert patterns.from_key(patterns.key(v, e)) == patterns.canonical(v, e)
+    for _ in range(20):
+        order = r.sample(range(4), 4)
+        place = {k: p for p, k in enumerate(order)}
+        assert patterns.key([v[k] for k in order], [(place[s], place[t], x) for s, t, x in e]) == patterns.key(v, e)
+    assert patterns.key(["a", "a"], [(0, 1, "")]) == patterns.key(["a", "a"], [(1, 0, "")]) != patterns.key(["a", "a"], [(0, 1, ""), (1, 0, "")])
+    for bad in ("{1:1}(a)", "(a)", "{0:1}(a"):
+        with pytest.raises(ValueError):
+            patterns.parse_pretty(bad)
+    with pytest.raises(ValueError):
+        patterns.from_key(patterns.key(v, e)[:-1])
+    frame = spark.createDataFrame([(v, [{"s": s, "t": t, "label": x} for s, t, x in e])], patterns.PATTERN)
+    row = frame.select(patterns.pattern_key(F.struct("v", "e")).alias("k"), patterns.pattern_pretty(F.struct("v", "e")).alias("p"), patterns.dotty(F.struct("v", "e")).alias("d")).first()
+    assert bytes(row["k"]) == patterns.key(v, e) and row["p"] == patterns.pretty(v, e) and row["d"].startswith("digraph{")
+    back = spark.createDataFrame([(row["p"],)], "p string").select(patterns.pattern_of("p").alias("x")).first()["x"]
+    assert back["v"] == v
+
+
+def test_embeddings_match_brute_force(spark):
+    import itertools
+
+    from tracelode.operators import embeddings as emb
+
+    r = random.Random(6)
+    vs, es = [], []
+    for g in range(6):
+        vs += [("fail" if g % 2 else "ok", f"g{g}", k, r.choice("ab")) for k in range(5)]
+        es += [("fail" if g % 2 else "ok", f"g{g}", s, t, "") for s in range(5) for t in range(5) if r.random() < 0.35]
+    v = spark.createDataFrame(vs, "outcome string, graph_id string, vid int, label string")
+    e = spark.createDataFrame(es, "outcome string, graph_id string, src int, dst int, label string")
+    pattern = (["a", "b", "a"], [(0, 1, ""), (1, 2, "")])
+    got = {(x["graph_id"], tuple(x["m"])) for x in emb.embeddings(pattern, v, e).collect()}
+    label = {(g, k): x for _, g, k, x in vs}
+    edge = {(g, s, t) for _, g, s, t, _ in es}
+    expected = {(f"g{g}", m) for g in range(6) for m in itertools.permutations(range(5), 3) if all(label[f"g{g}", k] == x for k, x in zip(m, pattern[0], strict=True)) and all((f"g{g}", m[s], m[t]) in edge for s, t, _ in pattern[1])}
+    assert got == expected and expected
+    found = emb.embeddings(pattern, v, e)
+    image = {x["outcome"]: x["support"] for x in emb.image_support(found).collect()}
+    for o in image:
+        mine = [(g, m) for g, m in expected if (int(g[1]) % 2 == 1) == (o == "fail")]
+        assert image[o] == min(len({(g, m[k]) for g, m in mine}) for k in range(3))
+    greedy: dict = {}
+    for g, m in sorted(expected):
+        o = "fail" if int(g[1]) % 2 else "ok"
+        n, seen = greedy.setdefault((o, g), [0, set()])
+        greedy[o, g] = [n + (not seen & set(m)), seen | set(m)]
+    sums: dict = {}
+    for (o, _), (n, _) in greedy.items():
+        sums[o] = sums.get(o, 0) + n
+    assert {x["outcome"]: x["support"] for x in emb.independent_support(found).collect()} == sums
+    matched = {x["graph_id"]: x["matched"] for x in emb.largest_match(pattern, v, e).collect()}
+    assert all((n == 2) == any(g == h for h, _ in expected) for g, n in matched.items())
+    assert {x["graph_id"] for x in emb.embedded_in((["a"], []), v, e).collect()} == {g for (g, _), x in label.items() if x == "a"}
+
+
+def test_walks_and_samples(spark):
+    from tracelode.operators import walk_similarity as ws
+
+    chain = (["a", "b"], [(0, 1)])
+    assert ws.walk_distance(chain, chain) == 0 and ws.walk_distance(chain, (["a", "b"], [(1, 0)])) > 0
+    rows = spark.createDataFrame([("x", t) for t in (1, 1, 3, 5)], "state string, time long")
+    # gaps 1, 2, 2 before 1, 3, 5 weigh 0, 2/4, 3/4
+    assert ws.expected_time(rows).first()["expected"] == 5 - (0 + 1.0 + 1.5) == np.mean([1, 1, 3, 5])
+
+
+def test_names(spark):
+    from tracelode.functions import names
+
+    assert names.fnv1a(b"") == 0xCBF29CE484222325 and names.fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    texts = ["1.5ms", "2m0.1s", "0s", "-3h", "1h2m", "0"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in [*texts, "x"]], "t string").select(names.duration_column(F.col("t"))).collect()]
+    assert got == [*map(names.duration_nanos, texts), None] and got[0] == 1_500_000
+    named = spark.createDataFrame([(None, 0), ("A", 2), (None, 3)], "f string, b int").select(names.block_name(F.col("f"), F.col("b"))).collect()
+    assert [r[0] for r in named] == ["entry", "A blk 2", "unknown blk 3"]
+
+
+def test_streamed_calls(spark, tmp_path):
+    from tracelode.streaming.flows import call_profile
+
+    rows = [("e", 1, 0, "enter", "main", 0, 0), ("e", 1, 1, "block", None, 1, 10), ("e", 1, 2, "enter", "f", 0, 30), ("e", 1, 3, "exit", None, 0, 35), ("e", 1, 4, "block", None, 2, 50)]
+    schema = "exec_id string, thread int, seq int, kind string, fn string, bbid int, nanos long"
+    for k in range(2):
+        spark.createDataFrame(rows[k * 3 : k * 3 + 3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = call_profile(stream).writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.parquet(f"{tmp_path}/out/b={n}")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r["kind"], r["src"], r["dst"]): (r["n"], r["nanos"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got["call", "main", "f"] == (1, 0) and got["call", "entry", "main"] == (1, 0)
+    assert got["flow", "main blk 0", "main blk 1"] == (1, 10) and got["flow", "f blk 0", "main blk 1"] == (1, 5) and got["flow", "main blk 1", "main blk 2"] == (1, 15)

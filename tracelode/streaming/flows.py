@@ -30,3 +30,43 @@ def flow_edges(events: DataFrame) -> DataFrame:
         yield pd.DataFrame([(key[0], s, d, n) for (s, d), n in counts.items()], columns=["trace", "src", "dst", "traversed"])
 
     return events.groupBy("trace").applyInPandasWithState(step, "trace string, src string, dst string, traversed long", "last string", "update", GroupStateTimeout.NoTimeout)
+
+
+def call_profile(events: DataFrame) -> DataFrame:
+    """exec_id, kind, src, dst, n, nanos of every micro-batch: flow edges between blocks (kind 'flow', with the time spent in the
+    source block) and calls between functions (kind 'call').
+
+    events: a streaming frame of exec_id, thread, seq, kind ('enter', 'block', 'exit'), fn, bbid, nanos.  The state of a thread is
+    its stack of (function, last block) and the time of its last event, so a call returns to the block that made it.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fns, blocks, last = state.get if state.exists else ([], [], None)
+        stack = list(zip(fns, blocks, strict=True))
+        found: dict[tuple[str, str, str], list[int]] = {}
+
+        def add(kind: str, src: str, dst: str, nanos: int) -> None:
+            at = found.setdefault((kind, src, dst), [0, 0])
+            at[0] += 1
+            at[1] += nanos
+
+        def name(frame: tuple[str, int] | None) -> str:
+            return ENTRY if frame is None else f"{frame[0]} blk {frame[1]}"
+
+        for r in pd.concat(list(batches)).sort_values("seq").to_dict("records"):
+            before = stack[-1] if stack else None
+            spent = int(r["nanos"]) - int(last) if last is not None else 0
+            last = int(r["nanos"])
+            if r["kind"] == "enter":
+                add("call", before[0] if before else ENTRY, r["fn"], 0)
+                stack.append((r["fn"], 0))
+            elif r["kind"] == "block" and stack:
+                stack[-1] = (stack[-1][0], int(r["bbid"]))
+            elif r["kind"] == "exit" and stack:
+                stack.pop()
+            after = stack[-1] if stack else None
+            add("flow", name(before), name(after), spent)
+        state.update(([f for f, _ in stack], [b for _, b in stack], last))
+        yield pd.DataFrame([(key[0], k, s, d, n, t) for (k, s, d), (n, t) in found.items()], columns=["exec_id", "kind", "src", "dst", "n", "nanos"])
+
+    return events.groupBy("exec_id", "thread").applyInPandasWithState(step, "exec_id string, kind string, src string, dst string, n long, nanos long", "fns array<string>, blocks array<int>, last long", "update", GroupStateTimeout.NoTimeout)
