@@ -14,10 +14,11 @@ so the work is cut in three passes over the texts, each of which moves a small p
    suffix bound the memory.  For each suffix follows whether a smaller document has the same 50 bytes.
 3. *Removal.*  The answers, 4 bytes for each anchor, are joined to the documents, and the runs are cut.
 
-Scale: groups of copies are pre-aggregated: within what a task packs at once, equal surroundings travel once, for
+Scale: exact copies are found by a digest of the text first; all but the smallest document of a group are removed
+whole and take no further part.  Near copies are pre-aggregated: within what a task packs at once, equal surroundings travel once, for
 the smallest document; larger ones are known to be covered right there.  An anchor that ``HOT`` packs hold is hot:
 its suffixes are dealt by a 128-bit hash of their 50 bytes instead, so that not even they meet in one task.
-The texts are shuffled once (the same exchange serves passes 2 and 3).  Hashes of anchors only decide what is
+The texts are shuffled once (one exchange serves all passes).  Hashes of anchors only decide what is
 looked at; except for hot anchors, equality is decided by bytes.
 
 Defined cases: null and empty texts have no bytes and no runs; a null doc_id counts as larger than all others;
@@ -36,13 +37,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_list, partitions, staged, texts
+from .common import as_list, partitions, texts
 
 #: Bytes of a repeat, bytes of an anchor, and a difference cover (every difference modulo 13 occurs in it).
 LENGTH, GRAM = 50, 25
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Bytes of text that a task packs at once, and packs that hold a hot anchor.
 PACK, HOT = 8 << 20, 200
+#: Numbers that a task holds before it sends them to their documents.
+SENT = 1 << 20
 #: Bytes around an anchor: LENGTH - GRAM on both sides.  Padding is a byte that UTF-8 doesn't know.
 SIDE = LENGTH - GRAM
 AROUND, PAD = GRAM + 2 * SIDE, 255
@@ -50,6 +53,8 @@ _SAMPLE = LENGTH - PERIOD + 1
 _NO_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _ONE = np.uint64(1)
+#: Bits of an anchor's hash: 48, the lowest one free for a flag.
+_HASH = np.uint64((1 << 48) - 2)
 
 
 def _power(n: int) -> np.uint64:
@@ -80,7 +85,7 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """For each 50-byte string of text: hash (even) and place of its anchor."""
     if len(text) < LENGTH:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = _mix(gram_hashes(np.frombuffer(text, np.uint8).astype(np.uint64) + _ONE, GRAM)) & ~_ONE
+    h = _mix(gram_hashes(np.frombuffer(text, np.uint8).astype(np.uint64) + _ONE, GRAM)) & _HASH
     at, size, window = np.arange(len(h)), 1, SIDE + 1
 
     def least(h1, p1, h2, p2):
@@ -102,12 +107,27 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))  # noqa: S301  written by a task of this job
 
 
-_ROW = pa.schema([("bucket", pa.int32()), ("did", pa.int64()), ("rid", pa.int64()), ("blob", pa.binary())])
-_ROW_DDL = "bucket int, did long, rid long, blob binary"
+def _planes(a: np.ndarray) -> np.ndarray:
+    """The bytes of 64-bit numbers, all lowest ones first and so on, so that empty ones compress to nothing."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T)
+
+
+def _pack_pairs(h: np.ndarray, d: np.ndarray) -> bytes:
+    """Sorted hashes and documents."""
+    return _packed(_planes(np.diff(h, prepend=np.uint64(0))), _planes(d))
+
+
+def _unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    h, d = (np.ascontiguousarray(x.T).view("<u8").ravel() for x in _unpacked(blob))
+    return np.cumsum(h, dtype=np.uint64), d.view(np.int64)
+
+
+_ROW = pa.schema([("bucket", pa.int32()), ("did", pa.int64()), ("blob", pa.binary())])
+_ROW_DDL = "bucket int, did long, blob binary"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _ROW, strict=True)], schema=_ROW)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, _ROW, strict=True)], schema=_ROW)
 
 
 def _flushes(batches: Iterator[pa.RecordBatch], columns: int, pack: int) -> Iterator[list[list]]:
@@ -128,15 +148,15 @@ def _flushes(batches: Iterator[pa.RecordBatch], columns: int, pack: int) -> Iter
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """(bucket, rows) of rows sorted by bucket."""
+    """(bucket, (did, blob) rows) of rows sorted by bucket."""
     now, held = None, []
     for b in batches:
-        for bucket, did, rid, blob in zip(*(as_list(b.column(k)) for k in range(4)), strict=True):
+        for bucket, did, blob in zip(*(as_list(b.column(k)) for k in range(3)), strict=True):
             if bucket != now and held:
                 yield now, held
                 held = []
             now = bucket
-            held.append((did, rid, blob))
+            held.append((did, blob))
     if held:
         yield now, held
 
@@ -152,10 +172,61 @@ def _split(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(key[part[0]]), part
 
 
+class _Sender:
+    """Collects arrays whose first one is documents, and packs them by where the document belongs."""
+
+    def __init__(self, targets: int):
+        self.targets, self.held, self.size = targets, [], 0
+
+    def add(self, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(arrays)
+        self.size += len(arrays[0])
+        if self.size > SENT:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            arrays = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+            yield _rows([(t, None, _sent(*(x[p] for x in arrays))) for t, p in _split(_target_of(arrays[0], self.targets))])
+        self.held, self.size = [], 0
+
+
+def _target_of(did: np.ndarray, targets: int) -> np.ndarray:
+    return _bucket_of(_mix(did.view(np.uint64)), targets)
+
+
+def _sent(*arrays: np.ndarray) -> bytes:
+    """Arrays in order of their documents; 64-bit ones by planes."""
+    order = np.lexsort(arrays[1::-1])
+    return _packed(*(_planes(x[order]) if x.itemsize == 8 else x[order] for x in arrays))
+
+
+def _received(blob: bytes) -> list[np.ndarray]:
+    out = [np.ascontiguousarray(x.T).view("<u8").ravel() if x.ndim == 2 else x for x in _unpacked(blob)]
+    return [out[0].view(np.int64), *out[1:]]
+
+
+def _by_document(sent: DataFrame, name: str) -> DataFrame:
+    """did and a blob of all that was sent for it."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches):
+            arrays = [np.concatenate(x) for x in zip(*(_received(blob) for _, blob in rows), strict=True)]
+            order = np.argsort(arrays[0], kind="stable")
+            arrays = [x[order] for x in arrays]
+            bounds = [*np.flatnonzero(np.concatenate(([True], arrays[0][1:] != arrays[0][:-1]))).tolist(), len(order)]
+            for at in range(0, len(bounds) - 1, 1000):
+                part = bounds[at : at + 1001]
+                yield _rows([(0, int(arrays[0][x]), b"".join(a[x:y].tobytes() for a in arrays[1:])) for x, y in zip(part, part[1:], strict=False)])
+
+    n = partitions(sent.sparkSession)
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, _ROW_DDL).select("did", F.col("blob").alias(name))
+
+
 def shared_anchors(docs: DataFrame, pack: int = PACK, hot: int = HOT) -> DataFrame:
-    """did, shared: hashes (array of longs, the lowest bit set if hot) of a document's anchors that other documents have."""
+    """did, shared: hashes (64-bit numbers in a row, the lowest bit set if hot) of a document's anchors that others have."""
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
+    buckets = partitions(spark)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dids, bodies in _flushes(batches, 2, pack):
@@ -169,38 +240,48 @@ def shared_anchors(docs: DataFrame, pack: int = PACK, hot: int = HOT) -> DataFra
             order = np.lexsort((d, h))
             h, d = h[order], d[order]
             first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.empty(0, bool)
-            rows = [(int(b), None, None, _packed(h[first][p], d[first][p])) for b, p in _split(_bucket_of(h[first], buckets))]
-            # anchors that two documents of this pack have are shared already
+            # the first document of this pack for each anchor, and all of those that share one inside it
+            rows = [(b, 0, _pack_pairs(h[first][p], d[first][p])) for b, p in _split(_bucket_of(h[first], buckets))]
             repeated = ~first
             repeated[:-1] |= ~first[1:]
-            for k, p in enumerate(np.array_split(np.flatnonzero(repeated), 1 + repeated.sum() // 50_000)):
-                if len(p):
-                    rows.append((-1 - k, None, None, _packed(h[p], d[p])))
+            rows += [(b, 1, _pack_pairs(h[repeated][p], d[repeated][p])) for b, p in _split(_bucket_of(h[repeated], buckets))]
             yield _rows(rows)
 
-    out = pa.schema([("did", pa.int64()), ("hash", pa.int64())])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _by_bucket(batches):
-            parts = [_unpacked(blob) for _, _, blob in rows]
-            h, d = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-            if bucket >= 0:
+        now, parts, often, sender = None, [], np.empty(0, np.uint64), _Sender(buckets)
+
+        def across() -> Iterator[pa.RecordBatch]:
+            """Anchors of the bucket that several packs have; notes the hot ones."""
+            nonlocal parts, often
+            if parts:
+                h, d = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
                 order = np.argsort(h, kind="stable")
                 h, d = h[order], d[order]
                 start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
                 size = np.diff(np.append(start, len(h)))
                 n = np.repeat(size, size)
-                often = h[start[size > hot]].view(np.int64)
-                h, d = h[n > 1], d[n > 1]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(often), pa.int64()), pa.array(often)], schema=out)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h.view(np.int64))], schema=out)
+                often = h[start[size > hot]]
+                parts = []
+                yield from sender.add(d[n > 1], h[n > 1] | (n[n > 1] > hot).astype(np.uint64))
+
+        # sorted by bucket and kind: a bucket's first documents are held together, its repeats inside packs pass one by one
+        for b in batches:
+            for bucket, kind, blob in zip(*(as_list(b.column(k)) for k in range(3)), strict=True):
+                if bucket != now or kind:
+                    yield from across()
+                if bucket != now:
+                    now, often = bucket, often if kind else np.empty(0, np.uint64)
+                h, d = _unpack_pairs(blob)
+                if kind:
+                    yield from sender.add(d, h | np.isin(h, often).astype(np.uint64))
+                else:
+                    parts.append((h, d))
+        yield from across()
+        yield from sender.flush()
 
     packed = docs.select("did", "text").mapInArrow(gather, _ROW_DDL)
-    found = staged(packed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "did long, hash long"), "anchors")
-    pairs, often = found.where("did IS NOT NULL"), found.where("did IS NULL").select("hash", F.lit(1).cast("long").alias("hot"))
-    if not often.isEmpty():
-        pairs = pairs.join(often, "hash", "left").select("did", F.col("hash").bitwiseOR(F.coalesce("hot", F.lit(0).cast("long"))).alias("hash"))
-    return pairs.groupBy("did").agg(F.collect_list("hash").alias("shared"))
+    found = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "did").mapInArrow(compare, _ROW_DDL)
+    return _by_document(found, "shared")
 
 
 def windows_covered(around: np.ndarray, did: np.ndarray) -> np.ndarray:
@@ -239,7 +320,7 @@ def windows_covered(around: np.ndarray, did: np.ndarray) -> np.ndarray:
 def answers(docs: DataFrame, shared: DataFrame, pack: int = PACK) -> DataFrame:
     """did, rid, blob: packed places and answers for anchors of a document."""
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
+    buckets = partitions(spark)
     everything = np.uint32((1 << (SIDE + 1)) - 1)
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +330,7 @@ def answers(docs: DataFrame, shared: DataFrame, pack: int = PACK) -> DataFrame:
                 h, at = anchors(body)
                 if not len(h):
                     continue
-                asked = np.unique(np.array(hashes, np.int64).view(np.uint64))
+                asked = np.unique(np.frombuffer(hashes, np.uint64))
                 hot = asked[(asked & _ONE) == 1] & ~_ONE
                 asked = np.unique(asked & ~_ONE)
                 new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
@@ -270,54 +351,60 @@ def answers(docs: DataFrame, shared: DataFrame, pack: int = PACK) -> DataFrame:
             later = np.zeros(len(order), bool)
             later[order] = did[order][start] < did[order]
             rows = []
-            for k, p in _split(doc[later]):
+            for t, p in _split(_target_of(did[later], buckets)):
                 p = np.flatnonzero(later)[p]
-                rows.append((-1 - k, dids[k], rids[k], _packed(at[p].astype(np.uint32), np.full(len(p), everything))))
+                rows.append((-1 - t, None, _sent(did[p], rid[p], at[p].astype(np.uint32), np.full(len(p), everything))))
             rest = np.flatnonzero(~later & ~hot)
             for b, p in _split(_bucket_of(h[rest], buckets)):
                 p = rest[p]
-                rows.append((b, None, None, _packed(np.zeros(1, np.uint8), did[p], rid[p], at[p].astype(np.uint32), around[p])))
+                rows.append((b, None, _packed(did[p], rid[p], at[p].astype(np.uint32), around[p])))
             rest = np.flatnonzero(~later & hot)
-            for o in range(SIDE + 1) if len(rest) else ():
-                w = np.ascontiguousarray(around[rest, o : o + LENGTH])
-                whole = (w != PAD).all(axis=1)
-                w, q = w[whole], rest[whole]
-                digests = np.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in w], "V16").view(np.uint64).reshape(-1, 2) if len(w) else np.empty((0, 2), np.uint64)
+            if len(rest):
+                o, q, digests = _digests(around[rest])
+                q = rest[q]
                 for b, p in _split(_bucket_of(digests[:, 0], buckets)):
-                    rows.append((b, None, None, _packed(np.full(1, 1 + o, np.uint8), did[q[p]], rid[q[p]], at[q[p]].astype(np.uint32), digests[p])))
+                    rows.append((b, None, _packed(o[p], did[q[p]], rid[q[p]], at[q[p]].astype(np.uint32), digests[p])))
             yield _rows(rows)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = _Sender(buckets)
         for bucket, rows in _by_bucket(batches):
-            if bucket < 0:
-                yield _rows([(bucket, *r) for r in rows])
+            if bucket < 0:  # answered already
+                yield _rows([(-1 - bucket, None, blob) for _, blob in rows])
                 continue
-            parts = [_unpacked(blob) for _, _, blob in rows]
-            results = []
-            usual = [p[1:] for p in parts if p[0][0] == 0]
+            parts = [_unpacked(blob) for _, blob in rows]
+            usual = [p for p in parts if len(p) == 4]
             if usual:
                 did, rid, at, around = (np.concatenate(x) for x in zip(*usual, strict=True))
-                results.append((did, rid, at, windows_covered(around, did)))
-            hot = [(np.full(len(p[1]), p[0][0] - 1, np.uint32), *p[1:]) for p in parts if p[0][0]]
+                covered = windows_covered(around, did)
+                some = covered > 0
+                yield from sender.add(did[some], rid[some].view(np.uint64), at[some], covered[some])
+            hot = [p for p in parts if len(p) == 5]
             if hot:
                 o, did, rid, at, digest = (np.concatenate(x) for x in zip(*hot, strict=True))
                 order = np.lexsort((did, digest[:, 1], digest[:, 0]))
                 start = np.concatenate(([True], (digest[order][1:] != digest[order][:-1]).any(axis=1)))
                 least = did[order][np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))]
                 hit = order[least < did[order]]
-                results.append((did[hit], rid[hit], at[hit], np.uint32(1) << o[hit]))
-            did, rid, at, covered = (np.concatenate(x) for x in zip(*results, strict=True))
-            some = np.flatnonzero(covered)
-            order = some[np.lexsort((rid[some], did[some]))]
-            new = np.flatnonzero(np.concatenate(([True], (did[order][1:] != did[order][:-1]) | (rid[order][1:] != rid[order][:-1])))) if len(order) else []
-            for s in range(0, len(new), 2000):
-                bounds = [*new[s : s + 2000], new[s + 2000] if s + 2000 < len(new) else len(order)]
-                yield _rows([(bucket, int(did[order[x]]), int(rid[order[x]]), _packed_small(at[order[x:y]], covered[order[x:y]])) for x, y in zip(bounds, bounds[1:], strict=False)])
-
-    asked = docs.join(shared, "did").select("did", "text", "rid", "shared")
+                yield from sender.add(did[hit], rid[hit].view(np.uint64), at[hit], np.uint32(1) << o[hit].astype(np.uint32))
+        yield from sender.flush()
+
+    asked = docs.join(shared.hint("shuffle_hash"), "did").select("did", "text", F.xxhash64("did", "text").alias("rid"), "shared")
     packed = asked.mapInArrow(surround, _ROW_DDL)
-    solved = packed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(solve, _ROW_DDL)
-    return solved.groupBy("did", "rid").agg(F.collect_list("blob").alias("answers"))
+    solved = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(solve, _ROW_DDL)
+    return _by_document(solved, "answers")
+
+
+def _digests(around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offset, row and 128-bit digest of every 50-byte string around anchors that no padding cuts short."""
+    offsets, rows, digests = [], [], []
+    for o in range(SIDE + 1):
+        w = around[:, o : o + LENGTH]
+        whole = np.flatnonzero((w != PAD).all(axis=1))
+        offsets.append(np.full(len(whole), o, np.uint8))
+        rows.append(whole)
+        digests += [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in w[whole]]
+    return np.concatenate(offsets), np.concatenate(rows), np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
 
 
 def _order(around: np.ndarray, did: np.ndarray) -> np.ndarray:
@@ -327,24 +414,14 @@ def _order(around: np.ndarray, did: np.ndarray) -> np.ndarray:
     return np.lexsort((did, *wide.view(np.uint64).T))
 
 
-def _packed_small(at: np.ndarray, covered: np.ndarray) -> bytes:
-    return b"s" + np.concatenate((at.astype("<u4"), covered.astype("<u4"))).tobytes()
-
-
-def _answer(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    if blob[:1] == b"s":
-        both = np.frombuffer(blob, "<u4", offset=1)
-        return both[: len(both) // 2], both[len(both) // 2 :]
-    return _unpacked(blob)
-
-
-def removed_runs(text: bytes, blobs: list[bytes]) -> list[tuple[int, int]]:
-    """Maximal runs [start, end) of bytes to remove."""
+def removed_runs(text: bytes, rid: int, answers: bytes) -> list[tuple[int, int]]:
+    """Maximal runs [start, end) of bytes to remove, by the answers for the row rid."""
+    n = len(answers) // 16
+    mine = np.frombuffer(answers, np.int64, n) == rid
+    places, covered = (np.frombuffer(answers, np.uint32, n, offset)[mine] for offset in (8 * n, 12 * n))
     _, at = anchors(text)
     answer = np.zeros(len(text) + 1, np.uint32)
-    for blob in blobs:
-        places, covered = _answer(blob)
-        np.bitwise_or.at(answer, places.astype(np.int64), covered)
+    np.bitwise_or.at(answer, places.astype(np.int64), covered)
     i = np.arange(len(at))
     hit = np.flatnonzero((answer[at] >> (i - (at - SIDE)).astype(np.uint32)) & np.uint32(1))
     if not len(hit):
@@ -355,17 +432,23 @@ def removed_runs(text: bytes, blobs: list[bytes]) -> list[tuple[int, int]]:
 
 def cut(docs: DataFrame, pack: int = PACK, hot: int = HOT, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and the bytes kept if asked for."""
-    keyed = texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"), "text", F.xxhash64("doc_id", "text").alias("rid"))
-    shared = shared_anchors(keyed.select("did", "text"), pack, hot)
-    found = answers(keyed.select("did", "text", "rid"), shared, pack).withColumnsRenamed({"did": "did2", "rid": "rid2"})
-    joined = keyed.join(found, (keyed["did"] == found["did2"]) & (keyed["rid"] == found["rid2"]), "left").select("doc_id", "text", "answers")
+    spark = docs.sparkSession
+    keyed = texts(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"), "text").repartition(partitions(spark), "did")
+    digest = F.coalesce(F.unhex(F.md5("text")), F.lit(b""))  # not null, or a filter on it would make the exchange another one
+    heads = keyed.select("did", digest.alias("digest"))
+    firsts = heads.groupBy("digest").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").select("digest", "first")
+    copies = heads.join(firsts, "digest").where("did > first").groupBy("did").agg(F.collect_set("digest").alias("copies"))
+    flagged = keyed.join(copies.hint("shuffle_hash"), "did", "left").withColumn("copy", F.coalesce(F.array_contains("copies", digest), F.lit(False))).drop("copies")
+    live = flagged.where("NOT copy").select("did", "text")
+    found = answers(live, shared_anchors(live, pack, hot), pack)
+    joined = flagged.join(found.hint("shuffle_hash"), "did", "left").select(F.expr(f"nullif(did, {_NO_ID})").alias("doc_id"), "text", F.xxhash64("did", "text").alias("rid"), "answers", "copy")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {"doc_id": as_list(b.column(0)), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-            for text, blobs in zip(as_list(b.column(1)), as_list(b.column(2)), strict=True):
-                runs = removed_runs(text, blobs) if blobs else []
+            for text, rid, answered, copy in zip(*(as_list(b.column(k)) for k in (1, 2, 3, 4)), strict=True):
+                runs = [(0, len(text))] * (len(text) >= LENGTH) if copy else removed_runs(text, rid, answered) if answered else []
                 pieces, last = [], 0
                 for s, e in runs:
                     pieces.append(text[last:s])
