@@ -3,8 +3,8 @@
 Eight rules vote good (1), bad (-1) or abstain (0) on every document.  Expectation-maximisation over the counts
 of vote patterns (at most 3 ** 8 rows, whatever the corpus) of the documents that pass the base rule estimates how often each rule votes which way on good
 and on bad documents; a document's posterior probability of being good replaces the demand that it passes
-every rule.  The rules' orientation comes from their starting point and a Dirichlet prior: a bad vote starts as
-evidence against a document.
+every rule.  The rules' orientation comes from their starting point and bounds: a bad vote is evidence against a
+document.
 
 Scale: the features are functions of one row, without Python and without a shuffle; one aggregation counts the
 patterns.  The features are written once and reread, so texts are split once.
@@ -27,8 +27,9 @@ from .common import staged
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Posterior probability of being good from which a document is kept.
 THRESHOLD = 0.5
-#: The most that a good vote adds to the log odds.
-GOOD_VOTE = 0.2
+#: The most that a good vote adds to the log odds, and the least that a bad vote takes: six good votes outvote a rule
+#: whose bad votes say next to nothing.
+GOOD_VOTE, BAD_VOTE = 0.2, -1.0
 #: A window hash repeated in a text is looked up in a list of at most so many of them, else by sorting.
 FEW = 32
 _SPACE = r"[ \t\n\x0B\f\r]+"
@@ -121,21 +122,22 @@ def base_failed(f: Column) -> Column:
     return (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEATED * f["n_words"])
 
 
-def fit(patterns: list[tuple[list[int], int]], rounds: int = 50, prior: float = 1.0) -> tuple[float, list[dict[int, float]]]:
+def fit(patterns: list[tuple[list[int], int]], rounds: int = 50, balance: float = 0.5, prior: float = 0.05) -> tuple[float, list[dict[int, float]]]:
     """Expectation-maximisation over (votes, count) rows.  Returns the log odds of good before any vote, and for
     each rule what each of its votes adds to them; abstaining adds nothing.
 
-    It starts from patterns with a bad vote as bad, and ``prior`` is a Dirichlet count for each outcome.
-    Orientation: a bad vote never speaks for a document, and a good vote adds between 0 and GOOD_VOTE, since
-    poor documents mostly break one rule and keep the others.
+    The balance of good and bad is given, as is usual where it can't be told from votes alone: estimated, it would let
+    a corpus of mostly good documents outvote the one rule that a poor document breaks.  For the same reason the
+    expectation step assigns each pattern to its likelier class (classification EM; soft shares of the bad class drift
+    into the good one where poor documents break one rule each).  Patterns with a bad vote start as bad, ``prior`` is a Dirichlet count for each outcome, and a bad vote takes BAD_VOTE at least while a good vote adds
+    between 0 and GOOD_VOTE.
     """
     rules = len(patterns[0][0]) if patterns else 0
-    good = [0.02 if -1 in v else 0.98 for v, _ in patterns]
-    before, weights = 0.0, [{-1: 0.0, 1: 0.0} for _ in range(rules)]
+    good = [0.0 if -1 in v else 1.0 for v, _ in patterns]
+    before, weights = math.log(balance / (1 - balance)), [{-1: BAD_VOTE, 1: 0.0} for _ in range(rules)]
     for _ in range(rounds):
         of_good = sum(g * n for g, (_, n) in zip(good, patterns, strict=True)) + 2 * prior
         of_bad = sum((1 - g) * n for g, (_, n) in zip(good, patterns, strict=True)) + 2 * prior
-        before = math.log(of_good / of_bad)
         weights = []
         for r in range(rules):
             ratio = {}
@@ -143,10 +145,10 @@ def fit(patterns: list[tuple[list[int], int]], rounds: int = 50, prior: float =
                 a = sum(g * n for g, (v, n) in zip(good, patterns, strict=True) if v[r] == vote) + prior
                 b = sum((1 - g) * n for g, (v, n) in zip(good, patterns, strict=True) if v[r] == vote) + prior
                 ratio[vote] = math.log((a / of_good) / (b / of_bad))
-            weights.append({-1: min(ratio[-1], 0.0), 1: min(max(ratio[1], 0.0), GOOD_VOTE)})
+            weights.append({-1: min(ratio[-1], BAD_VOTE), 1: min(max(ratio[1], 0.0), GOOD_VOTE)})
         odds = [before + sum(w.get(x, 0.0) for w, x in zip(weights, v, strict=True)) for v, _ in patterns]
-        after = [1 / (1 + math.exp(-max(-700.0, min(700.0, o)))) for o in odds]
-        if max((abs(x - y) for x, y in zip(good, after, strict=True)), default=0) < 1e-9:
+        after = [float(o >= 0) for o in odds]
+        if after == good:
             break
         good = after
     return before, weights
