@@ -26,7 +26,7 @@ from .quality import let
 #: Labelled rows generated for training and calibration together, and the precision that the threshold must reach on the held-out half.
 ROWS, PRECISION = 1200, 0.99
 #: Characters before a candidate in which context words count.
-BEFORE = 24
+BEFORE = 18
 #: Elements of an array that one step of a running sum goes over.
 BLOCK = 128
 
