@@ -10,14 +10,16 @@ Conventions of every operator:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import new_path, partitions, shared_dir, staged
+
+__all__ = ["map_batches", "new_path", "partitions", "shared_dir", "staged", "table", "texts"]
+
 #: Rows in one Arrow batch.  Texts of documents average a few kB, so a batch holds about a MB.
 BATCH_ROWS = "256"
 
@@ -33,32 +35,6 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that driver and executors share; a temporary one where it is unset, as in tests."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tracelode-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back, so that a lost executor recomputes nothing before it."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
     """fn takes a dict of column lists of one batch (strings as UTF-8 bytes) and returns a dict of columns."""
     arrow = _arrow_schema(df.sparkSession, schema)

@@ -69,4 +69,27 @@ QUERIES = {
     for f in (op1_secret_scans, op2_suffix_dedup, op3_pii, op4_html_extraction, op5_quality_rules, op6_token_counts, op7_decontamination, op8_sentencepiece, op9_token_files, op10_simhash)
 }
 
-ORACLES: dict[str, str] = {}
+#: SQL can't express XXH64 fingerprints, tokenizers, inferred automata, boosted trees, the posterior of votes or tree scoring.
+ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h, octet_length(encode(coalesce(text, ''))) n from documents),
+ s as (select doc_id, i, substr(h, i * 2 + 1, 100) w from (select doc_id, h, unnest(range(0, greatest(n - 49, 0))) i from d)),
+ m as (select w, min(doc_id) f from s group by w having min(doc_id) < max(doc_id)),
+ c as (select doc_id, i from s join m using (w) where f < doc_id),
+ g as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) k from (select *, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end fresh from c)),
+ r as (select doc_id, min(i) a, max(i) + 50 b from g group by doc_id, k),
+ p as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) last from r),
+ k as (select doc_id, sum(b - a) n_removed, count(*) n_spans, max(b) tail, string_agg(substr(h, last * 2 + 1, (a - last) * 2), '' order by a) head from p join d using (doc_id) group by doc_id)
+select doc_id, n n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, coalesce(n_spans, 0) n_spans,
+ sha256(unhex(coalesce(head, '') || substr(h, coalesce(tail, 0) * 2 + 1))) kept_sha256 from d left join k using (doc_id)""",
+    "op7_decontamination": r"""
+with dd as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+ bb as (select cast(item_id as varchar) item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark),
+ iw as (select distinct item_id, n, array_to_string(ws[k : k + n - 1], ' ') w from (select item_id, ws, least(len(ws), 10) n, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) k from bb where len(ws) > 0)),
+ dw as (select doc_id, n, k, array_to_string(ws[k : k + n - 1], ' ') w from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) k from dd, (select distinct n from iw) where len(ws) >= n)),
+ hit as (select doc_id, item_id, k, dw.n from dw join iw using (n, w)),
+ hw as (select doc_id, count(*) n_hit from (select distinct doc_id, unnest(range(k, k + n)) place from hit) group by doc_id),
+ hi as (select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct doc_id, item_id from hit) group by doc_id)
+select doc_id, len(ws) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from dd left join hw using (doc_id) left join hi using (doc_id)""",
+}

@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import map_batches, partitions, staged, texts
-from .components import components
 
 #: Fingerprints of a shard that one task compares with one another; a larger shard is split in groups of about half of it.
 SHARD = 20_000
