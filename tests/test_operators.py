@@ -480,3 +480,20 @@ def test_streamed_calls(spark, tmp_path):
     got = {(r["kind"], r["src"], r["dst"]): (r["n"], r["nanos"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got["call", "main", "f"] == (1, 0) and got["call", "entry", "main"] == (1, 0)
     assert got["flow", "main blk 0", "main blk 1"] == (1, 10) and got["flow", "f blk 0", "main blk 1"] == (1, 5) and got["flow", "main blk 1", "main blk 2"] == (1, 15)
+
+
+# -- sinks
+
+
+def test_text_sinks(spark):
+    members = spark.createDataFrame([(1, 1, 0.9), (2, 1, 0.7), (3, 3, 0.1)], "id long, cluster long, score double")
+    first = clustering.cluster_lines(members).first()["value"]
+    assert first.startswith('{"cluster":1,') and '"id":1' in first
+    rows = spark.createDataFrame([("a", k, float(k)) for k in range(1, 4)] + [("b", k, 0.0) for k in range(1, 6)], "method string, place int, score double")
+    stats = {r["method"]: r for r in ranking.compare_stats(rows).collect()}
+    assert stats["a"]["n"] == stats["b"]["n"] == 3 and stats["b"]["stderr"] == pytest.approx(-math.sqrt(14 / 3)) and stats["a"]["stddev"] == 1
+    assert ranking.stats_table(ranking.compare_stats(rows)).first()["value"].startswith("a  ")
+    edges = spark.createDataFrame([("f", 0, 1), ("f", 1, 2)], "fn string, src int, dst int")
+    assert cfg.dotty(edges).first()["value"] == 'digraph {\n"blk 0" -> "blk 1";\n"blk 1" -> "blk 2";\n}'
+    jumps = markov.cluster_jumps(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "cluster int, label string"))
+    assert {tuple(r) for r in jumps.collect()} == {("a", "b"), ("b", "a")}

@@ -139,7 +139,14 @@ def control_dependencies(edges: DataFrame) -> DataFrame:
     return _per_function(edges, lambda g: sorted((b, c) for b, cs in control_dependence(g).items() for c in cs), ("bbid", "controller"))
 
 
-def merge_chains(edges: DataFrame, kinds: bool = False) -> DataFrame:
+def dotty(edges: DataFrame, name: str = "blk") -> DataFrame:
+    """fn, value: each function's graph (or tree of src and dst) as Graphviz text."""
+    line = F.format_string('"%s %d" -> "%s %d";', F.lit(name), "src", F.lit(name), "dst")
+    lines = edges.groupBy("fn").agg(F.array_sort(F.collect_set(F.struct("src", "dst", line.alias("line")))).alias("l"))
+    return lines.select("fn", F.concat(F.lit("digraph {\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n}")).alias("value"))
+
+
+def merge_chains(edges: DataFrame) -> DataFrame:
     """fn, src, dst after joining each block with its only successor where it is that one's only predecessor; blocks are
     renumbered in order of their first one."""
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from .ranking import with_groups
 
 #: States up to which hitting times are solved exactly, and the most that a chain may have at all.
@@ -34,7 +35,7 @@ def ranked_chain(ranked: DataFrame, jump: float = 0.0, jumps: DataFrame | None =
     last its way on.  A label goes back to its group with 1 - jump and jumps to each of its known neighbours
     with an equal share of jump.
     """
-    grouped = with_groups(ranked.select("label", "score")).select("label", "score_group", "size")
+    grouped = staged(with_groups(ranked.select("label", "score")).select("label", "score_group", "size"), "ranking")  # every rule reads it
     groups = grouped.select("score_group", "size").distinct()
     n = groups.agg(F.count("*").cast("double").alias("b"))
     g = groups.join(F.broadcast(n))
@@ -71,6 +72,12 @@ def spatial_jumps(locations: DataFrame) -> DataFrame:
     return one.withColumnRenamed("label", "src").join(one.withColumnRenamed("label", "dst"), "fn_name").where("src != dst").select("src", "dst").distinct()
 
 
+def cluster_jumps(cluster_labels: DataFrame) -> DataFrame:
+    """src, dst: different labels of one cluster.  cluster_labels: cluster, label."""
+    one = cluster_labels.select("cluster", "label").distinct()
+    return one.withColumnRenamed("label", "src").join(one.withColumnRenamed("label", "dst"), "cluster").where("src != dst").select("src", "dst").distinct()
+
+
 def all_jumps(edges: DataFrame, locations: DataFrame) -> DataFrame:
     return behavioural_jumps(edges).unionByName(spatial_jumps(locations)).distinct()
 
@@ -119,7 +126,7 @@ def _index(transitions: DataFrame) -> tuple[list[str], list[tuple[int, int, floa
 def hitting_times(transitions: DataFrame, start: str = "g0") -> DataFrame:
     """state, hitting_time: expected steps from start to each state, exactly; infinite where it can't be reached."""
     spark = transitions.sparkSession
-    names, rows = _index(transitions)
+    names, rows = _index(staged(transitions, "chain"))
     if len(names) > EXACT_STATES:
         raise ValueError("too many states for exact hitting times; sample them")
     shared = spark.sparkContext.broadcast((names, rows, start))
@@ -172,7 +179,7 @@ def sampled_hitting_times(transitions: DataFrame, start: str = "g0", n_walks: in
     row leads back to the start.
     """
     spark = transitions.sparkSession
-    names, rows = _index(renormalise(transitions))
+    names, rows = _index(staged(renormalise(transitions), "chain"))
     shared = spark.sparkContext.broadcast((names, rows, start))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,8 +223,6 @@ def hitting_rank(times: DataFrame, faults: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, start: str, max_rounds: int = 10_000) -> DataFrame:
     """label: what can be reached from start, itself included; breadth first, a join a round, staged each time."""
-    from ..staging import staged
-
     e = staged(edges.select("src", "dst").distinct(), "edges")
     seen = e.sparkSession.createDataFrame([(start,)], "label string")
     frontier = seen

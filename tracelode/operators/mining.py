@@ -92,6 +92,11 @@ def with_pattern_score(patterns: DataFrame, parts: DataFrame, totals: DataFrame,
     return joined.withColumn("score", score(name)(f, o, pf, po)).withColumn("bound", upper_bound(name, pf, po, f, o, ieee_div(F.lit(float(min_fails)), total), least_o)).drop("fail_total", "ok_total", "parts_ok")
 
 
+def _once(edges: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What every level reads, written once."""
+    return staged(edges.select("outcome", "graph_id", "src", "dst").distinct(), "edges"), staged(vertices.select("outcome", "graph_id", "label").distinct(), "vertices")
+
+
 def mine(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, min_edges: int = 1, k: int | None = None, improving: bool = False, timeout_s: float | None = None, true_prior: bool = False) -> DataFrame:
     """Scored patterns of min_edges to max_edges edges: pattern, labels, fail_graphs, ok_graphs, score, bound.
 
@@ -102,6 +107,7 @@ def mine(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_e
     if max_edges < 1 or min_edges < 0 or min_fails < 1:
         raise ValueError("max_edges and min_fails start at 1, min_edges at 0")
     began = time.monotonic()
+    edges, vertices = _once(edges, vertices)
     totals = graph_totals(vertices)
     parts = staged(_part_counts(edges, vertices), "parts")
     found: DataFrame | None = None
@@ -142,6 +148,7 @@ def contains_pattern(edges: DataFrame, pattern: list[tuple[str, str]], graphs: D
 def leap(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, k: int = 10, sigma: float = 0.01) -> DataFrame:
     """Top-k with structural leaps: of patterns that share a parent, one whose failing and passing frequencies both differ
     by less than sigma (2 d / (a + b)) from a smaller sibling's is not extended."""
+    edges, vertices = _once(edges, vertices)
     totals = graph_totals(vertices)
     parts = staged(_part_counts(edges, vertices), "parts")
     level, found = one_edge(edges), None
@@ -171,6 +178,7 @@ def walks(edges: DataFrame, vertices: DataFrame, n_walks: int = 10, name: str =
     the score, until there is none.  The choice is an argmax of seeded exponential keys, so all walks move together
     as rows of one table and a walk can be repeated.
     """
+    edges, vertices = _once(edges, vertices)
     totals = graph_totals(vertices)
     parts = staged(_part_counts(edges, vertices), "parts")
     spark = edges.sparkSession

@@ -68,6 +68,12 @@ def result_lines(results: DataFrame) -> DataFrame:
     return results.select(F.to_json(F.struct(rank.alias("rank"), "method", "score", "eval")).alias("value"))
 
 
+def stats_table(stats: DataFrame) -> DataFrame:
+    """value: the rows of compare_stats as lines of a comma-separated table of fixed width."""
+    cells = [F.format_string("%-24s", "method"), F.format_string("%8d", "n"), *(F.format_string("%14.6f", c) for c in ("sum", "mean", "stddev", "stderr"))]
+    return stats.orderBy("method").select(F.concat_ws(", ", *cells).alias("value"))
+
+
 def compare_stats(outputs: DataFrame) -> DataFrame:
     """outputs: method, place, score.  All methods are cut to the shortest; then by method: n, sum, mean, stddev (of the
     sample from three values on), and the signed root of the mean squared difference from the first method."""
