@@ -181,7 +181,6 @@ def walks(edges: DataFrame, vertices: DataFrame, n_walks: int = 10, name: str =
     edges, vertices = _once(edges, vertices)
     totals = graph_totals(vertices)
     parts = staged(_part_counts(edges, vertices), "parts")
-    spark = edges.sparkSession
 
     def chosen(options: DataFrame, step: int) -> DataFrame:
         least = options.agg(F.min("score").alias("least"))
@@ -192,7 +191,9 @@ def walks(edges: DataFrame, vertices: DataFrame, n_walks: int = 10, name: str =
 
     level = staged(one_edge(edges), "embeddings")
     scored = staged(with_pattern_score(pattern_support(level, min_fails), parts, totals, name, max_edges, min_fails), "patterns")
-    at = staged(chosen(spark.range(n_walks).withColumnRenamed("id", "walk").join(scored.select("pattern", "score")), 0), "walks")
+    # each pattern offers itself to every walk, and the offers are aggregated where they arise
+    offers = scored.select("pattern", "score", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_walks - 1).cast("long"))).alias("walk"))
+    at = staged(chosen(offers, 0), "walks")
     for step in range(1, max_edges):
         level = staged(extend(level.join(at.select("pattern").distinct(), "pattern", "left_semi"), edges), "embeddings")
         scored = staged(with_pattern_score(pattern_support(level, min_fails), parts, totals, name, max_edges, min_fails), "patterns")
