@@ -35,14 +35,17 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
-    """fn takes a dict of column lists of one batch (strings as UTF-8 bytes) and returns a dict of columns."""
+def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """fn takes a dict of column lists of one batch (strings as UTF-8 bytes) and returns a dict of columns; done is called
+    at the end of each task."""
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = fn({n: as_list(b.column(i)) for i, n in enumerate(b.schema.names)})
             yield pa.RecordBatch.from_arrays([as_array(out[f.name], f.type) for f in arrow], schema=arrow)
+        if done:
+            done()
 
     return df.mapInArrow(run, schema)
 
