@@ -22,7 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -107,8 +107,14 @@ class ChunkEncoder:
 
     def encode(self, batch: list[bytes], end: list[int]) -> Iterator[np.ndarray]:
         chunks = list(map(self.chunks_of, batch))
-        found = [list(map(self.known.get, c)) for c in chunks]
-        new = {w for c, f in zip(chunks, found, strict=True) if None in f for w, ids in zip(c, f, strict=True) if ids is None}
+        found = [list(map(self.known.get, c, repeat(b""))) for c in chunks]
+        missed: list[tuple[list[bytes], int, bytes]] = []  # (ids of a text, place among them, chunk)
+        for c, f in zip(chunks, found, strict=True):
+            at = -1
+            for _ in range(f.count(b"")):
+                at = f.index(b"", at + 1)
+                missed.append((f, at, c[at]))
+        new = {w for _, _, w in missed}
         if len(self.known) + len(new) > self.cache_words:
             self.older, self.known = self.known, {}
         # what the generation before knew moves on; the rest of it is forgotten with the next one
@@ -120,10 +126,10 @@ class ChunkEncoder:
         for at in range(0, len(fresh), SLICE):
             part = fresh[at : at + SLICE]
             self.known.update(zip(part, self.ids_of(part), strict=True))
-        get, last = self.known.get, np.array(end, self.dtype).tobytes()
-        for c, f in zip(chunks, found, strict=True):
-            if None in f:
-                f = [get(w) if ids is None else ids for w, ids in zip(c, f, strict=True)]
+        get, last = self.known.__getitem__, np.array(end, self.dtype).tobytes()
+        for f, at, w in missed:
+            f[at] = get(w)
+        for f in found:
             f.append(last)
             yield np.frombuffer(b"".join(f), self.dtype)
 
