@@ -274,6 +274,22 @@ def test_posterior_of_planted_votes():
     assert all(w[-1] <= quality.BAD_VOTE for w in quality.fit(noisy)[1])
 
 
+def test_a_bad_vote_of_an_inaccurate_rule_is_outvoted(spark):
+    words = [f"word{k}" for k in range(120)]
+    plain, no_stops, symbols = " ".join(words[:60]) + ".\n" + " ".join(words[60:]) + ".", "\n".join((" ".join(words[:60]), " ".join(words[60:]))), " # ".join(words) + ".\nend."
+    docs = spark.createDataFrame([(k, [plain, no_stops, symbols][k % 3]) for k in range(90)], SCHEMA)
+    labels = spark.createDataFrame([(k, int(k % 3 != 2)) for k in range(60)], "doc_id long, quality int")
+    found = quality.quality(docs, labels=labels).collect()
+    assert not any(r["base_failed"] for r in found) and all(r["kept"] == (r["doc_id"] % 3 != 2) for r in found)
+    assert not any(r["kept"] for r in quality.quality(docs).collect() if r["doc_id"] % 3 == 1)
+
+
+def test_labels_identify_balance_and_accuracy():
+    rows = [([1, 1], 700), ([-1, 1], 200), ([1, -1], 80), ([-1, -1], 20)]
+    before, weights = quality.fit_labelled([(v, n * 1000) for v, n in rows], [([1, 1], 70, 1), ([-1, 1], 20, 1), ([1, -1], 8, 0), ([-1, -1], 2, 0)])
+    assert abs(before - 2.2) < 0.3 and abs(weights[0][-1]) < 0.5 and weights[1][-1] < -3
+
+
 # -- 6 and 8: token counts and ids
 
 

@@ -3,8 +3,8 @@
 Eight rules vote good (1), bad (-1) or abstain (0) on every document.  Expectation-maximisation over the counts
 of vote patterns (at most 3 ** 8 rows, whatever the corpus) of the documents that pass the base rule estimates how often each rule votes which way on good
 and on bad documents; a document's posterior probability of being good replaces the demand that it passes
-every rule.  The rules' orientation comes from their starting point and bounds: a bad vote is evidence against a
-document.
+every rule.  A bounded sample of labelled documents (``LABELLED``) tells the two classes apart and with that how
+accurate each rule is; without labels ``fit`` has to stand in, whose result is that of passing every rule.
 
 Scale: the features are functions of one row, without Python and without a shuffle; one aggregation counts the
 patterns.  The features are written once and reread, so texts are split once.
@@ -32,6 +32,8 @@ THRESHOLD = 0.5
 GOOD_VOTE, BAD_VOTE = 0.2, -1.0
 #: A window hash repeated in a text is looked up in a list of at most so many of them, else by sorting.
 FEW = 32
+#: Labelled documents that estimation uses, about, by a hash of their ids; a Dirichlet count for each outcome.
+LABELLED, PRIOR = 4096, 1.0
 _SPACE = r"[ \t\n\x0B\f\r]+"
 
 
@@ -154,8 +156,53 @@ def fit(patterns: list[tuple[list[int], int]], rounds: int = 50, balance: float
     return before, weights
 
 
-def judged(docs: DataFrame, threshold: float = THRESHOLD, carry: bool = True) -> tuple[DataFrame, str]:
-    """docs with a struct column (its name is returned): the features, votes, p_good, base_failed and kept."""
+def fit_labelled(patterns: list[tuple[list[int], int]], labelled: list[tuple[list[int], int, int]], rounds: int = 500) -> tuple[float, list[dict[int, float]]]:
+    """Expectation-maximisation with soft shares over (votes, count) rows and (votes, count, 1 if good) rows of both
+    classes.  Returns what fit does; abstaining is an outcome like the others and has a weight of its own.
+
+    Labelled rows keep their class.  Together the others weigh no more than the labelled ones, so that a large corpus
+    doesn't drown the labels; the balance of classes and each rule's outcomes in each class are estimated from both.
+    """
+    rules, share = len(labelled[0][0]), min(1.0, sum(n for _, n, _ in labelled) / max(1, sum(n for _, n in patterns)))
+    rows = [(v, float(n)) for v, n, _ in labelled] + [(v, n * share) for v, n in patterns]
+    known = [float(y) for _, _, y in labelled]
+
+    def estimate(good: list[float], rows: list[tuple[list[int], float]]) -> tuple[float, list[dict[int, float]]]:
+        sides = [[g * n for g, (_, n) in zip(good, rows, strict=True)], [(1 - g) * n for g, (_, n) in zip(good, rows, strict=True)]]
+        totals = [sum(side) for side in sides]
+
+        def chance(side: int, r: int, vote: int) -> float:
+            return (sum(x for x, (v, _) in zip(sides[side], rows, strict=True) if v[r] == vote) + PRIOR) / (totals[side] + 3 * PRIOR)
+
+        weights = [{vote: math.log(chance(0, r, vote) / chance(1, r, vote)) for vote in (-1, 0, 1)} for r in range(rules)]
+        return math.log((totals[0] + PRIOR) / (totals[1] + PRIOR)), weights
+
+    good = known + [0.0] * len(patterns)
+    before, weights = estimate(known, rows[: len(known)])  # the labelled rows alone are the start
+    for _ in range(rounds):
+        odds = [before + sum(w[x] for w, x in zip(weights, v, strict=True)) for v, _ in patterns]
+        after = known + [1 / (1 + math.exp(-max(-500.0, min(500.0, o)))) for o in odds]
+        done = max((abs(a - g) for a, g in zip(after, good, strict=True)), default=0.0) < 1e-9
+        good = after
+        before, weights = estimate(good, rows)
+        if done:
+            break
+    return before, weights
+
+
+def labelled_sample(labels: DataFrame) -> DataFrame:
+    """doc_id, label (1 if good) of about LABELLED documents at most, by a hash of their ids; ids whose rows disagree say
+    nothing.  labels: doc_id, quality."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
+    n = rows.count()
+    some = rows if n <= LABELLED else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < LABELLED)
+    return some.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("doc_id", "label")
+
+
+def judged(docs: DataFrame, threshold: float = THRESHOLD, carry: bool = True, labels: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """docs with a struct column (its name is returned): the features, votes, p_good, base_failed and kept.
+
+    labels: doc_id, quality (0 or 1) of any of the documents."""
     name = "quality"
     while name in {c.lower() for c in docs.columns}:
         name += "_"
@@ -163,22 +210,31 @@ def judged(docs: DataFrame, threshold: float = THRESHOLD, carry: bool = True) ->
     counted = staged(counted if carry else counted.drop("text"), "features")
     f = F.col(name)
     rules = votes(f)
-    rows = counted.where(~base_failed(f)).groupBy(*[r.alias(f"v{k}") for k, r in enumerate(rules)]).count().collect()  # 3 ** 8 rows at most
-    before, weights = fit(sorted((list(r[:-1]), r[-1]) for r in rows))
+    passed = counted.where(~base_failed(f)).select(F.col("doc_id").cast("long").alias("doc_id"), *[r.alias(f"v{k}") for k, r in enumerate(rules)])
+    passed = passed.withColumn("label", F.lit(None).cast("int")) if labels is None else passed.join(F.broadcast(labelled_sample(labels)), "doc_id", "left")
+    rows = passed.groupBy(*[f"v{k}" for k in range(len(rules))], "label").count().collect()  # 3 ** 9 rows at most
+    labelled = sorted((list(r[:-2]), r[-1], r[-2]) for r in rows if r[-2] is not None)
+    if {y for _, _, y in labelled} == {0, 1}:
+        before, weights = fit_labelled(sorted((list(r[:-2]), r[-1]) for r in rows if r[-2] is None), labelled)
+    else:
+        every: dict[tuple, int] = {}
+        for r in rows:
+            every[r[:-2]] = every.get(r[:-2], 0) + r[-1]
+        before, weights = fit(sorted((list(v), n) for v, n in every.items()))
     odds = F.lit(before)
     for rule, w in zip(rules, weights, strict=False):
-        odds = odds + F.when(rule == 1, F.lit(w[1])).when(rule == -1, F.lit(w[-1])).otherwise(F.lit(0.0))
+        odds = odds + F.when(rule == 1, F.lit(w[1])).when(rule == -1, F.lit(w[-1])).otherwise(F.lit(w.get(0, 0.0)))
     p_good = 1 / (1 + F.exp(-odds))
     return counted.withColumn(name, f.withField("p_good", p_good).withField("base_failed", base_failed(f)).withField("kept", ~base_failed(f) & (p_good >= threshold))), name
 
 
-def quality(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def quality(docs: DataFrame, threshold: float = THRESHOLD, labels: DataFrame | None = None) -> DataFrame:
     """doc_id, the counts, p_good, base_failed and kept of every document."""
-    found, name = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), threshold, carry=False)
+    found, name = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), threshold, carry=False, labels=labels)
     return found.select("doc_id", f"{name}.*")
 
 
-def keep_good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, threshold: float = THRESHOLD, labels: DataFrame | None = None) -> DataFrame:
     """docs without those that the base rule or the posterior rejects."""
-    found, name = judged(docs, threshold)
+    found, name = judged(docs, threshold, labels=labels)
     return found.where(F.col(f"{name}.kept")).select(*docs.columns)

@@ -36,7 +36,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return quality.quality(table(spark, sf_dir, "documents")).select(*base, F.round("p_good", 6).alias("p_good"))
+    return quality.quality(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels")).select(*base, F.round("p_good", 6).alias("p_good"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
