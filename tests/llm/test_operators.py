@@ -225,6 +225,19 @@ def test_main_text_of_pages():
     assert html_extract.main_text(page) == "Title & more\nSome long text, of a story, with commas. And more.\nUnclosed bold\nShort."
 
 
+@pytest.mark.parametrize("n", [2, 15, 200])
+def test_nested_layouts_keep_title_and_lead_whatever_the_length(n):
+    lines = [f"Paragraph {k} of a story, with commas, and with some more words in it." for k in range(n)]
+    body = "".join(f"<p>{x}</p>" for x in lines)
+    lead = "A lead of a sentence."
+    article = f'<nav><a href=/>home</a></nav><article><h1>Title</h1><p>{lead}</p><div class="content">{body}</div></article><footer>f, g, h</footer>'
+    assert html_extract.main_text(article).split("\n") == ["Title", lead, *lines]
+    main = f'<main><h2>Title</h2><section class="one">{body}</section><section class="two">{body}</section><div class="related"><p>{lead}</p></div></main>'
+    assert html_extract.main_text(main).split("\n") == ["Title", *lines, *lines]
+    plain = f'<nav><a href=/>home</a></nav><div class="wrap"><h1>Title</h1><p>{lead}</p><div class="first content">{body}</div><div class="second">{body}</div><p><a href=/>More, of, this.</a></p></div>'
+    assert html_extract.main_text(plain).split("\n") == ["Title", lead, *lines, *lines]
+
+
 def test_pages_without_main_text_and_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<nav><a href=x>only, links</a></nav>"), (4, "u", "plain text"), (5, "u", "<p>" * 5000 + "deep" + "<b>" * 5000), (6, "u", '<p title="never closed>text' * 50), (None, "u", "<p>a<p>b")]
     out = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

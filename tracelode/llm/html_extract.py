@@ -3,8 +3,9 @@
 A page becomes a tree of elements.  Its blocks of text (what lies between two borders of block elements) pass
 points for their length and commas to the elements around them: all to the nearest container, half to the next one,
 a third share of that further up.  An element's points are discounted by its link density; semantic elements and
-telling class names add or subtract.  The best container is kept with those of its siblings that score alike, and
-what is boilerplate inside of them goes.
+telling class names add or subtract.  From the best container the way leads up to the article or main element
+around it, or to the outermost element with no more text.  What is found is kept with those siblings, of whatever tag and
+class, that score well or are paragraphs of text, and with headings right before them; what is boilerplate inside of them goes.
 
 Scale: one pass over the pages without a shuffle; a page is one row and its tree lives in one call.
 
@@ -41,8 +42,11 @@ _BAD_WORDS = re.compile(
     re.I,
 )
 _GOOD_WORDS = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|blog|hentry|prose)(?=$|[\s_-])", re.I)
-#: Points of a semantic container, and the share of the best score from which a sibling is kept.
-SEMANTIC, SIBLING = 25.0, 0.2
+#: Points of a semantic container, the share of the best score from which a sibling is kept, and the points that do whatever the best score is.
+SEMANTIC, SIBLING, ENOUGH = 25.0, 0.2, 25.0
+#: Paragraphs beside the main text of so many characters are kept if less than this share of them is in links, shorter ones if they are sentences without links.
+LONG, LINKED = 80, 0.25
+_SENTENCE = re.compile(r"[.!?:…。！？][\"'”’»)\]]*$")
 
 
 @dataclass(eq=False)
@@ -179,6 +183,53 @@ def _weight(n: Node) -> float:
     return w
 
 
+def _whole(best: Node) -> Node:
+    """The outermost article around the best container, else the nearest main element, unless half of it is links; else
+    the outermost element with no more text than the best."""
+    around = best
+    found: dict[str, Node] = {}
+    while around is not None:
+        kind = around.tag if around.tag in ("article", "main") else around.role if around.role in ("article", "main") else ""
+        if kind == "article" or kind not in found:
+            found[kind] = around
+        around = around.parent
+    top = found.get("article") or found.get("main")
+    if top is not None and 2 * top.linked <= top.chars:
+        best = top
+    while best.parent is not None and best.parent.chars == best.chars:
+        best = best.parent
+    return best
+
+
+def _with_siblings(best: Node, score: dict[int, float], least: float) -> list[Node]:
+    """best and what belongs to it among its siblings, in page order."""
+    if best.parent is None:
+        return [best]
+    keep: list[Node] = []
+    near = False  # something kept follows with no other text in between
+    for s in reversed(best.parent.kids):
+        if not isinstance(s, Node) or s.tag in _VOID or s.tag in _INLINE:
+            near = near and not (isinstance(s, str) and s.strip())
+            continue
+        if s is not best and boilerplate(s):
+            near = near and s.tag != "nav" and s.role != "navigation"
+            continue
+        if s is not best and not s.chars:
+            continue
+        if s is best:
+            ok = True
+        elif s.tag in _HEADINGS or s.tag in ("header", "hgroup"):
+            ok = near and 2 * s.linked < s.chars
+        elif s.tag == "p":
+            ok = s.linked < LINKED * s.chars if s.chars >= LONG else not s.linked and any(_SENTENCE.search(t) for _, t, _ in blocks(s))
+        else:
+            ok = score.get(id(s), 0.0) >= least
+        near = ok
+        if ok:
+            keep.append(s)
+    return keep[::-1]
+
+
 def main_text(page: str) -> str:
     root = parse(page)
     found = blocks(root)
@@ -207,12 +258,7 @@ def main_text(page: str) -> str:
             best, top = n, score[k]
     if best is None:
         return ""
-    keep = [best]
-    if best.parent is not None:
-        for s in best.parent.kids:
-            if isinstance(s, Node) and s is not best and id(s) in score and not boilerplate(s) and s.tag == best.tag and s.names == best.names and score[id(s)] >= SIBLING * top:
-                keep.append(s)
-        keep.sort(key=best.parent.kids.index)
+    keep = _with_siblings(_whole(best), score, min(SIBLING * top, ENOUGH))
     return "\n".join(text for n in keep for _, text, _ in blocks(n))
 
 
