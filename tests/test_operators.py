@@ -205,6 +205,22 @@ def test_chain_and_hitting_times(spark):
     assert markov.hitting_rank(markov.hitting_times(chain), fault).first()[0] == 2
 
 
+def test_walks_tell_late_states_apart(spark):
+    rows = [("g0", "g0", 0.99995), ("g0", "a", 0.00005), ("a", "a", 0.99995), ("a", "b", 0.00005), ("b", "g0", 1.0)]
+    chain = spark.createDataFrame(rows, "src string, dst string, p double")
+    times = {r["state"]: r["hitting_time"] for r in markov.sampled_hitting_times(chain, seed=3).collect()}
+    assert times["g0"] == 0 and abs(times["a"] - 20_000) < 4000 and abs(times["b"] - 40_000) < 6000
+
+
+def test_large_chains_are_sampled_for_ranks(spark, monkeypatch):
+    rows = [("g0", "x", 0.5), ("g0", "y", 0.5), ("x", "g0", 1.0), ("y", "z", 1.0), ("z", "g0", 1.0)]
+    chain = spark.createDataFrame(rows, "src string, dst string, p double")
+    exact = {r["state"]: r["hitting_time"] for r in markov.any_hitting_times(chain).collect()}
+    monkeypatch.setattr(markov, "EXACT_STATES", 3)
+    found = {r["state"]: r["hitting_time"] for r in markov.any_hitting_times(chain).collect()}
+    assert found.keys() == exact.keys() and found != exact and all(abs(found[s] - exact[s]) < 0.5 for s in exact)
+
+
 def test_unreachable_states_take_forever(spark):
     chain = spark.createDataFrame([("g0", "a", 1.0), ("a", "g0", 1.0), ("x", "g0", 1.0)], "src string, dst string, p double")
     assert {r["state"]: r["hitting_time"] for r in markov.hitting_times(chain).collect()}["x"] == math.inf

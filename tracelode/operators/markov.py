@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..staging import staged
 from .ranking import with_groups
 
+#: Walks and the most steps of each; steps whose random numbers are drawn at once.
+WALKS, STEPS, DRAWN = 500, 1_000_000, 4096
 #: States up to which hitting times are solved exactly, and the most that a chain may have at all.
 EXACT_STATES, MAX_STATES = 1000, 20_000
 
@@ -172,8 +174,8 @@ def hitting_times(transitions: DataFrame, start: str = "g0") -> DataFrame:
     return targets.repartition(max(1, min(len(names), spark.sparkContext.defaultParallelism))).mapInPandas(solve, "state string, hitting_time double")
 
 
-def sampled_hitting_times(transitions: DataFrame, start: str = "g0", n_walks: int = 500, max_steps: int = 10_000, seed: int = 0) -> DataFrame:
-    """state, hitting_time: expected steps by seeded walks, each walk a row of its own generator.
+def sampled_hitting_times(transitions: DataFrame, start: str = "g0", n_walks: int = WALKS, max_steps: int = STEPS, seed: int = 0) -> DataFrame:
+    """state, hitting_time: expected steps by seeded walks, each walk a row of its own generator; a task's walks go in step.
 
     A walk that doesn't meet a state within max_steps counts as max_steps.  Rows of the chain are renormalised, an empty
     row leads back to the start.
@@ -186,33 +188,50 @@ def sampled_hitting_times(transitions: DataFrame, start: str = "g0", n_walks: in
         import numpy as np
 
         names, rows, start = shared.value
-        first = names.index(start)
-        to: list[list[int]] = [[] for _ in names]
-        weight: list[list[float]] = [[] for _ in names]
+        first, n = names.index(start), len(names)
+        out: list[list[tuple[int, float]]] = [[] for _ in names]
         for i, j, x in rows:
             if x > 0:
-                to[i].append(j)
-                weight[i].append(x)
-        ways = [(np.array(t), np.cumsum(w)) if t else (np.array([first]), np.array([1.0])) for t, w in zip(to, weight, strict=True)]
+                out[i].append((j, x))
+        out = [o or [(first, 1.0)] for o in out]
+        to = np.array([j for o in out for j, _ in o])
+        # the row of state i lies between i and i + 1, its last bound at i + 1 exactly
+        bounds = np.concatenate([i + np.append((c := np.cumsum([x for _, x in o]))[:-1] / c[-1], 1.0) for i, o in enumerate(out)])
         for batch in batches:
-            for w in batch["id"]:
-                r = np.random.default_rng([seed, int(w)])
-                times = np.full(len(names), max_steps)
-                at, left = first, len(names) - 1
-                times[at] = 0
-                for step in range(1, max_steps):
-                    targets, total = ways[at]
-                    at = int(targets[min(np.searchsorted(total, r.random() * total[-1], side="right"), len(targets) - 1)])
-                    if times[at] == max_steps:
-                        times[at], left = step, left - 1
-                        if not left:
-                            break
-                yield pd.DataFrame({"state": names, "time": times})
+            ids = batch["id"].to_numpy()
+            draw = [np.random.default_rng([seed, int(w)]) for w in ids]
+            times = np.full((len(ids), n), max_steps)
+            times[:, first] = 0
+            going, at, left = np.arange(len(ids)), np.full(len(ids), first), np.full(len(ids), n - 1)
+            step = 1
+            while step < max_steps and (left[going] > 0).any():
+                stay = left[going] > 0
+                going, at = going[stay], at[stay]
+                # below 1, so that a state's number plus the draw stays in its row
+                drawn = np.minimum(np.stack([draw[w].random(DRAWN) for w in going]).T, 1 - 1e-9)[: max_steps - step].copy()
+                path = np.empty(drawn.shape, dtype=np.int64)
+                for k, u in enumerate(drawn):
+                    path[k] = at = to.take(bounds.searchsorted(at + u, side="right"))
+                # in reverse, so that the first visit is the last one written
+                met = np.full(times.size, max_steps)
+                met[(going * n + path)[::-1].ravel()] = np.repeat(np.arange(step, step + len(path))[::-1], len(going))
+                times = np.minimum(times, met.reshape(times.shape))
+                left = (times == max_steps).sum(axis=1)
+                step += len(path)
+            for k in range(len(ids)):
+                yield pd.DataFrame({"state": names, "time": times[k]})
 
     walked = spark.range(n_walks).repartition(spark.sparkContext.defaultParallelism).mapInPandas(walk, "state string, time long")
     return walked.groupBy("state").agg(F.avg("time").alias("hitting_time"))
 
 
+def any_hitting_times(transitions: DataFrame, start: str = "g0", seed: int = 0) -> DataFrame:
+    """state, hitting_time: exactly where the chain is small enough for that, else from walks."""
+    chain = staged(transitions, "chain")
+    states = chain.select(F.col("src").alias("s")).union(chain.select("dst")).distinct()
+    return hitting_times(chain, start) if states.limit(EXACT_STATES + 1).count() <= EXACT_STATES else sampled_hitting_times(chain, start, seed=seed)
+
+
 def hitting_rank(times: DataFrame, faults: DataFrame) -> DataFrame:
     """One row, rank: states in order of their rounded hitting time, ties by mid-rank; the smallest one of a faulty label.
     times: state, hitting_time; faults: label.  Groups are no locations and don't count."""
