@@ -7,10 +7,13 @@ telling class names add or subtract.  From the best container the way leads up t
 around it, or to the outermost element with no more text.  What is found is kept with those siblings, of whatever tag and
 class, that score well or are paragraphs of text, and with headings right before them; what is boilerplate inside of them goes.
 
-Scale: one pass over the pages without a shuffle; a page is one row and its tree lives in one call.
+Scale: one pass over the pages without a shuffle; a page is one row and its tree lives in one call, in time linear in its
+length, however deep it is.  Arrow batches hold few pages, and a page of any length is one row of one.
 
 Defined cases: null or empty html and pages without a container of text give an empty text; unclosed and stray tags
-are closed and ignored as browsers do in the main; equal rows get equal results.
+are closed and ignored as browsers do in the main; raw elements (scripts and the like) end at their own closing tag, or
+with the page; a "<" that starts no tag is text; formulas stay; equal rows get equal results; of other columns than
+page_id, url and html none is read, whatever it is called.
 """
 
 from __future__ import annotations
@@ -24,21 +27,35 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
+# a "<" inside a tag ends the attempt, so that a stray one is text and not the rest of its block
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</[^a-zA-Z>][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+_QUOTED, _HIDDEN = re.compile(r"\"[^\"]*\"|'[^']*'"), re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)")
 _SPACE = re.compile(r"\s+")
 
 # Elements of HTML.
-_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "xmp"}
+_RAW = {"script", "style", "textarea", "title", "noscript", "noembed", "noframes", "template", "iframe", "xmp"}
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW}
+#: Elements that the start of a block element ends, if they are open.
+_NO_BLOCKS = ("select", "svg")
+#: What the start of an item ends, and the elements that it doesn't look beyond.
+_ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_LISTS = {"ul", "ol", "dl", "table", "menu", "select"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "math", "mi", "mn", "mo", "mrow", "mfrac", "msup", "msub", "msqrt", "mtext", "ms", "semantics", "annotation", "object", "nobr", "slot", "output"}
 _NOT_IN_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
-_BOILERPLATE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head", "input", "select", "header"}
+_BOILERPLATE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head", "input", "select", "svg", "annotation", "header"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Words of class names and ids that mark boilerplate, and those that mark the article.
+_TEXTS = {"p", "li", "dd", "dt", "td", "th", "pre", "blockquote", "figcaption", "caption", *_HEADINGS}
+#: Words of class names and ids that mark boilerplate wherever they stand, those that do so for containers only (a paragraph or
+#: heading may be called so for its looks), and those that mark the article.
 _BAD_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|sidebar|side|aside|widget|menu|nav|navbar|navigation|breadcrumbs?|crumbs|footer|foot|header|masthead|topbar|toolbar|related|recommend\w*|outbrain|taboola|pagination|pager|skip|search|tags?|meta|byline|copyright|legal|disclaimer)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|subscription|signup|login|sharing|social|comments?|commentlist|disqus|respond|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar|outbrain|taboola|pagination|pager)(?=$|[\s_-])",
+    re.I,
+)
+_BAD_CONTAINERS = re.compile(
+    r"(?:^|[\s_-])(?:banner|notice|overlay|share|replies|reply|side|aside|widget|crumbs|foot|header|related|recommend\w*|skip|search|tags?|meta|byline|copyright|legal|disclaimer)(?=$|[\s_-])",
     re.I,
 )
 _GOOD_WORDS = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|blog|hentry|prose)(?=$|[\s_-])", re.I)
@@ -46,6 +63,8 @@ _GOOD_WORDS = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|s
 SEMANTIC, SIBLING, ENOUGH = 25.0, 0.2, 25.0
 #: Paragraphs beside the main text of so many characters are kept if less than this share of them is in links, shorter ones if they are sentences without links.
 LONG, LINKED = 80, 0.25
+#: Ancestors of a paragraph's container that still get points.
+LEVELS = 8
 _SENTENCE = re.compile(r"[.!?:…。！？][\"'”’»)\]]*$")
 
 
@@ -56,82 +75,94 @@ class Node:
     role: str = ""
     hidden: bool = False
     parent: Node | None = None
+    inside: bool = False  # of an article or main element
     kids: list = field(default_factory=list)  # of Node and str
     points: float = 0.0
     chars: int = 0
     linked: int = 0
 
 
+class Tree:
+    """Builds the tree of a page in time linear in its length: an element that isn't open is looked for no further, and one that
+    is gets closed when it is found."""
+
+    def __init__(self):
+        self.root = self.at = Node("html")
+        self.open: dict[str, int] = {}
+
+    def text(self, piece: str) -> None:
+        self.at.kids.append(piece)
+
+    def start(self, node: Node, empty: bool) -> None:
+        node.parent, node.inside = self.at, self.at.inside or self.at.tag in ("article", "main")
+        self.at.kids.append(node)
+        if not empty:
+            self.at = node
+            self.open[node.tag] = self.open.get(node.tag, 0) + 1
+
+    def close(self, tag: str, until: frozenset[str] | set[str] = frozenset()) -> bool:
+        """End an open element of this tag that no element of ``until`` stands in the way of."""
+        if not self.open.get(tag):
+            return False
+        node = self.at
+        while node.tag != tag:
+            if node.tag in until or node is self.root:
+                return False
+            node = node.parent
+        while self.at is not node:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+        self.open[tag] -= 1
+        self.at = node.parent
+        return True
+
+
 def parse(page: str) -> Node:
-    """The tree of a page; text of raw elements (scripts, styles and the like) is left out."""
-    root = at = Node("html")
-    last, raw = 0, None
-    for m in _TOKEN.finditer(page):
-        closing, name = m[1], (m[2] or "").lower()
-        if raw:
-            if not (closing and name == raw):
-                continue
-            raw, last = None, m.end()
-            continue
+    """The tree of a page; raw elements (scripts, styles and the like) are left out and end at their own closing tag only."""
+    tree = Tree()
+    last, size = 0, len(page)
+    while last < size:
+        m = _TOKEN.search(page, last)
+        if m is None:
+            tree.text(page[last:])
+            break
         if m.start() > last:
-            at.kids.append(page[last : m.start()])
+            tree.text(page[last : m.start()])
         last = m.end()
-        if not name:
+        closing, name = m[1], (m[2] or "").lower()
+        if not name or name in ("html", "body"):
             continue
         if closing:
-            node = at
-            while node is not root and node.tag != name:
-                node = node.parent
-            if node is not root:
-                at = node.parent
-            elif name in ("p", "br"):
-                at.kids.append(Node(name, parent=at))
-            continue
-        if name in ("html", "body"):
+            if not tree.close(name) and name in ("p", "br"):
+                tree.start(Node(name), True)
             continue
         if name in _NOT_IN_P:
-            at = _close(at, "p", _NOT_IN_P - {"p"})
-        if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            for same in {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}[name]:
-                at = _close(at, same, {"ul", "ol", "dl", "table", "menu"})
-        attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] and not m[3].isspace() else {}
-        style = attributes.get("style", "").replace(" ", "").lower()
-        hidden = "display:none" in style or "visibility:hidden" in style or attributes.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", m[3])))
-        node = Node(name, f"{attributes.get('class', '')} {attributes.get('id', '')}".strip(), attributes.get("role", "").lower(), hidden, at)
+            for other in _NO_BLOCKS:
+                tree.close(other)
+            tree.close("p", _NOT_IN_P - {"p"})
+        for same in _ITEMS.get(name, ()):
+            tree.close(same, _LISTS)
         if name in _RAW:
-            raw = None if m[3].rstrip().endswith("/") and name in ("svg", "math") else name
+            end = _ENDS[name].search(page, last)
+            last = end.end() if end else size
             continue
-        at.kids.append(node)
-        if name not in _VOID and not (m[3].rstrip().endswith("/") and name in ("svg", "math")):
-            at = node
-    if not raw and last < len(page):
-        at.kids.append(page[last:])
-    return root
-
-
-def _close(at: Node, tag: str, until: set[str]) -> Node:
-    """Close an open element of this tag that no element of ``until`` stands in the way of."""
-    node = at
-    while node.parent is not None and node.tag not in until:
-        if node.tag == tag:
-            return node.parent
-        node = node.parent
-    return at
+        attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] and not m[3].isspace() else {}
+        style = attributes.get("style", "").replace(" ", "").lower()
+        hidden = "display:none" in style or "visibility:hidden" in style or attributes.get("aria-hidden") == "true" or bool(_HIDDEN.search(_QUOTED.sub("", m[3])))
+        node = Node(name, f"{attributes.get('class', '')} {attributes.get('id', '')}".strip(), attributes.get("role", "").lower(), hidden)
+        tree.start(node, name in _VOID or (m[3].rstrip().endswith("/") and name in ("svg", "math", *(t for t in _INLINE if t[0] == "m"))))
+    return tree.root
 
 
 def boilerplate(n: Node) -> bool:
     if n.hidden or n.tag in _BOILERPLATE or n.role in _ROLES:
         # an article's own header holds its title
-        return not (n.tag == "header" and not n.hidden and _inside(n, ("article", "main")))
-    return bool(n.names and n.tag not in ("article", "main") and _BAD_WORDS.search(n.names) and not _GOOD_WORDS.search(n.names))
+        return not (n.tag == "header" and not n.hidden and n.inside)
+    return bool(n.names and n.tag not in ("article", "main") and _bad(n) and not _GOOD_WORDS.search(n.names))
 
 
-def _inside(n: Node, tags: tuple[str, ...]) -> bool:
-    while n.parent is not None:
-        n = n.parent
-        if n.tag in tags:
-            return True
-    return False
+def _bad(n: Node) -> bool:
+    return bool(_BAD_WORDS.search(n.names) or (n.tag not in _TEXTS and n.tag not in _INLINE and _BAD_CONTAINERS.search(n.names)))
 
 
 def blocks(root: Node) -> list[tuple[Node, str, int]]:
@@ -179,7 +210,7 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
 def _weight(n: Node) -> float:
     w = SEMANTIC * 2 if n.tag == "article" else SEMANTIC if n.tag == "main" or n.role in ("main", "article") else 0.0
     if n.names:
-        w += SEMANTIC * bool(_GOOD_WORDS.search(n.names)) - SEMANTIC * bool(_BAD_WORDS.search(n.names))
+        w += SEMANTIC * bool(_GOOD_WORDS.search(n.names)) - SEMANTIC * _bad(n)
     return w
 
 
@@ -235,21 +266,25 @@ def main_text(page: str) -> str:
     found = blocks(root)
     scored: dict[int, Node] = {}
     for owner, text, linked in found:
-        node, share = owner, 0
         points = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3.0)
         if owner.tag in _HEADINGS:
             points = 0.0
+        owner.chars += len(text)
+        owner.linked += min(linked, len(text))
         # a paragraph's points go to what holds it
-        holder = owner.parent if owner.parent is not None and owner.tag not in ("div", "section", "article", "main", "td", "html") else owner
-        while node is not None:
-            node.chars += len(text)
-            node.linked += min(linked, len(text))
-            node = node.parent
-        node = holder
-        while node is not None:
-            node.points += points * (1.0 if share == 0 else 0.5 if share == 1 else 1 / (3.0 * share))
+        node = owner.parent if owner.parent is not None and owner.tag not in ("div", "section", "article", "main", "td", "html") else owner
+        for level in range(LEVELS):
+            node.points += points * (1.0 if level == 0 else 0.5 if level == 1 else 1 / (3.0 * level))
             scored[id(node)] = node
-            node, share = node.parent, share + 1
+            node = node.parent
+            if node is None:
+                break
+    order = [root]
+    for n in order:
+        order += [k for k in n.kids if isinstance(k, Node)]
+    for n in reversed(order[1:]):  # kids come behind their parents
+        n.parent.chars += n.chars
+        n.parent.linked += n.linked
     best, top = None, 0.0
     score = {}
     for k, n in scored.items():
