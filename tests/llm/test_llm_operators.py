@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
 from tracelode.llm import decontaminate, html_extract, pii, quality, queries, secrets, sentencepiece_codec, sentencepiece_model, simhash, suffix_dedup, token_counts, token_files
 from tracelode.operators.components import components
@@ -306,25 +307,64 @@ def test_labels_identify_balance_and_accuracy():
 # -- 6 and 8: token counts and ids
 
 
-def test_trie_counts_match_plain_dynamic_programme():
-    scores = sentencepiece_model.Model.load(PIECES).unigram_scores()
-    counter = token_counts.TrieCounter(scores)
+def unigram(model, scores):
+    """The tokenizers library's own lattice over the same pieces and scores."""
+    least = min(scores.values())
+    kept = [(p, scores.get(p, least)) for p in model.pieces]
+    return Tokenizer(models.Unigram(kept, unk_id=model.unk_id, byte_fallback=model.byte_fallback))
+
+
+def test_token_counts_are_those_of_the_librarys_lattice(spark):
+    model = sentencepiece_model.Model.load(PIECES)
+    lattice, normalise = unigram(model, model.unigram_scores()), sentencepiece_codec.Normaliser(model)
+    docs = both(spark)
+    expected = [(i, len(t.encode().split()), len(lattice.encode(normalise(t), add_special_tokens=False).ids)) for i, t in collected(docs)]
+    same(token_counts.count_tokens(docs, PIECES).collect(), expected)
+
+
+def small_unigram_model(path, byte_fallback=True, charsmap=b"", tidy=False):
+    """A unigram model file written field by field: pieces with scores, no training."""
+
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    def field(number, value):
+        return varint(number << 3 | 2) + varint(len(value)) + value if isinstance(value, bytes) else varint(number << 3 | 5) + struct.pack("<f", value) if isinstance(value, float) else varint(number << 3) + varint(value)
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", -20.0, 6) for b in range(256) if byte_fallback]
+    r = np.random.default_rng(2)
+    letters = "▁abcdefghi"
+    words = {x for x in letters} | {("▁" if k % 3 == 0 else "") + "".join(r.choice(list(letters[1:]), r.integers(2, 6))) for k in range(400)}
+    pieces += [(w, -float(len(w)) - float(r.random()) * 3, 1) for w in sorted(words)]
+    body = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, t)) for p, s, t in pieces)
+    body += field(2, field(3, 1) + field(35, int(byte_fallback)) + field(40, 0)) + field(3, (field(2, charsmap) if charsmap else b"") + field(3, 1) + field(4, int(tidy)) + field(5, 1))
+    path.write_bytes(body)
+    return str(path)
 
-    def plain(word):
-        text = sentencepiece_model.META + word
-        best = [(0.0, 0)]
-        for i in range(1, len(text) + 1):
-            ways = [(best[k][0] + scores[text[k:i]], best[k][1] - 1) for k in range(i) if text[k:i] in scores]
-            if text[i - 1] not in scores:
-                n = len(text[i - 1].encode())
-                ways.append((best[i - 1][0] + counter.unknown * n, best[i - 1][1] - n))
-            best.append(max(ways))
-        return -best[-1][1]
 
-    words = ["the", "there", "therefore", "thesis", "a", "émentaiç", "日本語", "💥x", "x" * 300, "antidisestablishmentarianism", "<s>"]
-    assert counter.count([[w.encode()] for w in words]) == [plain(w) for w in words]
-    small = token_counts.TrieCounter(scores, cache_words=2)
-    assert small.count([[w.encode() for w in words[:3]], [words[0].encode()]]) == [sum(map(plain, words[:3])), plain("the")]
+@pytest.mark.parametrize(("byte_fallback", "tidy"), [(True, False), (True, True), (False, True)])
+def test_unigram_models_encode_and_count_as_sentencepiece_does(spark, tmp_path, byte_fallback, tidy):
+    import sentencepiece
+
+    path = small_unigram_model(tmp_path / "small.model", byte_fallback, tidy=tidy)
+    judge = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = np.random.default_rng(4)
+    texts = ["".join(r.choice(list("abcdefghi  éZ\n"), r.integers(0, 80))) for _ in range(300)] + ["", " ", "  a  b ", "\n", "日本 x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    expected = {i: judge.encode(t) for i, t in enumerate(texts)}
+    assert {x["doc_id"]: x["ids"] for x in sentencepiece_codec.encode(docs, path, with_ids=True).collect()} == expected
+    assert {x["doc_id"]: x["n_tokens"] for x in token_counts.count_tokens(docs, path).collect()} == {i: len(x) for i, x in expected.items()}
+    assert all(x["same_ids"] for x in sentencepiece_codec.parity(docs, path).collect())
+
+
+def test_shared_prefixes_are_computed_once():
+    scores = sentencepiece_model.Model.load(PIECES).unigram_scores()
+    counter = token_counts.TrieCounter(scores)
+    words = ["▁there", "▁therefore", "▁the", "▁thesis", "▁" + "x" * 300]
+    found = [counter.counts([[w]])[0] for w in words]
+    assert counter.computed == len("▁therefore") + len("sis") + 301
+    small = token_counts.TrieCounter(scores, cache_words=2, cache_nodes=8)
+    assert small.counts([words[:3], [words[0]], words]) == [sum(found[:3]), found[0], sum(found)] and len(small.score) <= 8 + 10
 
 
 def test_sentencepiece_parity_and_round_trip(spark):
@@ -336,11 +376,20 @@ def test_sentencepiece_parity_and_round_trip(spark):
     texts = Counter(collected(docs))
     expected = Counter((i, tuple(judge.encode(t))) for i, t in texts.elements())
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == expected
-    assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and r["n_tokens"] == len(r["ids"]) for r in got)
+    assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and r["n_tokens"] == len(r["ids"]) and not r["n_mismatched"] for r in got)
     assert all(r["lossless"] for r in got if r["doc_id"] not in (40, 42))
+    assert all(r["same_ids"] and r["same_text"] for r in sentencepiece_codec.parity(docs, PIECES).collect())
+
 
+def test_ids_do_not_come_from_the_sentencepiece_library(monkeypatch):
+    texts = [t for _, t in ODD if t]
+    right = [x.tolist() for x in sentencepiece_codec.Codec(PIECES).encode(texts)]
+    monkeypatch.setitem(__import__("sys").modules, "sentencepiece", None)
+    codec = sentencepiece_codec.Codec(PIECES)
+    assert codec.judge is None and [x.tolist() for x in codec.encode(texts)] == right and codec.decode([np.array(x, codec.dtype) for x in right]) == texts
 
-def test_rebuilt_tokenizer_agrees_with_the_library_it_stands_for():
+
+def test_rebuilt_tokenizer_takes_whole_texts_too():
     import sentencepiece
 
     judge = sentencepiece.SentencePieceProcessor(model_file=PIECES)
@@ -348,9 +397,11 @@ def test_rebuilt_tokenizer_agrees_with_the_library_it_stands_for():
     for t in ("Hello  world", "日本語 💥", " x\n\ny ", "émentaiç queê"):
         assert made.encode(t, add_special_tokens=False).ids == judge.encode(t)
         assert made.decode(judge.encode(t)) == t
-    codec = sentencepiece_codec.Codec(PIECES)
+        codec = sentencepiece_codec.codec_of(PIECES)
+        assert codec.decode([np.array(judge.encode(t), codec.dtype)]) == [made.decode(judge.encode(t))]
+    codec = sentencepiece_codec.Codec(PIECES, verified=1)
     codec.encode([t for _, t in ODD if t])
-    assert codec.mismatches == 0
+    assert codec.judge is not None and not codec.wrong
 
 
 # -- 7: decontamination

@@ -1,15 +1,20 @@
 """Token counts by a unigram model, with the dynamic programme shared along a trie of distinct pre-tokens.
 
-A pre-token is a run of other characters than white space, with the marker before it.  Its segmentation is
-the sequence of pieces of the highest total score, of equal scores the one of fewer tokens; a character in no
-piece is a token for each of its UTF-8 bytes.  The forward score of a prefix depends on nothing after it, so the
-distinct pre-tokens of a batch are walked as a trie (in sorted order, depth first): each shared prefix is
-computed once and the count at the end of each pre-token is stored.
+A text is normalised as the model says (character map, marker for spaces, dummy prefix) and cut in pre-tokens before each
+marker and around line feeds, where no piece spans such a place.  A pre-token's segmentation is the sequence of pieces of the
+highest total score, of equal scores the one whose last piece is longest; a character in no piece costs ``UNKNOWN_PENALTY`` below the lowest score and is
+a token for each of its UTF-8 bytes (one for each run of such characters where the model has no byte fallback).
 
-Scale: one pass without a shuffle.  A task holds the counts of at most ``CACHE_WORDS`` distinct pre-tokens and
-the path of one; the vocabulary is a file of fixed size.
+The forward score of a prefix depends on nothing after it.  Distinct pre-tokens are inserted in a trie whose nodes keep
+the forward score and the count, so that a prefix which pre-tokens share is computed once, in whatever batch or task of the worker they
+come; the count at a pre-token's last node is kept as its terminal count.
 
-Defined cases: null, empty and blank texts have no tokens; equal rows get equal counts.
+Scale: one pass without a shuffle.  A worker holds the counts of at most ``CACHE_WORDS`` pre-tokens and a trie of at most
+``CACHE_NODES`` nodes (about 150 bytes each; a full trie is begun anew, with the same results); pre-tokens of over
+``STORED_LENGTH`` characters are computed without being stored.
+
+Defined cases: null and empty texts have no tokens; white space beyond single spaces counts as the model writes it; equal rows
+get equal counts; of other columns than doc_id and text none is read, whatever it is called.
 """
 
 from __future__ import annotations
@@ -19,83 +24,105 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 
 from .common import map_batches, texts
-from .sentencepiece_model import META, Model
+from .sentencepiece_codec import Normaliser
+from .sentencepiece_model import Model
 
-CACHE_WORDS = 200_000
-#: What a byte of an unknown character costs below the lowest score.
+CACHE_WORDS, CACHE_NODES = 200_000, 1_000_000
+STORED_LENGTH = 64
+#: What an unknown character costs below the lowest score.
 UNKNOWN_PENALTY = 10.0
 
 
 class TrieCounter:
-    def __init__(self, scores: dict[str, float], cache_words: int = CACHE_WORDS):
+    def __init__(self, scores: dict[str, float], bytes_for_unknown: bool = True, cache_words: int = CACHE_WORDS, cache_nodes: int = CACHE_NODES):
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
-        self.cache_words = cache_words
-        self.known: dict[bytes, int] = {}
-        #: lengths of the pieces that end in a character
-        self.lengths: dict[str, list[int]] = {}
+        self.bytes_for_unknown = bytes_for_unknown
+        self.cache_words, self.cache_nodes = cache_words, cache_nodes
+        self.known: dict[str, int] = {}
+        #: scores that were computed, for tests of sharing
+        self.computed = 0
+        #: lengths of the pieces that end in a character, longest first
+        lengths: dict[str, set[int]] = {}
         for piece in scores:
-            self.lengths.setdefault(piece[-1], []).append(len(piece))
-        self.lengths = {c: sorted(set(n)) for c, n in self.lengths.items()}
-
-    def learn(self, words: list[str]) -> list[int]:
-        """Token counts of sorted words."""
-        best: list[tuple[float, int]] = [(0.0, 0)]  # (score, -tokens) of each prefix on the path
-        before, out = "", []
-        get, lengths = self.scores.get, self.lengths
-        for word in words:
-            text = META + word
-            shared = 0
-            for a, b in zip(before, text, strict=False):
-                if a != b:
-                    break
-                shared += 1
-            del best[shared + 1 :]
-            for i in range(shared + 1, len(text) + 1):
-                c = text[i - 1]
-                score, count = best[i - 1]
-                top = None
-                for n in lengths.get(c, ()):
-                    if n > i:
-                        break
-                    s = get(text[i - n : i])
-                    if s is not None:
-                        at = best[i - n]
-                        way = (at[0] + s, at[1] - 1)
-                        if top is None or way > top:
-                            top = way
-                if get(c) is None:  # an unknown character stands by itself
-                    size = len(c.encode())
-                    way = (score + self.unknown * size, count - size)
-                    if top is None or way > top:
-                        top = way
-                best.append(top)
-            before = text
-            out.append(-best[-1][1])
-        return out
-
-    def count(self, batch: list[list[bytes]]) -> list[int]:
-        new = {w for words in batch for w in words}
+            lengths.setdefault(piece[-1], set()).add(len(piece))
+        self.lengths = {c: sorted(n, reverse=True) for c, n in lengths.items()}
+        self.clear()
+
+    def clear(self) -> None:
+        """An empty trie: its root has node number 0.  A child's key is its parent's number and its character's code point."""
+        self.child: dict[int, int] = {}
+        self.score, self.count, self.open = [0.0], [0], [False]
+
+    def _step(self, text: str, i: int, path: list[tuple[float, int, bool]]) -> tuple[float, int, bool]:
+        """Forward score, count and whether an unknown character ends it, of the first i characters; path: those of all shorter prefixes."""
+        self.computed += 1
+        c, top = text[i - 1], None
+        get = self.scores.get
+        for n in self.lengths.get(c, ()):
+            if n <= i:
+                s = get(text[i - n : i])
+                if s is not None:
+                    score, count, _ = path[i - n]
+                    if top is None or score + s > top[0]:
+                        top = (score + s, count + 1, False)
+        if c not in self.scores:  # an unknown character stands by itself
+            score, count, after_unknown = path[i - 1]
+            if top is None or score + self.unknown > top[0]:
+                top = (score + self.unknown, count + (len(c.encode()) if self.bytes_for_unknown else not after_unknown), True)
+        return top
+
+    def _insert(self, text: str) -> int:
+        """The count at the end of text, with its nodes stored."""
+        child, node, path = self.child, 0, [(0.0, 0, False)]
+        for i, c in enumerate(text, 1):
+            key = node << 21 | ord(c)
+            node = child.get(key, -1)
+            if node < 0:
+                node = child[key] = len(self.score)
+                at = self._step(text, i, path)
+                for values, x in zip((self.score, self.count, self.open), at, strict=True):
+                    values.append(x)
+            path.append((self.score[node], self.count[node], self.open[node]))
+        return path[-1][1]
+
+    def terminal(self, text: str) -> int:
+        if len(text) > STORED_LENGTH:
+            path = [(0.0, 0, False)]
+            for i in range(1, len(text) + 1):
+                path.append(self._step(text, i, path))
+            return path[-1][1]
+        if len(self.score) + len(text) > self.cache_nodes:
+            self.clear()
+        return self._insert(text)
+
+    def counts(self, batch: list[list[str]]) -> list[int]:
+        """Tokens of each list of pre-tokens."""
+        new = {w for words in batch for w in words}.difference(self.known)
         if len(self.known) + len(new) > self.cache_words:
             self.known = {}
-        fresh = sorted(w.decode() for w in new.difference(self.known))
-        self.known.update(zip((w.encode() for w in fresh), self.learn(fresh), strict=True))
+            new = {w for words in batch for w in words}
+        self.known.update((w, self.terminal(w)) for w in new)
         get = self.known.__getitem__
-        return [sum(map(get, words)) for words in batch]
+        out = [sum(map(get, words)) for words in batch]
+        for w in new:
+            if len(w) > STORED_LENGTH:
+                del self.known[w]
+        return out
 
 
 @lru_cache(maxsize=1)
-def counter_of(path: str, cache_words: int) -> TrieCounter:
+def counter_of(path: str, cache_words: int) -> tuple[Normaliser, TrieCounter]:
     """One counter a worker process, so that later tasks find its pre-tokens."""
-    return TrieCounter(Model.load(path).unigram_scores(), cache_words)
+    model = Model.load(path)
+    return Normaliser(model), TrieCounter(model.unigram_scores(), model.byte_fallback, cache_words)
 
 
 def count_tokens(docs: DataFrame, model_path: str, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """doc_id, n_words and n_tokens of every document."""
+    """doc_id, n_words (runs of other characters than white space) and n_tokens of every document."""
 
     def run(c: dict) -> dict:
-        words = [t.split() for t in c["text"]]
-        return {"doc_id": c["doc_id"], "n_words": [len(w) for w in words], "n_tokens": counter_of(model_path, cache_words).count(words)}
+        normaliser, counter = counter_of(model_path, cache_words)
+        return {"doc_id": c["doc_id"], "n_words": [len(t.split()) for t in c["text"]], "n_tokens": counter.counts([normaliser.chunks(t.decode()) for t in c["text"]])}
 
     return map_batches(texts(docs), run, "doc_id long, n_words long, n_tokens long")
