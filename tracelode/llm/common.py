@@ -13,23 +13,47 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import new_path, partitions, shared_dir, staged
 
-__all__ = ["map_batches", "new_path", "partitions", "shared_dir", "staged", "table", "texts"]
+__all__ = ["fresh_name", "map_batches", "new_path", "partitions", "quoted", "shared_dir", "staged", "table", "texts"]
 
-#: Rows in one Arrow batch.  Texts of documents average a few kB, so a batch holds about a MB.
-BATCH_ROWS = "256"
+#: Rows and bytes in one Arrow batch, whichever is reached first; a longer text is a batch by itself.
+BATCH_ROWS, BATCH_BYTES = "256", str(16 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder; only Spark's reader opens the path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what Spark hands to Python at once, for the whole session: it has no setting of one operator.  The queries and the
+    pipeline call this; the operators leave the session as it is."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def fresh_name(columns: list[str], base: str) -> str:
+    """base, or base with as many underscores as make it none of the columns."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their exact names, dots and back quotes in them included."""
+    return [F.col(quote(c)) for c in columns]
+
+
+def quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Just key and text, null texts as empty ones."""
     return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))

@@ -2,27 +2,30 @@
 
 1. A fingerprint a document, in tasks of their own; equal fingerprints are one vertex from then on (a group of
    copies is pre-aggregated, whatever its size).
-2. Fingerprints are partitioned by Hamming distance.  On the whole 64 bits the distances of unrelated
-   fingerprints all lie near 32, so a ball's boundary of width ``radius`` holds about three quarters of all
-   points and a tree over all of them prunes next to nothing.  The top level therefore uses the distance
-   on some of the bits, which is never larger: the bits are cut into radius + 2 blocks, and two fingerprints
-   within radius are at distance 0 on at least two of them.  For each two blocks, a shard is the ball of radius 0
-   around its value there; a fingerprint belongs to the 15 shards whose balls it lies in, and every pair meets
-   in a shard.
-3. In a shard, a vantage-point tree halves the points by their distance to a vantage point; queries go down
-   each side that the triangle bound leaves open, so those at a boundary visit both.  Leaves compare exactly.
+2. Fingerprints are partitioned by Hamming distance in shards of about ``TARGET``.  On the whole 64 bits the distances of
+   unrelated fingerprints all lie near 32, so a ball's boundary of width ``radius`` holds about three quarters of all
+   points, and each level of a tree would send most queries both ways.  The top level therefore measures the distance
+   on some of the bits, which is never larger: of radius + j disjoint blocks of bits, two fingerprints within radius agree
+   on j.  For each choice of j blocks, a shard is the ball of radius 0 around its value there; a fingerprint belongs to one shard
+   a choice, and every pair meets in a shard.  j and the width of the blocks follow from the number of fingerprints
+   (``masks``): none for a few thousand (one tree over all), one block of a few bits, and more beyond billions.
+3. In a shard, a vantage-point tree halves the points by their distance to a vantage point until ``LEAF`` are left; queries go
+   down each side that the triangle bound leaves open, so those at a boundary visit both.  The tree is the only source of pairs.
 4. A shard gives a spanning forest of its links, not all pairs; components follow from the forests.
 
 A shard of over ``SHARD`` fingerprints is dealt in groups, and each two groups form a task of their own, so no
-task holds more than two groups.  Nothing about all documents reaches the driver.
+task holds more than two groups.  Joins deal keys of many rows in parts (``join_split``).  Nothing about all documents reaches
+the driver but the number of their fingerprints.
 
 Defined cases: a text without words (null, empty, blank) has fingerprint zero; fewer words than a shingle are
 one shingle; repeated rows share a component; a null doc_id takes part and can't name a component (where no
-document of a component has an id, component_id is null).
+document of a component has an id, component_id is null); texts of any length are hashed whole; of other columns than doc_id
+and text none is read, whatever it is called.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,12 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import map_batches, partitions, staged, texts
-
-#: Fingerprints of a shard that one task compares with one another; a larger shard is split in groups of about half of it.
-SHARD = 20_000
-#: Points of a vantage-point tree's leaf.
-LEAF = 128
+from ..operators.joins import join_split
+from .common import fresh_name, map_batches, partitions, staged, texts
+
+#: Fingerprints of a shard on the average; those that one task compares with one another: a larger shard is split in groups of
+#: about half of it; and the most shards that are split at that size (their list is broadcast; beyond it the size grows).
+TARGET, SHARD, SPLIT = 1_024, 8_192, 200_000
+#: Points of a vantage-point tree's leaf, and points among which a vantage point is chosen.
+LEAF, TRIED = 32, 5
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -69,11 +74,13 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     return map_batches(texts(docs), lambda c: {"doc_id": c["doc_id"], "fp": [fingerprint(t, shingle, seed) for t in c["text"]]}, "doc_id long, fp long")
 
 
-def masks(radius: int, bits: int = 64) -> list[int]:
-    """The bits of each two of radius + 2 blocks, as signed masks."""
-    cuts = [bits * k // (radius + 2) for k in range(radius + 3)]
-    blocks = [(1 << e) - (1 << s) for s, e in zip(cuts, cuts[1:], strict=False)]
-    return [m - (1 << 64) if m >> 63 else m for m in (a | b for a, b in combinations(blocks, 2))]
+def masks(radius: int, n: int, target: int = TARGET, bits: int = 64) -> list[int]:
+    """The bits of each choice of j out of radius + j blocks, as signed masks, so that n fingerprints make shards of about target."""
+    needed = max(0, math.ceil(math.log2(max(1, n) / target)))
+    j = next(j for j in range(bits) if bits // max(1, radius + j) * j >= needed or j == 4)
+    width = min(bits // max(1, radius + j), -(-needed // max(1, j)))
+    blocks = [((1 << width) - 1) << bits * k // (radius + j) for k in range(radius + j)]
+    return [m - (1 << 64) if m >> 63 else m for m in (sum(chosen) for chosen in combinations(blocks, j))]
 
 
 class Forest:
@@ -94,23 +101,42 @@ class Forest:
                 self.root = self.root[self.root]
 
 
-def near(points: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of all (point, query) pairs within radius, by a vantage-point tree over the points."""
-    todo = [(np.arange(len(points)), np.arange(len(queries)))]
+def vantage_point(points: np.ndarray) -> np.uint64:
+    """Of a few points, the one whose distances to some others spread the most."""
+    step = max(1, len(points) // 64)
+    tried = points[:: max(1, len(points) // TRIED)][:TRIED]
+    return tried[np.argmax(np.bitwise_count(tried[:, None] ^ points[None, ::step]).astype(np.float64).var(axis=1))]
+
+
+def near(points: np.ndarray, queries: np.ndarray, radius: int, stats: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all (point, query) pairs within radius, by a vantage-point tree over the points.
+
+    stats gets the number of levels, of pairs compared in leaves, and of queries that went both ways and one way."""
+    stats = {} if stats is None else stats
+    for k in ("levels", "compared", "both", "pruned"):
+        stats.setdefault(k, 0)
+    todo = [(np.arange(len(points)), np.arange(len(queries)), 0)]
     while todo:
-        p, q = todo.pop()
+        p, q, level = todo.pop()
         if not len(p) or not len(q):
             continue
         if len(p) > LEAF:
-            vantage = points[p[len(p) // 2]]
+            vantage = vantage_point(points[p])
             dp = np.bitwise_count(points[p] ^ vantage).astype(np.int64)
             dq = np.bitwise_count(queries[q] ^ vantage).astype(np.int64)
             mu = int(np.median(dp))
+            mu -= mu == dp.max()
             inside = dp <= mu
-            if not inside.all():
-                todo += [(p[inside], q[dq <= mu + radius]), (p[~inside], q[dq > mu - radius])]
+            if inside.any():
+                # |d(q, v) - d(p, v)| <= d(q, p): a query is near no point of a side that its distance is further off from
+                left, right = dq <= mu + radius, dq > mu - radius
+                stats["levels"] = max(stats["levels"], level + 1)
+                stats["both"] += int((left & right).sum())
+                stats["pruned"] += int((left ^ right).sum())
+                todo += [(p[inside], q[left], level + 1), (p[~inside], q[right], level + 1)]
                 continue
-            # all points at one distance or nearer: no split by this vantage point; compare in slices instead
+            # all points at one distance: no split by this vantage point; compare in slices instead
+        stats["compared"] += len(p) * len(q)
         for at in range(0, len(p), LEAF):
             part = p[at : at + LEAF]
             for to in range(0, len(q), 8192):
@@ -132,15 +158,17 @@ def forest_of(points: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nd
     return points[moved], points[f.root[moved]]
 
 
-def links(fps: DataFrame, radius: int = 4, shard: int = SHARD) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, shard: int = SHARD, target: int = TARGET) -> DataFrame:
     """fps: distinct column fp.  Edges a, b whose components are those of all pairs within radius."""
     spark = fps.sparkSession
-    all_masks = masks(radius)
+    n = fps.count()
+    all_masks = masks(radius, n, target)
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in all_masks])).alias("block", "value"))
-    sizes = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
-    # a shard alone in one group, or each two of its groups; single points are no shard
-    groups = F.ceil(F.col("n") / F.lit(shard / 2)).cast("int")
-    sized = keyed.join(sizes, ["block", "value"]).withColumn("groups", F.when(F.col("n") <= shard, 1).otherwise(groups)).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("groups")).cast("int"))
+    # of shards above this size there are at most SPLIT
+    shard = max(shard, -(-n * len(all_masks) // SPLIT))
+    large = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > shard).select("block", "value", F.ceil(F.col("n") / F.lit(shard / 2)).cast("int").alias("split"))
+    # a shard alone is one group; otherwise each two of its groups meet
+    sized = keyed.join(F.broadcast(large), ["block", "value"], "left").withColumn("groups", F.coalesce("split", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("groups")).cast("int"))
     other: Column = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
     dealt = sized.select("fp", "block", "value", "own", other.alias("other")).select("fp", "block", "value", F.least("own", "other").alias("g"), F.greatest("own", "other").alias("h"), "own")
     keys = ["block", "value", "g", "h"]
@@ -183,15 +211,16 @@ def links(fps: DataFrame, radius: int = 4, shard: int = SHARD) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, shard: int = SHARD) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach, its own included) of every document."""
     marked = staged(fingerprints(docs, shingle, seed), "fingerprints")
-    vertices = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = components(links(vertices.select("fp"), radius, shard)).withColumnRenamed("vertex", "fp")
-    with_part = vertices.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = with_part.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = staged(with_part.select("fp", "component").join(named, "component").select("fp", "component_id"), "components")
-    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    vertices = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "vertices")
+    linked = staged(vertices.join(components(links(vertices.select("fp"), radius, shard)).withColumnRenamed("vertex", "fp"), "fp").select("fp", "component", "least"), "linked")
+    named = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    of_linked = join_split(linked.select("fp", "component"), named, "component", "size", linked.count()).select("fp", "component_id")
+    of_fp = staged(vertices.join(of_linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "components")
+    return join_split(marked, of_fp, "fp", "n", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """docs without those whose component has a document with a smaller id; rows without an id stay, of equal rows all."""
-    gone = near_duplicates(docs, radius, shingle, seed).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "__gone"), docs["doc_id"] == F.col("__gone"), "left_anti").select(*docs.columns)
+    key = fresh_name(docs.columns, "gone")
+    gone = near_duplicates(docs, radius, shingle, seed).where("doc_id > component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(key), "left_anti")
