@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from tracelode.llm import decontaminate, html_extract, pii, quality, queries, secrets, sentencepiece_codec, sentencepiece_model, simhash, suffix_dedup, token_counts, token_files
+from tracelode.operators import joins
 from tracelode.operators.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -40,7 +41,7 @@ SCHEMA = "doc_id long, text string"
 def documents(spark, rows=None):
     """Odd documents with extra columns that clash with what operators make."""
     df = spark.createDataFrame(ODD if rows is None else rows, SCHEMA)
-    return df.select("*", *(F.lit(0).alias(c) for c in ("fp", "did", "rid", "bucket", "spans", "base", "kept", "quality", "n_words", "runs", "part", "component_id", "vertex", "start")))
+    return df.select("*", *(F.lit(0).alias(c) for c in ("fp", "did", "rid", "bucket", "spans", "base", "kept", "quality", "n_words", "runs", "part", "parts", "component_id", "vertex", "start", "size", "gone", "meta.lang", "a`b", "__gone")))
 
 
 def real(spark, name="documents"):
@@ -494,8 +495,8 @@ def test_near_duplicates_match_brute_force(spark):
     same(got, expected)
 
 
-@pytest.mark.parametrize("shard", [40, simhash.SHARD])
-def test_links_connect_what_all_pairs_connect(spark, shard):
+@pytest.mark.parametrize(("shard", "target"), [(40, 20), (simhash.SHARD, 100), (simhash.SHARD, simhash.TARGET)])
+def test_links_connect_what_all_pairs_connect(spark, shard, target):
     r = np.random.default_rng(5)
     centre = r.integers(-(1 << 62), 1 << 62, 3)
     points = {int(c ^ np.int64(sum(1 << int(b) for b in r.choice(63, r.integers(0, 7), replace=False)))) for c in centre for _ in range(150)} | {int(x) for x in r.integers(-(1 << 62), 1 << 62, 200)}
@@ -505,12 +506,49 @@ def test_links_connect_what_all_pairs_connect(spark, shard):
         for j in np.flatnonzero(np.bitwise_count(p[i] ^ p[i + 1 :]) <= 4) + i + 1:
             a, b = root[i], root[j]
             root[root == max(a, b)] = min(a, b)
-    edges = simhash.links(spark.createDataFrame([(int(x),) for x in p], "fp long"), shard=shard)
+    edges = simhash.links(spark.createDataFrame([(int(x),) for x in p], "fp long"), shard=shard, target=target)
     got = {x["vertex"]: x["component"] for x in components(edges).collect()}
     expected = {int(p[k]): int(p[root[k]]) for k in range(len(p)) if (root == root[k]).sum() > 1}
     assert got == expected
 
 
+def test_masks_let_no_pair_within_the_radius_apart():
+    r = np.random.default_rng(8)
+    for radius in (0, 1, 3, 4):
+        for n in (10, 10_000, 10**6, 10**9, 10**11, 10**15):
+            found = simhash.masks(radius, n)
+            for _ in range(200):
+                difference = sum(1 << int(b) for b in r.choice(64, radius, replace=False))
+                assert any(difference & m % (1 << 64) == 0 for m in found)
+    assert len(simhash.masks(4, 1000)) == 1 and len(simhash.masks(4, 10**6)) == 5 and len(simhash.masks(4, 10**9)) == 15
+
+
+def test_trees_prune_and_find_all_pairs(spark):
+    fps = np.array([x["fp"] for x in simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).distinct().collect()])
+    assert len(fps) > 9000
+    fps = fps[:: 4]
+    stats = {}
+    got = {(int(i), int(j)) for a, b in simhash.near(fps, fps, 4, stats) for i, j in zip(a, b, strict=True)}
+    assert got == {(i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps) <= 4)}
+    assert stats["levels"] >= 6 and stats["pruned"] > 0.3 * stats["both"] and stats["compared"] < 0.7 * len(fps) ** 2
+    width = simhash.masks(4, 9000)
+    shards = {}
+    for x in fps:
+        shards.setdefault(int(x) & width[0], []).append(x)
+    deep = {}
+    for points in shards.values():
+        list(simhash.near(np.array(points), np.array(points), 4, deep))
+    assert deep["levels"] > 1 and deep["pruned"]
+
+
+def test_hot_keys_are_dealt_in_parts(spark):
+    rows = spark.range(5000).select((F.when(F.col("id") < 4000, 0).otherwise(F.col("id"))).alias("k"), "id", F.lit(1).alias("part"))
+    keyed = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = joins.join_split(rows, keyed, "k", "n", 5000)
+    assert got.columns == ["k", "id", "part", "least"] and got.count() == 5000
+    assert got.where("least != k").count() == 0 and got.select("id").distinct().count() == 5000
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(1, k) for k in range(2, 50)] + [(7, 7), (60, 61), (61, 60)]
     got = {r["vertex"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -204,7 +204,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_co
 
     All columns of docs stay.  A span runs from the first character of its first word to the last of its last word.
     """
-    columns = docs.columns
     made = automata(benchmark, window, block_words)
 
     def clean(c: dict) -> dict:
@@ -223,7 +222,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_co
             out.append(None if text is None else text.decode())
         return {"doc_id": c["doc_id"], "text": out, "keep": keep}
 
-    return _rewrite(docs, clean).select(*columns)
+    return _rewrite(docs, clean)
 
 
 def _rewrite(docs: DataFrame, clean) -> DataFrame:
@@ -233,6 +232,7 @@ def _rewrite(docs: DataFrame, clean) -> DataFrame:
     from .common import as_list
 
     names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names may hold dots, which mapInArrow doesn't take
     at = {n: i for i, n in enumerate(names)}
 
     def run(batches):
@@ -244,4 +244,4 @@ def _rewrite(docs: DataFrame, clean) -> DataFrame:
                 arrays[at["n_chars"]] = pa.array([None if t is None else len(t) for t in r["text"]], type=b.column(at["n_chars"]).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=b.schema).filter(pa.array(r["keep"], type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -21,6 +21,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh_name, quoted
 from .quality import let
 
 #: Labelled rows generated for training and calibration together, and the precision that the threshold must reach on the held-out half.
@@ -274,9 +275,8 @@ def _cut(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data in text replaced (and n_chars brought up to date); all rows and columns stay."""
-    names = {c.lower() for c in docs.columns}
-    text, base, spans, joined = (f"pii{'_' * k}{x}" for x in ("text", "base", "spans", "joined") for k in [next(k for k in range(1, len(names) + 2) if f"pii{'_' * k}{x}" not in names)])
+    text, base, spans, joined = (fresh_name(docs.columns, f"pii_{x}") for x in ("text", "base", "spans", "joined"))
     out = with_spans(docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit(""))), text, base, spans)
     out = out.withColumn(joined, _joined(F.col(spans)))
     out = out.withColumn("text", F.when(F.col("text").isNotNull(), _cut(F.col(text), F.col(joined))))
-    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(*docs.columns)
+    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(*quoted(docs.columns))

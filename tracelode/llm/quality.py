@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh_name, quoted, staged
 
 #: Documents of fewer words fail, as do those of which more than this share (in %) lies in repeated windows.
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -203,9 +203,7 @@ def judged(docs: DataFrame, threshold: float = THRESHOLD, carry: bool = True, la
     """docs with a struct column (its name is returned): the features, votes, p_good, base_failed and kept.
 
     labels: doc_id, quality (0 or 1) of any of the documents."""
-    name = "quality"
-    while name in {c.lower() for c in docs.columns}:
-        name += "_"
+    name = fresh_name(docs.columns, "quality")
     counted = docs.withColumn(name, features(F.col("text")))
     counted = staged(counted if carry else counted.drop("text"), "features")
     f = F.col(name)
@@ -237,4 +235,4 @@ def quality(docs: DataFrame, threshold: float = THRESHOLD, labels: DataFrame | N
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD, labels: DataFrame | None = None) -> DataFrame:
     """docs without those that the base rule or the posterior rejects."""
     found, name = judged(docs, threshold, labels=labels)
-    return found.where(F.col(f"{name}.kept")).select(*docs.columns)
+    return found.where(F.col(f"{name}.kept")).select(*quoted(docs.columns))
