@@ -447,8 +447,10 @@ def test_spans_are_removed_and_covered_documents_go(spark):
 # -- 9: token files
 
 
-def test_token_files_hold_the_librarys_ids(spark):
-    tokenizer = Tokenizer.from_file(WORDS)
+@pytest.mark.parametrize("path", [WORDS, public_tokenizers.path("byte_bpe_50k.json")])
+def test_token_files_hold_the_librarys_ids(spark, path):
+    tokenizer = Tokenizer.from_file(path)
+    assert token_files.drops_white_space(tokenizer) == (path == WORDS)
     docs = both(spark).unionByName(spark.createDataFrame([(50, "a\x01b <|endoftext|> É Σ ΑΣ x y don't it's!! \x01")], SCHEMA))
     rows = sorted(collected(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     at, expected = 0, []
@@ -456,7 +458,7 @@ def test_token_files_hold_the_librarys_ids(spark):
         ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
         expected.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    folder = token_files.write(docs, WORDS)
+    folder = token_files.write(docs, path)
     same(token_files.read(spark, folder).collect(), expected)
     made = token_files.manifest(folder)
     assert [p["base"] for p in made["parts"]] == list(np.cumsum([0, *(p["n_tokens"] for p in made["parts"][:-1])]))
@@ -464,6 +466,11 @@ def test_token_files_hold_the_librarys_ids(spark):
     assert len(flat) == at and flat[expected[3][1] + expected[3][2] - 1] == 1
 
 
+def test_an_end_id_beyond_the_vocabulary_widens_the_files(spark):
+    folder = token_files.write(spark.createDataFrame([(1, "a b")], SCHEMA), WORDS, end_id=70_000)
+    assert token_files.manifest(folder)["dtype"] == "uint32" and token_files.load(folder, 0, "ids", "<u4")[-1] == 70_000
+
+
 # -- 10: near duplicates
 
 

@@ -12,7 +12,8 @@ Partitions are ranges of doc_id, sorted inside, so the files in order hold the d
 A task writes under a name of its own and renames at its end: an attempt that is lost or repeated leaves the
 same bytes.  The driver sees one row a partition.
 
-Defined cases: a null or empty text is one end id; documents with equal ids are ordered by text.
+Defined cases: a null or empty text is one end id; documents with equal ids are ordered by text; null ids come first; texts of any
+length are encoded whole; of other columns than doc_id and text none is read, whatever it is called.
 """
 
 from __future__ import annotations
@@ -40,21 +41,45 @@ _STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n])")
 _SUMMARY = "part long, n_docs long, n_null long, n_tokens long"
 
 
+def drops_white_space(tokenizer) -> bool:
+    """Whether the ids of a text are those of its chunks between ASCII white space, in order.
+
+    That holds if the normaliser works on single characters (or composes them, which ASCII white space stops), and the
+    pre-tokenizer first takes matches of a pattern and removes all else, where no match holds white space; the pattern is tried on
+    every white-space character between any two printable ASCII ones.  A tokenizer whose parts aren't known to do so encodes whole texts.
+    """
+    made = json.loads(tokenizer.to_str())
+
+    def parts(step: dict | None, inner: str) -> list[dict]:
+        return [] if step is None else [x for s in step[inner] for x in parts(s, inner)] if step["type"] == "Sequence" else [step]
+
+    normal, split = parts(made["normalizer"], "normalizers"), parts(made["pre_tokenizer"], "pretokenizers")
+    plain = all(n["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " ") for n in normal)
+    taken = bool(split) and split[0]["type"] == "Split" and split[0]["behavior"] == "Removed" and split[0]["invert"]
+    apart = all(s["type"] == "ByteLevel" and not s["add_prefix_space"] for s in split[1:])
+    if not (plain and taken and apart) or made["post_processor"] and made["post_processor"]["type"] not in ("RobertaProcessing", "TemplateProcessing", "BertProcessing"):
+        return False
+    if any(c.isspace() for t in tokenizer.get_added_tokens_decoder().values() for c in t.content):
+        return False
+    printable = [chr(c) for c in range(33, 127)]
+    probe = "".join(f"{a}{w}{b}" for w in " \t\n\x0b\x0c\r" for a in printable for b in printable)
+    return all(not any(c.isspace() for c in probe[s:e]) for _, (s, e) in tokenizer.pre_tokenizer.pre_tokenize_str(probe))
+
+
 class ChunkEncoder:
-    """Encodes texts with the tokenizers library, each distinct white-space chunk once.
+    """Encodes texts with the tokenizers library; each distinct white-space chunk once if the tokenizer drops white space.
 
-    ASCII white space bounds pre-tokens in the tokenizers that this is for (their patterns never match it, no
-    composition crosses it), so the ids of a text are those of its chunks in order.  Many chunks go to the library
-    in one string, with a separator between them that is a token of its own.
+    Many chunks go to the library in one string, with a separator between them that is a token of its own.
     """
 
     SEPARATOR = "\x01"
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, end_id: int = 0, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        self.in_chunks = drops_white_space(self.tokenizer)
         self.cache_words = cache_words
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -106,6 +131,11 @@ class ChunkEncoder:
         return text.split()
 
     def encode(self, batch: list[bytes], end: list[int]) -> Iterator[np.ndarray]:
+        """The ids of each text and the end ids behind it."""
+        if not self.in_chunks:
+            for e in self.tokenizer.encode_batch_fast([t.decode() for t in batch], add_special_tokens=False):
+                yield np.array([*e.ids, *end], self.dtype)
+            return
         chunks = list(map(self.chunks_of, batch))
         found = [list(map(self.known.get, c, repeat(b""))) for c in chunks]
         missed: list[tuple[list[bytes], int, bytes]] = []  # (ids of a text, place among them, chunk)
@@ -135,9 +165,9 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str) -> ChunkEncoder:
+def encoder_of(path: str, end_id: int) -> ChunkEncoder:
     """One encoder a worker process: its tokenizer is loaded once, and its chunks serve later tasks."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, end_id)
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None) -> str:
@@ -150,7 +180,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | N
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, root = pafs.FileSystem.from_uri(folder)
-        encoder = encoder_of(tokenizer_path)
+        encoder = encoder_of(tokenizer_path, end_id)
         name = f"{root}/part-{task.partitionId():05d}"
         own = f"{name}.{task.taskAttemptId()}.tmp"
         docs_in, sizes = [], [0]
@@ -172,7 +202,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | N
     parts = sorted((r.asDict() for r in ranged.mapInArrow(write_part, _SUMMARY).collect()), key=lambda r: r["part"])  # one row a partition
     for p, base in zip(parts, accumulate([0, *(p["n_tokens"] for p in parts)]), strict=False):
         p["base"] = base
-    dtype = encoder_of(tokenizer_path).dtype
+    dtype = encoder_of(tokenizer_path, end_id).dtype
     fs, root = pafs.FileSystem.from_uri(folder)
     with fs.open_output_stream(f"{root}/manifest.json") as out:
         out.write(json.dumps({"dtype": dtype.name, "end_id": end_id, "parts": parts}).encode())
