@@ -437,11 +437,20 @@ def test_contamination_matches_brute_force(spark, block_words):
     same(got.select("doc_id", "n_words", "n_hit", F.size("item_ids"), digest, F.col("n_hit") > 0).collect(), contaminated_by_brute_force(collected(docs), rows, 10))
 
 
-def test_spans_are_removed_and_covered_documents_go(spark):
-    bench = spark.createDataFrame([("a", "one two three four five six seven eight nine ten eleven")], "item_id string, text string")
+def test_contamination_without_documents_or_items(spark):
+    items = spark.createDataFrame([("a", "the lazy dog")], "item_id string, text string")
+    assert decontaminate.contamination(documents(spark, []), items).count() == 0
+    for none in (items.limit(0), spark.createDataFrame([("a", None), (None, " ,;")], "item_id string, text string")):
+        assert not any(r["n_hit"] for r in decontaminate.contamination(documents(spark), none).collect())
+        assert decontaminate.remove_spans(documents(spark), none).count() == len(ODD)
+
+
+@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 6])
+def test_spans_are_removed_and_covered_documents_go(spark, block_words):
+    bench = spark.createDataFrame([("a", "one two three four five six seven eight nine ten eleven"), ("b", "not there"), ("c", "nor this")], "item_id string, text string")
     filler = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
     docs = spark.createDataFrame([(1, f"{filler}: ONE two, three four five six seven eight nine ten! {filler}"), (2, "One two three four five six seven eight nine ten eleven"), (3, filler)], SCHEMA)
-    assert {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs, bench).collect()} == {1: f"{filler}: ! {filler}", 3: filler}
+    assert {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs, bench, block_words=block_words).collect()} == {1: f"{filler}: ! {filler}", 3: filler}
 
 
 # -- 9: token files

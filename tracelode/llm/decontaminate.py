@@ -6,24 +6,28 @@ length reaches ``window`` (or covers a whole shorter item), the words are hit.
 all occur in some item are streamed: a match can't cross another word.
 
 Scale: documents are never shuffled.  The automaton is broadcast in blocks of at most ``BLOCK_WORDS`` item
-words (a proven bound, about 300 bytes a word); more items mean more passes in one plan, each adding its
-hits to those before.
+words (a proven bound, about 300 bytes a word); more items mean more passes, each adding its hits to those before in the
+shared folder, with one block's automaton alive at a time.
 
 Defined cases: null or empty text has no words and no hits; an item without words has no window; an item
-with a null id counts as id ''; items with equal ids are one item; repeated documents are each reported.
+with a null id counts as id ''; items with equal ids are one item; repeated documents are each reported; no documents or
+no items give no rows or no hits; texts of any length are scanned whole; of other columns than doc_id (item_id) and text none is read,
+whatever it is called.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
+from .common import as_list, fresh_name, map_batches, staged, texts
 
 #: Words of benchmark items in one automaton.
 BLOCK_WORDS = 1_000_000
@@ -151,29 +155,37 @@ class ItemAutomaton:
         return [tuple(r) for r in runs], items
 
 
-def automata(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> list:
-    """Broadcast automata of the items, each of at most about block_words words."""
-    spark = benchmark.sparkSession
+def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[DataFrame]:
+    """item_id and text of the items, in parts of at most about block_words words."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.length("text") / 2 + 1).alias("n")).first()["n"] or 0  # a word and its separator take two characters at least
     blocks = max(1, int(-(-size // block_words)))
-    made = []
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        rows = [(r["item_id"], r["text"].encode()) for r in part.toLocalIterator()]
-        made.append(spark.sparkContext.broadcast(ItemAutomaton.build(sorted(rows), window)))
-    return made
+    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [items]
+
+
+def automaton_of(items: DataFrame, window: int):
+    """The broadcast automaton of one block; its rows stream to the driver, which holds this block only."""
+    rows = [(r["item_id"], r["text"].encode()) for r in items.toLocalIterator()]
+    return items.sparkSession.sparkContext.broadcast(ItemAutomaton.build(sorted(rows), window))
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, scan: Callable[[DataFrame, object, bool], DataFrame]) -> DataFrame:
+    """docs after scan(docs, automaton, whether it is the last) for each block of items.  All passes but the last are written to
+    the shared folder, and their automaton is given up before the next one is built, so that one is alive at a time."""
+    parts = blocks_of(benchmark, block_words)
+    for part in parts[:-1]:
+        automaton = automaton_of(part, window)
+        docs = staged(scan(docs, automaton, False), "hits")
+        automaton.destroy()
+    return scan(docs, automaton_of(parts[-1], window), True)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, runs (flat array of hit word runs: start, end, ...) and item_ids of every document."""
     schema = "doc_id long, text string, n_words long, n_hit long, runs array<int>, item_ids array<string>"
-    out = texts(docs).select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("item_ids"))
-    made = automata(benchmark, window, block_words)
-    for k, automaton in enumerate(made):
-        last = k == len(made) - 1
 
-        def scan(c: dict, automaton=automaton, last=last) -> dict:
+    def scan(df: DataFrame, automaton, last: bool) -> DataFrame:
+        def run(c: dict) -> dict:
             n_words, n_hit, runs, ids = [], [], [], []
             for text, before, known in zip(c["text"], c["runs"], c["item_ids"], strict=True):
                 w = words_of(text)
@@ -185,8 +197,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
                 ids.append(sorted(items.union(known)))
             return {"doc_id": c["doc_id"], "text": [b""] * len(ids) if last else c["text"], "n_words": n_words, "n_hit": n_hit, "runs": runs, "item_ids": ids}
 
-        out = map_batches(out, scan, schema)
-    return out.drop("text")
+        return map_batches(df, run, schema)
+
+    start = texts(docs).select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("item_ids"))
+    return _passes(start, benchmark, window, block_words, scan).drop("text")
 
 
 def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -204,44 +218,44 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_co
 
     All columns of docs stay.  A span runs from the first character of its first word to the last of its last word.
     """
-    made = automata(benchmark, window, block_words)
-
-    def clean(c: dict) -> dict:
-        out, keep = [], []
-        for text in c["text"]:
-            w = words_of(text or b"")
-            runs = merge([r for a in made for r in a.value.match(w)[0]])
-            keep.append(sum(e - s for s, e in runs) <= max_coverage * len(w))
-            if runs:
-                at = [m.span() for m in _WORD.finditer(text.translate(_FOLD))]
-                pieces, last = [], 0
-                for s, e in runs:
-                    pieces.append(text[last : at[s][0]])
-                    last = at[e - 1][1]
-                text = b"".join([*pieces, text[last:]])
-            out.append(None if text is None else text.decode())
-        return {"doc_id": c["doc_id"], "text": out, "keep": keep}
-
-    return _rewrite(docs, clean)
-
-
-def _rewrite(docs: DataFrame, clean) -> DataFrame:
-    """Replace text (and n_chars) row by row and keep the rows marked so, carrying all other columns along in Arrow."""
-    import pyarrow as pa
-
-    from .common import as_list
-
     names = docs.columns
-    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names may hold dots, which mapInArrow doesn't take
     at = {n: i for i, n in enumerate(names)}
-
-    def run(batches):
-        for b in batches:
-            r = clean({"doc_id": None, "text": as_list(b.column(at["text"]))})
-            arrays = list(b.columns)
-            arrays[at["text"]] = pa.array(r["text"], type=b.column(at["text"]).type)
-            if "n_chars" in at:
-                arrays[at["n_chars"]] = pa.array([None if t is None else len(t) for t in r["text"]], type=b.column(at["n_chars"]).type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=b.schema).filter(pa.array(r["keep"], type=pa.bool_()))
-
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    # names may hold dots, which mapInArrow doesn't take; the last column holds the runs found so far
+    start = docs.select("*", F.array().cast("array<int>").alias(fresh_name(names, "runs"))).toDF(*(f"c{i}" for i in range(len(names) + 1)))
+    schema = start.schema
+
+    def scan(df: DataFrame, automaton, last: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                arrays, bodies = list(b.columns), as_list(b.column(at["text"]))
+                runs = []
+                for text, before in zip(bodies, as_list(b.column(len(names))), strict=True):
+                    found, _ = automaton.value.match(words_of(text or b""))
+                    runs.append(merge(list(zip(before[::2], before[1::2], strict=True)) + found))
+                if not last:
+                    arrays[-1] = pa.array([[x for r in rs for x in r] for rs in runs], type=arrays[-1].type)
+                    yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
+                    continue
+                keep = [sum(e - s for s, e in rs) <= max_coverage * len(words_of(t or b"")) if rs else True for t, rs in zip(bodies, runs, strict=True)]
+                done = [None if t is None else without(t, rs).decode() for t, rs in zip(bodies, runs, strict=True)]
+                arrays[at["text"]] = pa.array(done, type=arrays[at["text"]].type)
+                if "n_chars" in at:
+                    arrays[at["n_chars"]] = pa.array([None if t is None else len(t) for t in done], type=arrays[at["n_chars"]].type)
+                yield pa.RecordBatch.from_arrays(arrays, schema=b.schema).filter(pa.array(keep, type=pa.bool_()))
+
+        return df.mapInArrow(run, schema)
+
+    out = _passes(start, benchmark, window, block_words, scan)
+    return out.drop(out.columns[-1]).toDF(*names)
+
+
+def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """text without the given runs of its words."""
+    if not runs:
+        return text
+    at = [m.span() for m in _WORD.finditer(text.translate(_FOLD))]
+    pieces, last = [], 0
+    for s, e in runs:
+        pieces.append(text[last : at[s][0]])
+        last = at[e - 1][1]
+    return b"".join([*pieces, text[last:]])
