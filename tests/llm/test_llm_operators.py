@@ -151,11 +151,17 @@ def cut_by_brute_force(rows):
         yield None if i == suffix_dedup._NO_ID else i, len(t), len(t) - len(kept), runs, hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize(("pack", "hot"), [(suffix_dedup.PACK, suffix_dedup.HOT), (20_000, 1)])
-def test_repeats_are_cut_as_by_brute_force(spark, pack, hot):
+@pytest.mark.parametrize(("pack", "hot", "bucket"), [(suffix_dedup.PACK, suffix_dedup.HOT, suffix_dedup.BUCKET), (20_000, 1, 10_000)])
+def test_repeats_are_cut_as_by_brute_force(spark, pack, hot, bucket):
     rows = [(20, "ab" * 300), (21, "ab" * 100 + "c" + "ba" * 40), (22, "z" * 49), (23, "z" * 50), (24, "z" * 51), (25, "q" + "z" * 50 + "q")]
     docs = both(spark).unionByName(spark.createDataFrame(rows, SCHEMA))
-    same(suffix_dedup.cut(docs, pack, hot).collect(), cut_by_brute_force(collected(docs)))
+    same(suffix_dedup.cut(docs, pack, hot, bucket).collect(), cut_by_brute_force(collected(docs)))
+
+
+def test_anchors_of_a_long_text_are_found_in_pieces():
+    text = np.random.default_rng(6).integers(97, 101, 5000).astype(np.uint8).tobytes()
+    for piece in (60, 1000, 4951, 4950):
+        assert all((a == b).all() for a, b in zip(suffix_dedup.anchors(text, piece), suffix_dedup.anchors(text), strict=True))
 
 
 def test_suffixes_of_a_bucket_match_plain_comparison():

@@ -14,15 +14,18 @@ so the work is cut in three passes over the texts, each of which moves a small p
    suffix bound the memory.  For each suffix follows whether a smaller document has the same 50 bytes.
 3. *Removal.*  The answers, 4 bytes for each anchor, are joined to the documents, and the runs are cut.
 
-Scale: exact copies are found by a digest of the text first; all but the smallest document of a group are removed
+Scale: exact copies are found by the SHA-256 of the text first; all but the smallest document of a group are removed
 whole and take no further part.  Near copies are pre-aggregated: within what a task packs at once, equal surroundings travel once, for
 the smallest document; larger ones are known to be covered right there.  An anchor that ``HOT`` packs hold is hot:
-its suffixes are dealt by a 128-bit hash of their 50 bytes instead, so that not even they meet in one task.
+its suffixes are dealt by their own 50 bytes instead, so that not even they meet in one task.
 The texts are shuffled once (one exchange serves all passes).  Hashes of anchors only decide what is
-looked at; except for hot anchors, equality is decided by bytes.
+looked at and where; equality of strings is decided by bytes.  There are as many buckets as make each hold the anchors of
+about ``BUCKET`` bytes of text; a task takes its buckets one after the other.  Finding the anchors of one text takes about
+100 bytes of memory a byte of it, in pieces of ``PIECE`` bytes.
 
 Defined cases: null and empty texts have no bytes and no runs; a null doc_id counts as larger than all others;
-rows with equal ids don't cover each other; overlapping repeats inside one document alone are not removed.
+rows with equal ids don't cover each other; overlapping repeats inside one document alone are not removed; texts of any length
+are worked on whole; of other columns than doc_id and text none is read, whatever it is called.
 """
 
 from __future__ import annotations
@@ -37,13 +40,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_list, partitions, texts
+from ..operators.joins import join_split
+from .common import as_list, partitions, staged, texts
 
 #: Bytes of a repeat, bytes of an anchor, and a difference cover (every difference modulo 13 occurs in it).
 LENGTH, GRAM = 50, 25
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Bytes of text that a task packs at once, and packs that hold a hot anchor.
 PACK, HOT = 8 << 20, 200
+#: Strings of a text whose anchors are found at once.
+PIECE = 1 << 20
+#: Bytes of text whose anchors share a bucket: a task holds the anchors of one bucket, about a third of that at a time.
+BUCKET = 32 << 20
 #: Numbers that a task holds before it sends them to their documents.
 SENT = 1 << 20
 #: Bytes around an anchor: LENGTH - GRAM on both sides.  Padding is a byte that UTF-8 doesn't know.
@@ -81,10 +89,13 @@ def gram_hashes(a: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def anchors(text: bytes, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """For each 50-byte string of text: hash (even) and place of its anchor."""
     if len(text) < LENGTH:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
+    if len(text) > piece + LENGTH:
+        parts = [(at, *anchors(text[at : at + piece + LENGTH - 1], piece)) for at in range(0, len(text) - LENGTH + 1, piece)]
+        return np.concatenate([h for _, h, _ in parts]), np.concatenate([p + at for at, _, p in parts])
     h = _mix(gram_hashes(np.frombuffer(text, np.uint8).astype(np.uint64) + _ONE, GRAM)) & _HASH
     at, size, window = np.arange(len(h)), 1, SIDE + 1
 
@@ -223,10 +234,8 @@ def _by_document(sent: DataFrame, name: str) -> DataFrame:
     return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, _ROW_DDL).select("did", F.col("blob").alias(name))
 
 
-def shared_anchors(docs: DataFrame, pack: int = PACK, hot: int = HOT) -> DataFrame:
+def shared_anchors(docs: DataFrame, buckets: int, pack: int = PACK, hot: int = HOT) -> DataFrame:
     """did, shared: hashes (64-bit numbers in a row, the lowest bit set if hot) of a document's anchors that others have."""
-    spark = docs.sparkSession
-    buckets = partitions(spark)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dids, bodies in _flushes(batches, 2, pack):
@@ -280,7 +289,7 @@ def shared_anchors(docs: DataFrame, pack: int = PACK, hot: int = HOT) -> DataFra
         yield from sender.flush()
 
     packed = docs.select("did", "text").mapInArrow(gather, _ROW_DDL)
-    found = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "did").mapInArrow(compare, _ROW_DDL)
+    found = packed.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "did").mapInArrow(compare, _ROW_DDL)
     return _by_document(found, "shared")
 
 
@@ -317,10 +326,8 @@ def windows_covered(around: np.ndarray, did: np.ndarray) -> np.ndarray:
     return covered
 
 
-def answers(docs: DataFrame, shared: DataFrame, pack: int = PACK) -> DataFrame:
+def answers(docs: DataFrame, shared: DataFrame, buckets: int, pack: int = PACK) -> DataFrame:
     """did, rid, blob: packed places and answers for anchors of a document."""
-    spark = docs.sparkSession
-    buckets = partitions(spark)
     everything = np.uint32((1 << (SIDE + 1)) - 1)
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,10 +367,10 @@ def answers(docs: DataFrame, shared: DataFrame, pack: int = PACK) -> DataFrame:
                 rows.append((b, None, _packed(did[p], rid[p], at[p].astype(np.uint32), around[p])))
             rest = np.flatnonzero(~later & hot)
             if len(rest):
-                o, q, digests = _digests(around[rest])
+                o, q, strings = _strings(around[rest])
                 q = rest[q]
-                for b, p in _split(_bucket_of(digests[:, 0], buckets)):
-                    rows.append((b, None, _packed(o[p], did[q[p]], rid[q[p]], at[q[p]].astype(np.uint32), digests[p])))
+                for b, p in _split(_bucket_of(_mix(_hash_of(strings)), buckets)):
+                    rows.append((b, None, _packed(o[p], did[q[p]], rid[q[p]], at[q[p]].astype(np.uint32), strings[p])))
             yield _rows(rows)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,9 +388,9 @@ def answers(docs: DataFrame, shared: DataFrame, pack: int = PACK) -> DataFrame:
                 yield from sender.add(did[some], rid[some].view(np.uint64), at[some], covered[some])
             hot = [p for p in parts if len(p) == 5]
             if hot:
-                o, did, rid, at, digest = (np.concatenate(x) for x in zip(*hot, strict=True))
-                order = np.lexsort((did, digest[:, 1], digest[:, 0]))
-                start = np.concatenate(([True], (digest[order][1:] != digest[order][:-1]).any(axis=1)))
+                o, did, rid, at, strings = (np.concatenate(x) for x in zip(*hot, strict=True))
+                order = _order(strings, did)
+                start = np.concatenate(([True], (strings[order][1:] != strings[order][:-1]).any(axis=1)))
                 least = did[order][np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))]
                 hit = order[least < did[order]]
                 yield from sender.add(did[hit], rid[hit].view(np.uint64), at[hit], np.uint32(1) << o[hit].astype(np.uint32))
@@ -391,26 +398,34 @@ def answers(docs: DataFrame, shared: DataFrame, pack: int = PACK) -> DataFrame:
 
     asked = docs.join(shared.hint("shuffle_hash"), "did").select("did", "text", F.xxhash64("did", "text").alias("rid"), "shared")
     packed = asked.mapInArrow(surround, _ROW_DDL)
-    solved = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(solve, _ROW_DDL)
+    solved = packed.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(solve, _ROW_DDL)
     return _by_document(solved, "answers")
 
 
-def _digests(around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offset, row and 128-bit digest of every 50-byte string around anchors that no padding cuts short."""
-    offsets, rows, digests = [], [], []
+def _strings(around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offset, row and bytes of every 50-byte string around anchors that no padding cuts short."""
+    offsets, rows, strings = [], [], []
     for o in range(SIDE + 1):
         w = around[:, o : o + LENGTH]
         whole = np.flatnonzero((w != PAD).all(axis=1))
         offsets.append(np.full(len(whole), o, np.uint8))
         rows.append(whole)
-        digests += [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in w[whole]]
-    return np.concatenate(offsets), np.concatenate(rows), np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+        strings.append(w[whole])
+    return np.concatenate(offsets), np.concatenate(rows), np.concatenate(strings)
+
+
+def _hash_of(strings: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(strings), np.uint64)
+    for k in range(strings.shape[1]):
+        h = h * np.uint64(_BASE) + strings[:, k].astype(np.uint64) + _ONE
+    return h
 
 
-def _order(around: np.ndarray, did: np.ndarray) -> np.ndarray:
+def _order(strings: np.ndarray, did: np.ndarray) -> np.ndarray:
     """Order that brings equal rows together (by bytes), smaller documents first among them."""
-    wide = np.zeros((len(around), -(-AROUND // 8) * 8), np.uint8)
-    wide[:, :AROUND] = around
+    width = strings.shape[1]
+    wide = np.zeros((len(strings), -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = strings
     return np.lexsort((did, *wide.view(np.uint64).T))
 
 
@@ -430,17 +445,20 @@ def removed_runs(text: bytes, rid: int, answers: bytes) -> list[tuple[int, int]]
     return list(zip(hit[np.concatenate(([0], gap + 1))].tolist(), (hit[np.concatenate((gap, [-1]))] + LENGTH).tolist(), strict=True))
 
 
-def cut(docs: DataFrame, pack: int = PACK, hot: int = HOT, with_text: bool = False) -> DataFrame:
+def cut(docs: DataFrame, pack: int = PACK, hot: int = HOT, bucket: int = BUCKET, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and the bytes kept if asked for."""
     spark = docs.sparkSession
-    keyed = texts(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"), "text").repartition(partitions(spark), "did")
-    digest = F.coalesce(F.unhex(F.md5("text")), F.lit(b""))  # not null, or a filter on it would make the exchange another one
-    heads = keyed.select("did", digest.alias("digest"))
-    firsts = heads.groupBy("digest").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").select("digest", "first")
-    copies = heads.join(firsts, "digest").where("did > first").groupBy("did").agg(F.collect_set("digest").alias("copies"))
+    asked = texts(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"), "text")
+    digest = F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b""))  # not null, or a filter on it would make the exchange another one
+    heads = staged(asked.select("did", digest.alias("digest"), F.octet_length("text").cast("long").alias("size")), "digests")
+    firsts = staged(heads.groupBy("digest").agg(F.min("did").alias("first"), F.max("did").alias("last"), F.count("*").alias("n")).where("first < last").drop("last"), "copied")
+    totals = heads.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+    copies = join_split(heads.drop("size"), firsts, "digest", "n", totals["n"]).where("did > first").groupBy("did").agg(F.collect_set("digest").alias("copies"))
+    keyed = asked.repartition(partitions(spark), "did")
     flagged = keyed.join(copies.hint("shuffle_hash"), "did", "left").withColumn("copy", F.coalesce(F.array_contains("copies", digest), F.lit(False))).drop("copies")
     live = flagged.where("NOT copy").select("did", "text")
-    found = answers(live, shared_anchors(live, pack, hot), pack)
+    buckets = max(partitions(spark), -(-(totals["size"] or 0) // bucket))  # bounded in bytes, however few partitions there are
+    found = answers(live, shared_anchors(live, buckets, pack, hot), buckets, pack)
     joined = flagged.join(found.hint("shuffle_hash"), "did", "left").select(F.expr(f"nullif(did, {_NO_ID})").alias("doc_id"), "text", F.xxhash64("did", "text").alias("rid"), "answers", "copy")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
 
