@@ -4,17 +4,19 @@ For each label of a small set of labelled credentials, a prefix tree of their sy
 statistically compatible states are merged (Carrasco and Oncina's ALERGIA: two states are compatible if their
 relative frequencies of ending and of each next symbol differ by less than a Hoeffding bound, and so do those
 of the states that they lead to).  An automaton of background tokens is inferred the same way.  Every candidate,
-a run of at least ``CANDIDATE`` credential characters with a digit, is scored by the log likelihood ratio a
-symbol of its best format against the background; those from ``THRESHOLD`` on are spans of kind ``format``
+a run of at least ``CANDIDATE`` credential characters, is scored by the log likelihood ratio a
+symbol of its best format against the background; those from the threshold on are spans of kind ``format``
 unless they overlap a base span.
 
 Labelled rows: ``labelled_examples`` generates ``PER_LABEL`` credentials of each public format from a fixed
-seed, the bound of the training set; ``infer`` takes any other labelled rows.
+seed, the bound of the training set; ``infer`` takes any other labelled rows.  The threshold is calibrated on rows of another
+seed: half way between the background's highest score and the score that ``MISSED`` of the credentials stay below.
 
 Scale: one pass over the texts without a shuffle; the model is a few thousand numbers.
 
 Defined cases: a null text is an empty one and has no spans; equal rows get equal results; matches that fail
-the length rule are dropped and not tried again from inside.
+the length rule are dropped and not tried again from inside; texts of any length are scanned whole; of other columns than doc_id and
+text none is read, whatever it is called.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import math
 import random
 import re
 import string
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -33,8 +36,8 @@ from .common import map_batches, texts
 
 #: Credentials generated for each label, background tokens ten times as many.
 PER_LABEL = 120
-#: Shortest candidate, in characters, and least log likelihood ratio a symbol.
-CANDIDATE, THRESHOLD = 20, 0.6
+#: Shortest candidate, in characters, and the share of credentials that calibration may miss.
+CANDIDATE, MISSED = 20, 0.02
 #: Symbols of a token that take part in training; scoring takes all of them.
 TRAINED = 48
 ALPHA = 0.05
@@ -46,7 +49,6 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "format")
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % CANDIDATE)
-_DIGIT = re.compile(r"[0-9]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -166,6 +168,7 @@ class Formats:
 
     by_label: dict[str, Automaton]
     background: Automaton
+    threshold: float = 0.0
 
     def score(self, token: str) -> float:
         s = symbols(token)
@@ -190,6 +193,7 @@ def labelled_examples(per_label: int = PER_LABEL, seed: int = 7) -> tuple[list[t
         "hex_upper": lambda: some(digits + "ABCDEF", r.choice([32, 40, 64])),
     }
     syllables = ["the", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve"]
+    syllables += ["ch", "sch", "ge", "ung", "lich", "keit", "heit", "ein", "zu", "ver", "pf", "be", "au", "os", "mente", "ado", "tion", "ment", "eau", "que", "ier", "qu", "bl", "gr", "str", "om", "il", "up", "ck", "ow"]
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
     number = lambda: some(digits, r.randint(1, 12))
     background = [
@@ -199,48 +203,67 @@ def labelled_examples(per_label: int = PER_LABEL, seed: int = 7) -> tuple[list[t
         lambda: r.choice(["/", "www.", "v", "img_", "file-"]) + "/".join(word() for _ in range(3)) + r.choice([".html", ".png", "_v2", "-2024"]),
         lambda: r.choice(".-").join(number() for _ in range(r.randint(4, 8))),
         lambda: "".join(word().title() for _ in range(r.randint(4, 7))) + some(digits, r.randint(1, 4)),
+        lambda: r.choice("=-_./+") * r.randint(CANDIDATE, 2 * CANDIDATE),
+        lambda: "".join(word() for _ in range(r.randint(4, 9))),
+        lambda: "".join(word() for _ in range(r.randint(4, 9))).capitalize() + r.choice(["", "."]),
+        lambda: "".join(word().title() for _ in range(r.randint(4, 9))),
+        lambda: "-".join([some("0123456789abcdef", 8), *(some("0123456789abcdef", 4) for _ in range(3)), some("0123456789abcdef", 12)]),
         lambda: word().upper() + "_" + "_".join(word().upper() for _ in range(3)) + "_" + number(),
     ]
     rows = [(label, make()) for label, make in formats.items() for _ in range(per_label)]
     return rows, [make() for make in background for _ in range(per_label * 10 // len(background))]
 
 
-def infer(credentials: list[tuple[str, str]], background: list[str]) -> Formats:
+def infer(credentials: list[tuple[str, str]], background: list[str], held_out: tuple[list[tuple[str, str]], list[str]]) -> Formats:
+    """Formats from labelled rows, with the threshold from held-out ones."""
     by_label: dict[str, list[str]] = {}
     for label, token in credentials:
         by_label.setdefault(label, []).append(token)
-    return Formats({k: Automaton(v) for k, v in by_label.items()}, Automaton(background))
+    made = Formats({k: Automaton(v) for k, v in by_label.items()}, Automaton(background))
+    right = sorted(made.score(t) for _, t in held_out[0] if len(t) >= CANDIDATE)
+    made.threshold = (right[int(MISSED * len(right))] + max(made.score(t) for t in held_out[1] if len(t) >= CANDIDATE)) / 2
+    return made
 
 
 @lru_cache(maxsize=1)
 def default_formats() -> Formats:
-    return infer(*labelled_examples())
+    return infer(*labelled_examples(), labelled_examples(seed=8))
 
 
-def find(text: str, formats: Formats, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def find(text: str, formats: Formats) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans as (start, kind number, end), sorted."""
     base = base_spans(text)
-    added = []
+    added, k = [], 0
     for m in _CANDIDATE.finditer(text):
         token = m[0].rstrip(".=-_") if m[0][-1] == "." else m[0]
         s, e = m.start(), m.start() + len(token)
-        if len(token) >= CANDIDATE and _DIGIT.search(token) and not any(s < y and x < e for x, _, y in base) and formats.score(token) >= threshold:
+        # base spans may overlap each other, candidates don't: those that end before this one are done with
+        while k < len(base) and base[k][2] <= s:
+            k += 1
+        if len(token) >= CANDIDATE and not any(s < y and x < e for x, _, y in _until(base, k, e)) and formats.score(token) >= formats.threshold:
             added.append((s, 3, e))
     return base, sorted(base + added)
 
 
+def _until(spans: list[tuple[int, int, int]], k: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """Spans from the k-th on that start before end."""
+    while k < len(spans) and spans[k][0] < end:
+        yield spans[k]
+        k += 1
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame, formats: Formats | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_format of every document."""
     model = docs.sparkSession.sparkContext.broadcast(formats or default_formats())
 
     def run(c: dict) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format")}
         for t in c["text"]:
-            base, every = find(t.decode(), model.value, threshold)
+            base, every = find(t.decode(), model.value)
             kinds = [k for _, k, _ in every]
             for k, name in enumerate(("n_assign", "n_access", "n_hex", "n_format")):
                 out[name].append(kinds.count(k))
