@@ -1,21 +1,24 @@
 """Personal data: candidate spans judged by gradient-boosted trees, in DataFrame functions only.
 
-Fixed patterns give the base spans.  Generators of high recall propose further, overlapping candidates (written-out
-mail addresses, account numbers, any longer digit group); boosted trees look at each candidate's format and at the
-words before it, and those whose probability reaches a threshold calibrated on held-out rows are redacted
-too, unless they overlap a base span or an earlier generator's.
+Fixed patterns give the base spans.  In what they leave, generators of high recall propose overlapping candidates (written-out
+mail addresses, account numbers, and several shapes of digit groups, so that a run of groups is proposed in parts as well);
+boosted trees look at each candidate's format and at the words in up to ``AROUND`` characters on both sides of it.  Those whose
+margin reaches a threshold calibrated on held-out rows are personal; of overlapping ones the best-scoring stays.
 
 The trees are trained once a process on generated labelled rows (``labelled_examples``: ``ROWS`` rows from fixed
 templates, the bound of the training set) by Spark ML and turned into one Column expression, so candidates are
-judged inside their row: the texts are neither shuffled nor handed to Python.
+judged inside their row: the texts are neither shuffled nor handed to Python.  The threshold comes from rows of templates
+that training doesn't see.
 
 Defined cases: a null text has no spans (and stays null in ``redact``); equal rows get equal results; matches that
-fail their rule are dropped and not tried again from inside.
+fail their rule are dropped and not tried again from inside; texts of any length are read whole; of other columns than doc_id and
+text none is read, whatever it is called.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,10 +27,10 @@ from pyspark.sql import functions as F
 from .common import fresh_name, quoted
 from .quality import let
 
-#: Labelled rows generated for training and calibration together, and the precision that the threshold must reach on the held-out half.
-ROWS, PRECISION = 1200, 0.99
-#: Characters before a candidate in which context words count.
-BEFORE = 18
+#: Labelled rows generated for training, and for calibration, and the precision that the threshold must reach on the latter.
+ROWS, HELD_OUT, PRECISION = 1500, 700, 0.99
+#: Characters on each side of a candidate in which context words count, and before it those that are near.
+AROUND, NEAR = 64, 24
 #: Elements of an array that one step of a running sum goes over.
 BLOCK = 128
 
@@ -40,20 +43,27 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 
-#: The generators, in the order in which they win overlaps.
+#: The generators: kind, pattern, and what a text must hold for it to match.  Separators are bounded and ends lie at group borders.
+_DIGITS = "[0-9]"
 GENERATORS = (
-    ("mail", r"[A-Za-z0-9][A-Za-z0-9._-]*+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++ ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,}+"),
-    ("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"),
-    ("number", r"(?<![A-Za-z0-9])\(?+[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+(?![A-Za-z0-9])"),
+    ("mail", r"[A-Za-z0-9][A-Za-z0-9._-]*+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++ ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,}+", r"[)\]]|\x20dot\x20"),
+    ("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}"),
+    ("number", r"(?<![A-Za-z0-9])[0-9]{7,}+(?![A-Za-z0-9])", _DIGITS),
+    ("number", r"(?<![A-Za-z0-9])[0-9]{3}[\x20.-][0-9]{2}[\x20.-][0-9]{4}(?![A-Za-z0-9])", _DIGITS),
+    ("number", r"(?<![A-Za-z0-9(])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![A-Za-z0-9])", _DIGITS),
+    ("number", r"(?<![A-Za-z0-9])[0-9]{1,5}(?:[\x20.-][0-9]{2,6}){1,5}+(?![A-Za-z0-9])", _DIGITS),
 )
-KINDS = ("email", "ip", "card", "phone", *(name for name, _ in GENERATORS))
+KINDS = ("email", "ip", "card", "phone", "mail", "account", "number")
 _CONTEXT = (
-    r"(?i)\b(?:phone|tel|call|mobile|cell|fax|whatsapp|telefon|tél|móvil)\b",
-    r"(?i)\b(?:ssn|social|passport|license|licence|taxpayer|tax|patient|nif|dni|ausweis)\b",
+    r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp|telefon|handy|tél|téléphone|móvil|teléfono|text me)\b",
+    r"(?i)\b(?:ssn|social security|passport|driver|license|licence|taxpayer|tax|patient|insurance|nif|dni|ausweis|reisepass|pasaporte|passeport)\b",
     r"(?i)\b(?:account|acct|iban|bank|card|konto|cuenta|compte)\b",
     r"(?i)\b(?:mail|e-mail|contact|write|reach|kontakt|contacto)\b",
+    r"(?i)\b(?:order|invoice|version|page|chapter|isbn|part|model|model no|serial|population|year|ticket|issue|code|lot|item|about|some|over)\b",
 )
-FEATURES = ("generator", "length", "digits", "letters", "separators", "groups", "spaces", "dots", "phone_word", "id_word", "bank_word", "mail_word")
+_ENDING = r"(?i)\b(?:com|org|net|edu|gov|info|io|co|eu|de|at|ch|fr|es|it|uk|us)$"
+_WORDS = ("phone", "identity", "bank", "mail", "other")
+FEATURES = ("kind", "length", "digits", "letters", "separators", "groups", "spaces", "dots", "first_group", "last_group", "digits_beside", "known_ending", *(f"{w}_{where}" for where in ("near", "before", "after") for w in _WORDS))
 
 
 def running_sums(values: Column) -> Column:
@@ -69,14 +79,45 @@ def running_sums(values: Column) -> Column:
     return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(values, over))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of structs (s, e, m): start, end and string of each match, in code points, from left to right."""
-    kind = "array<struct<s:int,e:int,m:string>>"
+def running_max(values: Column) -> Column:
+    """An array of the largest value before each one, 0 for the first, in blocks like those of running_sums."""
+
+    def most(part: Column, start: Column) -> Column:
+        return F.aggregate(part, start, lambda a, x: F.greatest(a, x))
+
+    def over(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+        within = lambda part, start: F.transform(part, lambda _, j: most(F.slice(part, F.lit(1), j), start))
+        return let(blocks, lambda b: let(F.transform(b, lambda x: most(x, F.lit(0))), lambda tops: F.flatten(F.transform(b, lambda part, k: within(part, most(F.slice(tops, F.lit(1), k), F.lit(0)))))))
+
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(values, over))
+
+
+_PLAIN, _AROUND = "array<struct<s:int,e:int,m:string>>", "array<struct<s:int,e:int,m:string,before:string,after:string>>"
+
+
+def matches(text: Column, pattern: str, around: int = 0) -> Column:
+    """Array of structs (s, e, m): start, end and string of each match, in code points, from left to right; if asked for, with
+    up to around characters before and after it, which reach over one more match on each side.  Everything comes from the pieces between matches, in
+    time linear in the text."""
+    kind = _AROUND if around else _PLAIN
 
     def placed(m: Column) -> Column:
-        pieces = F.split(text, pattern, -1)
-        steps = F.zip_with(F.slice(pieces, 1, F.size(m)), m, lambda p, x: F.length(p) + F.length(x))
-        return let(steps, lambda st: F.transform(F.arrays_zip(running_sums(st).alias("b"), st.alias("w"), m.alias("m")), lambda z: F.struct((z["b"] + z["w"] - F.length(z["m"])).alias("s"), (z["b"] + z["w"]).alias("e"), z["m"].alias("m"))))
+        def of(pieces: Column) -> Column:
+            steps = F.zip_with(F.slice(pieces, 1, F.size(m)), m, lambda p, x: F.length(p) + F.length(x))
+
+            def one(z: Column, i: Column) -> Column:
+                fields = [(z["b"] + z["w"] - F.length(z["m"])).alias("s"), (z["b"] + z["w"]).alias("e"), z["m"].alias("m")]
+                if around:
+                    join = lambda *parts: F.concat(*(F.coalesce(p, F.lit("")) for p in parts))
+                    before = F.right(join(F.right(F.get(pieces, i - 1), F.lit(around)), F.get(m, i - 1), F.right(F.get(pieces, i), F.lit(around))), F.lit(around))
+                    after = F.left(join(F.left(F.get(pieces, i + 1), F.lit(around)), F.get(m, i + 1), F.left(F.get(pieces, i + 2), F.lit(around))), F.lit(around))
+                    fields += [before.alias("before"), after.alias("after")]
+                return F.struct(*fields)
+
+            return let(steps, lambda st: F.transform(F.arrays_zip(running_sums(st).alias("b"), st.alias("w"), m.alias("m")), one))
+
+        return let(F.split(text, pattern, -1), of)
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return let(found, lambda m: F.when(F.size(m) == 0, F.array().cast(kind)).otherwise(placed(m).cast(kind)))
@@ -101,55 +142,95 @@ def _bare(found: Column, k: int) -> Column:
     return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
 
 
-def _where(cheap: Column, found: Column, kind: str = "array<struct<s:int,e:int,m:string>>") -> Column:
+def _where(cheap: Column, found: Column, kind: str = _PLAIN) -> Column:
     """found where a cheap test of something that no match can do without holds, else no match."""
     return F.when(cheap, found).otherwise(F.array().cast(kind))
 
 
-def feature_columns(kind: Column, m: Column, before: Column) -> list[Column]:
-    """Format and context features of a candidate, in the order of FEATURES."""
+def feature_columns(kind: Column, m: Column, before: Column, after: Column) -> list[Column]:
+    """Format and context features of a candidate, in the order of FEATURES.  Context doesn't reach over the end of a sentence or line."""
 
     def count(pattern: str) -> Column:
         return F.length(F.regexp_replace(m, f"[^{pattern}]", ""))
 
+    sentence = F.regexp_replace(before, r"(?s)^.*(?:[!?\n]|\.\s++(?=\p{Lu}))", "")
+    rest = F.regexp_replace(after, r"(?s)(?:[!?\n]|\.\s++(?=\p{Lu})).*$", "")
+    near = F.right(sentence, F.lit(NEAR))
+    digit_groups = F.split(F.regexp_replace(m, r"^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", ""), r"[^0-9A-Za-z]+")
     return [
-        *(x.cast("double") for x in (kind, F.length(m), count("0-9"), count("A-Za-z"), count(r"\x20().-"), F.size(F.split(m, r"[^0-9A-Za-z]+")), count(r"\x20"), count("."))),
-        *(F.regexp_like(before, F.lit(p)).cast("double") for p in _CONTEXT),
+        *(x.cast("double") for x in (kind, F.length(m), count("0-9"), count("A-Za-z"), count(r"\x20().-"), F.size(digit_groups), count(r"\x20"), count("."), F.length(F.get(digit_groups, F.lit(0))), F.length(F.get(digit_groups, F.size(digit_groups) - 1)), F.regexp_like(before, F.lit(r"[0-9][\x20.-]$")).cast("int") + F.regexp_like(after, F.lit(r"^[\x20.-][0-9]")).cast("int"), F.regexp_like(m, F.lit(_ENDING)).cast("int"))),
+        *(F.regexp_like(where, F.lit(p)).cast("double") for where in (near, sentence, rest) for p in _CONTEXT),
     ]
 
 
-def labelled_examples() -> list[tuple[int, str, str, float]]:
-    """(generator, candidate, text before it, 1 if personal) rows from fixed templates."""
+def labelled_examples(rows: int = ROWS, held_out: bool = False) -> list[tuple[int, str, str, str, float]]:
+    """(kind number, candidate, text before it, text after it, 1 if personal) rows from fixed templates.  Held-out rows come from other
+    templates of formats and of sentences than the rest."""
     import random
 
-    r = random.Random(11)
+    r = random.Random(23 if held_out else 11)
+    mail, account, number = (KINDS.index(k) for k in ("mail", "account", "number"))
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    w = lambda: "".join(r.choice(["the", "er", "on", "an", "re", "in", "ed", "nd", "st", "ou", "en", "ch", "la", "de"]) for _ in range(r.randint(1, 4)))
-    prose = lambda: f"{w()} {w()} {w()} "
+    w = lambda: "".join(r.choice(["the", "er", "on", "an", "re", "in", "ed", "nd", "st", "ou", "en", "ch", "la", "de", "ver", "eau", "ung", "os"]) for _ in range(r.randint(1, 4)))
+    some = lambda lo, hi: "".join(w() + " " for _ in range(r.randint(lo, hi)))
+    # what stands between a context word and the candidate, and what follows it
+    link = lambda: r.choice(["", ": ", " is ", " no. ", " number ", " number: ", f" of {w()} is ", f" {w()} {w()} ", " "]).join(["", ""]) or " "
+    tail = lambda: r.choice(["", ".", ", ", " ", ". "]) + some(0, 6)
+    links = ["=", " was given as ", f" of {w()} {w()} ", " - ", " #"] if held_out else None
+
+    def told(words: list[str], where: str = "both") -> tuple[str, str]:
+        """Text before and after with one of the words in it."""
+        word = r.choice(words)
+        if where == "after" or (where == "both" and r.random() < 0.2):
+            return some(1, 6), r.choice([" is my ", " is the ", " (", ", "]) + word + tail()
+        return some(0, 5) + word + (r.choice(links) if links else link()), tail()
+
+    def untold() -> tuple[str, str]:
+        return some(1, 8), tail()
+
+    phone = ["Rückruf unter Telefon", "fax", "call me at", "cell"] if held_out else ["phone", "tel", "Tel.", "call", "mobile", "telephone", "téléphone", "móvil", "telefon", "whatsapp", "text me on"]
+    identity = ["passport", "patient", "tax", "dni"] if held_out else ["ssn", "SSN", "social security", "passport", "driver license", "taxpayer", "tax", "insurance", "patient", "reisepass", "nif"]
+    bank = ["bank", "compte"] if held_out else ["account", "acct", "iban", "IBAN", "bank", "konto", "cuenta"]
+    write = ["reach me:", "contacto"] if held_out else ["mail", "e-mail", "contact", "write to", "kontakt"]
+    other = ["serial", "lot", "over", "ticket", "chapter"] if held_out else ["order", "invoice", "version", "page", "isbn", "part", "model", "population", "year", "issue", "item", "about", "code", "some"]
+    domain = lambda: r.choice(["com", "org", "de", "net", "es", "fr"])
+    phones = [lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"0{d(3)} {d(6)}", lambda: d(10), lambda: f"0{d(2)}/{d(7)}", lambda: f"{d(3)}-{d(4)}", lambda: f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"]
+    if held_out:
+        phones = [lambda: f"{d(3)} {d(3)} {d(4)}", lambda: f"({d(4)}) {d(6)}", lambda: f"0{d(4)}-{d(6)}", lambda: d(11)]
     personal = [
-        lambda: (0, f"{w()}.{w()} (at) {w()} (dot) {r.choice(['com', 'org', 'de'])}", prose() + r.choice(["", "mail ", "contact "])),
-        lambda: (0, f"{w()}[at]{w()}[dot]{r.choice(['com', 'net', 'es'])}", prose() + r.choice(["", "reach me "])),
-        lambda: (0, f"{w()} at {w()} dot {r.choice(['com', 'org', 'fr'])}", prose() + r.choice(["mail ", "contact ", "write to "])),
-        lambda: (1, f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", prose() + r.choice(["", "IBAN ", "account "])),
-        lambda: (1, f"{r.choice(['FR', 'ES', 'GB'])}{d(18)}", prose() + r.choice(["iban ", "bank account ", "Konto "])),
-        lambda: (2, f"{d(3)}-{d(2)}-{d(4)}", prose() + r.choice(["ssn ", "social security ", ""])),
-        lambda: (2, f"({d(3)}) {d(3)}-{d(4)}", prose() + r.choice(["call ", "phone ", "tel ", ""])),
-        lambda: (2, r.choice([f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)} {d(6)}", d(10)]), prose() + r.choice(["call ", "phone: ", "tel ", "mobile "])),
-        lambda: (2, r.choice([d(9), f"{d(4)} {d(4)}"]), prose() + r.choice(["passport ", "ssn ", "tax number ", "patient "])),
+        lambda: (mail, f"{w()}.{w()} (at) {w()} (dot) {domain()}", *r.choice([untold, lambda: told(write)])()),
+        lambda: (mail, f"{w()}[at]{w()}[dot]{domain()}", *r.choice([untold, lambda: told(write)])()),
+        lambda: (mail, f"{w()} at {w()} dot {domain()}", *told(write)),
+        lambda: (account, f"{r.choice(['DE', 'AT', 'NL'])}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", *r.choice([untold, lambda: told(bank)])()),
+        lambda: (account, f"{r.choice(['FR', 'ES', 'GB', 'IT'])}{d(18)}", *told(bank)),
+        lambda: (number, f"{d(3)}-{d(2)}-{d(4)}", *r.choice([untold, lambda: told(identity)])()),
+        lambda: (number, f"{d(3)} {d(2)} {d(4)}", *told(identity)),
+        lambda: (number, r.choice(phones)(), *told(phone)),
+        lambda: (number, r.choice(phones)(), *told(phone)),
+        lambda: (number, f"({d(3)}) {d(3)}-{d(4)}", *untold()),
+        lambda: (number, d(10), some(0, 3) + r.choice(phone) + f" {d(10)} ", tail()),
+        lambda: (number, r.choice([d(8), d(9), d(11)]), *told(identity)),
+        lambda: (number, r.choice([d(8), d(10), d(12), f"{d(4)} {d(4)} {d(2)}"]), *told(bank)),
     ]
     harmless = [
-        lambda: (0, f"{w()} at {w()} dot {w()}", prose()),
-        lambda: (1, f"{r.choice(['AB', 'XK', 'QT'])}{d(2)}{w().upper()[:4]:A<4}{d(4)}", prose() + r.choice(["model ", "part ", ""])),
-        lambda: (2, d(r.randint(7, 20)), prose() + r.choice(["", "order ", "id ", "number ", "in ", "page "])),
-        lambda: (2, f"{r.randint(1900, 2099)}-{r.randint(10, 12)}-{r.randint(10, 28)}", prose() + r.choice(["on ", "since ", ""])),
-        lambda: (2, f"{r.randint(1900, 2099)}-{r.randint(1900, 2099)}", prose() + r.choice(["in ", ""])),
-        lambda: (2, f"{d(1)}.{d(2)}.{d(3)}.{d(4)}", prose() + "version "),
-        lambda: (2, f"{d(3)}.{d(6)}", prose() + r.choice(["is ", "of ", "about "])),
-        lambda: (2, " ".join(d(r.randint(1, 3)) for _ in range(r.randint(4, 12))), prose()),
-        lambda: (2, f"{d(4)} {d(4)} {d(4)} {d(4)}", prose()),
-        lambda: (2, d(r.randint(21, 300)), prose()),
+        lambda: (mail, f"{w()} at {w()} dot {w()}", *untold()),
+        lambda: (account, f"{r.choice(['AB', 'XK', 'QT'])}{d(2)}{w().upper()[:4]:A<4}{d(4)}", *r.choice([untold, lambda: told(other)])()),
+        lambda: (number, d(r.randint(7, 20)), *untold()),
+        lambda: (number, d(r.randint(7, 20)), *told(other, "before")),
+        lambda: (number, f"{r.randint(1900, 2099)}-{r.randint(10, 12)}-{r.randint(10, 28)}", *untold()),
+        lambda: (number, f"{r.randint(1900, 2099)}-{r.randint(1900, 2099)}", *r.choice([untold, lambda: told(other)])()),
+        lambda: (number, f"{d(1)}.{d(2)}.{d(3)}.{d(4)}", *told(other)),
+        lambda: (number, f"{d(3)}.{d(6)}", *r.choice([untold, lambda: told(other)])()),
+        lambda: (number, f"{d(1)}.{d(3)}.{d(3)}", *r.choice([untold, lambda: told(other)])()),
+        lambda: (number, " ".join(d(r.randint(2, 4)) for _ in range(r.randint(2, 6))), *untold()),
+        lambda: (number, "-".join(d(r.randint(2, 6)) for _ in range(r.randint(2, 5))), *told(other, "before")),
+        lambda: (number, f"{d(4)} {d(4)} {d(4)} {d(4)}", *untold()),
+        lambda: (number, r.choice([f"{d(3)} {d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(4)}-{d(4)}"]), *told(other, "before")),
+        lambda: (number, d(r.randint(21, 300)), *untold()),
+        lambda: (number, r.choice([f"{d(4)} {d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(4)} {d(4)} {d(4)}", d(8)]), f"{some(1, 5)}{d(r.randint(2, 6))} ", tail()),
+        lambda: (number, r.choice([f"{d(4)} {d(4)}", f"{d(2)} {d(3)} {d(4)}", f"{d(4)} {d(4)} {d(4)}", d(9)]), some(1, 6), f" {d(r.randint(2, 6))} " + some(0, 4)),
     ]
-    return [(*make(), label) for k in range(ROWS // 2) for label, makes in ((1.0, personal), (0.0, harmless)) for make in [makes[k % len(makes)]]]
+    return [(*make(), label) for k in range(rows // 2) for label, makes in ((1.0, personal), (0.0, harmless)) for make in [makes[k % len(makes)]]]
 
 
 @lru_cache(maxsize=1)
@@ -159,14 +240,16 @@ def trained() -> tuple[list, float]:
     from pyspark.ml.feature import VectorAssembler
 
     spark = SparkSession.getActiveSession()
-    rows = spark.createDataFrame(labelled_examples(), "kind int, m string, before string, label double").coalesce(1)
-    made = rows.select("label", *(c.alias(n) for c, n in zip(feature_columns(F.col("kind"), F.col("m"), F.col("before")), FEATURES, strict=True)), F.pmod(F.xxhash64("m", "before"), F.lit(3)).alias("part"))
-    made = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(made).cache()
-    half = made.where("part != 0")
-    model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.5, seed=1, labelCol="label").fit(half.select("features", "label"))
-    trees = [(w, parse_tree(t.toDebugString)) for w, t in zip(model.treeWeights, model.trees, strict=True)]
-    held_out = made.where("part = 0").select("label", margin(trees, {n: F.col(n) for n in FEATURES}).alias("x")).collect()  # a third of ROWS
+
+    def featured(rows: list) -> DataFrame:
+        made = spark.createDataFrame(rows, "kind int, m string, before string, after string, label double").coalesce(1)
+        return made.select("label", *(c.alias(n) for c, n in zip(feature_columns(F.col("kind"), F.col("m"), F.col("before"), F.col("after")), FEATURES, strict=True)))
+
+    made = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(featured(labelled_examples())).select("features", "label").cache()
+    model = GBTClassifier(maxIter=14, maxDepth=4, stepSize=0.4, seed=1, labelCol="label").fit(made)
     made.unpersist()
+    trees = [(w, parse_tree(t.toDebugString)) for w, t in zip(model.treeWeights, model.trees, strict=True)]
+    held_out = featured(labelled_examples(HELD_OUT, held_out=True)).select("label", margin(trees, {n: F.col(n) for n in FEATURES}).alias("x")).collect()  # HELD_OUT rows
     ordered = sorted(((r["x"], r["label"]) for r in held_out), reverse=True)
     best, right = float("inf"), 0.0
     for n, (x, label) in enumerate(ordered, 1):
@@ -218,18 +301,43 @@ def with_spans(df: DataFrame, text: str, base: str, spans: str) -> DataFrame:
         _bare(F.filter(_where(digit, matches(t, IP)), lambda x: F.regexp_like(x["m"], F.lit(_OCTETS))), 1),
         _bare(F.filter(_where(digit, matches(t, CARD)), card), 2),
         _bare(F.filter(_where(F.contains(t, F.lit("+")), matches(t, PHONE)), lambda x: F.length(digits_of(x["m"])).between(9, 15)), 3),
-    ))).withColumn(spans, F.col(base))
-    needed = (F.regexp_like(t, F.lit(r"[)\]]|\x20dot\x20")), F.regexp_like(t, F.lit(r"[A-Z]{2}[0-9]{2}")), digit)
-    for k, ((_, pattern), cheap) in enumerate(zip(GENERATORS, needed, strict=True)):
+    )))
+    # base spans become line feeds, at which candidates and their context end
+    left = fresh_name(df.columns, "left")
+    df = df.withColumn(left, F.when(F.regexp_like(t, F.lit(r"[0-9]|[)\]]|\x20dot\x20")), rebuilt(t, F.col(base), lambda x, before: F.repeat(F.lit("\n"), x["e"] - F.greatest(x["s"], before)))).otherwise(F.lit("")))
 
-        def personal(x: Column, k: int = k) -> Column:
-            free = ~F.exists(F.col(spans), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
-            start = F.greatest(x["s"] - BEFORE, F.lit(0))
-            named = F.struct(*(c.alias(n) for c, n in zip(feature_columns(F.lit(k), x["m"], F.substring(t, start + 1, x["s"] - start)), FEATURES, strict=True)))
-            return F.when(free, let(named, lambda f: margin(trees, {n: f[n] for n in FEATURES}) >= least)).otherwise(F.lit(False))
+    def proposed(k: int, pattern: str, needed: str) -> Column:
+        found = _where(F.regexp_like(F.col(left), F.lit(needed)), matches(F.col(left), pattern, AROUND), _AROUND)
+        return F.transform(F.filter(found, lambda x: F.length(digits_of(x["m"])) >= 7) if k == KINDS.index("number") else found, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after")))
 
-        df = df.withColumn(spans, F.sort_array(F.concat(F.col(spans), _bare(F.filter(_where(cheap, matches(t, pattern)), personal), 4 + k))))
-    return df
+    def judged(x: Column) -> Column:
+        named = F.struct(*(c.alias(n) for c, n in zip(feature_columns(x["k"], x["m"], x["before"], x["after"]), FEATURES, strict=True)))
+        return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), let(named, lambda f: margin(trees, {n: f[n] for n in FEATURES})).alias("x"))
+
+    def best(done: Column, x: Column) -> Column:
+        """The spans so far, of which the last one gives way to an overlapping one of a higher score."""
+        last = F.get(done, F.size(done) - 1)
+        return F.when(F.coalesce(x["s"] >= last["e"], F.lit(True)), F.concat(done, F.array(x))).when(x["x"] > last["x"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(x))).otherwise(done)
+
+    every = F.array_distinct(F.concat(*(proposed(KINDS.index(name), pattern, needed) for name, pattern, needed in GENERATORS)))
+    personal = F.sort_array(F.filter(F.transform(every, judged), lambda x: x["x"] >= least))
+    chosen = let(personal, lambda p: F.when(F.size(p) < 2, p).otherwise(F.aggregate(p, F.array().cast("array<struct<s:int,k:int,e:int,x:double>>"), best)))
+    added = F.when(F.col(left) == "", F.array().cast("array<struct<s:int,k:int,e:int>>")).otherwise(F.transform(chosen, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
+    return df.withColumn(spans, F.sort_array(F.concat(F.col(base), added))).drop(left)
+
+
+def rebuilt(text: Column, spans: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """text with put(span, where the spans before it end) in place of each of the sorted spans, which may overlap."""
+
+    def piece(z: Column) -> Column:
+        start = F.coalesce(F.substring(text, z["b"] + 1, z["x"]["s"] - z["b"]), F.lit(""))
+        return F.concat(F.when(z["x"]["s"] > z["b"], start).otherwise(F.lit("")), put(z["x"], z["b"]))
+
+    def of(x: Column) -> Column:
+        pieces = F.transform(F.arrays_zip(x.alias("x"), running_max(F.transform(x, lambda y: y["e"])).alias("b")), piece)
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.array_max(F.transform(x, lambda y: y["e"])) + 1, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(spans, of))
 
 
 def written(spans: Column) -> Column:
@@ -250,33 +358,10 @@ def find(docs: DataFrame) -> DataFrame:
     )
 
 
-def _joined(spans: Column) -> Column:
-    """Sorted spans with overlapping ones joined under the first one's kind."""
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        wider = F.struct(last["s"].alias("s"), last["k"].alias("k"), F.greatest(last["e"], x["e"]).alias("e"))
-        apart = F.coalesce(x["s"] >= last["e"], F.lit(True))
-        return F.when(apart, F.concat(done, F.array(x))).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wider)))
-
-    return F.aggregate(spans, F.array().cast("array<struct<s:int,k:int,e:int>>"), step)
-
-
-def _cut(text: Column, spans: Column) -> Column:
-    """text with each of the disjoint spans replaced by its kind in angle brackets."""
-
-    def piece(x: Column, i: Column) -> Column:
-        start = F.coalesce(F.get(spans, i - 1)["e"], F.lit(0))
-        return F.concat(F.substring(text, start + 1, x["s"] - start), F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))[x["k"]])
-
-    tail = F.substring(text, F.get(spans, F.size(spans) - 1)["e"] + 1, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(spans, piece), ""), tail)).otherwise(text)
-
-
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data in text replaced (and n_chars brought up to date); all rows and columns stay."""
-    text, base, spans, joined = (fresh_name(docs.columns, f"pii_{x}") for x in ("text", "base", "spans", "joined"))
+    text, base, spans = (fresh_name(docs.columns, f"pii_{x}") for x in ("text", "base", "spans"))
     out = with_spans(docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit(""))), text, base, spans)
-    out = out.withColumn(joined, _joined(F.col(spans)))
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), _cut(F.col(text), F.col(joined))))
+    named = lambda x, before: F.when(x["s"] >= before, F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))[x["k"]]).otherwise(F.lit(""))
+    out = out.withColumn("text", F.when(F.col("text").isNotNull(), rebuilt(F.col(text), F.col(spans), named)))
     return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(*quoted(docs.columns))
