@@ -46,7 +46,7 @@ def drops_white_space(tokenizer) -> bool:
 
     That holds if the normaliser works on single characters (or composes them, which ASCII white space stops), and the
     pre-tokenizer first takes matches of a pattern and removes all else, where no match holds white space; the pattern is tried on
-    every white-space character between any two printable ASCII ones.  A tokenizer whose parts aren't known to do so encodes whole texts.
+    every white-space character between any two of some letters, digits and all ASCII punctuation.  A tokenizer whose parts aren't known to do so encodes whole texts.
     """
     made = json.loads(tokenizer.to_str())
 
@@ -61,8 +61,8 @@ def drops_white_space(tokenizer) -> bool:
         return False
     if any(c.isspace() for t in tokenizer.get_added_tokens_decoder().values() for c in t.content):
         return False
-    printable = [chr(c) for c in range(33, 127)]
-    probe = "".join(f"{a}{w}{b}" for w in " \t\n\x0b\x0c\r" for a in printable for b in printable)
+    sides = [*"aZ7", *(chr(c) for c in range(33, 127) if not chr(c).isalnum())]
+    probe = "".join(f"{a}{w}{b}" for w in " \t\n\x0b\x0c\r" for a in sides for b in sides)
     return all(not any(c.isspace() for c in probe[s:e]) for _, (s, e) in tokenizer.pre_tokenizer.pre_tokenize_str(probe))
 
 
