@@ -507,7 +507,7 @@ def test_text_sinks(spark):
     assert first.startswith('{"cluster":1,') and '"id":1' in first
     rows = spark.createDataFrame([("a", k, float(k)) for k in range(1, 4)] + [("b", k, 0.0) for k in range(1, 6)], "method string, place int, score double")
     stats = {r["method"]: r for r in ranking.compare_stats(rows).collect()}
-    assert stats["a"]["n"] == stats["b"]["n"] == 3 and stats["b"]["stderr"] == pytest.approx(-math.sqrt(14 / 3)) and stats["a"]["stddev"] == 1
+    assert stats["a"]["n"] == stats["b"]["n"] == 3 and stats["b"]["stderr"] == pytest.approx(math.sqrt(14 / 2)) and stats["a"]["stddev"] == 1
     assert ranking.stats_table(ranking.compare_stats(rows)).first()["value"].startswith("a  ")
     edges = spark.createDataFrame([("f", 0, 1), ("f", 1, 2)], "fn string, src int, dst int")
     assert cfg.dotty(edges).first()["value"] == 'digraph {\n"blk 0" -> "blk 1";\n"blk 1" -> "blk 2";\n}'

@@ -6,7 +6,6 @@ positions.  In Python it is a pair of lists.
 
 from __future__ import annotations
 
-import itertools
 import re
 import struct
 
@@ -20,32 +19,54 @@ PATTERN = T.StructType([
     T.StructField("v", T.ArrayType(T.StringType())),
     T.StructField("e", T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("t", T.IntegerType()), T.StructField("label", T.StringType())]))),
 ])
-#: Orders of vertices that refinement can't tell apart which are tried for the canonical form.
-MAX_ORDERS = 50_000
+def _refined(colour: list, e: list[tuple[int, int, str]]) -> list[int]:
+    """Ranks of the vertices' colours, told apart by what their neighbours are until it settles."""
+    n = len(colour)
+    while True:
+        rank = {c: k for k, c in enumerate(sorted(set(colour)))}
+        now = [rank[c] for c in colour]
+        near: list[list] = [[] for _ in range(n)]
+        for s, t, label in e:
+            near[s].append((0, label, now[t]))
+            near[t].append((1, label, now[s]))
+        colour = [(now[k], tuple(sorted(near[k]))) for k in range(n)]
+        if len(set(colour)) == len(rank):
+            return now
 
 
 def canonical(v: list[str], e: list[tuple[int, int, str]]) -> Pattern:
-    """The same pattern with vertices in canonical order: by label, then by what their neighbours are, refined until it
-    settles; of vertices that are still alike, the order that gives the smallest edge list."""
-    colour = [(x,) for x in v]
-    for _ in range(len(v)):
-        rank = {c: k for k, c in enumerate(sorted(set(colour)))}
-        now = [rank[c] for c in colour]
-        new = [(now[k], tuple(sorted((0, l, now[t]) for s, t, l in e if s == k)), tuple(sorted((1, l, now[s]) for s, t, l in e if t == k))) for k in range(len(v))]
-        if len(set(new)) == len(set(colour)):
-            break
-        colour = new
-    rank = {c: k for k, c in enumerate(sorted(set(colour)))}
-    cells = [[k for k in range(len(v)) if rank[colour[k]] == r] for r in range(len(rank))]
+    """The same pattern with vertices in canonical order: by label, then by what their neighbours are.  Where vertices are still alike,
+    each of the first alike ones is set apart in turn and the rest refined anew; the order with the smallest edge list wins.
+
+    The search is whole.  Of vertices that can be swapped without changing the pattern only one is set apart, so many alike ones cost no more.
+    """
     best: Pattern | None = None
-    orders = itertools.product(*(itertools.permutations(c) for c in cells))
-    for order in itertools.islice(orders, MAX_ORDERS):
-        flat = [k for c in order for k in c]
-        place = {k: p for p, k in enumerate(flat)}
-        edges = sorted((place[s], place[t], l) for s, t, l in e)
-        if best is None or edges < best[1]:
-            best = ([v[k] for k in flat], edges)
-    return best or ([], [])
+    edges = sorted(e)
+
+    def swappable(a: int, b: int) -> bool:
+        to = {a: b, b: a}
+        return sorted((to.get(s, s), to.get(t, t), label) for s, t, label in e) == edges
+
+    def search(rank: list[int]) -> None:
+        nonlocal best
+        cells: dict[int, list[int]] = {}
+        for k, r in enumerate(rank):
+            cells.setdefault(r, []).append(k)
+        alike = next((cells[r] for r in sorted(cells) if len(cells[r]) > 1), None)
+        if alike is None:
+            order = sorted(range(len(v)), key=rank.__getitem__)
+            place = {k: p for p, k in enumerate(order)}
+            found = ([v[k] for k in order], sorted((place[s], place[t], label) for s, t, label in e))
+            best = found if best is None or found[1] < best[1] else best
+            return
+        tried: list[int] = []
+        for k in alike:
+            if not any(swappable(k, other) for other in tried):
+                tried.append(k)
+                search(_refined([(r, j != k) for j, r in enumerate(rank)], e))
+
+    search(_refined([(x,) for x in v], e))
+    return best
 
 
 def key(v: list[str], e: list[tuple[int, int, str]]) -> bytes:

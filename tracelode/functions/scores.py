@@ -92,8 +92,10 @@ ABBREVIATIONS = {
 }
 
 
-def score(name: str) -> Score:
-    """A score by its name or short name."""
+def score(name: str | Score) -> Score:
+    """A score by its name or short name; a function of the four columns is a score itself."""
+    if callable(name):
+        return name
     return SCORES[name] if name in SCORES else SCORES[ABBREVIATIONS[name]]
 
 
@@ -102,7 +104,7 @@ def priority(s: Column) -> Column:
     return (s * 100000).cast("bigint")
 
 
-def upper_bound(name: str, pf: Column, po: Column, f: Column, o: Column, least_f: Column, least_o: Column) -> Column:
+def upper_bound(name: str | Score, pf: Column, po: Column, f: Column, o: Column, least_f: Column, least_o: Column) -> Column:
     """The most that an extension of a pattern may score: of the least failing support with this o, or of this f with
     the least o.  A NaN loses to a number."""
     a, b = score(name)(least_f, o, pf, po), score(name)(f, least_o, pf, po)

@@ -97,9 +97,10 @@ def control_chain(labels: DataFrame, jumps: DataFrame, restart: float = 0.01) ->
     return away.unionByName(back).unionByName(along)
 
 
-def pattern_chain(patterns: DataFrame, pattern_labels: DataFrame) -> DataFrame:
+def pattern_chain(patterns: DataFrame, pattern_labels: DataFrame, jumps: DataFrame | None = None, jump: float = 0.5) -> DataFrame:
     """src, dst, p of the chain of ranked patterns (pattern, score): groups as in ranked_chain, a pattern being reached from
-    its group, its labels from the pattern; a label goes back to each pattern that holds it alike.
+    its group, its labels from the pattern; a label goes back to each pattern that holds it alike.  With jumps (src, dst), it does so
+    with 1 - jump and jumps to its known neighbours with an equal share of jump.
 
     pattern_labels: pattern, label.
     """
@@ -107,7 +108,14 @@ def pattern_chain(patterns: DataFrame, pattern_labels: DataFrame) -> DataFrame:
     held = pattern_labels.select("pattern", "label").distinct()
     down = held.withColumn("p", F.lit(0.5) / F.count("*").over(Window.partitionBy("pattern"))).select(F.col("pattern").alias("src"), F.col("label").alias("dst"), "p")
     up = held.withColumn("p", F.lit(1.0) / F.count("*").over(Window.partitionBy("label"))).select(F.col("label").alias("src"), F.col("pattern").alias("dst"), "p")
-    return top.unionByName(down).unionByName(up)
+    if jumps is None:
+        return top.unionByName(down).unionByName(up)
+    one = held.select("label").distinct()
+    known = jumps.select("src", "dst").distinct().join(one.withColumnRenamed("label", "src"), "src", "left_semi").join(one.withColumnRenamed("label", "dst"), "dst", "left_semi")
+    shares = known.groupBy("src").agg(F.count("*").alias("k"))
+    along = known.join(shares, "src").select("src", "dst", (F.lit(jump) / F.col("k")).alias("p"))
+    up = up.join(shares, "src", "left").select("src", "dst", F.when(F.col("k").isNull(), F.col("p")).otherwise(F.col("p") * (1 - jump)).alias("p"))
+    return top.unionByName(down).unionByName(up).unionByName(along)
 
 
 def renormalise(transitions: DataFrame) -> DataFrame:
@@ -225,27 +233,32 @@ def sampled_hitting_times(transitions: DataFrame, start: str = "g0", n_walks: in
     return walked.groupBy("state").agg(F.avg("time").alias("hitting_time"))
 
 
-def any_hitting_times(transitions: DataFrame, start: str = "g0", seed: int = 0) -> DataFrame:
-    """state, hitting_time: exactly where the chain is small enough for that, else from walks."""
+def any_hitting_times(transitions: DataFrame, start: str = "g0", seed: int = 0, exact: bool | None = None, limit: int | None = None) -> DataFrame:
+    """state, hitting_time: exactly where the chain has at most ``limit`` (EXACT_STATES) states (or ``exact`` says so), else from walks."""
     chain = staged(transitions, "chain")
-    states = chain.select(F.col("src").alias("s")).union(chain.select("dst")).distinct()
-    return hitting_times(chain, start) if states.limit(EXACT_STATES + 1).count() <= EXACT_STATES else sampled_hitting_times(chain, start, seed=seed)
+    if exact is None:
+        limit = EXACT_STATES if limit is None else limit
+        states = chain.select(F.col("src").alias("s")).union(chain.select("dst")).distinct()
+        exact = states.limit(limit + 1).count() <= limit
+    return hitting_times(chain, start) if exact else sampled_hitting_times(chain, start, seed=seed)
 
 
-def hitting_rank(times: DataFrame, faults: DataFrame) -> DataFrame:
+def hitting_rank(times: DataFrame, faults: DataFrame, locations: DataFrame | None = None) -> DataFrame:
     """One row, rank: states in order of their rounded hitting time, ties by mid-rank; the smallest one of a faulty label.
-    times: state, hitting_time; faults: label.  Groups are no locations and don't count."""
+    times: state, hitting_time; faults: label.  Groups are no locations and don't count; nor do other states than locations (label), if given."""
+    if locations is not None:
+        times = times.join(locations.select(F.col("label").alias("state")), "state", "left_semi")
     labels = times.where(~F.col("state").rlike("^g[0-9]+$")).select(F.col("state").alias("label"), F.when(F.col("hitting_time") <= 0, F.lit(float("inf"))).otherwise(F.round("hitting_time")).alias("t"))
     ranked = with_groups(labels.select("label", (-F.col("t")).alias("score")))
     return ranked.join(faults.select("label").distinct(), "label", "left_semi").agg(F.min("mid_rank").alias("rank"))
 
 
-def reachable(edges: DataFrame, start: str, max_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, start: str) -> DataFrame:
     """label: what can be reached from start, itself included; breadth first, a join a round, staged each time."""
     e = staged(edges.select("src", "dst").distinct(), "edges")
     seen = e.sparkSession.createDataFrame([(start,)], "label string")
     frontier = seen
-    for _ in range(max_rounds):
+    while True:
         new = frontier.join(e, frontier["label"] == e["src"]).select(F.col("dst").alias("label")).distinct().join(seen, "label", "left_anti")
         new = staged(new, "frontier")
         if new.isEmpty():

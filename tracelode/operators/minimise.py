@@ -121,14 +121,15 @@ def without_range(text: Column, i: Column, j: Column) -> Column:
 
 
 def line_ranges_native(inputs: DataFrame) -> DataFrame:
-    """id, i, j of the lines, as line_ranges but in characters and in DataFrame functions."""
-    lines = inputs.select("id", "text", F.split("text", "\n").alias("lines")).where(F.length("text") > 0)
+    """id, i, j of the lines, as line_ranges but in DataFrame functions."""
+    lines = inputs.select("id", "text", F.split("text", "\n").alias("lines")).where(F.octet_length("text") > 0)
+    size = F.octet_length("text")
 
     def step(acc: Column, x: Column) -> Column:
-        return F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("i"), F.least(acc["at"] + F.length(x), F.length("text") - 1).alias("j")))).alias("out"))
+        return F.struct((acc["at"] + F.octet_length(x) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("i"), F.least(acc["at"] + F.octet_length(x), size - 1).alias("j")))).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<i:int,j:int>>").alias("out"))
-    found = lines.select("id", F.length("text").alias("n"), F.contains("text", F.lit("\n")).alias("fed"), F.explode(F.aggregate("lines", start, step, lambda a: a["out"])).alias("r"))
+    found = lines.select("id", size.alias("n"), F.contains("text", F.lit("\n")).alias("fed"), F.explode(F.aggregate("lines", start, step, lambda a: a["out"])).alias("r"))
     # a range behind a line feed at the very start takes that in
     return found.where("r.i <= r.j AND (fed OR n > 1)").select("id", F.when(F.col("r.i") == 1, 0).otherwise(F.col("r.i")).alias("i"), "r.j")
 
@@ -140,19 +141,26 @@ def minimise(spark, text: str, still_fails: Callable[[str], bool], phases: tuple
     drawing order) that keeps the property; a phase ends when none does.
     """
     for kind, sample in phases:
-        for step in range(10_000):
+        step, kept = 0, True
+        while kept:
             found = GENERATORS[kind](text.encode())
             if not found:
                 break
-            rows = spark.createDataFrame([(k, i, j, text) for k, (i, j) in enumerate(found)], "k int, i int, j int, text string")
-            drawn = rows.orderBy(F.xxhash64(F.lit(seed + step), "k")).limit(sample).select("k", F.xxhash64(F.lit(seed + step), "k").alias("o"), without_range(F.col("text"), F.col("i"), F.col("j")).alias("text"))
+            # draw first: the text travels once, not once a range
+            order = F.xxhash64(F.lit(seed + step), "id")
+            drawn = [r["id"] for r in spark.range(len(found)).orderBy(order).limit(sample).collect()]
+            shared = spark.sparkContext.broadcast(text.encode())
 
-            def tried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def tried(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
                 for b in batches:
-                    yield b[[bool(still_fails(t)) for t in b["text"]]]
-
-            kept = drawn.mapInPandas(tried, "k int, o long, text string").orderBy("o").limit(1).collect()
-            if not kept:
-                break
-            text = kept[0]["text"]
+                    cut = (shared.value[:i] + shared.value[j + 1 :] for i, j in zip(b["i"], b["j"], strict=True))
+                    yield b[[bool(still_fails(t.decode(errors="replace"))) for t in cut]]
+
+            asked = spark.createDataFrame([(o, *found[k]) for o, k in enumerate(drawn)], "o int, i int, j int")
+            kept = asked.mapInPandas(tried, "o int, i int, j int").orderBy("o").limit(1).collect()
+            if kept:
+                data = text.encode()
+                text = (data[: kept[0]["i"]] + data[kept[0]["j"] + 1 :]).decode(errors="replace")
+            shared.destroy()
+            step += 1
     return text

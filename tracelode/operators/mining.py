@@ -13,14 +13,16 @@ number a level) reaches the driver.  Each level is written to the shared folder.
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import ieee_div, score, upper_bound
 from ..staging import staged
-from .ranking import order_key
+from .ranking import order_key, with_place
 from .support import graph_totals, priors
 
 SEP = " -> "
@@ -79,8 +81,9 @@ def _part_counts(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return v.unionByName(e).groupBy("part").agg(F.count("*").alias("n"))
 
 
-def with_pattern_score(patterns: DataFrame, parts: DataFrame, totals: DataFrame, name: str, max_edges: int, min_fails: int, true_prior: bool = False) -> DataFrame:
-    """patterns with score, and bound, the most that a pattern grown from it may score."""
+def with_pattern_score(patterns: DataFrame, parts: DataFrame, totals: DataFrame, name: str, max_edges: int, min_fails: int, true_prior: bool = False, keep_parts: bool = False) -> DataFrame:
+    """patterns with score, and bound, the most that a pattern grown from it may score; parts_ok, the passing graphs of its parts added up, if
+    asked for."""
     total = (F.col("fail_total") + F.col("ok_total")).cast("double")
     exploded = patterns.select("pattern", F.explode(F.concat("labels", "pattern")).alias("part"))
     okay = exploded.join(parts, "part", "left").groupBy("pattern").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("parts_ok"))
@@ -89,7 +92,7 @@ def with_pattern_score(patterns: DataFrame, parts: DataFrame, totals: DataFrame,
     least_o = ieee_div(F.col("parts_ok"), total) / (2 * max_edges + 1)
     pf, po = priors(true_prior)
     joined = patterns.join(okay, "pattern").join(F.broadcast(totals))
-    return joined.withColumn("score", score(name)(f, o, pf, po)).withColumn("bound", upper_bound(name, pf, po, f, o, ieee_div(F.lit(float(min_fails)), total), least_o)).drop("fail_total", "ok_total", "parts_ok")
+    return joined.withColumn("score", score(name)(f, o, pf, po)).withColumn("bound", upper_bound(name, pf, po, f, o, ieee_div(F.lit(float(min_fails)), total), least_o)).drop("fail_total", "ok_total", *([] if keep_parts else ["parts_ok"]))
 
 
 def _once(edges: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -171,35 +174,115 @@ def leap(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_e
     return found.orderBy(order_key(F.col("score")), _key(F.col("pattern"))).limit(k)
 
 
-def walks(edges: DataFrame, vertices: DataFrame, n_walks: int = 10, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, seed: int = 0, weighted: bool = True) -> DataFrame:
-    """Random walks up the pattern lattice: walk, pattern, score of where each walk ends.
-
-    A walk starts at a one-edge pattern and goes on to an extension that scores more, uniformly or in proportion to
-    the score, until there is none.  The choice is an argmax of seeded exponential keys, so all walks move together
-    as rows of one table and a walk can be repeated.
-    """
+def halving_leap(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, k: int = 10, sigma: float = 0.01, settled: float = 0.01) -> DataFrame:
+    """Leaps at a support that is halved, from all failing graphs on, until the sum of the k best scores moves by no more than
+    ``settled`` or the support is down at min_fails; then a pass without leaps at min_fails, which can't end below what was found."""
     edges, vertices = _once(edges, vertices)
-    totals = graph_totals(vertices)
-    parts = staged(_part_counts(edges, vertices), "parts")
+    fails = graph_totals(vertices).first()["fail_total"]
+    share, before, now = 1.0, -math.inf, math.inf
+    while True:
+        support = max(1, min_fails, int(share * fails))
+        found = leap(edges, vertices, name, max_edges, support, k, sigma)
+        before, now = now, found.agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("s")).first()["s"]
+        if support <= min_fails or abs(now - before) <= settled:
+            break
+        share /= 2
+    return mine(edges, vertices, name, max_edges, min_fails, k=k)
+
+
+class _Climb:
+    """Random walks up the pattern lattice, all as rows of one table: a walk goes on to a better extension, uniformly or
+    in proportion to the score, until there is none.  The choice is an argmax of seeded exponential keys, so it can be repeated."""
 
-    def chosen(options: DataFrame, step: int) -> DataFrame:
+    def __init__(self, edges: DataFrame, vertices: DataFrame, name: str, max_edges: int, min_fails: int, seed: int, weighted: bool):
+        self.edges, self.vertices = _once(edges, vertices)
+        self.totals = graph_totals(self.vertices)
+        self.parts = staged(_part_counts(self.edges, self.vertices), "parts")
+        self.name, self.max_edges, self.min_fails, self.seed, self.weighted = name, max_edges, min_fails, seed, weighted
+
+    def scored(self, level: DataFrame) -> DataFrame:
+        return staged(with_pattern_score(pattern_support(level, self.min_fails), self.parts, self.totals, self.name, self.max_edges, self.min_fails, keep_parts=True), "patterns")
+
+    @staticmethod
+    def better(than: str) -> Column:
+        """A pattern scores more, or the same while no passing graph holds any part of it."""
+        return (F.col("score") > F.col(than)) | ((F.col("score") == F.col(than)) & (F.col("parts_ok") == 0))
+
+    def chosen(self, options: DataFrame, step: int) -> DataFrame:
+        """walk, pattern, labels, score: one option for each walk."""
         least = options.agg(F.min("score").alias("least"))
-        weight = F.col("score") - F.col("least") + 1e-8 if weighted else F.lit(1.0)
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "walk", "pattern"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        weight = F.col("score") - F.col("least") + 1e-8 if self.weighted else F.lit(1.0)
+        u = (F.pmod(F.xxhash64(F.lit(self.seed), F.lit(step), "walk", "pattern"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
         key = -F.log(u) / weight
-        return options.join(F.broadcast(least)).groupBy("walk").agg(F.min_by(F.struct("pattern", "score"), F.struct(key, _key(F.col("pattern")))).alias("at")).select("walk", "at.*")
+        return options.join(F.broadcast(least)).groupBy("walk").agg(F.min_by(F.struct("pattern", "labels", "score"), F.struct(key, _key(F.col("pattern")))).alias("at")).select("walk", "at.*")
+
+    def run(self, first: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """first turns the scored one-edge patterns into the options (walk, pattern, labels, score) of every walk."""
+        level = staged(one_edge(self.edges), "embeddings")
+        at = staged(self.chosen(first(self.scored(level)), 0), "walks")
+        for step in range(1, self.max_edges):
+            level = staged(extend(level.join(at.select("pattern").distinct(), "pattern", "left_semi"), self.edges), "embeddings")
+            grown = self.scored(level).select("pattern", "labels", "score", "parts_ok", F.explode("pattern").alias("edge")).withColumn("parent", F.array_remove(F.col("pattern"), F.col("edge")))
+            options = at.select("walk", F.col("pattern").alias("parent"), F.col("score").alias("parent_score")).join(grown, "parent").where(self.better("parent_score")).select("walk", "pattern", "labels", "score")
+            moved = self.chosen(options, step)
+            at = staged(moved.unionByName(at.join(moved.select("walk"), "walk", "left_anti")), "walks")
+        return at
 
-    level = staged(one_edge(edges), "embeddings")
-    scored = staged(with_pattern_score(pattern_support(level, min_fails), parts, totals, name, max_edges, min_fails), "patterns")
+
+def walks(edges: DataFrame, vertices: DataFrame, n_walks: int = 10, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, seed: int = 0, weighted: bool = True) -> DataFrame:
+    """walk, pattern, score of where each walk ends.  A walk starts at a one-edge pattern."""
     # each pattern offers itself to every walk, and the offers are aggregated where they arise
-    offers = scored.select("pattern", "score", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_walks - 1).cast("long"))).alias("walk"))
-    at = staged(chosen(offers, 0), "walks")
-    for step in range(1, max_edges):
-        level = staged(extend(level.join(at.select("pattern").distinct(), "pattern", "left_semi"), edges), "embeddings")
-        scored = staged(with_pattern_score(pattern_support(level, min_fails), parts, totals, name, max_edges, min_fails), "patterns")
-        grown = scored.select("pattern", "score", F.explode("pattern").alias("edge")).select("pattern", "score", F.array_remove(F.col("pattern"), F.col("edge")).alias("parent"))
-        options = at.withColumnsRenamed({"pattern": "parent", "score": "parent_score"}).join(grown, "parent").where("score > parent_score").select("walk", "pattern", "score")
-        moved = chosen(options, step)
-        stayed = at.join(moved.select("walk"), "walk", "left_anti")
-        at = staged(moved.unionByName(stayed), "walks")
-    return at
+    offers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_walks - 1).cast("long"))).alias("walk")
+    found = _Climb(edges, vertices, name, max_edges, min_fails, seed, weighted).run(lambda one: one.select("pattern", "labels", "score", offers))
+    return found.select("walk", "pattern", "score")
+
+
+def top_labels(ranked: DataFrame, share: float = 0.0625, least: int = 10, min_groups: int = 2, apart: float = 1e-4) -> DataFrame:
+    """label, score, place: the best labels, a share of all but at least so many, and on until min_groups times the score has
+    dropped by more than ``apart`` from one label to the next.  ranked: label, score."""
+    placed = staged(with_place(ranked.select("label", "score"), "label"), "placed")
+    total = placed.agg(F.count("*").alias("n")).select(F.least(F.col("n"), F.greatest(F.lit(least), F.floor(F.lit(share) * F.col("n")))).alias("total"))
+    # a drop lies between two distinct scores, so drops are counted on one row a score
+    groups = placed.groupBy("score").agg(F.min("place").alias("first"))
+    w = Window.orderBy("first")
+    drop = F.coalesce((F.lag("score").over(w) - F.col("score") > apart).cast("int"), F.lit(0))
+    dropped = groups.withColumn("drop", drop).select("score", "first", F.sum("drop").over(w).alias("drops"), "drop")
+    joined = placed.join(dropped, "score").join(F.broadcast(total))
+    # the drop to a label counts from the label after it on
+    before = F.col("drops") - F.when(F.col("place") == F.col("first"), F.col("drop")).otherwise(F.lit(0))
+    return joined.where((F.col("place") <= F.col("total")) | (before < min_groups)).select("label", "score", "place")
+
+
+def label_walks(edges: DataFrame, vertices: DataFrame, ranked: DataFrame, per_label: int = 2, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, min_edges: int = 1, share: float = 0.0625, least: int = 10, min_groups: int = 2, skip_seen: bool = False, seed: int = 0, weighted: bool = True) -> DataFrame:
+    """pattern, labels, score, label, place: the different patterns that walks from the best labels end at, each with the first label
+    that led there.  With skip_seen, a label in a pattern of a label before it that isn't skipped itself has no walks.
+
+    ranked: label, score, by the same score as the patterns'.
+    """
+    starts = staged(top_labels(ranked, share, least, min_groups), "labels")
+    numbered = starts.select("label", F.col("score").alias("label_score"), F.explode(F.sequence(F.lit(0), F.lit(per_label - 1))).alias("k")).withColumn("walk", F.concat_ws(" #", "label", F.col("k").cast("string")))
+
+    def first(one: DataFrame) -> DataFrame:
+        held = one.select("pattern", "labels", "score", "parts_ok", F.explode("labels").alias("label"))
+        return numbered.join(held, "label").where(_Climb.better("label_score")).select("walk", "pattern", "labels", "score")
+
+    climbed = _Climb(edges, vertices, name, max_edges, min_fails, seed, weighted).run(first)
+    ends = staged(climbed.where(F.size("pattern") >= min_edges).join(numbered.select("walk", "label"), "walk").join(starts.select("label", "place"), "label"), "ends")
+    if skip_seen:
+        ends = ends.join(_skipped(ends), "label", "left_anti")
+    best = ends.groupBy("pattern", "labels", "score").agg(F.min(F.struct("place", "label")).alias("at"))
+    return best.select("pattern", "labels", "score", "at.label", "at.place")
+
+
+def _skipped(ends: DataFrame) -> DataFrame:
+    """label of those that a pattern of an earlier, kept label holds.  A round settles every label whose earlier coverers are settled."""
+    covers = staged(ends.select("place", F.explode("labels").alias("covered")).distinct().join(ends.select(F.col("label").alias("covered"), F.col("place").alias("at")).distinct(), "covered").where("place < at").select("place", "at").distinct(), "covers")
+    open_ = staged(ends.select("label", "place").distinct(), "open")
+    skipped: DataFrame | None = None
+    while not open_.isEmpty():
+        by_open = covers.join(open_.select("place"), "place", "left_semi").select(F.col("at").alias("place")).distinct()
+        kept = staged(open_.join(by_open, "place", "left_anti"), "kept")
+        gone = staged(open_.join(covers.join(kept.select("place"), "place", "left_semi").select(F.col("at").alias("place")).distinct(), "place", "left_semi"), "gone")
+        skipped = gone if skipped is None else skipped.unionByName(gone)
+        open_ = staged(open_.join(kept.unionByName(gone).select("place"), "place", "left_anti"), "open")
+    return (ends.limit(0) if skipped is None else skipped).select("label").distinct()

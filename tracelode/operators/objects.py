@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..staging import partitions, staged
+
 _TWO64 = "18446744073709551616"
 
 
@@ -86,38 +88,54 @@ def collate(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("func_name").agg(listed.alias("rows")).select("func_name", flat("inputs").alias("inputs"), flat("outputs").alias("outputs"))
 
 
-def nearest_covariate(individuals: DataFrame, width: float | None = None) -> DataFrame:
+def nearest_covariate(individuals: DataFrame, width: float | None = None, own: bool = False) -> DataFrame:
     """func_name, id, bin, other_bin, other_id, distance: for each individual, the one of each other treatment bin of its
-    function whose covariate is nearest, of equally near ones the smallest id.
+    function whose covariate is nearest, of equally near ones the smallest id; with ``own``, of its own bin as well.
 
     individuals: func_name, id, bin, covariate.  Instead of all pairs, each bin's covariates are merged in one order with
-    the seekers, and the nearest one before and after is carried along by a window.
+    the seekers, and the nearest one before and after is carried along.  Rows are dealt by ranges of function, bin and covariate, so that a
+    hot function or bin is spread; what reaches over a border are each range's first and last offer, a row a range and bin.
     """
+    keys = ["func_name", "other_bin"]
     bins = individuals.select("func_name", F.col("bin").alias("other_bin")).distinct()
-    seekers = individuals.join(bins, "func_name").where("bin != other_bin").select("func_name", "other_bin", "covariate", "id", "bin", F.lit(None).cast("struct<c:double,i:bigint>").alias("offer"))
+    pairs = individuals.join(bins, "func_name")
+    seekers = (pairs if own else pairs.where("bin != other_bin")).select(*keys, "covariate", "id", "bin", F.lit(None).cast("struct<c:double,i:bigint>").alias("offer"))
     offers = individuals.groupBy("func_name", F.col("bin").alias("other_bin"), "covariate").agg(F.min("id").alias("i")).select(
-        "func_name", "other_bin", "covariate", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("bin"), F.struct(F.col("covariate").cast("double").alias("c"), F.col("i").cast("long").alias("i")).alias("offer")
+        *keys, "covariate", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("bin"), F.struct(F.col("covariate").cast("double").alias("c"), F.col("i").cast("long").alias("i")).alias("offer")
     )
-    w = Window.partitionBy("func_name", "other_bin").orderBy("covariate", F.col("offer").isNull())
-    back = Window.partitionBy("func_name", "other_bin").orderBy(F.desc("covariate"), F.col("offer").isNull())
     both = seekers.unionByName(offers)
-    below = F.last("offer", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.last("offer", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    met = both.select("*", below.alias("below"), above.alias("above")).where("id IS NOT NULL")
+    ranged = staged(both.repartitionByRange(partitions(both.sparkSession), *keys, "covariate").withColumn("part", F.spark_partition_id()), "ranged")
+    ends = ranged.groupBy("part", *keys).agg(F.min("offer").alias("first"), F.max("offer").alias("last"))
+    along = Window.partitionBy(*keys).orderBy("part")
+    borders = ends.select(
+        "part", *keys, F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("behind")
+    )
+    inside = Window.partitionBy("part", *keys)
+    below = F.last("offer", ignorenulls=True).over(inside.orderBy("covariate", F.col("offer").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    above = F.last("offer", ignorenulls=True).over(inside.orderBy(F.desc("covariate"), F.col("offer").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    met = ranged.select("*", below.alias("below"), above.alias("above")).where("id IS NOT NULL").join(borders, ["part", *keys])
     far = lambda o: F.when(o.isNotNull(), F.struct(F.abs(F.col("covariate") - o["c"]).alias("distance"), o["i"].alias("other_id")))
-    best = F.least(far(F.col("below")), far(F.col("above")))
+    best = F.least(far(F.coalesce("below", "before")), far(F.coalesce("above", "behind")))
     out = met.select("func_name", "id", "bin", "other_bin", best.alias("m")).select("func_name", "id", "bin", "other_bin", "m.other_id", "m.distance")
     return out if width is None else out.where(F.col("distance") < width)
 
 
 def pair_effects(individuals: DataFrame, width: float | None = None) -> DataFrame:
-    """func_name, bin, other_bin, effect: mean difference of the outcomes of matched individuals.  individuals as above,
-    with outcome."""
-    matched = nearest_covariate(individuals, width)
-    other = individuals.select("func_name", F.col("id").alias("other_id"), F.col("outcome").alias("other_outcome"))
-    mine = individuals.select("func_name", "id", "outcome")
-    both = matched.join(mine, ["func_name", "id"]).join(other, ["func_name", "other_id"])
-    return both.groupBy("func_name", "bin", "other_bin").agg(F.avg(F.col("outcome") - F.col("other_outcome")).alias("effect"))
+    """func_name, bin, other_bin, effect: over all individuals of the function, each matched in both bins, the mean difference of the
+    matches' outcomes.  individuals as above, with outcome.
+
+    Every individual is matched in every bin, or those matched in both (width) count: the sum of a pair's differences is the difference of
+    two sums, so individuals are not paired with bins twice over unless a width leaves some unmatched.
+    """
+    matched = nearest_covariate(individuals, width, own=True)
+    other = individuals.select("func_name", F.col("id").alias("other_id"), F.col("outcome").alias("y"))
+    found = staged(matched.join(other, ["func_name", "other_id"]).select("func_name", "id", "other_bin", "y"), "matched")
+    if width is None:
+        means = found.groupBy("func_name", "other_bin").agg(F.avg("y").alias("y"))
+        one, two = means.withColumnsRenamed({"other_bin": "bin", "y": "y1"}), means.withColumnRenamed("y", "y2")
+        return one.join(two, "func_name").where("bin != other_bin").select("func_name", "bin", "other_bin", (F.col("y1") - F.col("y2")).alias("effect"))
+    one, two = found.withColumnsRenamed({"other_bin": "bin", "y": "y1"}), found.withColumnRenamed("y", "y2")
+    return one.join(two, ["func_name", "id"]).where("bin != other_bin").groupBy("func_name", "bin", "other_bin").agg(F.avg(F.col("y1") - F.col("y2")).alias("effect"))
 
 
 def suspiciousness(individuals: DataFrame, width: float | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import partitions, staged
+
 
 def order_key(score: Column) -> Column:
     """Ascending order of this is the ranking's order."""
@@ -29,6 +31,24 @@ def with_groups(ranked: DataFrame, score: str = "score") -> DataFrame:
     return keyed.join(tie_groups(ranked, score), "order_key").drop("order_key").withColumn("mid_rank", F.col("before") + F.col("size") / 2)
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """df with each row's place (from 1) in the given order.  Rows are dealt by ranges and sorted inside of them; only the number of
+    rows in each range (a row a partition) is added up in one place."""
+    ranged = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    rows = staged(ranged.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__row", 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = F.broadcast(sizes.select("__part", before.alias("__before")))
+    inside = F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("__part", part).join(bases, "__part").withColumn(name, (F.col("__before") + inside + 1).cast("long")).drop("__part", "__row", "__before")
+
+
+def with_place(ranked: DataFrame, *ties: str, score: str = "score", name: str = "place") -> DataFrame:
+    """ranked with place: 1 for the best score, ties broken by the given columns."""
+    return numbered(ranked, order_key(F.col(score)), *ties, name=name)
+
+
 def top_k(ranked: DataFrame, k: int, *ties: str, score: str = "score") -> DataFrame:
     """The k best rows, ties broken by the given columns."""
     return ranked.orderBy(order_key(F.col(score)), *ties).limit(k)
@@ -76,14 +96,15 @@ def stats_table(stats: DataFrame) -> DataFrame:
 
 def compare_stats(outputs: DataFrame) -> DataFrame:
     """outputs: method, place, score.  All methods are cut to the shortest; then by method: n, sum, mean, stddev (of the
-    sample from three values on), and the signed root of the mean squared difference from the first method."""
+    sample from three values on), and the root of the mean squared difference from the first method (over n - 1 from three values
+    on), negative where the first method's sum is the smaller one."""
     shortest = outputs.groupBy("method").agg(F.count("*").alias("n")).agg(F.min("n").alias("shortest"))
     cut = outputs.join(F.broadcast(shortest)).where("place <= shortest").drop("shortest")
     first = outputs.agg(F.min("method").alias("first_method"))
     base = cut.join(F.broadcast(first)).where("method = first_method").select("place", F.col("score").alias("base"))
     both = cut.join(base, "place").withColumn("d", F.col("score") - F.col("base"))
-    mean = F.sum("d") / F.count("*")
+    squares = F.sum(F.col("d") * F.col("d")) / F.when(F.count("*") > 2, F.count("*") - 1).otherwise(F.count("*"))
     deviation = F.when(F.count("*") > 2, F.stddev_samp("score")).otherwise(F.stddev_pop("score"))
     return both.groupBy("method").agg(
-        F.count("*").alias("n"), F.sum("score").alias("sum"), F.avg("score").alias("mean"), deviation.alias("stddev"), (F.sqrt(F.sum(F.col("d") * F.col("d")) / F.count("*")) * F.when(mean < 0, -1).otherwise(1)).alias("stderr")
+        F.count("*").alias("n"), F.sum("score").alias("sum"), F.avg("score").alias("mean"), deviation.alias("stddev"), (F.sqrt(squares) * F.when(F.sum("d") > 0, -1).otherwise(1)).alias("stderr")
     )

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import SCORES
-from ..operators import cfg, clustering, markov, minimise, mining, objects, points, ranking, support
-from ..sources import simple
-from ..staging import new_path
-from ..streaming.flows import flow_edges
+from ..operators import cfg, clustering, embeddings, localisation, markov, minimise, mining, objects, points, ranking, support
+from ..sources import dot, simple
+from ..staging import new_path, staged
+from ..streaming import flows
 from . import traces
 from .traces import ENTRY, SQL, table
 
@@ -104,8 +104,7 @@ _SL = f"{SQL}, {_LS}, {_FO}, sl as (select label, fn_name, bbid, round({_SCORE_S
 
 @query(f"{_SL} select label, fn_name, bbid, score, row_number() over (order by score desc, label) as place from sl")
 def rank_labels(spark: SparkSession, d: str) -> DataFrame:
-    w = F.row_number().over(ranking.Window.orderBy(ranking.order_key(F.col("score")), "label"))
-    return scored_labels(spark, d).withColumn("place", w.cast("long"))
+    return ranking.with_place(scored_labels(spark, d), "label")
 
 
 _GR = "gr as (select *, dense_rank() over (order by score desc) score_group, rank() over (order by score desc) - 1 before, count(*) over (partition by score) size from sl)"
@@ -166,8 +165,8 @@ def edge_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{SQL} select user_id exec_id, src, dst, cast(sum(traversed) as bigint) traversed, array_to_string(list_sort(list_distinct(list(cast(traversed as varchar)))), ',') positions, arg_max(cast(traversed as varchar), wk) last_position from fl group by 1, 2, 3")
 def profile_merge(spark: SparkSession, d: str) -> DataFrame:
-    flows = traces.edges(spark, d).select(F.col("graph_id.user_id").alias("exec_id"), F.col("graph_id.wk").alias("part"), "src", "dst", "traversed", F.col("traversed").cast("string").alias("position"))
-    return support.merge_profiles(flows).withColumn("positions", F.array_join("positions", ","))
+    parts = traces.edges(spark, d).select(F.col("graph_id.user_id").alias("exec_id"), F.col("graph_id.wk").alias("part"), "src", "dst", "traversed", F.col("traversed").cast("string").alias("position"))
+    return support.merge_profiles(parts).withColumn("positions", F.array_join("positions", ","))
 
 
 # -- jumps between labels
@@ -229,7 +228,7 @@ def path3_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PS = f"""{SQL}, {_E2}, {_VO}, eo as (select src, dst, sum(1 - failed) k from fl group by src, dst), edk as (select src || ' -> ' || dst e, src, dst, k from eo),
- q1 as (select e pattern, sum(failed) fa, 1 ne, case when any_value(src) = any_value(dst) then 1 else 2 end nv, any_value(src) s1, any_value(dst) d1, any_value(src) s2, any_value(dst) d2, e e1, null e2 from ee group by e having sum(failed) >= 2),
+ q1 as (select e pattern, sum(failed) fa, 1 ne, case when any_value(src) = any_value(dst) then 1 else 2 end nv, any_value(src) s1, any_value(dst) d1, any_value(src) s2, any_value(dst) d2, e e1, cast(null as varchar) e2 from ee group by e having sum(failed) >= 2),
  {_P2}, q2 as (select pattern, fa, 2 ne, len(list_distinct([s1, d1, s2, d2])) nv, s1, d1, s2, d2, e1, e2 from p2),
  q as (select * from q1 union all select * from q2),
  lab as (select distinct pattern, unnest([s1, d1, s2, d2]) label from q), labk as (select pattern, sum(coalesce(k, 0)) k from lab left join vo using (label) group by pattern),
@@ -289,9 +288,22 @@ _RE = "re(id, other) as (select id, id from us union select re.id, l.y from re j
 _CLUSTERS = f"with recursive {SQL.strip()[5:]}, {_UL}, {_JP}, {_RE}, {_CC}"
 
 
-@query(f"{SQL}, {_UL}, {_JP} select a, b, round(distance, 9) + 0.0 distance from jl")
+_CL = "cl as (select list_sort(items) items, min(id) head, count(*) n from us group by 1)"
+
+
+@query(f"{SQL}, {_UL}, {_CL}, {_JP} select a, b, ca.n n_a, cb.n n_b, round(distance, 9) + 0.0 distance from jl join cl ca on ca.head = a join cl cb on cb.head = b")
 def label_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.similar_pairs(user_labels(spark, d), EPSILON).select("a", "b", rounded("distance").alias("distance"))
+    """All links between different label sets, as pairs of the heads of classes of equal sets with the classes' sizes."""
+    every = staged(clustering.classes(user_labels(spark, d)), "classes")
+    heads = every.where("id = head")
+    sizes = heads.select("head", "n")
+    pairs = clustering.similar_pairs(heads.select("id", "items"), EPSILON).select("a", "b", rounded("distance").alias("distance"))
+    return pairs.join(sizes.withColumnsRenamed({"head": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"head": "b", "n": "n_b"}), "b")
+
+
+@query(f"{SQL}, {_UL}, {_CL} select id, head from us join cl on list_sort(us.items) = cl.items")
+def label_classes(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.similar_classes(user_labels(spark, d), EPSILON)[1]
 
 
 @query(f"{_CLUSTERS} select id, cluster from cc")
@@ -310,7 +322,17 @@ def cluster_score(spark: SparkSession, d: str) -> DataFrame:
     return _clustered(spark, d)[1].select("cluster", "n", rounded("score", 6).alias("score"))
 
 
-@query()
+#: Clusters' scores (cs), their labels (cb) and a label's own score (sl) as scores of locations: best clusters first, those within the tolerance of the mean so far.
+_LOC = """cs as (select cluster, avg(score) * sqrt(count(*)::double / (count(*) + 1)) s from cc join us using (id) group by cluster),
+ cb as (select distinct cluster, unnest(items) label from cc join us using (id)), li as (select label, list(s order by s desc) l from cb join cs using (cluster) group by label),
+ fold(label, k, total, n) as (select label, 0, 0.0::double, 0 from li union all
+  select label, k + 1, total + case when n = 0 or abs(l[k + 1] - total / n) <= 0.025 then l[k + 1] else 0 end, n + case when n = 0 or abs(l[k + 1] - total / n) <= 0.025 then 1 else 0 end from fold join li using (label) where k < len(l)),
+ ls as (select label, sum(failed) fa, sum(1 - failed) oa, any_value(event_type) fn_name, any_value(bbid) bbid from v group by label having sum(failed) > 0),
+ fo as (select ls.*, fa::double/nt f, oa::double/nt o, n_ok::double/nt p from ls, n), sl as (select label, round(f/(f+o), 9) + 0.0 score from fo),
+ lf as (select fold.label, round(sl.score * (total / n), 6) + 0.0 score from fold join li using (label) join sl using (label) where k = len(l))"""
+
+
+@query(f"{_CLUSTERS}, {_LOC} select label, score from lf")
 def location_scores(spark: SparkSession, d: str) -> DataFrame:
     members, scores = _clustered(spark, d)
     labels = members.select("cluster", F.explode("items").alias("label"))
@@ -324,11 +346,153 @@ def exclude_largest_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clustering.exclude(scores, members, largest)[0].select("cluster", "n")
 
 
-@query(f"{_CLUSTERS}, ci as (select cluster, id, items from cc join us using (id)) select a.cluster, round(avg(1 - len(list_intersect(a.items, b.items))::double / len(list_distinct(list_concat(a.items, b.items)))), 9) + 0.0 intra, from ci a join ci b on a.cluster = b.cluster and a.id < b.id group by 1")
+_CI = "ci as (select cluster, id, items from cc join us using (id))"
+_DIST = "1 - len(list_intersect(a.items, b.items))::double / len(list_distinct(list_concat(a.items, b.items)))"
+
+
+@query(f"{_CLUSTERS}, {_CI} select a.cluster, round(avg({_DIST}), 9) + 0.0 intra, from ci a join ci b on a.cluster = b.cluster and a.id < b.id group by 1")
 def cluster_distances(spark: SparkSession, d: str) -> DataFrame:
     return clustering.cluster_quality(_clustered(spark, d)[0]).where("n > 1").select("cluster", rounded("intra").alias("intra"))
 
 
+@query(
+    f"{_CLUSTERS}, {_CI}, sz as (select cluster, count(*)::double n from ci group by 1), pr as (select a.cluster x, b.cluster y, {_DIST} d, case when a.cluster = b.cluster then 1.0 else 0.0 end c from ci a join ci b on a.id < b.id), mn as (select avg(d) md, avg(c) mc from pr), "
+    "it as (select sum(s / n) v from (select x, sum(d) s from pr where x = y group by 1) join sz on cluster = x), ie as (select sum(s / (a.n * b.n)) v from (select least(x, y) x, greatest(x, y) y, sum(d) s from pr where x != y group by 1, 2) join sz a on a.cluster = x join sz b on b.cluster = y) "
+    "select round(sum((d - md) * (c - mc)) / (sum((d - md) * (d - md)) * sum((c - mc) * (c - mc))) * 1e3, 6) + 0.0 correlation, round(any_value(it.v), 6) + 0.0 intra, round(any_value(ie.v), 4) + 0.0 inter from pr, mn, it, ie"
+)
+def cluster_metrics(spark: SparkSession, d: str) -> DataFrame:
+    m = clustering.cluster_metrics(_clustered(spark, d)[0])
+    return m.select(rounded(F.col("correlation") * 1e3, 6).alias("correlation"), rounded("intra", 6).alias("intra"), rounded("inter", 4).alias("inter"))
+
+
+# -- localisation end to end
+
+
+def _mined_patterns(spark: SparkSession, d: str, name: str = "precision", k: int = 10) -> DataFrame:
+    return mining.mine(traces.edges(spark, d), traces.vertices(spark, d), name, max_edges=2, k=k)
+
+
+_PJ = f"with recursive {_PS.strip()[5:]}, us as (select pattern id, list(distinct label) items, any_value(score) score from (select * from ss order by score desc, pattern limit 10) join lab using (pattern) group by 1), {_JP.replace(str(EPSILON), '0.5')}, {_RE}, {_CC}"
+
+
+@query(f"{_PJ} select id as pattern, cluster from cc")
+def localize_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The best mined patterns and the clusters that they are in."""
+    found = localisation.localize(_mined_patterns(spark, d), scored_labels(spark, d).select("label", "score"), 0.5)
+    return found.members.select(F.col("id").alias("pattern"), "cluster")
+
+
+@query(f"{_PJ}, {_LOC} select label, score from lf")
+def localize_locations(spark: SparkSession, d: str) -> DataFrame:
+    """Mined patterns, clustered, and the locations ranked by them."""
+    found = localisation.localize(_mined_patterns(spark, d), scored_labels(spark, d).select("label", "score"), 0.5)
+    return found.locations.select("label", rounded("score", 6).alias("score"))
+
+
+@query(f"{_PJ}, {_LOC}, lr as (select *, rank() over (order by score desc) - 1 before, count(*) over (partition by score) size from lf) select min(before + size / 2) as rank from lr where label = (select max(label) from lf)")
+def localize_rank(spark: SparkSession, d: str) -> DataFrame:
+    """What the ranking of locations is worth if the last label by name were faulty."""
+    locations = localisation.localize(_mined_patterns(spark, d), scored_labels(spark, d).select("label", "score"), 0.5).locations.withColumn("score", rounded("score", 6))
+    return ranking.rank_eval(locations, locations.agg(F.max("label").alias("label")), "label")
+
+
+_TL = "tl as (select label, score, row_number() over (order by score desc, label) place, lag(score) over (order by score desc, label) - score > 0.0001 dropped from sl), tg as (select *, coalesce(sum(dropped::int) over (order by place rows between unbounded preceding and 1 preceding), 0) drops, greatest(10, floor(0.0625 * count(*) over ())) total from tl)"
+
+
+@query(f"{_SL}, {_TL} select label, score, place from tg where place <= total or drops < 2")
+def walk_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The labels from which walks start."""
+    return mining.top_labels(scored_labels(spark, d))
+
+
+def fewest_passing(f: Column, o: Column, pf: Column, po: Column) -> Column:
+    """A score of one's own: what few passing runs hold."""
+    return -o
+
+
+@query()
+def label_walk_patterns(spark: SparkSession, d: str) -> DataFrame:
+    ranked = scored_labels(spark, d, fewest_passing)
+    found = mining.label_walks(traces.edges(spark, d), traces.vertices(spark, d), ranked, name=fewest_passing, max_edges=2, skip_seen=True, seed=5)
+    return found.select(_pattern().alias("pattern"), rounded("score").alias("score"), "label", "place")
+
+
+@query(ORACLES["topk_patterns"])
+def halving_leap_patterns(spark: SparkSession, d: str) -> DataFrame:
+    found = mining.halving_leap(traces.edges(spark, d), traces.vertices(spark, d), "precision", max_edges=2, k=10)
+    return found.select(_pattern().alias("pattern"), "fail_graphs", rounded("score").alias("score"))
+
+
+def _run_sql(method: str, score: str) -> str:
+    return f"select '{method}' as method, pattern, score, rank() over (order by score desc) - 1 before, dense_rank() over (order by score desc) score_group, row_number() over (order by score desc, pattern) place, count(*) over (partition by score) size from (select pattern, {score} score from sc order by score desc, pattern limit 10)"
+
+
+_FAULTY = "click blk 0"
+_RUNS = f"rn as ({_run_sql('contrast', 'f - o')} union all {_run_sql('precision', 'f/(f+o)')})"
+_RH = f"rh as (select method, score_group, before, size, count(*) h from rn where pattern in (select pattern from lab where label = '{_FAULTY}') group by all), rk as (select method, coalesce(min((size + 1) / (h + 1) + before), 'inf'::double) as rank, coalesce(arg_min(score_group, ((size + 1) / (h + 1) + before, score_group)), -1) score_group from (select distinct method from rn) left join rh using (method) group by 1)"
+
+
+@query(
+    f"{_PS}, {_RUNS}, {_RH}, b as (select place, score base from rn where method = 'contrast') select method, count(*) n, round(sum(score), 6) + 0.0 sum, round(avg(score), 6) + 0.0 mean, round(stddev_samp(score), 6) + 0.0 stddev, "
+    "round(sqrt(sum((score - base) * (score - base)) / (count(*) - 1)) * case when sum(score - base) > 0 then -1 else 1 end, 6) + 0.0 stderr, any_value(rk.rank) as rank, any_value(rk.score_group) score_group from rn join b using (place) join rk using (method) group by method"
+)
+def compare_miners(spark: SparkSession, d: str) -> DataFrame:
+    """Two miners' patterns compared, with where the first fault is."""
+    runs = {name: _mined_patterns(spark, d, name) for name in ("precision", "contrast")}
+    found = localisation.compare(runs, spark.createDataFrame([(_FAULTY,)], "label string"))
+    return found.select("method", "n", *(rounded(c, 6).alias(c) for c in ("sum", "mean", "stddev", "stderr")), "rank", F.col("score_group").cast("long").alias("score_group"))
+
+
+@query(
+    f"{_PS}, {_RUNS}, {_RH}, {_LS}, {_FO}, el as (select label, round(f/(f+o), 9) score from fo), eg as (select *, rank() over (order by score desc) - 1 before, count(*) over (partition by score) size from el) "
+    f"select 'cbsfl' as method, 'precision' score, 'Ranked-List' as eval, min(before + size / 2) as rank from eg where label = '{_FAULTY}' union all select 'best', 'precision', 'Ranked-List', rank from rk where method = 'precision'"
+)
+def evaluate_lists(spark: SparkSession, d: str) -> DataFrame:
+    miners = {"best": ("precision", _mined_patterns(spark, d))}
+    faults = spark.createDataFrame([(_FAULTY,)], "label string")
+    return localisation.evaluate(traces.edges(spark, d), traces.vertices(spark, d), faults, ["precision"], miners, [localisation.LIST], [localisation.LIST])
+
+
+@query()
+def evaluate_chains(spark: SparkSession, d: str) -> DataFrame:
+    miners = {"best": ("precision", _mined_patterns(spark, d))}
+    faults = spark.createDataFrame([(_FAULTY,)], "label string")
+    return localisation.evaluate(traces.edges(spark, d), traces.vertices(spark, d), faults, ["precision"], miners, [localisation.BEHAVIOURAL], [localisation.CHAIN, localisation.BOTH])
+
+
+# -- embeddings with repeated labels: each event is a vertex with its type as label
+
+_EMB = "em as (select user_id, wk, e1, e2, failed from (select ev.user_id, ev.wk, ev.event_id e1, ev.event_type t1, lead(ev.event_id) over w e2, lead(ev.event_type) over w t2, failed from ev join tr using (user_id, wk) window w as (partition by ev.user_id, ev.wk order by ts, ev.event_id)) where t1 = 'click' and t2 = 'view')"
+
+
+def _event_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = traces.steps(spark, d)
+    w = ranking.Window.partitionBy("graph_id").orderBy("ts", "event_id")
+    steps = e.select("graph_id", F.col("event_id").alias("vid"), F.col("fn_name").alias("label"), F.lead("event_id").over(w).alias("dst")).join(traces.outcomes(e), "graph_id")
+    steps = steps.withColumn("graph_id", F.concat_ws(" ", F.col("graph_id.user_id").cast("string"), F.date_format("graph_id.wk", "yyyy-MM-dd")))
+    return steps.select("outcome", "graph_id", "vid", "label"), steps.where("dst IS NOT NULL").select("outcome", "graph_id", F.col("vid").alias("src"), "dst", F.lit("").alias("label"))
+
+
+_CLICK_VIEW = (["click", "view"], [(0, 1, "")])
+
+
+@query(f"{SQL}, {_EMB} select user_id || ' ' || cast(cast(wk as date) as varchar) graph_id, e1, e2 from em")
+def event_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    found = embeddings.embeddings(_CLICK_VIEW, *_event_graph(spark, d))
+    return found.select("graph_id", F.col("m")[0].alias("e1"), F.col("m")[1].alias("e2"))
+
+
+@query(f"{SQL}, {_EMB} select case when failed = 1 then 'fail' else 'ok' end outcome, least(count(distinct e1), count(distinct e2)) support from em group by 1")
+def event_image_support(spark: SparkSession, d: str) -> DataFrame:
+    return embeddings.image_support(embeddings.embeddings(_CLICK_VIEW, *_event_graph(spark, d)))
+
+
+@query(f"{SQL}, {_EMB} select case when failed = 1 then 'fail' else 'ok' end outcome, count(*) support from em group by 1")
+def event_independent_support(spark: SparkSession, d: str) -> DataFrame:
+    """No two of these embeddings share a vertex, as a click is followed by one event only."""
+    return embeddings.independent_support(embeddings.embeddings(_CLICK_VIEW, *_event_graph(spark, d))).withColumn("support", F.col("support").cast("long"))
+
+
 # -- evaluation
 
 
@@ -368,13 +532,12 @@ def rank_average(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"{_ranks(_COMPARED)}, x as (select *, row_number() over (partition by method order by score desc, label) place from al), b as (select place, score base from x where method = 'ochiai') "
-    "select method, count(*) n, round(sum(score), 6) + 0.0 sum, round(avg(score), 6) + 0.0 mean, round(stddev_samp(score), 6) + 0.0 stddev, round(sqrt(avg((score - base) * (score - base))) * case when avg(score - base) < 0 then -1 else 1 end, 6) + 0.0 stderr from x join b using (place) group by method"
+    "select method, count(*) n, round(sum(score), 6) + 0.0 sum, round(avg(score), 6) + 0.0 mean, round(stddev_samp(score), 6) + 0.0 stddev, round(sqrt(sum((score - base) * (score - base)) / case when count(*) > 2 then count(*) - 1 else count(*) end) * case when sum(score - base) > 0 then -1 else 1 end, 6) + 0.0 stderr from x join b using (place) group by method"
 )
 def compare_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = None
     for name in _COMPARED:
-        w = ranking.Window.orderBy(ranking.order_key(F.col("score")), "label")
-        r = scored_labels(spark, d, name).select(F.lit(name).alias("method"), F.row_number().over(w).alias("place"), "score")
+        r = ranking.with_place(scored_labels(spark, d, name), "label").select(F.lit(name).alias("method"), "place", "score")
         rows = r if rows is None else rows.unionByName(r)
     return ranking.compare_stats(rows).select("method", "n", *(rounded(c, 6).alias(c) for c in ("sum", "mean", "stddev", "stderr")))
 
@@ -495,15 +658,16 @@ def nearest_covariate(spark: SparkSession, d: str) -> DataFrame:
     return objects.nearest_covariate(_individuals(spark, d)).withColumn("distance", rounded("distance", 6))
 
 
-_PE = "pe as (select nc.func_name, nc.bin, nc.other_bin, avg(a.outcome - b.outcome) effect from nc join ind a on a.id = nc.id join ind b on b.id = nc.other_id group by 1, 2, 3)"
+_PE = """na as (select a.func_name, a.id, b.bin, arg_min(b.outcome, (abs(a.covariate - b.covariate), b.id)) y from ind a join ind b on a.func_name = b.func_name group by 1, 2, 3),
+ pe as (select p.func_name, p.bin, q.bin other_bin, avg(p.y - q.y) effect from na p join na q on p.func_name = q.func_name and p.id = q.id and p.bin != q.bin group by 1, 2, 3)"""
 
 
-@query(f"{_IN}, {_NC}, {_PE} select func_name, bin, other_bin, round(effect, 9) + 0.0 effect from pe")
+@query(f"{_IN}, {_PE} select func_name, bin, other_bin, round(effect, 9) + 0.0 effect from pe")
 def pair_effects(spark: SparkSession, d: str) -> DataFrame:
     return objects.pair_effects(_individuals(spark, d)).withColumn("effect", rounded("effect"))
 
 
-@query(f"{_IN}, {_NC}, {_PE}, s as (select func_name, sum(effect) e from pe where bin < other_bin group by 1) select func_name, round(abs(e / b), 9) + 0.0 score from s join (select func_name, count(distinct bin) b from ind group by 1) using (func_name)")
+@query(f"{_IN}, {_PE}, s as (select func_name, sum(effect) e from pe where bin < other_bin group by 1) select func_name, round(abs(e / b), 9) + 0.0 score from s join (select func_name, count(distinct bin) b from ind group by 1) using (func_name)")
 def suspiciousness(spark: SparkSession, d: str) -> DataFrame:
     return objects.suspiciousness(_individuals(spark, d)).withColumn("score", rounded("score"))
 
@@ -552,20 +716,34 @@ def _inputs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """with l as (select doc_id id, text, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) k from documents where len(text) > 0),
- p as (select id, text, len(x) n, coalesce(sum(len(x) + 1) over (partition by id order by k rows between unbounded preceding and 1 preceding), 0) i from l),
- r as (select id, cast(i as int) i, cast(least(i + n, len(text) - 1) as int) j from p where contains(text, chr(10)) or len(text) > 1) select id, case when i = 1 then 0 else i end i, j from r where i <= j"""
+ p as (select id, text, strlen(x) n, coalesce(sum(strlen(x) + 1) over (partition by id order by k rows between unbounded preceding and 1 preceding), 0) i from l),
+ r as (select id, cast(i as int) i, cast(least(i + n, strlen(text) - 1) as int) j from p where contains(text, chr(10)) or strlen(text) > 1) select id, case when i = 1 then 0 else i end i, j from r where i <= j"""
 )
 def mutants_lines(spark: SparkSession, d: str) -> DataFrame:
     return minimise.line_ranges_native(_inputs(spark, d))
 
 
-@query()
+_BLOCKS = """with t as (select item_id id, text, strlen(text) n from benchmark where strlen(text) > 0), c as (select id, text, unnest(range(1, len(text) + 1)) k from t),
+ nl as (select id, strlen(left(text, k - 1)) p from c where text[k] = chr(10)), a0 as (select id, 0 p from t union select id, p from nl union select id, n - 1 from t),
+ a as (select id, p, row_number() over (partition by id order by p) k, count(*) over (partition by id) m, (id, p) in (select (id, p) from nl) fed from a0)
+ select x.id, cast(case when x.fed then least(x.p + 1, n - 1) else x.p end as int) i, cast(y.p as int) j from a x join a y on x.id = y.id and y.k > x.k and y.k < x.k + least(greatest(15, x.m // 10), 100) join t on t.id = x.id
+ where case when x.fed then least(x.p + 1, n - 1) else x.p end + 1 < y.p"""
+
+
+@query(_BLOCKS)
 def mutants_line_blocks(spark: SparkSession, d: str) -> DataFrame:
     found = minimise.ranges(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), "line_blocks")
     return found.select("id", "i", "j")
 
 
-@query()
+#: Braces with their depth: an unmatched closing one takes the running sum to a new minimum and counts for nothing.
+_CURLY = """with c as (select page_id id, html, unnest(range(1, len(html) + 1)) k from pages), b as (select id, k, strlen(left(html, k - 1)) p, case when html[k] = '{' then 1 else -1 end s from c where html[k] in ('{', '}')),
+ r as (select *, sum(s) over (partition by id order by k) t from b), m as (select *, least(0, coalesce(min(t) over (partition by id order by k rows between unbounded preceding and 1 preceding), 0)) low from r),
+ o as (select id, k, p, t - low depth from m where s = 1), z as (select id, k, p, t - low + 1 depth from m where s = -1 and t >= low)
+ select id, cast(i as int) i, cast(p as int) j from (select z.id, z.p, arg_max(o.p, o.k) i from z join o on o.id = z.id and o.depth = z.depth and o.k < z.k group by z.id, z.k, z.p)"""
+
+
+@query(_CURLY)
 def mutants_curly(spark: SparkSession, d: str) -> DataFrame:
     return minimise.ranges(table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")), "curly")
 
@@ -591,27 +769,45 @@ def user_cfg(spark: SparkSession, d: str) -> DataFrame:
     return numbered.select("fn", F.col("s").alias("src"), F.col("d").alias("dst"))
 
 
-@query()
+def _dominators_sql(back: bool) -> str:
+    """sd: fn, b, d (d strictly dominates b), by removal: b can't be reached from the root without d.  dm adds b itself, id the nearest one.
+    Backwards, the root is -1, an exit behind all blocks that lead nowhere."""
+    edges = "select fn, dst s, src t from cg union select fn, -1, bb from bk where (fn, bb) not in (select (fn, src) from cg)" if back else "select fn, src s, dst t from cg"
+    root = -1 if back else 0
+    return f"""with recursive {SQL.strip()[5:]}, ce as (select distinct cast(user_id as varchar) fn, src, dst from fl), cn as (select label, row_number() over (order by label != 'entry', label) - 1 k from (select src as label from ce union select dst from ce)),
+ cg as (select fn, cast(a.k as int) src, cast(b.k as int) dst from ce join cn a on a.label = ce.src join cn b on b.label = ce.dst), bk as (select fn, src bb from cg union select fn, dst from cg union select fn, 0 from cg), g as ({edges}),
+ rt(fn, gone, b) as (select fn, gone, {root} from (select fn, bb gone from bk where bb != {root} union select distinct fn, -2 from bk) union select rt.fn, gone, t from rt join g on g.fn = rt.fn and g.s = rt.b where t != gone),
+ rb as (select fn, b from rt where gone = -2),
+ sd as (select rb.fn, rb.b, x.b d from rb join rb x on x.fn = rb.fn and x.b != rb.b where x.b = {root} or (rb.fn, x.b, rb.b) not in (select (fn, gone, b) from rt)),
+ dm as (select fn, b, d from sd union all select fn, b, b from rb), dc as (select fn, b, count(*) n from dm group by 1, 2),
+ id as (select sd.fn, sd.b, arg_max(sd.d, dc.n) i from sd join dc on dc.fn = sd.fn and dc.b = sd.d group by 1, 2),
+ df as (select distinct dm.fn, dm.d b, g.t f from g join dm on dm.fn = g.fn and dm.b = g.s where (g.fn, g.t) in (select (fn, b) from rb) and (dm.fn, g.t, dm.d) not in (select (fn, b, d) from sd))"""
+
+
+@query(f"{_dominators_sql(False)} select fn, b bbid, i idom from id union all select distinct fn, 0, 0 from bk")
 def dominators(spark: SparkSession, d: str) -> DataFrame:
     return cfg.dominators(user_cfg(spark, d))
 
 
-@query()
+@query(f"{_dominators_sql(True)} select fn, b bbid, case when i = -1 then b else i end ipdom from id")
 def post_dominators(spark: SparkSession, d: str) -> DataFrame:
     return cfg.post_dominators(user_cfg(spark, d))
 
 
-@query()
+@query(f"{_dominators_sql(False)} select fn, b bbid, f frontier from df")
 def dominance_frontier(spark: SparkSession, d: str) -> DataFrame:
     return cfg.dominance_frontier(user_cfg(spark, d))
 
 
-@query()
+@query(f"{_dominators_sql(True)}, cd as (select fn, b, f from df where b != -1 and f != -1) select fn, b bbid, f controller from cd union all select fn, bb, 0 from bk where bb != 0 and (fn, bb) not in (select (fn, b) from cd)")
 def control_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return cfg.control_dependencies(user_cfg(spark, d))
 
 
-@query()
+@query(
+    f"{_dominators_sql(False)}, ds as (select distinct fn, dst bb, 'x' || cast(dst % 5 as varchar) as name from cg), rd(fn, bbid, name, def_bbid) as (select cg.fn, cg.dst, ds.name, ds.bb from cg join ds on ds.fn = cg.fn and ds.bb = cg.src "
+    "union select rd.fn, cg.dst, rd.name, rd.def_bbid from rd join cg on cg.fn = rd.fn and cg.src = rd.bbid where (rd.fn, rd.bbid, rd.name) not in (select (fn, bb, name) from ds)) select fn, bbid, name, def_bbid from rd"
+)
 def reaching_definitions(spark: SparkSession, d: str) -> DataFrame:
     e = user_cfg(spark, d)
     blocks = e.select("fn", F.col("dst").alias("bbid")).distinct()
@@ -648,7 +844,44 @@ def stream_flow_edges(spark: SparkSession, d: str) -> DataFrame:
     label = F.concat("event_type", F.lit(" blk "), (F.floor(F.col("value") / 10) % 4).cast("int").cast("string"))
     events = stream.select(F.concat(F.col("user_id").cast("string"), F.lit(" "), week).alias("trace"), "ts", "event_id", label.alias("label"))
     out, marks = new_path(spark, "flows"), new_path(spark, "flows-checkpoint")
-    flows = flow_edges(events)
-    run = flows.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    stepped = flows.flow_edges(events)
+    run = stepped.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", marks).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("trace string, src string, dst string, traversed long, batch int").parquet(out).groupBy("trace", "src", "dst").agg(F.sum("traversed").alias("traversed"))
+
+
+@query(ORACLES["simple_profiles_reread"])
+def dot_profiles_reread(spark: SparkSession, d: str) -> DataFrame:
+    """The traces written as Graphviz text, a digraph each, and read back."""
+    name = F.concat(F.col("graph_id.user_id").cast("string"), F.lit(" "), F.date_format("graph_id.wk", "yyyy-MM-dd"))
+    v = traces.vertices(spark, d).withColumn("graph_id", name)
+    e = traces.edges(spark, d).withColumn("graph_id", name)
+    entry = e.select("graph_id", "outcome").distinct().select("outcome", "graph_id", F.lit(ENTRY).alias("label"), F.lit(ENTRY).alias("fn_name"), F.lit(0).alias("bbid"))
+    # the graph's name travels as the position of its vertices
+    v = v.select("outcome", "graph_id", "label", "fn_name", "bbid").unionByName(entry).withColumn("position", F.col("graph_id"))
+    out = None
+    for outcome in ("fail", "ok"):
+        path = new_path(spark, f"dot-{outcome}")
+        dot.lines(v.where(F.col("outcome") == outcome), e.where(F.col("outcome") == outcome)).select("value").write.text(path)
+        vertices, edges = dot.read(spark, path, outcome)
+        names = vertices.where(F.col("label") == ENTRY).select("graph_id", F.col("position").alias("graph"))
+        found = edges.join(names, "graph_id").select("graph", "src", "dst", F.col("traversed").cast("long").alias("traversed"), "outcome")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("select user_id exec_id, event_type func_name, count(*) n_inputs, array_to_string(list(cast(event_id as varchar) order by event_id), ',') outputs from events group by 1, 2")
+def method_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """What a call takes and gives, each event being a call whose id is what it gives."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("exec_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("func_name"), F.col("event_id").cast("string").alias("value"))
+    captured = e.withColumn("kind", F.lit("input")).unionByName(e.withColumn("kind", F.lit("output")))
+    found = flows.method_profiles(captured)
+    return found.select("exec_id", "func_name", F.size("inputs").cast("long").alias("n_inputs"), F.array_join("outputs", ",").alias("outputs"))
+
+
+@query("select distinct user_id exec_id, event_type || ':' || cast(cast(value as int) as varchar) as position, event_type fn_name, 0 bbid from events where value > 150")
+def run_failures(spark: SparkSession, d: str) -> DataFrame:
+    """The failures that runs report, each position once."""
+    e = table(spark, d, "events")
+    reported = e.select(F.col("user_id").alias("exec_id"), F.when(F.col("value") > 150, "fail").otherwise("block").alias("kind"), F.concat("event_type", F.lit(":"), F.round("value").cast("int").cast("string")).alias("position"), F.col("event_type").alias("fn_name"), F.lit(0).alias("bbid"))
+    return flows.failures(reported)

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir.  Where it is unset, a temporary one if the session is a local one, as in tests; executors elsewhere
+    wouldn't see such a folder, so a session of a cluster must name one."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tracelode-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)

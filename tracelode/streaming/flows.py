@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.traces import ENTRY
@@ -70,3 +71,19 @@ def call_profile(events: DataFrame) -> DataFrame:
         yield pd.DataFrame([(key[0], k, s, d, n, t) for (k, s, d), (n, t) in found.items()], columns=["exec_id", "kind", "src", "dst", "n", "nanos"])
 
     return events.groupBy("exec_id", "thread").applyInPandasWithState(step, "exec_id string, kind string, src string, dst string, n long, nanos long", "fns array<string>, blocks array<int>, last long", "update", GroupStateTimeout.NoTimeout)
+
+
+def failures(events: DataFrame) -> DataFrame:
+    """exec_id, position, fn_name, bbid of the failures that a run reports, each position once; a streaming frame with a watermark forgets
+    positions behind it.  events: exec_id, kind ('fail' and others), position, fn_name, bbid."""
+    return events.where("kind = 'fail'").select("exec_id", "position", "fn_name", "bbid").dropDuplicates(["exec_id", "position"])
+
+
+def method_profiles(events: DataFrame) -> DataFrame:
+    """exec_id, func_name, inputs, outputs: what was captured before and after a function's calls, in order of seq; of a stream in update or
+    complete mode.  events: exec_id, seq, kind ('input', 'output' and others), func_name, value (JSON)."""
+
+    def side(kind: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("seq", "value")))), lambda x: x["value"])
+
+    return events.where("kind IN ('input', 'output')").groupBy("exec_id", "func_name").agg(side("input").alias("inputs"), side("output").alias("outputs"))
