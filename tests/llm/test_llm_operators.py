@@ -430,7 +430,7 @@ def test_shared_prefixes_are_computed_once():
     found = [counter.counts([[w]])[0] for w in words]
     assert counter.computed == len("▁therefore") + len("sis") + 301
     small = token_counts.TrieCounter(scores, cache_words=2, cache_nodes=8)
-    assert small.counts([words[:3], [words[0]], words]) == [sum(found[:3]), found[0], sum(found)] and len(small.score) <= 8 + 10
+    assert small.counts([words[:3], [words[0]], words]) == [sum(found[:3]), found[0], sum(found)] and len(small.values) <= 8 + 10
 
 
 def test_sentencepiece_parity_and_round_trip(spark):

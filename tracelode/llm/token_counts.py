@@ -10,7 +10,7 @@ the forward score and the count, so that a prefix which pre-tokens share is comp
 come; the count at a pre-token's last node is kept as its terminal count.
 
 Scale: one pass without a shuffle.  A worker holds the counts of at most ``CACHE_WORDS`` pre-tokens and a trie of at most
-``CACHE_NODES`` nodes (about 150 bytes each; a full trie is begun anew, with the same results); pre-tokens of over
+``CACHE_NODES`` nodes (about 200 bytes each; a full trie is begun anew, with the same results); pre-tokens of over
 ``STORED_LENGTH`` characters are computed without being stored.
 
 Defined cases: null and empty texts have no tokens; white space beyond single spaces counts as the model writes it; equal rows
@@ -27,7 +27,7 @@ from .common import map_batches, texts
 from .sentencepiece_codec import Normaliser
 from .sentencepiece_model import Model
 
-CACHE_WORDS, CACHE_NODES = 200_000, 1_000_000
+CACHE_WORDS, CACHE_NODES = 400_000, 1_200_000
 STORED_LENGTH = 64
 #: What an unknown character costs below the lowest score.
 UNKNOWN_PENALTY = 10.0
@@ -42,59 +42,83 @@ class TrieCounter:
         self.known: dict[str, int] = {}
         #: scores that were computed, for tests of sharing
         self.computed = 0
-        #: lengths of the pieces that end in a character, longest first
+        #: lengths of the pieces of three characters or more by their last three, longest first
         lengths: dict[str, set[int]] = {}
         for piece in scores:
-            lengths.setdefault(piece[-1], set()).add(len(piece))
+            if len(piece) > 2:
+                lengths.setdefault(piece[-3:], set()).add(len(piece))
         self.lengths = {c: sorted(n, reverse=True) for c, n in lengths.items()}
         self.clear()
 
     def clear(self) -> None:
         """An empty trie: its root has node number 0.  A child's key is its parent's number and its character's code point."""
         self.child: dict[int, int] = {}
-        self.score, self.count, self.open = [0.0], [0], [False]
-
-    def _step(self, text: str, i: int, path: list[tuple[float, int, bool]]) -> tuple[float, int, bool]:
-        """Forward score, count and whether an unknown character ends it, of the first i characters; path: those of all shorter prefixes."""
-        self.computed += 1
-        c, top = text[i - 1], None
-        get = self.scores.get
-        for n in self.lengths.get(c, ()):
-            if n <= i:
-                s = get(text[i - n : i])
-                if s is not None:
-                    score, count, _ = path[i - n]
-                    if top is None or score + s > top[0]:
-                        top = (score + s, count + 1, False)
-        if c not in self.scores:  # an unknown character stands by itself
-            score, count, after_unknown = path[i - 1]
-            if top is None or score + self.unknown > top[0]:
-                top = (score + self.unknown, count + (len(c.encode()) if self.bytes_for_unknown else not after_unknown), True)
-        return top
-
-    def _insert(self, text: str) -> int:
-        """The count at the end of text, with its nodes stored."""
-        child, node, path = self.child, 0, [(0.0, 0, False)]
-        for i, c in enumerate(text, 1):
-            key = node << 21 | ord(c)
-            node = child.get(key, -1)
-            if node < 0:
-                node = child[key] = len(self.score)
-                at = self._step(text, i, path)
-                for values, x in zip((self.score, self.count, self.open), at, strict=True):
-                    values.append(x)
-            path.append((self.score[node], self.count[node], self.open[node]))
-        return path[-1][1]
-
-    def terminal(self, text: str) -> int:
-        if len(text) > STORED_LENGTH:
-            path = [(0.0, 0, False)]
-            for i in range(1, len(text) + 1):
-                path.append(self._step(text, i, path))
-            return path[-1][1]
-        if len(self.score) + len(text) > self.cache_nodes:
-            self.clear()
-        return self._insert(text)
+        #: (forward score, tokens, whether an unknown character ends it) of each node
+        self.values: list[tuple[float, int, bool]] = [(0.0, 0, False)]
+
+    def terminals(self, words: list[str]) -> list[int]:
+        """The count of each word, in order; words that follow one another in sorted order walk a common prefix once."""
+        pieces, lengths, unknown, as_bytes = self.scores.get, self.lengths, self.unknown, self.bytes_for_unknown
+        child, values = self.child, self.values
+        before, nodes, path, out = "", [0], [values[0]], []
+        for text in words:
+            size, stored = len(text), len(text) <= STORED_LENGTH
+            if stored and len(values) + size > self.cache_nodes:
+                self.clear()
+                child, values = self.child, self.values
+                before, nodes, path = "", [0], [values[0]]
+            at = 0
+            for a, b in zip(before, text, strict=False):
+                if a != b:
+                    break
+                at += 1
+            del nodes[at + 1 :], path[at + 1 :]
+            node = nodes[-1]
+            for i in range(at + 1, size + 1):
+                c = text[i - 1]
+                key = node << 21 | ord(c)
+                found = child.get(key) if stored else None
+                if found is None:
+                    self.computed += 1
+                    best, end = None, None
+                    # longer ones first, so that of equal scores the longest last piece stays
+                    for n in lengths.get(text[i - 3 : i], ()) if i > 2 else ():
+                        if n <= i:
+                            s = pieces(text[i - n : i])
+                            if s is not None:
+                                start = path[i - n]
+                                s += start[0]
+                                if best is None or s > best:
+                                    best, end = s, (s, start[1] + 1, False)
+                    s = pieces(text[i - 2 : i]) if i > 1 else None
+                    if s is not None:
+                        start = path[i - 2]
+                        s += start[0]
+                        if best is None or s > best:
+                            best, end = s, (s, start[1] + 1, False)
+                    score, count, after_unknown = path[i - 1]
+                    s = pieces(c)
+                    if s is not None:
+                        s += score
+                        if best is None or s > best:
+                            end = (s, count + 1, False)
+                    else:  # an unknown character stands by itself
+                        score += unknown
+                        if best is None or score > best:
+                            end = (score, count + (len(c.encode()) if as_bytes else not after_unknown), True)
+                    if stored:
+                        node = child[key] = len(values)
+                        values.append(end)
+                else:
+                    node, end = found, values[found]
+                nodes.append(node)
+                path.append(end)
+            out.append(path[size][1])
+            # a word that isn't stored leaves no nodes to go on from
+            before = text if stored else ""
+            if not stored:
+                nodes, path = [0], [values[0]]
+        return out
 
     def counts(self, batch: list[list[str]]) -> list[int]:
         """Tokens of each list of pre-tokens."""
@@ -102,10 +126,11 @@ class TrieCounter:
         if len(self.known) + len(new) > self.cache_words:
             self.known = {}
             new = {w for words in batch for w in words}
-        self.known.update((w, self.terminal(w)) for w in new)
+        fresh = sorted(new)
+        self.known.update(zip(fresh, self.terminals(fresh), strict=True))
         get = self.known.__getitem__
         out = [sum(map(get, words)) for words in batch]
-        for w in new:
+        for w in fresh:
             if len(w) > STORED_LENGTH:
                 del self.known[w]
         return out
