@@ -346,6 +346,17 @@ def test_quality_agrees_with_labels(spark):
     assert sum(r["kept"] == (r["label"] == 1) for r in rows) / len(rows) > 0.99
 
 
+def test_posteriors_hold_for_labels_that_the_fit_has_not_seen(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    found = quality.quality(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels=labels.where("doc_id % 2 = 0"))
+    rows = found.where("NOT base_failed").join(labels.where("doc_id % 2 = 1").select("doc_id", F.col("quality").alias("label")), "doc_id").collect()
+    assert sum(r["kept"] == (r["label"] == 1) for r in rows) / len(rows) > 0.97
+    # a posterior near 1 or 0 is right as often as it says
+    sure = [r for r in rows if abs(r["p_good"] - 0.5) > 0.45]
+    assert len(sure) > 0.8 * len(rows) and sum((r["p_good"] > 0.5) == (r["label"] == 1) for r in sure) / len(sure) > 0.97
+    assert len({round(r["p_good"], 6) for r in found.collect()}) > 8
+
+
 def test_posterior_of_planted_votes():
     before, weights = quality.fit([([1, 1, 0], 900), ([1, -1, 0], 40), ([-1, 1, 0], 50), ([0, 0, -1], 10)])
     assert before == 0 and all(w[-1] < -2 and 0 <= w[1] <= quality.GOOD_VOTE for w in weights)

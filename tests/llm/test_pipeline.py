@@ -22,7 +22,7 @@ def test_stages(spark):
         if len(after) < len(corpus_pipeline.STAGES):
             assert docs.columns == columns and docs.dtypes == before.dtypes
     good, single, clean, redacted, encoded = after
-    kept = {r["doc_id"] for r in quality.quality(before).collect() if r["kept"]}
+    kept = {r["doc_id"] for r in quality.quality(before, labels=spark.read.parquet(f"{DATA}/labels.parquet")).collect() if r["kept"]}
     assert {r["doc_id"] for r in good.collect()} == kept and kept
     heads = {r["component_id"] for r in simhash.near_duplicates(good).collect()}
     assert {r["doc_id"] for r in single.collect()} == heads and len(heads) < len(kept)
