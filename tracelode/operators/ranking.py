@@ -34,6 +34,7 @@ def with_groups(ranked: DataFrame, score: str = "score") -> DataFrame:
 def numbered(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
     """df with each row's place (from 1) in the given order.  Rows are dealt by ranges and sorted inside of them; only the number of
     rows in each range (a row a partition) is added up in one place."""
+    df = staged(df, "unnumbered")  # ranges are found by a pass of their own
     ranged = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
     rows = staged(ranged.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("__row", 33)
