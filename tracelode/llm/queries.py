@@ -1,4 +1,4 @@
-"""The queries of this subpackage: op1 to op10 and the pipeline, by name."""
+"""The queries of this subpackage: op1 to op13, by name."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, pii, quality, secrets, sentencepiece_codec, simhash, suffix_dedup, token_counts, token_files
+from . import chat_format, decontaminate, html_extract, periodic_runs, pii, quality, secrets, sentencepiece_codec, simhash, spelling, suffix_dedup, token_counts, token_files
 from .common import table
 
 #: Tokenizer files of the installed package; another deployment passes its own paths to the operators.
@@ -64,9 +64,55 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with one code point deleted in every 31st (document, word), by a checksum, so that there are variants to find."""
+    runs = spelling.letter_runs(table(spark, sf_dir, "documents"), least=7)
+    h = F.crc32(F.concat(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(":"), "run"))
+    at = (h % F.length("run")).cast("int")
+    word = F.when(h % 31 == 0, F.concat(F.left("run", at), F.substring("run", at + 2, F.length("run")))).otherwise(F.col("run"))
+    return spelling.group(spelling.vocabulary(runs.select(word.alias("word")), min_length=7, min_count=2), ratio=10)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text; in one document of ten, by a checksum of its id, the words from a place on repeat with a period."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10), F.size("ws")
+    docs = docs.withColumn("ws", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)))
+    docs = docs.withColumn("a", F.when(n > 0, (g % n).cast("int"))).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    planted = F.concat(F.slice("ws", 1, F.col("a")), F.transform(F.sequence(F.col("a"), n - 1), lambda i: F.get("ws", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    docs = docs.select("doc_id", F.when(n > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs.runs(docs)
+    # exact order of length / period: both fit in 63 bits when multiplied by the other's period
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda x, y: F.when(y["length"] * x["period"] > x["length"] * y["period"], y).otherwise(x))
+    written = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.withColumn("best", best).withColumn("written", F.when(F.size("runs") > 0, F.concat(written, F.lit("\n"))).otherwise(F.lit("")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2("written", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts are control strings, formatted, written, read back and digested."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    folder = chat_format.write(rows.union(tricky))
+    return chat_format.digests(chat_format.read(spark.read.parquet(folder)))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scans, op2_suffix_dedup, op3_pii, op4_html_extraction, op5_quality_rules, op6_token_counts, op7_decontamination, op8_sentencepiece, op9_token_files, op10_simhash)
+    for f in (
+        op1_secret_scans, op2_suffix_dedup, op3_pii, op4_html_extraction, op5_quality_rules, op6_token_counts, op7_decontamination, op8_sentencepiece, op9_token_files, op10_simhash,
+        op11_spelling_groups, op12_periodic_runs, op13_chat_formatting,
+    )
 }
 
 #: SQL can't express XXH64 fingerprints, tokenizers, inferred automata, boosted trees, the posterior of votes or tree scoring.
