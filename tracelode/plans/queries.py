@@ -879,9 +879,9 @@ def method_profiles(spark: SparkSession, d: str) -> DataFrame:
     return found.select("exec_id", "func_name", F.size("inputs").cast("long").alias("n_inputs"), F.array_join("outputs", ",").alias("outputs"))
 
 
-@query("select distinct user_id exec_id, event_type || ':' || cast(cast(value as int) as varchar) as position, event_type fn_name, 0 bbid from events where value > 150")
+@query("select distinct user_id exec_id, event_type || ':' || cast(cast(floor(value + 0.5) as int) as varchar) as position, event_type fn_name, 0 bbid from events where value > 150")
 def run_failures(spark: SparkSession, d: str) -> DataFrame:
     """The failures that runs report, each position once."""
     e = table(spark, d, "events")
-    reported = e.select(F.col("user_id").alias("exec_id"), F.when(F.col("value") > 150, "fail").otherwise("block").alias("kind"), F.concat("event_type", F.lit(":"), F.round("value").cast("int").cast("string")).alias("position"), F.col("event_type").alias("fn_name"), F.lit(0).alias("bbid"))
+    reported = e.select(F.col("user_id").alias("exec_id"), F.when(F.col("value") > 150, "fail").otherwise("block").alias("kind"), F.concat("event_type", F.lit(":"), F.floor(F.col("value") + 0.5).cast("int").cast("string")).alias("position"), F.col("event_type").alias("fn_name"), F.lit(0).alias("bbid"))
     return flows.failures(reported)
