@@ -252,16 +252,56 @@ SENTENCES = [
 ]
 
 
-def test_boosted_trees_on_sentences_that_no_template_made(spark):
-    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(SENTENCES)], SCHEMA)
+#: Personal and harmless numbers side by side; written by hand, from no template of the labelled rows.
+MIXED = [
+    ("ssn 123-45-6789, order 12345678", ["123-45-6789"]),
+    ("call 555-123-4567, invoice 20241011", ["555-123-4567"]),
+    ("my passport is 123456789 and ticket 98765432", ["123456789"]),
+    ("phone 0301 234567, population 83000000", ["0301 234567"]),
+    ("Invoice 20240117 was sent; call 555-201-3344 with questions.", ["555-201-3344"]),
+    ("Her phone is (555) 201-3344 and the order is 88412003.", ["(555) 201-3344"]),
+    ("Order 55120034, item 7781234, phone 555-867-5309.", ["555-867-5309"]),
+    ("The serial 99120034 belongs to the patient with SSN 219-09-9999.", ["219-09-9999"]),
+    ("Tel. 030 1234567 (office), invoice 2024001234", ["030 1234567"]),
+    ("passport 533401987, issue 20190412", ["533401987"]),
+    ("model 4455667788 costs as much as model 4455667799", []),
+    ("page 1234567, chapter 7654321, version 10203040", []),
+    ("IBAN DE89 3704 0044 0532 0130 00, invoice 20240131", ["DE89 3704 0044 0532 0130 00"]),
+    ("Invoice 20240131 goes to account 1234567890.", ["1234567890"]),
+    ("ticket 20240131; mail sam.roe (at) example (dot) net", ["sam.roe (at) example (dot) net"]),
+    ("call 5551234567 or 5559876543, code 44556677", ["5551234567", "5559876543"]),
+    ("lot 20231107 and lot 20231108 were recalled", []),
+    ("Over 12000000 people and 34000000 trees", []),
+    ("my mobile is 0171 2345678; the room code is 4455667", ["0171 2345678"]),
+    ("driver license 812345678, invoice 44120098", ["812345678"]),
+    ("insurance 123456789, year 2019-2020, page 1234567", ["123456789"]),
+    ("Part 123-456-7890 replaces part 123-456-7891.", []),
+    ("fax 555-444-3322, isbn 978-3-16-148410-0", ["555-444-3322"]),
+    ("isbn 978-3-16-148410-0, phone 555-444-3322", ["555-444-3322"]),
+    ("order 4455667788 from 555-44-3322? No: ssn 555-44-3322.", ["555-44-3322", "555-44-3322"]),
+    ("On 2024-10-11 the invoice 44556677 was paid from konto 12345678.", ["12345678"]),
+    ("The population rose from 8000000 to 9000000 in 1990-2020.", []),
+    ("whatsapp 0151 23456789, item 5566778", ["0151 23456789"]),
+    ("tax 123456789 / order 987654321", ["123456789"]),
+    ("about 7500000 rows; call me at 555-777-8899", ["555-777-8899"]),
+    ("pi is 3.14159265, his ssn is 078-05-1120, e is 2.718281828", ["078-05-1120"]),
+    ("version 1.22.333.4444, tel 030 7654321", ["030 7654321"]),
+    ("invoice 11223344, invoice 22334455, invoice 33445566", []),
+    ("bank account 9988776655 and ticket 5544332", ["9988776655"]),
+]
+
+
+@pytest.mark.parametrize(("sentences", "most_wrong"), [(SENTENCES, 0), (MIXED, 0.1)])
+def test_boosted_trees_on_sentences_that_no_template_made(spark, sentences, most_wrong):
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(sentences)], SCHEMA)
     right = found = wrong = 0
     for r in pii.find(docs).collect():
-        text, expected = SENTENCES[r["doc_id"]]
+        text, expected = sentences[r["doc_id"]]
         got = [text[int(s) : int(e)] for k, s, e in (x.split(":") for x in r["spans"].split(",") if x) if k in ("mail", "account", "number")]
         found += len(expected)
         right += len((Counter(got) & Counter(expected)).values()) and sum((Counter(got) & Counter(expected)).values())
         wrong += sum((Counter(got) - Counter(expected)).values())
-    assert right >= 0.9 * found and wrong == 0
+    assert right >= 0.9 * found and wrong <= most_wrong * (right + wrong)
 
 
 def test_very_long_text_of_numbers_and_mails(spark):

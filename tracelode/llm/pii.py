@@ -2,7 +2,7 @@
 
 Fixed patterns give the base spans.  In what they leave, generators of high recall propose overlapping candidates (written-out
 mail addresses, account numbers, and several shapes of digit groups, so that a run of groups is proposed in parts as well);
-boosted trees look at each candidate's format and at the words in up to ``AROUND`` characters on both sides of it.  Those whose
+boosted trees look at each candidate's format and at the nearest context words in up to ``AROUND`` characters on both sides of it.  Those whose
 margin reaches a threshold calibrated on held-out rows are personal; of overlapping ones the best-scoring stays.
 
 The trees are trained once a process on generated labelled rows (``labelled_examples``: ``ROWS`` rows from fixed
@@ -29,8 +29,8 @@ from .quality import let
 
 #: Labelled rows generated for training, and for calibration, and the precision that the threshold must reach on the latter.
 ROWS, HELD_OUT, PRECISION = 1500, 700, 0.99
-#: Characters on each side of a candidate in which context words count, and before it those that are near.
-AROUND, NEAR = 64, 24
+#: Characters on each side of a candidate in which context words count.
+AROUND = 64
 #: Elements of an array that one step of a running sum goes over.
 BLOCK = 128
 
@@ -54,16 +54,21 @@ GENERATORS = (
     ("number", r"(?<![A-Za-z0-9])[0-9]{1,5}(?:[\x20.-][0-9]{2,6}){1,5}+(?![A-Za-z0-9])", _DIGITS),
 )
 KINDS = ("email", "ip", "card", "phone", "mail", "account", "number")
-_CONTEXT = (
-    r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp|telefon|handy|tél|téléphone|móvil|teléfono|text me)\b",
-    r"(?i)\b(?:ssn|social security|passport|driver|license|licence|taxpayer|tax|patient|insurance|nif|dni|ausweis|reisepass|pasaporte|passeport)\b",
-    r"(?i)\b(?:account|acct|iban|bank|card|konto|cuenta|compte)\b",
-    r"(?i)\b(?:mail|e-mail|contact|write|reach|kontakt|contacto)\b",
-    r"(?i)\b(?:order|invoice|version|page|chapter|isbn|part|model|model no|serial|population|year|ticket|issue|code|lot|item|about|some|over)\b",
-)
+#: Context words by what they speak of.
+_CONTEXT = {
+    "phone": "phone|tel|telephone|call|mobile|cell|fax|whatsapp|telefon|handy|tél|téléphone|móvil|teléfono|text me|reach (?:me|us|him|her|them) (?:at|on)",
+    "identity": "ssn|social security|passport|driver|license|licence|taxpayer|tax|patient|insurance|nif|dni|ausweis|reisepass|pasaporte|passeport",
+    "bank": "account|acct|iban|bank|card|konto|cuenta|compte",
+    "mail": "mail|e-mail|contact|write|reach|kontakt|contacto",
+    "other": "order|invoice|version|page|chapter|isbn|part|model|model no|serial|population|year|ticket|issue|code|lot|item|about|some|over|room|row|batch|shipment|receipt|case|section",
+}
+_ANY = "|".join(_CONTEXT.values())
+#: The text from the last context word on; up to the end of the first one.
+_LAST, _FIRST = rf"(?is)^.*\b((?:{_ANY})\b.*)$", rf"(?is)^.*?\b({_ANY})\b"
 _ENDING = r"(?i)\b(?:com|org|net|edu|gov|info|io|co|eu|de|at|ch|fr|es|it|uk|us)$"
-_WORDS = ("phone", "identity", "bank", "mail", "other")
-FEATURES = ("kind", "length", "digits", "letters", "separators", "groups", "spaces", "dots", "first_group", "last_group", "digits_beside", "known_ending", *(f"{w}_{where}" for where in ("near", "before", "after") for w in _WORDS))
+FEATURES = (
+    "kind", "length", "digits", "letters", "separators", "groups", "spaces", "dots", "first_group", "last_group", "digits_beside", "known_ending", "gap", "digits_between", *(f"{w}_{where}" for where in ("before", "after") for w in _CONTEXT)
+)
 
 
 def running_sums(values: Column) -> Column:
@@ -148,18 +153,24 @@ def _where(cheap: Column, found: Column, kind: str = _PLAIN) -> Column:
 
 
 def feature_columns(kind: Column, m: Column, before: Column, after: Column) -> list[Column]:
-    """Format and context features of a candidate, in the order of FEATURES.  Context doesn't reach over the end of a sentence or line."""
+    """Format and context features of a candidate, in the order of FEATURES.
+
+    Context is the nearest context word: the last one before the candidate in its sentence and line, with how far back it is and whether
+    digits lie between (then it may speak of another number), and the first one after it, before any digit, comma or semicolon.
+    """
 
     def count(pattern: str) -> Column:
         return F.length(F.regexp_replace(m, f"[^{pattern}]", ""))
 
     sentence = F.regexp_replace(before, r"(?s)^.*(?:[!?\n]|\.\s++(?=\p{Lu}))", "")
-    rest = F.regexp_replace(after, r"(?s)(?:[!?\n]|\.\s++(?=\p{Lu})).*$", "")
-    near = F.right(sentence, F.lit(NEAR))
+    rest = F.regexp_replace(after, r"(?s)(?:[!?\n,;0-9]|\.\s++(?=\p{Lu})).*$", "")
+    told, named = F.regexp_extract(sentence, _LAST, 1), F.regexp_extract(rest, _FIRST, 1)
     digit_groups = F.split(F.regexp_replace(m, r"^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", ""), r"[^0-9A-Za-z]+")
     return [
         *(x.cast("double") for x in (kind, F.length(m), count("0-9"), count("A-Za-z"), count(r"\x20().-"), F.size(digit_groups), count(r"\x20"), count("."), F.length(F.get(digit_groups, F.lit(0))), F.length(F.get(digit_groups, F.size(digit_groups) - 1)), F.regexp_like(before, F.lit(r"[0-9][\x20.-]$")).cast("int") + F.regexp_like(after, F.lit(r"^[\x20.-][0-9]")).cast("int"), F.regexp_like(m, F.lit(_ENDING)).cast("int"))),
-        *(F.regexp_like(where, F.lit(p)).cast("double") for where in (near, sentence, rest) for p in _CONTEXT),
+        F.length(told).cast("double"),
+        F.regexp_like(told, F.lit("[0-9]")).cast("double"),
+        *(F.regexp_like(where, F.lit(rf"(?i)^(?:{p})\b")).cast("double") for where in (told, named) for p in _CONTEXT.values()),
     ]
 
 
@@ -230,7 +241,24 @@ def labelled_examples(rows: int = ROWS, held_out: bool = False) -> list[tuple[in
         lambda: (number, r.choice([f"{d(4)} {d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(4)} {d(4)} {d(4)}", d(8)]), f"{some(1, 5)}{d(r.randint(2, 6))} ", tail()),
         lambda: (number, r.choice([f"{d(4)} {d(4)}", f"{d(2)} {d(3)} {d(4)}", f"{d(4)} {d(4)} {d(4)}", d(9)]), some(1, 6), f" {d(r.randint(2, 6))} " + some(0, 4)),
     ]
-    return [(*make(), label) for k in range(rows // 2) for label, makes in ((1.0, personal), (0.0, harmless)) for make in [makes[k % len(makes)]]]
+    words = phone + identity + bank + other
+    clause = lambda: f"{r.choice(words)}{link()}{r.choice([d(8), d(9), d(10), d(6), f'{d(3)}-{d(2)}-{d(4)}', r.choice(phones)()])}"
+    joints = [" or ", " / ", " while "] if held_out else [", ", "; ", " and ", ", and "]
+
+    def beside(kind: int, m: str, before: str, after: str) -> tuple[int, str, str, str]:
+        """Half of the rows stand in a sentence with other numbers, of which context words speak that say nothing of this one."""
+        if r.random() < 0.5:
+            before = some(0, 2) + clause() + r.choice(joints) + before
+        if r.random() < 0.5:
+            after = r.choice(joints) + clause() + r.choice(["", ".", " "])
+        return kind, m, before, after
+
+    def made(make: Callable[[], tuple]) -> tuple[int, str, str, str]:
+        row = make()
+        # a word behind the candidate that the row relies on stays there
+        return row if row[3][:1] == " " and re.search(_FIRST, row[3]) or r.random() < 0.3 else beside(*row)
+
+    return [(*made(make), label) for k in range(rows // 2) for label, makes in ((1.0, personal), (0.0, harmless)) for make in [makes[k % len(makes)]]]
 
 
 @lru_cache(maxsize=1)
