@@ -332,6 +332,29 @@ def test_main_text_of_pages():
     assert html_extract.main_text(page) == "Title & more\nSome long text, of a story, with commas. And more.\nUnclosed bold\nShort."
 
 
+BAD_NAMES = """post-comments article-comments entry-comments content-sidebar blog-sidebar main-nav main-menu post-navigation article-ad content-ad content-promo
+    article-share post-share story-footer main-footer post-related discussion thread responses feedback talkback toc adslot comments ad sidebar ad-slot postComments articleAd
+    post_comments post__comments comments--open main-header entry-meta blog-newsletter content-advertisement""".split()
+GOOD_NAMES = "post-content article-body entry-content story-text main-content content has-sidebar with-comments blog-post text post comments-open-post no-ads".split()
+
+
+@pytest.mark.parametrize("where", ["inside", "beside", "around lists"])
+def test_names_of_boilerplate_win_over_names_of_what_it_belongs_to(where):
+    body = "".join(f"<p>Paragraph {k} of a story, with commas, and with some more words in it.</p>" for k in range(4))
+    lines = re.findall("<p>(.*?)</p>", body)
+    for name in BAD_NAMES:
+        inner = "<p>First, said a reader, who had read, all of it, and more, than that.</p>" * 3
+        block = f"<div class='{name}'>{inner if where != 'around lists' else '<ul><li>' + inner + '</li><li>' + inner + '</li></ul>'}</div>"
+        page = f"<article><h1>Title</h1>{body}{block}</article>" if where != "beside" else f"<div id=page><article><h1>Title</h1>{body}</article>{block}</div>"
+        assert html_extract.main_text(page).split("\n") == ["Title", *lines], name
+    for name in GOOD_NAMES:
+        page = f"<div><nav><a href=/>home</a></nav><div class='{name}'><h1>Title</h1>{body}</div></div>"
+        assert html_extract.main_text(page).split("\n") == ["Title", *lines], name
+        page = f"<article><h1>Title</h1><div class='{name}'>{body}</div></article>"
+        assert html_extract.main_text(page).split("\n") == ["Title", *lines], name
+    assert html_extract.main_text(f"<form><div class=thread><h1>Title</h1>{body}</div></form>").split("\n") == ["Title", *lines]
+
+
 @pytest.mark.parametrize("n", [2, 15, 200])
 def test_nested_layouts_keep_title_and_lead_whatever_the_length(n):
     lines = [f"Paragraph {k} of a story, with commas, and with some more words in it." for k in range(n)]

@@ -55,9 +55,12 @@ _BAD_WORDS = re.compile(
     re.I,
 )
 _BAD_CONTAINERS = re.compile(
-    r"(?:^|[\s_-])(?:banner|notice|overlay|share|replies|reply|side|aside|widget|crumbs|foot|header|related|recommend\w*|skip|search|tags?|meta|byline|copyright|legal|disclaimer)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:banner|notice|overlay|share|replies|reply|side|aside|widget|crumbs|foot|header|related|recommend\w*|skip|search|tags?|meta|byline|copyright|legal|disclaimer|discussion|thread|responses?|feedback|talkback|toc|ad-?(?:slot|box|unit|block|wrap\w*))(?=$|[\s_-])",
     re.I,
 )
+#: A word that says what is beside or in the element, not what it is: its own name goes no further.
+_LAYOUT = re.compile(r"^(?:has|with|without|no|is|not|show|hide|layout|template)[_-]", re.I)
+_CAPITAL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _GOOD_WORDS = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|blog|hentry|prose)(?=$|[\s_-])", re.I)
 #: Points of a semantic container, the share of the best score from which a sibling is kept, and the points that do whatever the best score is.
 SEMANTIC, SIBLING, ENOUGH = 25.0, 0.2, 25.0
@@ -76,6 +79,7 @@ class Node:
     hidden: bool = False
     parent: Node | None = None
     inside: bool = False  # of an article or main element
+    holds: bool = False  # a main element or a first heading
     kids: list = field(default_factory=list)  # of Node and str
     points: float = 0.0
     chars: int = 0
@@ -96,6 +100,10 @@ class Tree:
     def start(self, node: Node, empty: bool) -> None:
         node.parent, node.inside = self.at, self.at.inside or self.at.tag in ("article", "main")
         self.at.kids.append(node)
+        if node.tag in ("main", "h1"):
+            above = self.at
+            while above is not None and not above.holds:
+                above.holds, above = True, above.parent
         if not empty:
             self.at = node
             self.open[node.tag] = self.open.get(node.tag, 0) + 1
@@ -156,13 +164,35 @@ def parse(page: str) -> Node:
 
 def boilerplate(n: Node) -> bool:
     if n.hidden or n.tag in _BOILERPLATE or n.role in _ROLES:
-        # an article's own header holds its title
-        return not (n.tag == "header" and not n.hidden and n.inside)
-    return bool(n.names and n.tag not in ("article", "main") and _bad(n) and not _GOOD_WORDS.search(n.names))
+        # an article's own header holds its title, and a form may stand around a whole page
+        return n.hidden or not ((n.tag == "header" and n.inside) or (n.tag == "form" and n.holds and not n.role))
+    if not n.names or n.tag in ("article", "main") or not _bad(n):
+        return False
+    # a bad word that ends a name says what the element is, whatever it belongs to: post-comments, main-nav, articleAd
+    if any(_names_bad(n, name) for name in n.names.split()):
+        return True
+    return not _GOOD_WORDS.search(n.names)
+
+
+def _names_bad(n: Node, name: str) -> bool:
+    if _LAYOUT.match(name):
+        return False
+    name = _CAPITAL.sub("-", name.split("--")[0].rstrip("_-"))
+    last = name.replace("_", "-").rsplit("-", 2)
+    return any(_bad_name(n, "-".join(last[-k:])) for k in (1, 2))
 
 
 def _bad(n: Node) -> bool:
-    return bool(_BAD_WORDS.search(n.names) or (n.tag not in _TEXTS and n.tag not in _INLINE and _BAD_CONTAINERS.search(n.names)))
+    """Whether a bad word stands in the element's own names, as they are written or with capitals as borders."""
+    names = " ".join(x for x in n.names.split() if not _LAYOUT.match(x))
+    return _bad_name(n, names) or _bad_name(n, _CAPITAL.sub("-", names))
+
+
+def _bad_name(n: Node, name: str) -> bool:
+    if _BAD_WORDS.search(name):
+        return True
+    # a paragraph or heading may be called so for its looks, and what holds the page's main element or first heading holds the article
+    return n.tag not in _TEXTS and n.tag not in _INLINE and not n.holds and bool(_BAD_CONTAINERS.search(name))
 
 
 def blocks(root: Node) -> list[tuple[Node, str, int]]:
