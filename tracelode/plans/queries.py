@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import SCORES
-from ..operators import cfg, clustering, embeddings, localisation, markov, minimise, mining, objects, points, ranking, support
-from ..sources import dot, simple
+from ..operators import causal, cfg, clustering, embeddings, localisation, markov, metric, minimise, mining, objects, points, ranking, support
+from ..sources import dot, profiles, simple
 from ..staging import new_path, staged
 from ..streaming import flows
 from . import traces
@@ -707,6 +707,71 @@ def collate_profiles(spark: SparkSession, d: str) -> DataFrame:
     return out.where(F.size("inputs") > 0).select("func_name", F.array_join("inputs", "\n").alias("inputs"), F.size("inputs").cast("long").alias("n_inputs"), F.size("outputs").cast("long").alias("n_outputs"))
 
 
+def _int_value(x: Column) -> Column:
+    """An integer spread over the range of its kind, so that its differences count beside other parameters."""
+    return F.to_json(F.struct((x.cast("decimal(20,0)") * F.lit(1 << 57).cast("decimal(20,0)")).cast("decimal(20,0)").alias("Val"), F.lit("IntValue").alias("JSONType")))
+
+
+def _value(x: Column, kind: str) -> Column:
+    return F.to_json(F.struct(x.alias("Val"), F.lit(kind).alias("JSONType")))
+
+
+def _object(**values: Column) -> Column:
+    return F.array(*(F.struct(F.lit(name).alias("Name"), F.parse_json(v).alias("Val")) for name, v in values.items()))
+
+
+def _part_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as individuals of their brand: size and type go in, a bin comes out."""
+    p = table(spark, d, "part")
+    profile = F.to_json(_object(size=_int_value(F.col("p_size")), kind=_value(F.col("p_type"), "StringValue")))
+    return p.select(F.col("p_brand").alias("func_name"), F.col("p_partkey").alias("id"), profile.alias("covariate"), (F.col("p_partkey") % 4).cast("int").alias("bin"), "p_size", "p_type")
+
+
+@query(
+    """with p as (select p_brand f, p_size s, p_type t, p_partkey % 4 b, min(p_partkey) id from part group by all), q as (select distinct f, s, t from p),
+ m as (select q.f, q.s, q.t, p.b, p.id, (abs(q.s - p.s)::double / 128 + (len(list_filter(range(1, least(len(q.t), len(p.t)) + 1), lambda k: q.t[k] != p.t[k])) + abs(len(q.t) - len(p.t)))::double / greatest(len(q.t), len(p.t))) / 2 d from q join p using (f))
+ select f func_name, s size, t kind, cast(b as int) bin, round(min(d), 9) + 0.0 distance, arg_min(id, (d, id)) id from m group by 1, 2, 3, 4"""
+)
+def nearest_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """The part of the same brand and of each bin whose nested profile is nearest, by pivots and the triangle inequality."""
+    people = _part_profiles(spark, d)
+    found = causal.matched(people).join(people.select("func_name", "covariate", "p_size", "p_type").distinct(), ["func_name", "covariate"])
+    return found.select("func_name", F.col("p_size").alias("size"), F.col("p_type").alias("kind"), "bin", rounded("distance").alias("distance"), "id")
+
+
+@query()
+def profile_medoids(spark: SparkSession, d: str) -> DataFrame:
+    """Each brand's part profiles in clusters around medoids of a metric without coordinates."""
+    values = _part_profiles(spark, d).groupBy(F.col("func_name").alias("g"), F.col("covariate").alias("v"), "p_size", "p_type").agg(F.count("*").alias("w"), F.min("id").alias("first"))
+    found = metric.k_medoids(values, 3, causal.decode, causal.profile_distance)
+    return found.join(values.select("g", "v", "p_size", "p_type"), ["g", "v"]).select(F.col("g").alias("func_name"), F.col("p_size").alias("size"), F.col("p_type").alias("kind"), "medoid", rounded("distance").alias("distance"))
+
+
+def _event_profiles(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Events as calls of their type in their user's week, written as two sets of profile files and read back: k goes in, the value's tens and whether
+    there are over ten of them come out."""
+    e = table(spark, d, "events")
+    e = e.withColumns({"graph_id": F.struct("user_id", F.date_trunc("week", "ts").alias("wk")), "tens": F.floor(F.col("value") / 10)})
+    k = F.variant_get(F.parse_json("props"), "$.k", "bigint")
+    calls = e.select("graph_id", "event_type", "event_id", _object(k=_int_value(k)).alias("i"), _object(tens=_int_value(F.col("tens")), many=_value(F.col("tens") > 10, "BoolValue")).alias("o"))
+    listed = calls.groupBy("graph_id", F.col("event_type").alias("func_name")).agg(F.array_sort(F.collect_list(F.struct("event_id", F.to_json("i").alias("i"), F.to_json("o").alias("o")))).alias("c"))  # the calls of one trace
+    back = lambda side: F.transform("c", lambda x: F.from_json(x[side], "array<struct<Name string, Val variant>>"))
+    rows = listed.select("graph_id", "func_name", back("i").alias("inputs"), back("o").alias("outputs")).join(traces.outcomes(e), "graph_id")
+    found = {}
+    for outcome in ("ok", "fail"):
+        path = new_path(spark, f"profiles-{outcome}")
+        profiles.write(rows.where(F.col("outcome") == outcome), path)
+        found[outcome] = profiles.read(spark, path)
+    return found
+
+
+@query()
+def causal_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Functions by the causal effect of what they return on whether runs fail, from files of failing and passing profiles."""
+    found = _event_profiles(spark, d)
+    return causal.localize(found["ok"], found["fail"], 10).withColumn("score", rounded("score"))
+
+
 # -- inputs and points
 
 
