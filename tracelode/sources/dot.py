@@ -1,18 +1,23 @@
-"""Graphviz profiles: each ``digraph`` is a graph, subgraphs inside it are skipped."""
+"""Graphviz profiles: each ``digraph`` is a graph, subgraphs inside it are skipped.
+
+A line that begins with ``digraph`` separates records, so files are read in byte ranges as in ``simple``; graphs that begin elsewhere stay in
+the record before.  A quoted text with such a line inside is an error, as its record ends in the middle of a graph.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .simple import files, quoted
+from ..staging import staged
+from .simple import Parsed, flattened, parsed, quoted, records
 
-VERTICES = "outcome string, graph_id string, vid string, label string, bbid int, fn_name string, position string, attrs map<string,string>"
-EDGES = "outcome string, graph_id string, src string, dst string, label string, traversed long"
+VERTICES = "vid string, label string, bbid int, fn_name string, position string, attrs map<string,string>"
+EDGES = "src string, dst string, label string, traversed long"
+START = "\ndigraph"
 _TOKEN = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:[^"\\]|\\.)*"|->|--|[{}\[\];,=]|[^\s{}\[\];,="-]+(?:-(?!>)[^\s{}\[\];,="-]*)*|-(?!>)[0-9.]+|#[^\n]*', re.S)
 
 
@@ -81,28 +86,19 @@ def parse(text: str) -> Iterator[tuple[int, dict[str, dict[str, str]], list[tupl
         number += 1
 
 
+def _graphs(text: str, first: bool) -> Parsed:
+    try:
+        for _, vs, es in parse(text if first else "digraph" + text):
+            name = {i: a.get("label", i) for i, a in vs.items()}
+            vertices = [(i, a.get("label", i), int(a.get("bbid", 0)), a.get("fn_name", ""), a.get("position", ""), a) for i, a in vs.items()]
+            yield vertices, [(name[s], name[d], a.get("label", ""), int(a.get("traversed", 1))) for s, d, a in es]
+    except IndexError:
+        raise ValueError(f"a graph does not end: {text[:80]}") from None
+
+
 def read(spark: SparkSession, path: str | list[str], outcome: str) -> tuple[DataFrame, DataFrame]:
     """vertices and edges of the profiles under path; a bbid that is no number is an error."""
-    found = files(spark, path)
-
-    def vertices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for p, text in zip(b["path"], b["content"], strict=True):
-                for n, vs, _ in parse(text):
-                    rows += [(outcome, f"{p}#{n}", i, a.get("label", i), int(a.get("bbid", 0)), a.get("fn_name", ""), a.get("position", ""), a) for i, a in vs.items()]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in VERTICES.split(", ")])
-
-    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for p, text in zip(b["path"], b["content"], strict=True):
-                for n, vs, es in parse(text):
-                    name = {i: a.get("label", i) for i, a in vs.items()}
-                    rows += [(outcome, f"{p}#{n}", name[s], name[d], a.get("label", ""), int(a.get("traversed", 1))) for s, d, a in es]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in EDGES.split(", ")])
-
-    return found.mapInPandas(vertices, VERTICES), found.mapInPandas(edges, EDGES)
+    return flattened(staged(parsed(records(spark.read, path, START), outcome, _graphs, VERTICES, EDGES), "profiles"))
 
 
 def lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,22 +1,30 @@
 """The simple text format of graph profiles: reading and writing.
 
 ``start-graph``, ``vertex<TAB>id, "label", bbid, "fn_name", "position"[, "duration"]``, ``edge<TAB>src, dst, count`` and
-``end-graph`` lines.  A graph is a run of lines, so a file is never split by line: a file is one row.  Ids hold within
-their graph; an edge that names an undeclared id is an error.
+``end-graph`` lines.  Ids hold within their graph; an edge that names an undeclared id is an error.
+
+Files are read by Spark's text source with the line that starts a graph as the separator of records.  So a file of any size is read in byte
+ranges by many tasks, a record is one graph, and a range that begins inside a graph leaves it to the range before.  (A file whose lines end
+otherwise than in a line feed is one record; compressed files aren't split.)  Records are parsed once, into a row a graph, and written to the shared
+folder, which vertices and edges are then read from.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
+
+from ..staging import staged
 
-#: graph_id is the file and the place of the graph in it.
-VERTICES = "outcome string, graph_id string, vid int, label string, bbid int, fn_name string, position string, duration string"
-EDGES = "outcome string, graph_id string, src string, dst string, traversed long"
+#: graph_id is the file and the place of the graph in it: its number, in a range that doesn't begin the file after where the range begins.
+VERTICES = "vid int, label string, bbid int, fn_name string, position string, duration string"
+EDGES = "src string, dst string, traversed long"
+START = "start-graph\n"
 
 
 def tokens(line: str) -> list[str]:
@@ -69,33 +77,59 @@ def parse(text: str) -> Iterator[tuple[int, list[tuple], list[tuple]]]:
             raise ValueError(f"no such kind of line: {kind}")
 
 
-def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """path, content of each file, in folders those at the top; compressed files by their suffix."""
-    raw = spark.read.option("recursiveFileLookup", "false").text(path, wholetext=True)
-    return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+def records(reader: DataFrameReader | DataStreamReader, path: str | list[str], separator: str) -> DataFrame:
+    """path, start, content: what lies between separators, and the byte at which its range of the file starts; in folders the files at the top."""
+    reader = reader.option("recursiveFileLookup", "false").option("lineSep", separator)
+    raw = reader.text(path)
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("content"))
 
 
-def read(spark: SparkSession, path: str | list[str], outcome: str) -> tuple[DataFrame, DataFrame]:
-    """vertices and edges (with labels for ids) of the profiles under path."""
-    found = files(spark, path)
+Parsed = Iterator[tuple[list[tuple], list[tuple]]]
 
-    def vertices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(outcome, f"{p}#{n}", *v) for p, text in zip(b["path"], b["content"], strict=True) for n, vs, _ in parse(text) for v in vs]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in VERTICES.split(", ")])
 
-    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def parsed(found: DataFrame, outcome: str, of: Callable[[str, bool], Parsed], vertices: str, edges: str) -> DataFrame:
+    """outcome, graph_id, vertices, edges, a row a graph.  of takes a record and whether it is the first of its file."""
+    names = lambda fields: [f.split()[0] for f in fields.split(", ")]
+    v, e = names(vertices), names(edges)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, number, first = None, 0, True
         for b in batches:
             rows = []
-            for p, text in zip(b["path"], b["content"], strict=True):
-                for n, vs, es in parse(text):
-                    label = {v[0]: v[1] for v in vs}
-                    if missing := [x for e in es for x in e[:2] if x not in label]:
-                        raise ValueError(f"graph {n} of {p} has an edge of undeclared vertex {missing[0]}")
-                    rows += [(outcome, f"{p}#{n}", label[s], label[d], t) for s, d, t in es]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in EDGES.split(", ")])
-
-    return found.mapInPandas(vertices, VERTICES), found.mapInPandas(edges, EDGES)
+            for p, start, text in zip(b["path"], b["start"], b["content"], strict=True):
+                if at != (p, start):
+                    at, number, first = (p, start), 0, start == 0
+                for vs, es in of(text, first):
+                    rows.append((outcome, f"{p}#{number}" if start == 0 else f"{p}#{start}+{number}", [dict(zip(v, x, strict=True)) for x in vs], [dict(zip(e, x, strict=True)) for x in es]))
+                    number += 1
+                first = False
+            yield pd.DataFrame(rows, columns=["outcome", "graph_id", "vertices", "edges"])
+
+    struct = lambda fields: "array<struct<" + ", ".join(f.replace(" ", ": ", 1) for f in fields.split(", ")) + ">>"
+    return found.mapInPandas(run, f"outcome string, graph_id string, vertices {struct(vertices)}, edges {struct(edges)}")
+
+
+def flattened(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges with the outcome and graph_id of each."""
+    return graphs.select("outcome", "graph_id", F.inline("vertices")), graphs.select("outcome", "graph_id", F.inline("edges"))
+
+
+def _graphs(text: str, first: bool) -> Parsed:
+    for n, vs, es in parse(text):
+        label = {v[0]: v[1] for v in vs}
+        if missing := [x for e in es for x in e[:2] if x not in label]:
+            raise ValueError(f"graph {n} of a record has an edge of undeclared vertex {missing[0]}")
+        yield vs, [(label[s], label[d], t) for s, d, t in es]
+
+
+def read(spark: SparkSession, path: str | list[str], outcome: str) -> tuple[DataFrame, DataFrame]:
+    """vertices and edges (with labels for ids) of the profiles under path."""
+    return flattened(staged(parsed(records(spark.read, path, START), outcome, _graphs, VERTICES, EDGES), "profiles"))
+
+
+def read_stream(spark: SparkSession, path: str, outcome: str) -> DataFrame:
+    """outcome, graph_id, vertices, edges: a stream of the graphs of files as they appear in a folder."""
+    return parsed(records(spark.readStream, path, START), outcome, _graphs, VERTICES, EDGES)
 
 
 def read_both(spark: SparkSession, failing: str | list[str], passing: str | list[str]) -> tuple[DataFrame, DataFrame]:
