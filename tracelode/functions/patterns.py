@@ -35,12 +35,18 @@ def _refined(colour: list, e: list[tuple[int, int, str]]) -> list[int]:
 
 
 def canonical(v: list[str], e: list[tuple[int, int, str]]) -> Pattern:
-    """The same pattern with vertices in canonical order: by label, then by what their neighbours are.  Where vertices are still alike,
-    each of the first alike ones is set apart in turn and the rest refined anew; the order with the smallest edge list wins.
+    """The same pattern in canonical form."""
+    return canonical_order(v, e)[0]
+
+
+def canonical_order(v: list[str], e: list[tuple[int, int, str]]) -> tuple[Pattern, list[int]]:
+    """The canonical form, and which vertex of the pattern stands in each of its places.
+
+    Vertices are ordered by label, then by what their neighbours are.  Where vertices are still alike, each of the first alike ones is set apart in turn and the rest refined anew; the order with the smallest edge list wins.
 
     The search is whole.  Of vertices that can be swapped without changing the pattern only one is set apart, so many alike ones cost no more.
     """
-    best: Pattern | None = None
+    best: tuple[Pattern, list[int]] | None = None
     edges = sorted(e)
 
     def swappable(a: int, b: int) -> bool:
@@ -57,7 +63,7 @@ def canonical(v: list[str], e: list[tuple[int, int, str]]) -> Pattern:
             order = sorted(range(len(v)), key=rank.__getitem__)
             place = {k: p for p, k in enumerate(order)}
             found = ([v[k] for k in order], sorted((place[s], place[t], label) for s, t, label in e))
-            best = found if best is None or found[1] < best[1] else best
+            best = (found, order) if best is None or found[1] < best[0][1] else best
             return
         tried: list[int] = []
         for k in alike:

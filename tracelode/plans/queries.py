@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import SCORES
-from ..operators import causal, cfg, clustering, embeddings, localisation, markov, metric, minimise, mining, objects, points, ranking, support
+from ..operators import causal, cfg, clustering, embeddings, lattice, localisation, markov, metric, minimise, mining, objects, points, ranking, support
 from ..sources import dot, profiles, simple
 from ..staging import new_path, staged
 from ..streaming import flows
@@ -493,6 +493,30 @@ def event_independent_support(spark: SparkSession, d: str) -> DataFrame:
     return embeddings.independent_support(embeddings.embeddings(_CLICK_VIEW, *_event_graph(spark, d))).withColumn("support", F.col("support").cast("long"))
 
 
+_PATHS = """st as (select ev.user_id, ev.wk, failed, ts, event_id e1, event_type t1, lead(event_id) over w e2, lead(event_type) over w t2, lead(event_id, 2) over w e3, lead(event_type, 2) over w t3
+   from ev join tr using (user_id, wk) window w as (partition by ev.user_id, ev.wk order by ts, event_id)),
+ lb as (select t1, count(*) n from st where failed = 0 group by 1), ed as (select t1, t2, count(*) n from st where failed = 0 and t2 is not null group by 1, 2),
+ p1 as (select t1, t2, least(count(distinct e1), count(distinct e2)) s from st where failed = 1 and t2 is not null group by 1, 2),
+ p2 as (select t1, t2, t3, least(count(distinct e1), count(distinct e2), count(distinct e3)) s from st where failed = 1 and t3 is not null group by 1, 2, 3),
+ l as (select t1 t, n from lb), pt as (
+  select t1 || ' -> ' || t2 as path, 1 n_edges, s, (select coalesce(sum(n), 0) from l where t = p1.t1) + (select coalesce(sum(n), 0) from l where t = p1.t2) + (select coalesce(sum(n), 0) from ed where ed.t1 = p1.t1 and ed.t2 = p1.t2) o, 3 size from p1
+  union all
+  select t1 || ' -> ' || t2 || ' -> ' || t3, 2, s, (select coalesce(sum(n), 0) from l where t = p2.t1) + (select coalesce(sum(n), 0) from l where t = p2.t2) + (select coalesce(sum(n), 0) from l where t = p2.t3)
+   + (select coalesce(sum(n), 0) from ed where ed.t1 = p2.t1 and ed.t2 = p2.t2) + (select coalesce(sum(n), 0) from ed where ed.t1 = p2.t2 and ed.t2 = p2.t3), 5 from p2 where exists (select 1 from p1 where p1.t1 = p2.t1 and p1.t2 = p2.t2 and p1.s >= 3) or exists (select 1 from p1 where p1.t1 = p2.t2 and p1.t2 = p2.t3 and p1.s >= 3))"""
+
+
+@query(f"{SQL}, {_PATHS} select path, n_edges, s support, round((s / nt::double) / (s / nt::double + o / nt::double / size), 9) + 0.0 score from pt, n where s >= 3")
+def repeated_label_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns of the event types that follow each other, which repeat in a trace, by image support: a trace is a chain, so patterns are paths."""
+    vertices, edges = _event_graph(spark, d)
+    found = lattice.mine(vertices, edges, "precision", max_edges=2, min_support=3, kind="image")
+    name = lambda k: F.get(F.col("v"), k)
+    one, two = F.get(F.col("e"), F.lit(0)), F.get(F.col("e"), F.lit(1))
+    step = lambda x, y: F.concat_ws(" -> ", name(x["s"]), name(x["t"]), name(y["t"]))
+    path = F.when(two.isNull(), F.concat_ws(" -> ", name(one["s"]), name(one["t"]))).when(one["t"] == two["s"], step(one, two)).otherwise(step(two, one))
+    return found.select(path.alias("path"), F.size("e").alias("n_edges"), "support", rounded("score").alias("score"))
+
+
 # -- evaluation
 
 
