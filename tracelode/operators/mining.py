@@ -100,12 +100,13 @@ def _once(edges: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
     return staged(edges.select("outcome", "graph_id", "src", "dst").distinct(), "edges"), staged(vertices.select("outcome", "graph_id", "label").distinct(), "vertices")
 
 
-def mine(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, min_edges: int = 1, k: int | None = None, improving: bool = False, timeout_s: float | None = None, true_prior: bool = False) -> DataFrame:
+def mine(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, min_edges: int = 1, k: int | None = None, improving: bool = False, timeout_s: float | None = None, true_prior: bool = False, start: DataFrame | None = None, stats: dict | None = None) -> DataFrame:
     """Scored patterns of min_edges to max_edges edges: pattern, labels, fail_graphs, ok_graphs, score, bound.
 
     With k, the k best ones (ties by pattern), and what can't reach the k-th score is not extended.  With improving,
     a pattern is extended only to patterns that score more.  A timeout ends the search after a level; the result so
-    far is returned.
+    far is returned.  start holds patterns that are known already, whose scores prune from the first level on.  stats, if given, gets the number of
+    patterns extended.
     """
     if max_edges < 1 or min_edges < 0 or min_fails < 1:
         raise ValueError("max_edges and min_fails start at 1, min_edges at 0")
@@ -113,7 +114,7 @@ def mine(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_e
     edges, vertices = _once(edges, vertices)
     totals = graph_totals(vertices)
     parts = staged(_part_counts(edges, vertices), "parts")
-    found: DataFrame | None = None
+    found = start
     level = one_edge(edges)
     previous: DataFrame | None = None
     for size in range(1, max_edges + 1):
@@ -132,13 +133,24 @@ def mine(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_e
             break
         alive = scored
         if k is not None and found is not None:
-            found = staged(found.orderBy(order_key(F.col("score")), _key(F.col("pattern"))).limit(k), "best")
-            worst = found.agg(F.count("*").alias("n"), F.min("score").alias("worst")).first()
-            if worst["n"] == k:
-                alive = scored.where(F.col("bound") >= worst["worst"])
+            found, alive = _best(found, k, scored)
+        if stats is not None:
+            stats["extended"] = stats.get("extended", 0) + alive.count()
         level = extend(level.join(alive.select("pattern"), "pattern", "left_semi"), edges)
     assert found is not None
-    return found.orderBy(order_key(F.col("score")), _key(F.col("pattern"))).limit(k) if k is not None else found
+    return _top(found, k) if k is not None else found
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    """The k best patterns, each once."""
+    return found.dropDuplicates(["pattern"]).orderBy(order_key(F.col("score")), _key(F.col("pattern"))).limit(k)
+
+
+def _best(found: DataFrame, k: int, scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The k best patterns so far, written, and those of scored that a better one may grow from."""
+    best = staged(_top(found, k), "best")
+    worst = best.agg(F.count("*").alias("n"), F.min("score").alias("worst")).first()
+    return best, scored.where(F.col("bound") >= worst["worst"]) if worst["n"] == k else scored
 
 
 def contains_pattern(edges: DataFrame, pattern: list[tuple[str, str]], graphs: DataFrame, missing: bool = False) -> DataFrame:
@@ -148,46 +160,78 @@ def contains_pattern(edges: DataFrame, pattern: list[tuple[str, str]], graphs: D
     return graphs.select("outcome", "graph_id").distinct().join(held, ["outcome", "graph_id"], "left_anti" if missing else "left_semi")
 
 
-def leap(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, k: int = 10, sigma: float = 0.01) -> DataFrame:
-    """Top-k with structural leaps: of patterns that share a parent, one whose failing and passing frequencies both differ
-    by less than sigma (2 d / (a + b)) from a smaller sibling's is not extended."""
+def leap(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, k: int = 10, sigma: float = 0.01, start: DataFrame | None = None, stats: dict | None = None) -> DataFrame:
+    """Top-k with structural leaps.
+
+    A pattern leaps to an extension of it if their failing and their passing frequencies both differ by less than sigma (2 d / (a + b)), the extension
+    scores no less, and the extension has another parent that comes before the pattern (by score, then pattern).  A pattern that leaps is
+    neither kept nor extended; what it leaps to is kept, whatever becomes of its parents.  The reference, which searches best first, leaps where such an
+    extension happens to have been visited; here it doesn't depend on the order of a search.  start and stats as in ``mine``.
+    """
     edges, vertices = _once(edges, vertices)
     totals = graph_totals(vertices)
     parts = staged(_part_counts(edges, vertices), "parts")
-    level, found = one_edge(edges), None
-    for size in range(1, max_edges + 1):
-        level = staged(level, "embeddings")
-        scored = staged(with_pattern_score(pattern_support(level, min_fails), parts, totals, name, max_edges, min_fails), "patterns")
-        found = scored if found is None else found.unionByName(scored)
-        if size == max_edges:
-            break
-        frequencies = scored.select("pattern", _key(F.col("pattern")).alias("key"), "fail_graphs", "ok_graphs", F.explode("pattern").alias("edge")).withColumn("parent", _key(F.array_remove(F.col("pattern"), F.col("edge"))))
-        w = Window.partitionBy("parent").orderBy("fail_graphs", "ok_graphs", "key")
 
-        def close(c: str) -> Column:
-            a, b = F.col(c).cast("double"), F.lag(c).over(w).cast("double")  # noqa: B023
-            return F.when(a + b == 0, True).otherwise(2 * F.abs(a - b) / F.when(a + b != 0, a + b) < sigma)
-
-        leapt = frequencies.withColumn("near", F.coalesce(close("fail_graphs") & close("ok_graphs"), F.lit(False))).groupBy("pattern").agg(F.bool_and("near").alias("near")).where("near")
-        alive = scored.join(leapt, "pattern", "left_anti")
-        level = extend(level.join(alive.select("pattern"), "pattern", "left_semi"), edges)
-    return found.orderBy(order_key(F.col("score")), _key(F.col("pattern"))).limit(k)
+    def patterns(level: DataFrame) -> DataFrame:
+        return staged(with_pattern_score(pattern_support(level, min_fails), parts, totals, name, max_edges, min_fails, keep_parts=True), "patterns")
 
-
-def halving_leap(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, k: int = 10, sigma: float = 0.01, settled: float = 0.01) -> DataFrame:
+    level = staged(one_edge(edges), "embeddings")
+    scored, found = patterns(level), start
+    for size in range(1, max_edges + 1):
+        now = scored.drop("parts_ok")
+        before = now if found is None else found.unionByName(now)
+        if size == max_edges:
+            return _top(before, k)
+        _, alive = _best(before, k, scored)
+        if stats is not None:
+            stats["extended"] = stats.get("extended", 0) + alive.count()
+        grown = staged(extend(level.join(alive.select("pattern"), "pattern", "left_semi"), edges), "embeddings")
+        kids = patterns(grown)
+        jumps = staged(_jumps(alive, kids, sigma), "jumps")
+        gone = jumps.where("leaps").select(F.col("parent").alias("pattern")).distinct()
+        if stats is not None:
+            stats["leapt"] = stats.get("leapt", 0) + gone.count()
+        found = staged(before.join(gone, "pattern", "left_anti"), "found")
+        # a kid stays if a pattern leaps to it or some parent of it stays
+        held = jumps.join(gone.select(F.col("pattern").alias("parent"), F.lit(True).alias("gone")), "parent", "left").where(F.col("leaps") | F.col("gone").isNull()).select("pattern").distinct()
+        scored, level = staged(kids.join(held, "pattern", "left_semi"), "patterns"), grown
+    raise ValueError("max_edges starts at 1")
+
+
+def _jumps(parents: DataFrame, kids: DataFrame, sigma: float) -> DataFrame:
+    """pattern, parent, leaps for each parent of each kid."""
+    freq = lambda df: df.withColumn("o", F.col("parts_ok") / (F.size("pattern") + F.size("labels")))
+    mine = freq(kids).select("pattern", "fail_graphs", "o", "score", F.explode("pattern").alias("edge")).withColumn("parent", F.array_remove(F.col("pattern"), F.col("edge")))
+    of = freq(parents).select(F.col("pattern").alias("parent"), F.col("fail_graphs").alias("parent_fails"), F.col("o").alias("parent_o"), F.col("score").alias("parent_score"))
+    pairs = mine.join(of, "parent")
+    order = [order_key(F.col("parent_score")), _key(F.col("parent"))]
+    first = F.row_number().over(Window.partitionBy("pattern").orderBy(*order)) == 1  # a pattern has at most as many parents as edges
+
+    def near(a: str, b: str) -> Column:
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        return F.when(x + y == 0, True).otherwise(2 * (x - y) / F.when(x + y != 0, x + y) < sigma)
+
+    leaps = ~first & near("parent_fails", "fail_graphs") & near("parent_o", "o") & (order_key(F.col("score")) <= order_key(F.col("parent_score")))
+    return pairs.select("pattern", "parent", leaps.alias("leaps"))
+
+
+def halving_leap(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, k: int = 10, sigma: float = 0.01, settled: float = 0.01, stats: dict | None = None) -> DataFrame:
     """Leaps at a support that is halved, from all failing graphs on, until the sum of the k best scores moves by no more than
-    ``settled`` or the support is down at min_fails; then a pass without leaps at min_fails, which can't end below what was found."""
+    ``settled`` or the support is down at min_fails; then a pass without leaps at min_fails.  Each pass starts from the best patterns of the one before,
+    whose k-th score prunes it from its first level on.  stats gets the number of patterns that the last pass extends."""
     edges, vertices = _once(edges, vertices)
     fails = graph_totals(vertices).first()["fail_total"]
     share, before, now = 1.0, -math.inf, math.inf
+    best: DataFrame | None = None
     while True:
         support = max(1, min_fails, int(share * fails))
-        found = leap(edges, vertices, name, max_edges, support, k, sigma)
-        before, now = now, found.agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("s")).first()["s"]
+        best = staged(leap(edges, vertices, name, max_edges, support, k, sigma, best), "best")
+        before, now = now, best.agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("s")).first()["s"]
         if support <= min_fails or abs(now - before) <= settled:
             break
         share /= 2
-    return mine(edges, vertices, name, max_edges, min_fails, k=k)
+    # what a pass of higher support says of the most that may grow from a pattern holds for that support only
+    return mine(edges, vertices, name, max_edges, min_fails, k=k, start=best, stats=stats)
 
 
 class _Climb:

@@ -19,30 +19,51 @@ def order_key(score: Column) -> Column:
 
 def tie_groups(ranked: DataFrame, score: str = "score") -> DataFrame:
     """One row a distinct score: order_key, score_group (from 1), size, before (rows in earlier groups)."""
-    groups = ranked.groupBy(order_key(F.col(score)).alias("order_key")).agg(F.count("*").alias("size"))
-    w = Window.orderBy("order_key")
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return groups.select("order_key", F.row_number().over(w).alias("score_group"), "size", before.alias("before"))
+    groups = staged(ranked.groupBy(order_key(F.col(score)).alias("order_key")).agg(F.count("*").alias("size")), "groups")
+    ranged = _ranged(groups, "order_key")
+    inside = Window.partitionBy("part_of_range").orderBy("order_key")
+    sizes = ranged.groupBy("part_of_range").agg(F.count("*").alias("n"), F.sum("size").alias("rows"))
+    earlier = Window.orderBy("part_of_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    bases = sizes.select("part_of_range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "rows")))
+    before = F.col("rows_before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    group = (F.col("n_before") + F.row_number().over(inside)).cast("int")
+    return ranged.join(F.broadcast(bases), "part_of_range").select("order_key", group.alias("score_group"), "size", before.alias("before"))
+
+
+def _ranged(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df, which is written already, in ranges of the order, with the number of its range in part_of_range; written."""
+    ranged = df.repartitionByRange(partitions(df.sparkSession), *order)
+    return staged(ranged.withColumn("part_of_range", F.spark_partition_id()), "ranged")
 
 
 def with_groups(ranked: DataFrame, score: str = "score") -> DataFrame:
     """ranked with score_group, size, before and mid_rank (rows in earlier groups plus half its group's)."""
-    keyed = ranked.withColumn("order_key", order_key(F.col(score)))
-    return keyed.join(tie_groups(ranked, score), "order_key").drop("order_key").withColumn("mid_rank", F.col("before") + F.col("size") / 2)
+    key = _fresh(ranked, "order_key")
+    keyed, groups = ranked.withColumn(key, order_key(F.col(score))), tie_groups(ranked, score)
+    return keyed.join(groups.withColumnRenamed("order_key", key), key).drop(key).withColumn("mid_rank", F.col("before") + F.col("size") / 2)
+
+
+def _fresh(df: DataFrame, base: str) -> str:
+    """base, or base with as many underscores as make it no column of df."""
+    names = {c.lower() for c in df.columns}
+    while base in names:
+        base += "_"
+    return base
 
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
     """df with each row's place (from 1) in the given order.  Rows are dealt by ranges and sorted inside of them; only the number of
     rows in each range (a row a partition) is added up in one place."""
     df = staged(df, "unnumbered")  # ranges are found by a pass of their own
+    row, part, n, ahead = (_fresh(df, c) for c in ("row_of_order", "part_of_order", "n_of_part", "n_ahead"))
     ranged = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
-    rows = staged(ranged.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("__row", 33)
-    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = F.broadcast(sizes.select("__part", before.alias("__before")))
-    inside = F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.withColumn("__part", part).join(bases, "__part").withColumn(name, (F.col("__before") + inside + 1).cast("long")).drop("__part", "__row", "__before")
+    rows = staged(ranged.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    of = F.shiftright(row, 33)
+    sizes = rows.groupBy(of.alias(part)).agg(F.count("*").alias(n))
+    before = F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = F.broadcast(sizes.select(part, before.alias(ahead)))  # a row a partition
+    inside = F.col(row).bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn(part, of).join(bases, part).withColumn(name, (F.col(ahead) + inside + 1).cast("long")).drop(part, row, ahead)
 
 
 def with_place(ranked: DataFrame, *ties: str, score: str = "score", name: str = "place") -> DataFrame:
