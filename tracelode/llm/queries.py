@@ -115,8 +115,36 @@ QUERIES = {
     )
 }
 
-#: SQL can't express XXH64 fingerprints, tokenizers, inferred automata, boosted trees, the posterior of votes or tree scoring.
+#: SQL can't express XXH64 fingerprints, tokenizers, inferred automata, boosted trees, the posterior of votes or tree scoring, and finds runs only by
+#: comparing all words with all periods.
 ORACLES: dict[str, str] = {
+    "op11_spelling_groups": r"""
+with recursive steps as (select i, 0 k, i::bigint c from range(256) t(i) union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from steps where k < 8),
+ tab as (select list(c order by i) t from steps where k = 8),
+ r0 as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) r from documents),
+ r1 as (select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') r, count(*) n from r0 where length(r) >= 7 group by 1, 2),
+ b as (select doc_id, r, n, hex(encode(doc_id || ':' || r)) x from r1),
+ h as (select doc_id, r, n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, i * 2 + 1, 2))::bigint)), lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1])), 4294967295::bigint) h from b, tab),
+ w0 as (select case when h % 31 = 0 then substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) else r end as word, n from h),
+ w as (select word, sum(n)::bigint n from w0 where length(word) >= 7 group by 1 having sum(n) >= 2),
+ p as (select word, n, unnest(range(1, length(word) + 1)) i from w),
+ holes as (select word, n, substr(word, 1, i - 1) || '_' || substr(word, i + 1) g from p),
+ less as (select distinct word, n, substr(word, 1, i - 1) || substr(word, i + 1) s from p),
+ near as (select a.word, b.word other, b.n m from holes a join holes b using (g) where a.word != b.word
+  union select l.word, w.word, w.n from less l join w on l.s = w.word union select w.word, l.word, l.n from less l join w on l.s = w.word),
+ best as (select word, count(*) n_near, max(m) m, arg_min(other, (-m, other)) form from near group by word),
+ f as (select w.word, w.n, coalesce(n_near, 0) n_near, case when m >= 10 * w.n then form end as form, case when m >= 10 * w.n then m end as form_n from w left join best using (word)),
+ up as (select word, word root, 0 depth from f union all select up.word, f.form, depth + 1 from up join f on up.root = f.word where f.form is not null)
+select f.word, form, root, n, n_near, form_n from f join (select word, arg_max(root, depth) root from up group by word) using (word)""",
+    "op13_chat_formatting": r"""
+with c as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ o as (select *, lag(r) over w last, row_number() over (w rows between unbounded preceding and unbounded following) k, lead(r) over w following from c window w as (partition by conv_id order by turn, r, t)),
+ e as (select *, length(t) + len(regexp_extract_all(t, '\\')) + len(regexp_extract_all(t, '</?s>|\[/?INST\]|<</?SYS>>|\[/?TURN\]|\[END\]')) body,
+   coalesce(last, 'start') = 'start' or (last = 'assistant' and r = 'user') opens,
+   case when last is null then r in ('system', 'user') else (last, r) in (('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) end in_order from o),
+ m as (select *, body + case when r = 'system' then 19 when r = 'user' then 15 when r = 'assistant' then 6 else length(r) + 18 end + case when opens and in_order then 3 else 0 end chars from e)
+select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by k)) turns_sha256, coalesce(sum(length(t)) filter (where r = 'assistant'), 0)::bigint loss_chars,
+ sha256(coalesce(string_agg(t, '' order by k) filter (where r = 'assistant'), '')) loss_sha256, sum(chars)::bigint formatted_chars, bool_and(in_order) and bool_or(following is null and r = 'assistant') as valid from m group by conv_id""",
     "op2_suffix_dedup": """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) h, octet_length(encode(coalesce(text, ''))) n from documents),
  s as (select doc_id, i, substr(h, i * 2 + 1, 100) w from (select doc_id, h, unnest(range(0, greatest(n - 49, 0))) i from d)),
