@@ -584,6 +584,17 @@ def test_contamination_without_documents_or_items(spark):
         assert decontaminate.remove_spans(documents(spark), none).count() == len(ODD)
 
 
+def test_blocks_of_items_are_bounded_whatever_their_lengths_and_ids(spark):
+    words = [f"w{k}" for k in range(5000)]
+    rows = [(None, " ".join(words))] + [(None, f"same id {k}") for k in range(300)] + [(f"i{k % 7}", " ".join(words[k : k + 37])) for k in range(200)] + [("e", ""), ("n", None)]
+    bench = spark.createDataFrame(rows, "item_id string, text string")
+    blocks = [b.collect() for b in decontaminate.blocks_of(bench, 10, 800)]
+    sizes = [sum(len(r["text"].split()) for r in b) for b in blocks]
+    assert max(sizes) <= 900 and len(blocks) > 10
+    windows = {(r["item_id"], tuple(w[k : k + 10])) for b in blocks for r in b for w in [r["text"].split()] for k in range(max(1, len(w) - 9))}
+    assert windows == {(i or "", tuple(w[k : k + 10])) for i, t in rows for w in [(t or "").split()] if w for k in range(max(1, len(w) - 9))}
+
+
 @pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 6])
 def test_spans_are_removed_and_covered_documents_go(spark, block_words):
     bench = spark.createDataFrame([("a", "one two three four five six seven eight nine ten eleven"), ("b", "not there"), ("c", "nor this")], "item_id string, text string")

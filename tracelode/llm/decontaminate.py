@@ -5,9 +5,9 @@ it a word at a time while the length of the longest suffix that occurs in an ite
 length reaches ``window`` (or covers a whole shorter item), the words are hit.  Only runs of words that
 all occur in some item are streamed: a match can't cross another word.
 
-Scale: documents are never shuffled.  The automaton is broadcast in blocks of at most ``BLOCK_WORDS`` item
-words (a proven bound, about 300 bytes a word); more items mean more passes, each adding its hits to those before in the
-shared folder, with one block's automaton alive at a time.
+Scale: documents are never shuffled.  The automaton is broadcast in blocks of at most 9/8 of ``BLOCK_WORDS`` item words (about 300 bytes a
+word), whatever the items' lengths and ids: long items are cut into pieces that overlap by window - 1 words, and pieces are packed by a running
+sum.  More items mean more passes, each adding its hits to those before in the shared folder, with one block's automaton alive at a time.
 
 Defined cases: null or empty text has no words and no hits; an item without words has no window; an item
 with a null id counts as id ''; items with equal ids are one item; repeated documents are each reported; no documents or
@@ -24,10 +24,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_list, fresh_name, map_batches, staged, texts
+from .common import as_list, fresh_name, map_batches, partitions, staged, texts
 
 #: Words of benchmark items in one automaton.
 BLOCK_WORDS = 1_000_000
@@ -155,12 +155,30 @@ class ItemAutomaton:
         return [tuple(r) for r in runs], items
 
 
-def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[DataFrame]:
-    """item_id and text of the items, in parts of at most about block_words words."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.length("text") / 2 + 1).alias("n")).first()["n"] or 0  # a word and its separator take two characters at least
-    blocks = max(1, int(-(-size // block_words)))
-    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [items]
+def pieces_of(benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """item_id, text, n: the items' words, cut into pieces of at most ``most`` words that overlap by window - 1, so that each window lies in one.
+    No piece of an item with a whole window is shorter than one."""
+    folded = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.regexp_extract_all(folded, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)).alias("w"))
+    n = F.size("w")
+    starts = F.when(n <= most, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - window, F.lit(most - window + 1)))
+    cut = items.where(n > 0).select("item_id", F.explode(starts).alias("s"), "w").select("item_id", F.slice("w", F.col("s") + 1, F.lit(most)).alias("w"))
+    return cut.select("item_id", F.array_join("w", " ").alias("text"), F.size("w").alias("n"))
+
+
+def blocks_of(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> list[DataFrame]:
+    """item_id and text of the items' pieces, in parts of at most 9/8 of block_words words: pieces of an eighth of that at most are packed by a
+    running sum, taken in ranges."""
+    most = max(block_words // 8, 2 * window)
+    pieces = staged(pieces_of(benchmark, window, most), "pieces")
+    ranged = staged(pieces.repartitionByRange(partitions(pieces.sparkSession), "item_id", "text").withColumn("part", F.spark_partition_id()), "pieces")
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("whole"))  # a row a partition
+    bases = sums.select("part", F.coalesce(F.sum("whole").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    packed = staged(ranged.join(F.broadcast(bases), "part").select("item_id", "text", F.floor(ahead / block_words).alias("block")), "packed")
+    last = packed.agg(F.max("block")).first()[0] or 0
+    return [packed.where(F.col("block") == k).select("item_id", "text") for k in range(last + 1)]
 
 
 def automaton_of(items: DataFrame, window: int):
@@ -172,7 +190,7 @@ def automaton_of(items: DataFrame, window: int):
 def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, scan: Callable[[DataFrame, object, bool], DataFrame]) -> DataFrame:
     """docs after scan(docs, automaton, whether it is the last) for each block of items.  All passes but the last are written to
     the shared folder, and their automaton is given up before the next one is built, so that one is alive at a time."""
-    parts = blocks_of(benchmark, block_words)
+    parts = blocks_of(benchmark, window, block_words)
     for part in parts[:-1]:
         automaton = automaton_of(part, window)
         docs = staged(scan(docs, automaton, False), "hits")
