@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches, texts
 
-#: Credentials generated for each label, background tokens ten times as many.
-PER_LABEL = 120
-#: Shortest candidate, in characters, and the share of credentials that calibration may miss.
-CANDIDATE, MISSED = 20, 0.02
+#: Credentials generated for each label, background tokens twenty times as many.
+PER_LABEL = 240
+#: Shortest candidate, in characters, and the shares of credentials and of background that calibration may take for the other.
+CANDIDATE, MISSED, MISTAKEN = 16, 0.02, 0.001
 #: Symbols of a token that take part in training; scoring takes all of them.
 TRAINED = 48
 ALPHA = 0.05
@@ -186,6 +186,9 @@ def labelled_examples(per_label: int = PER_LABEL, seed: int = 7) -> tuple[list[t
         "base64": lambda: some(b64, r.choice([32, 40, 43, 64])) + r.choice(["", "=", "=="]),
         "url_safe": lambda: some(alnum + "-_", r.choice([24, 32, 43])),
         "prefixed": lambda: r.choice(["ghp_", "gho_", "ghs_"]) + some(alnum, 36),
+        "named": lambda: some(lower, r.randint(2, 5)) + r.choice("_-") + some(alnum, r.randint(20, 40)),
+        "lower": lambda: some(lower + digits, r.choice([28, 32, 36, 40, 46])),
+        "short": lambda: some(alnum, r.randint(16, 22)),
         "chat": lambda: r.choice(["xoxb-", "xoxp-"]) + some(digits, 12) + "-" + some(digits, 12) + "-" + some(alnum, 24),
         "payment": lambda: r.choice(["sk_live_", "rk_live_", "sk_test_"]) + some(alnum, 24),
         "maps": lambda: "AIza" + some(alnum + "-_", 35),
@@ -193,7 +196,7 @@ def labelled_examples(per_label: int = PER_LABEL, seed: int = 7) -> tuple[list[t
         "hex_upper": lambda: some(digits + "ABCDEF", r.choice([32, 40, 64])),
     }
     syllables = ["the", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve"]
-    syllables += ["ch", "sch", "ge", "ung", "lich", "keit", "heit", "ein", "zu", "ver", "pf", "be", "au", "os", "mente", "ado", "tion", "ment", "eau", "que", "ier", "qu", "bl", "gr", "str", "om", "il", "up", "ck", "ow"]
+    syllables += ["ch", "sch", "ge", "ung", "lich", "keit", "heit", "ein", "zu", "ver", "pf", "be", "au", "os", "mente", "ado", "tion", "ment", "eau", "que", "ier", "qu", "bl", "gr", "str", "om", "il", "up", "ck", "ow", "ly", "sh", "th", "ing", "wh", "and", "est", "al", "per", "con", "dis", "able", "ive", "ous", "ia", "ne", "ri", "lo", "mi", "ga"]
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
     number = lambda: some(digits, r.randint(1, 12))
     background = [
@@ -203,15 +206,18 @@ def labelled_examples(per_label: int = PER_LABEL, seed: int = 7) -> tuple[list[t
         lambda: r.choice(["/", "www.", "v", "img_", "file-"]) + "/".join(word() for _ in range(3)) + r.choice([".html", ".png", "_v2", "-2024"]),
         lambda: r.choice(".-").join(number() for _ in range(r.randint(4, 8))),
         lambda: "".join(word().title() for _ in range(r.randint(4, 7))) + some(digits, r.randint(1, 4)),
+        lambda: "".join(r.choice([word().title, word().title, word, lambda: some(digits, r.randint(1, 4))])() for _ in range(r.randint(4, 8))),
+        lambda: r.choice(["", "i", "e"]) + "".join(word().title() + r.choice(["", "", some(digits, r.randint(1, 3)), r.choice(["GB", "XL", "HD", "API", "UI"])]) for _ in range(r.randint(3, 5))) + r.choice(["", some(digits, 4)]),
         lambda: r.choice("=-_./+") * r.randint(CANDIDATE, 2 * CANDIDATE),
         lambda: "".join(word() for _ in range(r.randint(4, 9))),
         lambda: "".join(word() for _ in range(r.randint(4, 9))).capitalize() + r.choice(["", "."]),
         lambda: "".join(word().title() for _ in range(r.randint(4, 9))),
+        lambda: "".join(word() for _ in range(r.randint(5, 9))).upper(),
         lambda: "-".join([some("0123456789abcdef", 8), *(some("0123456789abcdef", 4) for _ in range(3)), some("0123456789abcdef", 12)]),
         lambda: word().upper() + "_" + "_".join(word().upper() for _ in range(3)) + "_" + number(),
     ]
     rows = [(label, make()) for label, make in formats.items() for _ in range(per_label)]
-    return rows, [make() for make in background for _ in range(per_label * 10 // len(background))]
+    return rows, [make() for make in background for _ in range(per_label * 20 // len(background))]
 
 
 def infer(credentials: list[tuple[str, str]], background: list[str], held_out: tuple[list[tuple[str, str]], list[str]]) -> Formats:
@@ -221,7 +227,8 @@ def infer(credentials: list[tuple[str, str]], background: list[str], held_out: t
         by_label.setdefault(label, []).append(token)
     made = Formats({k: Automaton(v) for k, v in by_label.items()}, Automaton(background))
     right = sorted(made.score(t) for _, t in held_out[0] if len(t) >= CANDIDATE)
-    made.threshold = (right[int(MISSED * len(right))] + max(made.score(t) for t in held_out[1] if len(t) >= CANDIDATE)) / 2
+    wrong = sorted((made.score(t) for t in held_out[1] if len(t) >= CANDIDATE), reverse=True)
+    made.threshold = (right[int(MISSED * len(right))] + wrong[int(MISTAKEN * len(wrong))]) / 2
     return made
 
 
