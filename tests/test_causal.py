@@ -170,3 +170,21 @@ def test_profile_files(spark, tmp_path):
     assert only_one_side.count() == 0
     few = causal.localize(got.limit(1), got.limit(1))
     assert [(r["score"], r["n_bins"]) for r in few.collect()] == [(0.0, 0)]
+
+
+def test_hashes_of_levels(spark):
+    of = lambda x, typ="T": {"JSONType": "StructValue", "TypName": typ, "Fields": [{"Name": "f", "Val": x}]}
+    to = lambda x: {"JSONType": "PointerValue", "Elem": x}
+    deep = lambda x: of(to(of(x)))
+    values = [deep(number(1)), deep(number(2)), of(to(of(number(1), "U"))), of(to(None)), {"JSONType": "ArrayValue", "Val": [number(1), deep(number(3))]}, {"JSONType": "ArrayValue", "Val": [number(1), deep(text("3"))]}, number(1), text("1"), None]
+    df = spark.createDataFrame([(k, None if v is None else json.dumps(v)) for k, v in enumerate(values)], "id int, j string").withColumn("v", F.parse_json("j"))
+    for depth in range(1, 6):
+        got = {r["id"]: r["h"] for r in df.select("id", causal.level_hash(F.col("v"), depth).alias("h")).collect()}
+        texts = [json.dumps(causal.levels(v, depth)) for v in values]
+        for a in range(len(values) - 1):
+            for b in range(len(values) - 1):
+                assert (got[a] == got[b]) == (texts[a] == texts[b])
+        assert got[8] is None
+        assert (got[0] == got[1]) == (depth < 4) and (got[0] == got[2]) == (depth < 3) and (got[4] == got[5]) == (depth < 4) and got[6] != got[7]
+        # a null is told apart where it is looked at
+        assert (got[0] == got[3]) == (depth < 2)

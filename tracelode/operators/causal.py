@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +76,33 @@ def decode(profile: str) -> list:
     return [p.get("Val") for p in json.loads(profile)]
 
 
+def levels(value, depth: int):
+    """What a decoded value is down to a depth: fields of structs and what references refer to are one deeper, elements of arrays are not.  Names of
+    fields don't count."""
+    if value is None:
+        return None
+    if depth <= 0:
+        return "..."
+    kind = value.get("JSONType")
+    if kind == "StructValue":
+        return [kind, value.get("TypName"), [levels(f.get("Val"), depth - 1) for f in value.get("Fields") or []]]
+    if kind in _REFERENCES:
+        return [kind, levels(value.get("Elem"), depth - 1)]
+    if kind == "ArrayValue":
+        return [kind, [levels(v, depth) for v in value.get("Val") or []]]
+    return [kind, value.get("Val")]
+
+
+def level_hash(value: Column, depth: int) -> Column:
+    """A 64-bit hash of a VARIANT value that is the same for values that are the same down to a depth; null for null."""
+
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else json.dumps(levels(json.loads(x), depth), ensure_ascii=False))
+
+    return F.when(value.isNotNull(), F.xxhash64(text(F.to_json(value))))
+
+
 def individuals(ok: DataFrame, fail: DataFrame) -> DataFrame:
     """func_name, id, covariate, treatment (JSON of object profiles), outcome: the calls of functions that both sides hold.
 
