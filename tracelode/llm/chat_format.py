@@ -136,10 +136,10 @@ def format_turns(rows: DataFrame, template: Template = INSTRUCT, key: str = "con
     path = new_path(spark, "turns")
     turns.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_machine(template), _TURNS).write.parquet(path)
     turns = spark.read.schema(_TURNS).parquet(path)
-    came = _first_states(turns)
-    known = F.create_map(*(F.lit(x) for kv in came.items() for x in kv)) if came else F.lit(None).cast("map<int,int>")
+    came = spark.createDataFrame(list(_first_states(turns).items()), "part int, came int")
     # of the first conversation of a partition the machine tried every state before it; elsewhere there is one
-    tried = F.coalesce(F.when(F.size("before") > 1, known[F.col("part")]), F.lit(0))
+    tried = F.when(F.size("before") > 1, F.col("came")).otherwise(0)
+    turns = turns.join(F.broadcast(came), "part")  # a row a partition
     return _written(turns.withColumn("state", F.get("before", tried)), template).withColumnRenamed("k", key)
 
 
