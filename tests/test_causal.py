@@ -105,7 +105,7 @@ def brute_medoids(values, k):
 
 def test_medoids_equal_brute_force(spark):
     r = random.Random(9)
-    groups = {g: list(dict.fromkeys(random_profiles(r, n))) for g, n in (("big", 150), ("small", 2), ("one", 1), ("few", 12))}
+    groups = {g: list(dict.fromkeys(random_profiles(r, n))) for g, n in (("big", 60), ("small", 2), ("one", 1), ("few", 12))}
     rows = [(g, v, r.randrange(1, 5), k) for g, vs in groups.items() for k, v in enumerate(vs)]
     counts = {}
     got = metric.k_medoids(spark.createDataFrame(rows, "g string, v string, w long, first long"), 4, causal.decode, causal.profile_distance, candidates=5, counts=counts)
