@@ -136,7 +136,7 @@ TOKENS = """
     HTML5CanvasRenderer com.example.app.v2 C:Users2024Downloads ISBN978-3-16-148410 internationalization characteristically /2024/01/31/index.html utf8_general_ci_v2 Microsoft365Apps2024
     3.14159265358979323846 2001-2002-2003-2004 verantwortungsbewusst responsabilidades-y
 """.split()
-#: The same, looked at once and never used for a choice.
+#: The same, written after formats and background were chosen; scored at each of the three settings of calibration and row numbers tried after that.
 UNSEEN = """
     xapp-1-A01B2C3D4E5-1234567890123-a1b2c3d4e5f6a7b8 AGE-SECRET-KEY-1QYQSZQGPQYQSZQGPQYQSZQGPQYQSZQGPQYQ 8d7K-2pQw-Lm9X-zR4t-Yv6N rzp_live_ILgsfZCZoFIKMb
     EZAKtm4Qb1Xw9Lk7Vn2Rs6Yp3 lin_api_7Vh2kQ9xTz4Rw1Lm8Bn5Yc3Ds6Fg PMAK-5f3e2d1c0b9a8f7e6d5c4b3a-9f8e7d6c5b4a39281706f5e4d3 q9W2e8R3t7Y4u6I5
