@@ -346,13 +346,6 @@ def test_dominators_match_removal():
         assert {a: front[a] for a in idom} == expected
 
 
-def test_reaching_definitions(spark):
-    edges = spark.createDataFrame([("f", 0, 1), ("f", 1, 2), ("f", 2, 1), ("f", 2, 3)], "fn string, src int, dst int")
-    defs = spark.createDataFrame([("f", 0, "x"), ("f", 2, "x"), ("f", 0, "y")], "fn string, bbid int, name string")
-    got = {(r["bbid"], r["name"], r["def_bbid"]) for r in cfg.reaching_definitions(edges, defs).collect()}
-    assert got == {(1, "x", 0), (1, "x", 2), (1, "y", 0), (2, "x", 0), (2, "x", 2), (2, "y", 0), (3, "x", 2), (3, "y", 0)}
-
-
 def test_chains_merge(spark):
     edges = spark.createDataFrame([("f", 0, 1), ("f", 1, 2), ("f", 2, 3), ("f", 2, 4)], "fn string, src int, dst int")
     assert {(r["src"], r["dst"]) for r in cfg.merge_chains(edges).collect()} == {(0, 1), (0, 2)}

@@ -168,35 +168,3 @@ def merge_chains(edges: DataFrame) -> DataFrame:
         return sorted((number[s], number[d]) for s, ds in g.items() for d in ds)
 
     return _per_function(edges, merged, ("src", "dst"))
-
-
-def reaching_definitions(edges: DataFrame, statements: DataFrame) -> DataFrame:
-    """fn, bbid, name, def_bbid: definitions that reach the start of each block.  statements: fn, bbid, name (defined there).
-
-    A block's last definition of a name kills all others; the sets grow to the fixed point along the edges.
-    """
-
-    def run(key: tuple, e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        g = graph_of(e)
-        for b in s["bbid"].tolist():
-            g.setdefault(int(b), [])
-        gen: dict[int, set[tuple[str, int]]] = {b: set() for b in g}
-        for b, n in zip(s["bbid"].tolist(), s["name"].tolist(), strict=True):
-            gen[int(b)].add((n, int(b)))
-        reach: dict[int, set[tuple[str, int]]] = {b: set() for b in g}
-        todo = sorted(g)
-        while todo:
-            b = todo.pop(0)
-            own = {n for n, _ in gen[b]}
-            out = gen[b] | {x for x in reach[b] if x[0] not in own}
-            for d in g[b]:
-                if not out <= reach[d]:
-                    reach[d] |= out
-                    if d not in todo:
-                        todo.append(d)
-        rows = sorted((key[0], b, n, d) for b, xs in reach.items() for n, d in xs)
-        return pd.DataFrame(rows, columns=["fn", "bbid", "name", "def_bbid"])
-
-    # new names, since statements may be derived from edges
-    left, right = edges.select(F.col("fn").alias("fn"), "src", "dst"), statements.select(F.col("fn").alias("fn"), "bbid", "name")
-    return left.groupBy("fn").cogroup(right.groupBy("fn")).applyInPandas(run, "fn string, bbid int, name string, def_bbid int")

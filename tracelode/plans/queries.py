@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import SCORES
-from ..operators import causal, cfg, clustering, embeddings, lattice, localisation, markov, metric, minimise, mining, objects, points, ranking, support
+from ..operators import causal, cfg, clustering, dataflow, embeddings, lattice, localisation, markov, metric, minimise, mining, objects, points, ranking, support
 from ..sources import dot, profiles, simple
 from ..staging import new_path, staged
 from ..streaming import flows
@@ -852,9 +852,10 @@ def sample_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def user_cfg(spark: SparkSession, d: str) -> DataFrame:
-    e = traces.edges(spark, d).select(F.col("graph_id.user_id").cast("string").alias("fn"), "src", "dst").distinct()
-    names = e.select("src").unionByName(e.select(F.col("dst").alias("src"))).distinct().withColumn("n", F.dense_rank().over(ranking.Window.orderBy(F.col("src") != ENTRY, "src")) - 1)
-    numbered = e.join(F.broadcast(names), "src").select("fn", F.col("n").alias("s"), "dst").join(F.broadcast(names.withColumnsRenamed({"src": "dst", "n": "d"})), "dst")
+    e = staged(traces.edges(spark, d).select(F.col("graph_id.user_id").cast("string").alias("fn"), "src", "dst").distinct(), "flow")
+    labels = e.select("src").unionByName(e.select(F.col("dst").alias("src"))).distinct()
+    names = ranking.numbered(labels, F.col("src") != ENTRY, F.col("src"), name="n").select("src", (F.col("n") - 1).cast("int").alias("n"))
+    numbered = e.join(names, "src").select("fn", F.col("n").alias("s"), "dst").join(names.withColumnsRenamed({"src": "dst", "n": "d"}), "dst")
     return numbered.select("fn", F.col("s").alias("src"), F.col("d").alias("dst"))
 
 
@@ -893,14 +894,58 @@ def control_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return cfg.control_dependencies(user_cfg(spark, d))
 
 
+#: Each block defines one of five names; the entry defines none.
+_DEFS = f"{_dominators_sql(False)}, ds as (select distinct fn, dst bb, 'x' || cast(dst % 5 as varchar) as name from cg)"
+
+
+def _named(blocks: DataFrame, number: str) -> DataFrame:
+    return blocks.select("fn", "bbid", F.concat(F.lit("x"), F.expr(number).cast("string")).alias("name"))
+
+
+def _targets(e: DataFrame) -> DataFrame:
+    return e.select("fn", F.col("dst").alias("bbid")).distinct()
+
+
 @query(
-    f"{_dominators_sql(False)}, ds as (select distinct fn, dst bb, 'x' || cast(dst % 5 as varchar) as name from cg), rd(fn, bbid, name, def_bbid) as (select cg.fn, cg.dst, ds.name, ds.bb from cg join ds on ds.fn = cg.fn and ds.bb = cg.src "
+    f"{_DEFS}, rd(fn, bbid, name, def_bbid) as (select cg.fn, cg.dst, ds.name, ds.bb from cg join ds on ds.fn = cg.fn and ds.bb = cg.src "
     "union select rd.fn, cg.dst, rd.name, rd.def_bbid from rd join cg on cg.fn = rd.fn and cg.src = rd.bbid where (rd.fn, rd.bbid, rd.name) not in (select (fn, bb, name) from ds)) select fn, bbid, name, def_bbid from rd"
 )
 def reaching_definitions(spark: SparkSession, d: str) -> DataFrame:
-    e = user_cfg(spark, d)
-    blocks = e.select("fn", F.col("dst").alias("bbid")).distinct()
-    return cfg.reaching_definitions(e, blocks.select("fn", "bbid", F.concat(F.lit("x"), (F.col("bbid") % 5).cast("string")).alias("name")))
+    e = staged(user_cfg(spark, d), "cfg")
+    return dataflow.reaching_definitions(e, _named(_targets(e), "bbid % 5"))
+
+
+@query(
+    f"{_DEFS}, us as (select distinct fn, dst bb, 'x' || cast((dst * 3 + 1) % 5 as varchar) as name from cg), lv(fn, bbid, name) as (select cg.fn, cg.src, us.name from cg join us on us.fn = cg.fn and us.bb = cg.dst "
+    "union select lv.fn, cg.src, lv.name from lv join cg on cg.fn = lv.fn and cg.dst = lv.bbid where (lv.fn, lv.bbid, lv.name) not in (select (fn, bb, name) from ds)) select fn, bbid, name from lv"
+)
+def live_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names that each user's flow graph may yet use behind a block."""
+    e = staged(user_cfg(spark, d), "cfg")
+    return dataflow.live_names(e, _named(_targets(e), "(bbid * 3 + 1) % 5"), _named(_targets(e), "bbid % 5"))
+
+
+@query(
+    f"{_DEFS}, av(fn, name, bbid) as (select distinct fn, name, 0 from ds union select av.fn, av.name, cg.dst from av join cg on cg.fn = av.fn and cg.src = av.bbid where (av.fn, av.bbid, av.name) not in (select (fn, bb, name) from ds)) "
+    "select b.fn, b.bb bbid, n.name from (select distinct fn, dst bb from cg) b join (select distinct fn, name from ds) n using (fn) where (b.fn, n.name, b.bb) not in (select (fn, name, bbid) from av)"
+)
+def assigned_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names that every way to a block of each user's flow graph has defined."""
+    e = staged(user_cfg(spark, d), "cfg")
+    return dataflow.assigned_names(e, _named(_targets(e), "bbid % 5"))
+
+
+@query(
+    f"{_DEFS}, df2 as (select * from ds where bb % 2 = 0), cp as (select fn, bb, name, 'x' || cast((bb + 2) % 5 as varchar) src from ds where bb % 2 = 1), vo(fn, bbid, name, def_bbid) as (select cg.fn, cg.dst, df2.name, df2.bb from cg join df2 on df2.fn = cg.fn and df2.bb = cg.src "
+    "union select vo.fn, cg.dst, case when k.keep then vo.name else cp.name end, vo.def_bbid from vo join cg on cg.fn = vo.fn and cg.src = vo.bbid cross join (select unnest([true, false]) as keep) k left join cp on cp.fn = vo.fn and cp.bb = vo.bbid and cp.src = vo.name "
+    "where case when k.keep then (vo.fn, vo.bbid, vo.name) not in (select (fn, bb, name) from ds) else cp.name is not null end) select fn, bbid, name, def_bbid from vo"
+)
+def value_origins(spark: SparkSession, d: str) -> DataFrame:
+    """Even blocks define a name afresh, odd ones copy another name: where a name's value may come from."""
+    e = staged(user_cfg(spark, d), "cfg")
+    blocks = _targets(e)
+    copies = _named(blocks.where("bbid % 2 = 1"), "bbid % 5").withColumn("source", F.concat(F.lit("x"), ((F.col("bbid") + 2) % 5).cast("string")))
+    return dataflow.value_origins(e, _named(blocks.where("bbid % 2 = 0"), "bbid % 5"), copies)
 
 
 # -- files and streams
