@@ -9,7 +9,9 @@ vertices: outcome, graph_id, vid, label; edges: outcome, graph_id, src, dst (ver
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,6 +20,12 @@ from pyspark.sql import functions as F
 Pattern = tuple[list[str], list[tuple[int, int, str]]]
 
 
+#: How often the pattern's labels occur, and its edges by labels of both ends and their own: all, and those between different vertices.
+Statistics = tuple[dict[str, int], dict[tuple[str, str, str], tuple[int, int]]]
+
+STARTS = ("random", "least_frequent", "most_frequent", "least_connected", "most_connected", "fewest_extensions", "most_extensions", "lowest_cardinality", "highest_cardinality")
+
+
 def edge_order(pattern: Pattern, counts: dict[str, int]) -> list[tuple[int, int, str]]:
     """The pattern's edges, each after the first touching those before; rare labels come first."""
     v, e = pattern
@@ -33,21 +41,72 @@ def edge_order(pattern: Pattern, counts: dict[str, int]) -> list[tuple[int, int,
     return out
 
 
-def embeddings(pattern: Pattern, vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """outcome, graph_id, m: array of the vertex ids that the pattern's vertices map to."""
+def start_vertex(pattern: Pattern, statistics: Statistics, mode: str, seed: int = 0) -> int:
+    """The pattern's vertex that a search begins at: by how frequent its label is, how many edges it has in the pattern, how many edges of the graphs extend it
+    to another vertex, or how many edges of the graphs are like its own; the first of several alike, or a random one."""
+    v, e = pattern
+    labels, triples = statistics
+    if mode not in STARTS:
+        raise ValueError(f"start is one of {', '.join(STARTS)}")
+    if mode == "random":
+        return random.Random(seed).randrange(len(v))
+    touching = [[triples.get((v[s], v[t], l), (0, 0)) for s, t, l in e if k in (s, t)] for k in range(len(v))]
+    weights = {
+        "frequent": [labels.get(l, 0) for l in v],
+        "connected": [len(x) for x in touching],
+        "extensions": [sum(n for _, n in x) for x in touching],
+        "cardinality": [sum(n for n, _ in x) for x in touching],
+    }[mode.split("_")[1]]
+    return weights.index((min if mode.split("_")[0] in ("least", "fewest", "lowest") else max)(weights))
+
+
+def edge_order_from(pattern: Pattern, statistics: Statistics, start: int) -> list[tuple[int, int, str]]:
+    """The pattern's edges from a vertex on, each time the one that is expected to leave the fewest partial embeddings: edges like it a vertex
+    like its known end, or a pair of vertices like both ends if both are known."""
     v, e = pattern
+    labels, triples = statistics
+    rest, out, met = list(e), [], {start}
+    while rest:
+        open_ = [x for x in rest if x[0] in met or x[1] in met]
+        if not open_:
+            raise ValueError("a pattern is connected")
+
+        def growth(x: tuple[int, int, str]) -> float:
+            known = 1
+            for k in {x[0], x[1]} & met:
+                known *= max(1, labels.get(v[k], 0))
+            return triples.get((v[x[0]], v[x[1]], x[2]), (0, 0))[0] / known
+
+        nxt = min(open_, key=growth)
+        rest.remove(nxt)
+        out.append(nxt)
+        met |= {nxt[0], nxt[1]}
+    return out
+
+
+def _typed(pattern: Pattern, vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges between vertices with labels of the pattern, with these."""
+    keys = ["outcome", "graph_id"]
+    labelled = vertices.select(*keys, "vid", F.col("label").alias("l")).where(F.col("l").isin(pattern[0]))
+    found = edges.select(*keys, "src", "dst", F.col("label").alias("el")).where(F.col("el").isin(list({l for *_, l in pattern[1]})))
+    return found.join(labelled.withColumnsRenamed({"vid": "src", "l": "sl"}), [*keys, "src"]).join(labelled.withColumnsRenamed({"vid": "dst", "l": "dl"}), [*keys, "dst"])
+
+
+def statistics_of(pattern: Pattern, vertices: DataFrame, edges: DataFrame) -> Statistics:
+    """At most as many rows as the pattern has labels, and pairs of labels with a label of an edge, reach the driver."""
+    labels = {r["label"]: r["count"] for r in vertices.where(F.col("label").isin(pattern[0])).groupBy("label").count().collect()}
+    if not pattern[1]:
+        return labels, {}
+    counts = _typed(pattern, vertices, edges).groupBy("sl", "dl", "el").agg(F.count("*").alias("n"), F.count_if(F.col("src") != F.col("dst")).alias("apart"))
+    return labels, {(r["sl"], r["dl"], r["el"]): (r["n"], r["apart"]) for r in counts.collect()}
+
+
+def _partial(pattern: Pattern, order: list[tuple[int, int, str]], typed: DataFrame) -> Iterator[tuple[tuple[int, int, str], DataFrame]]:
+    """Each edge in order, with the embeddings of the edges up to it."""
+    v, _ = pattern
     keys = ["outcome", "graph_id"]
-    labelled = vertices.select(*keys, "vid", F.col("label").alias("l"))
-    if not e:
-        return labelled.where(F.col("l") == v[0]).select(*keys, F.array("vid").alias("m"))
-    counts = {r["l"]: r["count"] for r in labelled.where(F.col("l").isin(v)).groupBy("l").count().collect()}  # as many rows as the pattern has labels
-    typed = (
-        edges.select(*keys, "src", "dst", F.col("label").alias("el"))
-        .join(labelled.withColumnsRenamed({"vid": "src", "l": "sl"}), [*keys, "src"])
-        .join(labelled.withColumnsRenamed({"vid": "dst", "l": "dl"}), [*keys, "dst"])
-    )
     found, met = None, set()
-    for s, t, label in edge_order(pattern, counts):
+    for s, t, label in order:
         step = typed.where((F.col("sl") == v[s]) & (F.col("dl") == v[t]) & (F.col("el") == label)).select(*keys, F.col("src").alias(f"v{s}"), *([F.col("dst").alias(f"v{t}")] if s != t else [])).distinct()
         if s == t:
             step = typed.where((F.col("src") == F.col("dst")) & (F.col("sl") == v[s]) & (F.col("el") == label)).select(*keys, F.col("src").alias(f"v{s}")).distinct()
@@ -58,9 +117,40 @@ def embeddings(pattern: Pattern, vertices: DataFrame, edges: DataFrame) -> DataF
         met |= {s, t}
         mine = [F.col(f"v{k}") for k in sorted(met)]
         found = found.where(F.size(F.array_distinct(F.array(*mine))) == len(mine))
+        yield (s, t, label), found
+
+
+def embeddings(pattern: Pattern, vertices: DataFrame, edges: DataFrame, start: str | None = None, seed: int = 0) -> DataFrame:
+    """outcome, graph_id, m: array of the vertex ids that the pattern's vertices map to.
+
+    start: one of STARTS, the vertex that joins begin at; edges then follow by estimated growth.  Without it they go by rare labels.  The result is the same.
+    """
+    v, e = pattern
+    keys = ["outcome", "graph_id"]
+    if not e:
+        return vertices.where(F.col("label") == v[0]).select(*keys, F.array("vid").alias("m"))
+    if start is None:
+        counts = {r["label"]: r["count"] for r in vertices.where(F.col("label").isin(v)).groupBy("label").count().collect()}  # as many rows as the pattern has labels
+        order = edge_order(pattern, counts)
+    else:
+        known = statistics_of(pattern, vertices, edges)
+        order = edge_order_from(pattern, known, start_vertex(pattern, known, start, seed))
+    for _, found in _partial(pattern, order, _typed(pattern, vertices, edges)):
+        pass
     return found.select(*keys, F.array(*(F.col(f"v{k}") for k in range(len(v)))).alias("m"))
 
 
+def join_sizes(pattern: Pattern, vertices: DataFrame, edges: DataFrame, start: str, seed: int = 0) -> DataFrame:
+    """step (from 1), src, dst (vertices of the pattern), rows: partial embeddings after each join of the order that a start gives."""
+    known = statistics_of(pattern, vertices, edges)
+    order = edge_order_from(pattern, known, start_vertex(pattern, known, start, seed))
+    sizes = [
+        found.agg(F.lit(k).alias("step"), F.lit(s).alias("src"), F.lit(t).alias("dst"), F.count("*").alias("rows"))
+        for k, ((s, t, _), found) in enumerate(_partial(pattern, order, _typed(pattern, vertices, edges)), 1)
+    ]
+    return reduce(DataFrame.unionByName, sizes)
+
+
 def embedded_in(pattern: Pattern, vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """outcome, graph_id of the graphs that hold the pattern."""
     return embeddings(pattern, vertices, edges).select("outcome", "graph_id").distinct()

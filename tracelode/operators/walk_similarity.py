@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import new_path, staged
+
 
 def label_walks(v: list[str], e: list[tuple[int, int]], labels: list[str]) -> np.ndarray:
     """For each two labels, whether a walk of up to as many steps as there are vertices leads from one to the other."""
@@ -40,6 +42,74 @@ def walk_distances(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long, distance double")
 
 
+def reach(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """graph_id, x, y, d: vertices y that a walk from x leads to, and the steps of the shortest one, from 1 to half the graph's number of vertices.
+
+    edges: graph_id, src, dst; sizes: graph_id, n.  Breadth first from all vertices at once; each round joins what the one before it found with the edges
+    and is written.
+    """
+    spark, path = edges.sparkSession, new_path(edges.sparkSession, "reach")
+    e = staged(edges.select("graph_id", "src", "dst").na.drop().distinct().join(sizes, "graph_id").where("n >= 2"), "edges")
+    new, d = e.select("graph_id", F.col("src").alias("x"), F.col("dst").alias("y"), F.lit(1).alias("d")), 1
+    schema, paths = new.schema, []
+    while True:
+        paths.append(f"{path}/{d}")
+        new.write.parquet(paths[-1])
+        new, seen = (spark.read.schema(schema).parquet(*p) for p in (paths[-1:], paths))
+        if new.isEmpty():
+            return seen
+        d += 1
+        steps = e.where(F.col("n") >= 2 * d).select("graph_id", F.col("src").alias("y"), F.col("dst").alias("z"))
+        onward = new.join(steps, ["graph_id", "y"]).select("graph_id", "x", F.col("z").alias("y")).distinct()
+        new = onward.join(seen, ["graph_id", "x", "y"], "left_anti").select("graph_id", "x", "y", F.lit(d).alias("d"))
+
+
+def walk_matrix(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, l1, l2, w: how many pairs of a graph's vertices and edges with these labels a walk joins; a walk alternates between them and takes at
+    least one step from one to the next, at most as many as the graph has vertices.  Pairs of labels that nothing joins have no row.
+
+    vertices: graph_id, vid, label; edges: graph_id, src, dst, label.  Labels of vertices and edges are of one kind; repeated edges count each.
+    Edges of one label at one vertex are counted before pairs are formed.
+    """
+    vertices, edges = vertices.select("graph_id", "vid", "label"), edges.select("graph_id", "src", "dst", "label")
+    sizes = staged(vertices.groupBy("graph_id").agg(F.count("*").cast("int").alias("n")), "sizes")
+    own = vertices.select("graph_id", F.col("vid").alias("at"), "label", F.lit(1).cast("long").alias("k"), F.lit(0).alias("half"))
+
+    def ends(side: str) -> DataFrame:
+        at = edges.groupBy("graph_id", F.col(side).alias("at"), "label").agg(F.count("*").alias("k")).withColumn("half", F.lit(1))
+        return own.unionByName(at)
+
+    # no step at all joins an edge to its own end; from a vertex to itself it is no walk
+    still = vertices.select("graph_id", F.col("vid").alias("x"), F.col("vid").alias("y"), F.lit(0).alias("d"))
+    pairs = reach(edges, sizes).unionByName(still).join(sizes, "graph_id")
+    begins = ends("dst").select("graph_id", F.col("at").alias("x"), F.col("label").alias("l1"), F.col("k").alias("k1"), F.col("half").alias("h1"))
+    finishes = ends("src").select("graph_id", F.col("at").alias("y"), F.col("label").alias("l2"), F.col("k").alias("k2"), F.col("half").alias("h2"))
+    halves = F.col("h1") + F.col("h2")
+    counted = F.when(halves == 0, F.col("d") > 0).otherwise((F.col("x") != F.col("y")) | (F.col("d") == 0))
+    # a vertex's labels are gathered before its pairs are joined with the other end's
+    first = pairs.join(begins, ["graph_id", "x"])
+    both = first.join(finishes, ["graph_id", "y"]).where(counted & (2 * F.col("d") + halves <= F.col("n")))
+    return both.groupBy("graph_id", "l1", "l2").agg(F.sum(F.col("k1") * F.col("k2")).alias("w"))
+
+
+def matrix_distances(pairs: DataFrame, vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """a, b, distance of pairs (a, b) of graphs: the root of the Frobenius norm of the squared differences of their walk matrices, over the square of the number of
+    labels that either has; two graphs without labels have distance 0."""
+    asked = staged(pairs.select("a", "b").distinct(), "pairs")
+    w = staged(walk_matrix(vertices, edges), "walks")
+    labels = vertices.select("graph_id", "label").unionByName(edges.select("graph_id", "label")).distinct()
+
+    def of_both(df: DataFrame) -> DataFrame:
+        sides = [asked.join(df.withColumnRenamed("graph_id", side), side).withColumn("sign", F.lit(sign)) for side, sign in (("a", 1), ("b", -1))]
+        return sides[0].unionByName(sides[1])
+
+    apart = of_both(w).groupBy("a", "b", "l1", "l2").agg(F.sum(F.col("w") * F.col("sign")).cast("double").alias("d"))
+    norm = apart.groupBy("a", "b").agg(F.sum(F.pow("d", F.lit(4))).alias("s"))
+    known = of_both(labels).groupBy("a", "b").agg(F.count_distinct("label").alias("n"))
+    joined = asked.join(norm, ["a", "b"], "left").join(known, ["a", "b"], "left")
+    return joined.select("a", "b", F.coalesce(F.sqrt(F.sqrt("s") / (F.col("n") * F.col("n"))), F.lit(0.0)).alias("distance"))
+
+
 def expected_time(samples: DataFrame) -> DataFrame:
     """state, expected: from sampled first-hit times, the largest one less the gaps between sorted times weighted by the share of
     strictly smaller times.  samples: state, time."""
