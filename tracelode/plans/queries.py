@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import SCORES
-from ..operators import causal, cfg, clustering, dataflow, embeddings, lattice, localisation, markov, metric, minimise, mining, objects, points, ranking, support
+from ..operators import causal, cfg, clustering, dataflow, embeddings, lattice, localisation, markov, metric, minimise, mining, objects, points, ranking, support, walk_similarity
 from ..sources import dot, profiles, simple
 from ..staging import new_path, staged
-from ..streaming import flows
+from ..streaming import flows, ordered
 from . import traces
 from .traces import ENTRY, SQL, table
 
@@ -482,6 +483,60 @@ def event_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return found.select("graph_id", F.col("m")[0].alias("e1"), F.col("m")[1].alias("e2"))
 
 
+_CLICK_VIEW_ERROR = (["click", "view", "error"], [(0, 1, ""), (1, 2, "")])
+
+
+def _starts_sql() -> str:
+    weights = {"frequent": "[f0, f1, f2]", "connected": "[1, 2, 1]", "extensions": "[c01, c01 + c12, c12]", "cardinality": "[c01, c01 + c12, c12]"}
+    chosen = lambda mode: (weights[mode.split("_")[1]], "list_min" if mode.split("_")[0] in ("least", "fewest", "lowest") else "list_max")
+    rows = [f"select '{m}' as mode, cast(list_position({w}, {pick}({w})) - 1 as int) vertex, n embeddings from s" for m in embeddings.STARTS[1:] for w, pick in [chosen(m)]]
+    return (
+        f"{SQL}, nx as (select event_type a, lead(event_type) over w b, lead(event_type, 2) over w c from ev window w as (partition by user_id, wk order by ts, event_id)), "
+        "s as (select count(*) filter (a = 'click') f0, count(*) filter (a = 'view') f1, count(*) filter (a = 'error') f2, count(*) filter (a = 'click' and b = 'view') c01, "
+        "count(*) filter (a = 'view' and b = 'error') c12, count(*) filter (a = 'click' and b = 'view' and c = 'error') n from nx) " + " union all ".join(rows)
+    )
+
+
+@query(_starts_sql())
+def embedding_starts(spark: SparkSession, d: str) -> DataFrame:
+    """The vertex of a pattern that each mode starts at, and the number of embeddings, which is the same from all."""
+    v, e = (staged(x, "graph") for x in _event_graph(spark, d))
+    known = embeddings.statistics_of(_CLICK_VIEW_ERROR, v, e)
+    found = [
+        embeddings.embeddings(_CLICK_VIEW_ERROR, v, e, mode).agg(F.lit(mode).alias("mode"), F.lit(embeddings.start_vertex(_CLICK_VIEW_ERROR, known, mode)).alias("vertex"), F.count("*").alias("embeddings"))
+        for mode in embeddings.STARTS[1:]  # all but the random one
+    ]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+_WALKS = f"""with recursive {SQL.strip()[5:]}, gv as (select user_id, wk, label l from v union select user_id, wk, 'entry' from tr), sz as (select user_id, wk, count(*) n from gv group by all),
+ rc(user_id, wk, x, y, d) as (select user_id, wk, src, dst, 1 from fl join sz using (user_id, wk) where n >= 2 union select rc.user_id, rc.wk, x, dst, d + 1 from rc join fl on fl.user_id = rc.user_id and fl.wk = rc.wk and src = y
+   join sz on sz.user_id = rc.user_id and sz.wk = rc.wk where 2 * (d + 1) <= n),
+ sd as (select user_id, wk, x, y, min(d) d from rc group by all union all select user_id, wk, l, l, 0 from gv),
+ bg as (select user_id, wk, l x, l l1, 0 h1 from gv union all select user_id, wk, dst, '', 1 from fl), fi as (select user_id, wk, l y, l l2, 0 h2 from gv union all select user_id, wk, src, '', 1 from fl),
+ wm as (select user_id, wk, l1, l2, count(*) w from sd join bg using (user_id, wk, x) join fi using (user_id, wk, y) join sz using (user_id, wk)
+   where case when h1 + h2 = 0 then d > 0 else x != y or d = 0 end and 2 * d + h1 + h2 <= n group by all),
+ pr as (select a.user_id, a.wk wa, b.wk wb from tr a join tr b on a.user_id = b.user_id and b.wk = a.wk + interval 7 days),
+ df as (select user_id, wa, wb, l1, l2, sum(w) w from (select user_id, wa, wb, l1, l2, w from pr join wm using (user_id) where wm.wk = wa union all select user_id, wa, wb, l1, l2, -w from pr join wm using (user_id) where wm.wk = wb) group by all),
+ nl as (select user_id, wa, wb, count(distinct l) + 1 n from pr join gv using (user_id) where gv.wk in (wa, wb) group by all)
+ select user_id || ' ' || cast(cast(wa as date) as varchar) a, user_id || ' ' || cast(cast(wb as date) as varchar) b, round(sqrt(sqrt(sum(pow(w, 4))) / (n * n)), 9) + 0.0 distance from df join nl using (user_id, wa, wb) group by user_id, wa, wb, n"""
+
+
+@query(_WALKS)
+def walk_distances(spark: SparkSession, d: str) -> DataFrame:
+    """How far a user's flow graph of a week is from the next week's, by the labels that walks join."""
+    name = lambda user, week: F.concat_ws(" ", user.cast("string"), F.date_format(week, "yyyy-MM-dd"))
+    user, week = F.col("graph_id.user_id"), F.col("graph_id.wk")
+    e = staged(traces.edges(spark, d), "flow")
+    seen = e.select("graph_id").distinct()
+    vertices = e.select("graph_id", F.col("dst").alias("label")).distinct().unionByName(seen.withColumn("label", F.lit(ENTRY)))
+    weeks = seen.select(user.alias("user"), week.alias("wk"))
+    pairs = weeks.join(weeks.select("user", (F.col("wk") - F.expr("interval 7 days")).alias("wk"), F.col("wk").alias("next")), ["user", "wk"])
+    asked = pairs.select(name(F.col("user"), F.col("wk")).alias("a"), name(F.col("user"), F.col("next")).alias("b"))
+    found = walk_similarity.matrix_distances(asked, vertices.select(name(user, week).alias("graph_id"), F.col("label").alias("vid"), "label"), e.select(name(user, week).alias("graph_id"), "src", "dst", F.lit("").alias("label")))
+    return found.withColumn("distance", rounded("distance"))
+
+
 @query(f"{SQL}, {_EMB} select case when failed = 1 then 'fail' else 'ok' end outcome, least(count(distinct e1), count(distinct e2)) support from em group by 1")
 def event_image_support(spark: SparkSession, d: str) -> DataFrame:
     return embeddings.image_support(embeddings.embeddings(_CLICK_VIEW, *_event_graph(spark, d)))
@@ -984,6 +1039,36 @@ def stream_flow_edges(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("trace string, src string, dst string, traversed long, batch int").parquet(out).groupBy("trace", "src", "dst").agg(F.sum("traversed").alias("traversed"))
 
 
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs a time with a zone
+
+
+def _streamed(rows: DataFrame, name: str) -> DataFrame:
+    """What a stream in append mode emits until its source is exhausted, written to the shared folder."""
+    spark = rows.sparkSession
+    out, marks = new_path(spark, name), new_path(spark, f"{name}-checkpoint")
+    rows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+#: Events that a watermark six hours behind the latest one, in whole milliseconds, has passed; a trace ends with a pause of over twelve hours.
+_PASSED = "epoch_us(ts) <= (select max(epoch_us(ts)) // 1000 * 1000 from events) - 21600000000"
+
+
+@query(
+    f"with e as (select cast(user_id as varchar) trace, ts, event_id, event_type || ' blk ' || cast(floor(value/10) % 4 as int) as label from events where {_PASSED}), "
+    "s as (select trace, label dst, lag(label) over w p, epoch_us(ts) - epoch_us(lag(ts) over w) gap from e window w as (partition by trace order by ts, event_id)) "
+    "select trace, case when gap <= 43200000000 then p else 'entry' end src, dst, count(*) traversed from s group by 1, 2, 3"
+)
+def stream_ordered_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The flow edges of the event stream in order of the events' times, late ones put in their place; the state of silent users is dropped."""
+    label = F.concat("event_type", F.lit(" blk "), (F.floor(F.col("value") / 10) % 4).cast("int").cast("string"))
+    events = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("trace"), "ts", "event_id", label.alias("label"))
+    found = _streamed(ordered.flow_edges(events, "6 hours", 12 * 3600), "ordered")
+    return found.groupBy("trace", "src", "dst").agg(F.sum("traversed").alias("traversed"))
+
+
 @query(ORACLES["simple_profiles_reread"])
 def dot_profiles_reread(spark: SparkSession, d: str) -> DataFrame:
     """The traces written as Graphviz text, a digraph each, and read back."""
