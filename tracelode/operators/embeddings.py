@@ -163,18 +163,20 @@ def image_support(found: DataFrame) -> DataFrame:
     return per.groupBy("outcome").agg(F.min("n").alias("support"))
 
 
-def independent_support(found: DataFrame) -> DataFrame:
-    """outcome, support: embeddings taken in order of graph and vertices, each that shares no vertex with any before it,
-    taken or not.  Overlaps happen within a graph only, so graphs are folded apart and added up."""
-    ordered = F.array_sort(F.collect_list("m"))
+def first_at_all(found: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys, n: embeddings in a group of equal keys that share no vertex with any before them in order of their vertices, taken or not.
+
+    Such a one is the first at each of its vertices; so each vertex keeps its least embedding, and those are counted that as many vertices keep as they have.
+    """
+    firsts = found.select(*keys, "m", F.explode(F.array_distinct("m")).alias("vid")).groupBy(*keys, "vid").agg(F.min("m").alias("m"))
+    held = firsts.groupBy(*keys, "m").agg(F.count("*").alias("n"))
+    return held.groupBy(*keys).agg(F.count_if(F.col("n") == F.size(F.array_distinct("m"))).alias("n"))
 
-    def step(acc, m):
-        free = ~F.arrays_overlap(acc["seen"], m)
-        return F.struct((acc["n"] + free.cast("int")).alias("n"), F.array_union(acc["seen"], m).alias("seen"))
 
-    kind = found.schema["m"].dataType.simpleString()
-    per = found.groupBy("outcome", "graph_id").agg(F.aggregate(ordered, F.struct(F.lit(0).alias("n"), F.array().cast(kind).alias("seen")), step, lambda a: a["n"]).alias("n"))
-    return per.groupBy("outcome").agg(F.sum("n").alias("support"))
+def independent_support(found: DataFrame) -> DataFrame:
+    """outcome, support: embeddings taken in order of graph and vertices, each that shares no vertex with any before it,
+    taken or not.  Overlaps happen within a graph only, so graphs are counted apart and added up."""
+    return first_at_all(found, ["outcome", "graph_id"]).groupBy("outcome").agg(F.sum("n").alias("support"))
 
 
 def largest_match(pattern: Pattern, vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -13,17 +13,16 @@ or not; ``image`` is the least number of different vertices in a place, at most
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.patterns import canonical_order
 from ..functions.scores import ieee_div, score, upper_bound
-from ..staging import partitions, staged
+from ..staging import staged
+from .embeddings import first_at_all
 from .ranking import order_key
 from .support import graph_totals, priors
 
@@ -90,27 +89,7 @@ def support(embeddings: DataFrame, kind: str = "independent") -> DataFrame:
         return per.groupBy("pattern").agg(F.min("n").alias("support"))
     if kind != "independent":
         raise ValueError(f"no such support: {kind}")
-    # overlaps lie within a graph: each graph's sorted embeddings stream through a task that holds the vertices seen
-    keys = ["pattern", "graph_id"]
-    rows = fail.select("pattern", F.to_json(F.struct("graph_id")).alias("graph_id"), "m").repartition(partitions(fail.sparkSession), *keys).sortWithinPartitions(*keys, "m")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen, n, done = None, set(), 0, []
-        for b in batches:
-            for p, g, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (p, g) != last:
-                    if last is not None:
-                        done.append((last[0], n))
-                    last, seen, n = (p, g), set(), 0
-                n += seen.isdisjoint(m)
-                seen.update(m)
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], ["pattern", "n"])
-                done = []
-        if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.string()), pa.array([n], pa.int64())], ["pattern", "n"])
-
-    return rows.mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("support"))
+    return first_at_all(fail, ["pattern", "graph_id"]).groupBy("pattern").agg(F.sum("n").alias("support"))
 
 
 def labelled(vertices: DataFrame, edges: DataFrame) -> DataFrame:
