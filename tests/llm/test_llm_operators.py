@@ -549,6 +549,19 @@ def test_ids_do_not_come_from_the_sentencepiece_library(monkeypatch):
     assert codec.judge is None and [x.tolist() for x in codec.encode(texts)] == right and codec.decode([np.array(x, codec.dtype) for x in right]) == texts
 
 
+def test_texts_that_nothing_verified_have_no_count_of_mismatches(monkeypatch):
+    texts = ["one two three", "", "four"]
+    codec = sentencepiece_codec.Codec(PIECES, verified=1)
+    assert codec.encode_counted(texts)[1:] == ([3, 0, 1], [0, None, 0])
+    # a tokenizer gone wrong is counted where it was looked at
+    spoilt = sentencepiece_codec.Codec(PIECES, verified=1)
+    real = spoilt.encode_chunks
+    monkeypatch.setattr(spoilt, "encode_chunks", lambda chunks: [x + x for x in real(chunks)])
+    assert spoilt.encode_counted(texts)[1:] == ([3, 0, 1], [3, None, 1])
+    monkeypatch.setitem(__import__("sys").modules, "sentencepiece", None)
+    assert sentencepiece_codec.Codec(PIECES, verified=1).encode_counted(texts)[1:] == ([0, 0, 0], [None, None, None])
+
+
 def test_rebuilt_tokenizer_takes_whole_texts_too():
     import sentencepiece
 
