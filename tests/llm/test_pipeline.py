@@ -41,3 +41,9 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_token_ids_say_what_was_verified(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"word{k} other{k}" for k in range(900))), (2, None)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_verified"], r["n_mismatched"]) for r in corpus_pipeline.token_ids(spark, docs, DATA).collect()}
+    assert found[1][0] > 0 and found[1][1] == 0 and found[2] == (0, None)
