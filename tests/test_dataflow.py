@@ -102,3 +102,18 @@ def test_reaching_definitions(spark):
     defs = spark.createDataFrame([("f", 0, "x"), ("f", 2, "x"), ("f", 0, "y")], "fn string, bbid int, name string")
     got = {(r["bbid"], r["name"], r["def_bbid"]) for r in dataflow.reaching_definitions(edges, defs).collect()}
     assert got == {(1, "x", 0), (1, "x", 2), (1, "y", 0), (2, "x", 0), (2, "x", 2), (2, "y", 0), (3, "x", 2), (3, "y", 0)}
+
+
+@pytest.mark.parametrize("meet,copies", [("union", True), ("intersection", False)])
+def test_large_functions_are_solved_by_joins_and_others_in_a_call(spark, monkeypatch, meet, copies):
+    data = list(graphs(8))
+    frame = lambda k, schema: spark.createDataFrame([(x[0], *r) for x in data for r in x[k]], schema)
+    parts = [frame(1, "fn string, src int, dst int"), frame(2, "fn string, node int, key string, value int"), frame(3, "fn string, node int, key string"), frame(4, "fn string, node int, key string, made string") if copies else None]
+    called = []
+    real = dataflow._solve_rows
+    monkeypatch.setattr(dataflow, "_solve_rows", lambda *args: called.append(1) or real(*args))
+    found = []
+    for whole in (10_000, sorted(sum(map(len, x[1:])) for x in data)[4], 0):
+        monkeypatch.setattr(dataflow, "WHOLE", whole)
+        found.append(sorted(map(tuple, dataflow.solve(*parts, meet=meet).collect())))
+    assert found[0] == found[1] == found[2] and found[0] and len(called) == 2
