@@ -75,3 +75,19 @@ def test_start_vertices():
     found = {m: emb.start_vertex(pattern, known, m) for m in emb.STARTS if m != "random"}
     assert found == {"least_frequent": 2, "most_frequent": 1, "least_connected": 0, "most_connected": 1, "fewest_extensions": 2, "most_extensions": 1, "lowest_cardinality": 2, "highest_cardinality": 1}
     assert emb.start_vertex(pattern, known, "random", 1) == emb.start_vertex(pattern, known, "random", 1)
+
+
+def test_large_graphs_are_measured_by_joins_and_others_whole(spark, monkeypatch):
+    r = random.Random(4)
+    sizes = (1, 3, 6, 9, 12)
+    v = spark.createDataFrame([(str(g), k, r.choice("abc")) for g, n in enumerate(sizes) for k in range(n)] + [("1", None, "a")], "graph_id string, vid int, label string")
+    e = spark.createDataFrame([(str(g), s, t, r.choice(["", "a"])) for g, n in enumerate(sizes) for s in range(n) for t in range(n) if r.random() < 0.25] + [("1", 0, None, ""), ("2", 5, 77, "z")], "graph_id string, src int, dst int, label string")
+    pairs = spark.createDataFrame([(str(a), str(b)) for a, b in itertools.product(range(6), repeat=2)], "a string, b string")
+    joined = []
+    real = ws.reach
+    monkeypatch.setattr(ws, "reach", lambda *args: joined.append(1) or real(*args))
+    found = []
+    for whole in (1000, 20, 0):
+        monkeypatch.setattr(ws, "WHOLE", whole)
+        found.append({(x["a"], x["b"]): x["distance"] for x in ws.matrix_distances(pairs, v, e).collect()})
+    assert len(found[0]) == 36 and found[1] == pytest.approx(found[0]) and found[2] == pytest.approx(found[0]) and len(joined) == 2

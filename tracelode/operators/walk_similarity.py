@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..staging import new_path, staged
 
 
+#: A graph of more vertices and edges is measured by joins; one of these has a matrix of under 300 kB.
+WHOLE = 190
+
+
 def label_walks(v: list[str], e: list[tuple[int, int]], labels: list[str]) -> np.ndarray:
     """For each two labels, whether a walk of up to as many steps as there are vertices leads from one to the other."""
     n = len(v)
@@ -94,8 +98,99 @@ def walk_matrix(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def matrix_distances(pairs: DataFrame, vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """a, b, distance of pairs (a, b) of graphs: the root of the Frobenius norm of the squared differences of their walk matrices, over the square of the number of
-    labels that either has; two graphs without labels have distance 0."""
+    labels that either has; two graphs without labels have distance 0.  Graphs of at most WHOLE vertices and edges have their matrices made where their rows meet, and a
+    pair of these its distance where the matrices do; a pair with a larger one goes by joins."""
     asked = staged(pairs.select("a", "b").distinct(), "pairs")
+    v, e = vertices.select("graph_id", F.col("vid").cast("string").alias("s"), F.lit(None).cast("string").alias("t"), "label"), edges.select("graph_id", F.col("src").cast("string").alias("s"), F.col("dst").cast("string").alias("t"), "label")
+    rows = staged(v.withColumn("is_edge", F.lit(False)).unionByName(e.withColumn("is_edge", F.lit(True))), "graphs")
+    large = staged(rows.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE).select("graph_id"), "large")
+    if large.isEmpty():
+        return _distances_whole(asked, rows)
+    by_joins = asked.join(large.withColumnRenamed("graph_id", "a"), "a", "left_semi").unionByName(asked.join(large.withColumnRenamed("graph_id", "b"), "b", "left_semi").select("a", "b")).distinct()
+    by_joins = staged(by_joins, "large_pairs")
+    theirs = staged(by_joins.select(F.col("a").alias("graph_id")).unionByName(by_joins.select(F.col("b").alias("graph_id"))).distinct(), "theirs")
+    some = lambda df: df.join(theirs, "graph_id", "left_semi")
+    return _distances_whole(asked.join(by_joins, ["a", "b"], "left_anti"), rows.join(large, "graph_id", "left_anti")).unionByName(_distances_by_joins(by_joins, some(vertices), some(edges)))
+
+
+def whole_matrix(vertices: list[tuple], edges: list[tuple]) -> tuple[list, np.ndarray]:
+    """labels and the walk matrix between them of one graph: vertices (id, label), edges (source, target, label)."""
+    n = len(vertices)
+    at: dict = {}
+    for v, _ in vertices:
+        if v is not None:
+            at.setdefault(v, len(at))
+    labels = list(dict.fromkeys([l for _, l in vertices] + [l for *_, l in edges]))
+    number = {l: k for k, l in enumerate(labels)}
+    m = len(at)
+    step, own, begins, ends = np.zeros((m, m), bool), np.zeros((m, len(labels))), np.zeros((m, len(labels))), np.zeros((m, len(labels)))
+    still = np.zeros((m, m))
+    for v, l in vertices:
+        if v is not None:
+            own[at[v], number[l]] += 1
+            still[at[v], at[v]] += 1
+    for s, t, l in edges:
+        if s in at and t in at:
+            step[at[s], at[t]] = True
+        if t in at:
+            begins[at[t], number[l]] += 1
+        if s in at:
+            ends[at[s], number[l]] += 1
+    # steps of the shortest walk of at least one step, up to half the number of vertices
+    reached, near, d = step.copy(), step.copy(), 1
+    steps = np.where(step, 1, 0)
+    while near.any() and 2 * (d + 1) <= n:
+        d += 1
+        near = (near.astype(np.float32) @ step.astype(np.float32) > 0) & ~reached
+        reached |= near
+        steps[near] = d
+    apart = ~np.eye(m, dtype=bool)
+    w = np.zeros((len(labels), len(labels)))
+    for h1, one in ((0, own), (1, begins)):
+        for h2, two in ((0, own), (1, ends)):
+            fits = reached & (2 * steps + h1 + h2 <= n) & (n >= 2)
+            # no step at all joins an edge to its own end; from a vertex to itself it is no walk
+            joined = fits if h1 + h2 == 0 else (fits & apart) + still * (h1 + h2 <= n)
+            w += one.T @ joined @ two
+    return labels, w
+
+
+def _distances_whole(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Distances of pairs of graphs each of whose rows meet in one row: a matrix is one call, and a pair's matrices meet in another."""
+    listed = rows.groupBy("graph_id").agg(F.collect_list(F.struct("s", "t", "label", "is_edge")).alias("g"))
+
+    def measure(batches):
+        for b in batches:
+            found = []
+            for g in b["g"]:
+                labels, w = whole_matrix([(x["s"], x["label"]) for x in g if not x["is_edge"]], [(x["s"], x["t"], x["label"]) for x in g if x["is_edge"]])
+                found.append((labels, w.ravel().tolist()))
+            yield pd.DataFrame({"graph_id": b["graph_id"], "labels": [x for x, _ in found], "w": [x for _, x in found]})
+
+    kind = rows.schema["graph_id"].dataType.simpleString()
+    known = staged(listed.mapInPandas(measure, f"graph_id {kind}, labels array<{rows.schema['label'].dataType.simpleString()}>, w array<double>"), "matrices")
+    side = lambda c: known.select(F.col("graph_id").alias(c), F.struct("labels", "w").alias(f"of_{c}"))
+
+    def apart(batches):
+        for b in batches:
+            found = []
+            for x, y in zip(b["of_a"], b["of_b"], strict=True):
+                sides = [([] if g is None else list(g["labels"]), np.zeros(0) if g is None else np.asarray(g["w"], float)) for g in (x, y)]
+                labels = {l: k for k, l in enumerate(dict.fromkeys([*sides[0][0], *sides[1][0]]))}
+                d = np.zeros((len(labels), len(labels)))
+                for sign, (names, w) in zip((1, -1), sides, strict=True):
+                    at = [labels[l] for l in names]
+                    d[np.ix_(at, at)] += sign * w.reshape(len(at), len(at))
+                n = sum(l is not None for l in labels)
+                found.append(float(np.sqrt(np.sqrt((d**4).sum()) / (n * n))) if n else 0.0)
+            yield pd.DataFrame({"a": b["a"], "b": b["b"], "distance": found})
+
+    pairs = asked.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "of_a", "of_b")
+    return pairs.mapInPandas(apart, f"a {kind}, b {kind}, distance double")
+
+
+def _distances_by_joins(asked: DataFrame, vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same of graphs of any size, as rows."""
     w = staged(walk_matrix(vertices, edges), "walks")
     labels = vertices.select("graph_id", "label").unionByName(edges.select("graph_id", "label")).distinct()
 
