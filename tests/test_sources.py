@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import gzip
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tracelode.sources import dot, simple
+from tracelode.streaming import flows
 
 
 def simple_text(n):
@@ -88,3 +90,32 @@ def test_a_stream_of_profile_files(spark, tmp_path):
     run()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 50 and got.select(F.sum(F.size("vertices"))).first()[0] == sum(1 + k % 5 for k in range(30)) + sum(1 + k % 5 for k in range(20))
+
+
+class Captured:
+    """Stands for a frame, and keeps the function that it is to apply."""
+
+    def mapInPandas(self, fn, schema):
+        return fn
+
+    def groupBy(self, *keys):
+        return self
+
+    def applyInPandasWithState(self, fn, *rest):
+        return fn
+
+
+def test_graphs_are_handed_on_before_a_batch_is_parsed(monkeypatch):
+    monkeypatch.setattr(simple, "HELD", 6)
+    run = simple.parsed(Captured(), "ok", lambda text, first: iter([([(k,) for k in range(3)], [("a",)])] * int(text)), "vid int", "src string")
+    batch = pd.DataFrame({"path": ["p"] * 3, "start": [0] * 3, "content": ["3", "1", "2"]})
+    found = list(run(iter([batch])))
+    assert [len(x) for x in found] == [2, 2, 2] and [x for b in found for x in b["graph_id"]] == [f"p#{k}" for k in range(6)]
+
+
+def test_a_trace_is_folded_without_frames_of_its_own(monkeypatch):
+    state = type("State", (), {"exists": False, "update": lambda self, x: setattr(self, "now", x)})()
+    batches = [pd.DataFrame({"ts": pd.to_datetime(t), "event_id": i, "label": n}) for t, i, n in ((["2024-01-02", None], [1, 9], ["c", "d"]), (["2024-01-01", "2024-01-01"], [5, 4], ["b", "a"]))]
+    monkeypatch.setattr(pd, "concat", None)
+    (found,) = flows.flow_edges(Captured())(("t",), iter(batches), state)
+    assert found.values.tolist() == [["t", "entry", "a", 1], ["t", "a", "b", 1], ["t", "b", "c", 1], ["t", "c", "d", 1]] and state.now == ("d",)

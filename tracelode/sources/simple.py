@@ -25,6 +25,8 @@ from ..staging import staged
 VERTICES = "vid int, label string, bbid int, fn_name string, position string, duration string"
 EDGES = "src string, dst string, traversed long"
 START = "start-graph\n"
+#: Vertices and edges that a task holds as objects before it hands their graphs on, and those of one graph.
+HELD = 10_000
 
 
 def tokens(line: str) -> list[str]:
@@ -91,19 +93,25 @@ def parsed(found: DataFrame, outcome: str, of: Callable[[str, bool], Parsed], ve
     """outcome, graph_id, vertices, edges, a row a graph.  of takes a record and whether it is the first of its file."""
     names = lambda fields: [f.split()[0] for f in fields.split(", ")]
     v, e = names(vertices), names(edges)
+    names_of = ["outcome", "graph_id", "vertices", "edges"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, number, first = None, 0, True
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for p, start, text in zip(b["path"], b["start"], b["content"], strict=True):
                 if at != (p, start):
                     at, number, first = (p, start), 0, start == 0
                 for vs, es in of(text, first):
                     rows.append((outcome, f"{p}#{number}" if start == 0 else f"{p}#{start}+{number}", [dict(zip(v, x, strict=True)) for x in vs], [dict(zip(e, x, strict=True)) for x in es]))
                     number += 1
+                    held += len(vs) + len(es)
+                    if held >= HELD:
+                        yield pd.DataFrame(rows, columns=names_of)
+                        rows, held = [], 0
                 first = False
-            yield pd.DataFrame(rows, columns=["outcome", "graph_id", "vertices", "edges"])
+            if rows:
+                yield pd.DataFrame(rows, columns=names_of)
 
     struct = lambda fields: "array<struct<" + ", ".join(f.replace(" ", ": ", 1) for f in fields.split(", ")) + ">>"
     return found.mapInPandas(run, f"outcome string, graph_id string, vertices {struct(vertices)}, edges {struct(edges)}")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,15 +21,16 @@ def flow_edges(events: DataFrame) -> DataFrame:
     """trace, src, dst, traversed for every micro-batch.  events: a streaming frame of trace, ts, event_id, label."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        # arrays, since frames of a few rows cost more than what is in them
+        ts, ids, names = (np.concatenate(x) for x in zip(*([b[c].to_numpy() for c in ("ts", "event_id", "label")] for b in batches), strict=True))
         last = state.get[0] if state.exists else ENTRY
-        labels = rows["label"].tolist()
+        labels = names[np.lexsort((ids, ts))].tolist()
         counts: dict[tuple[str, str], int] = {}
         for label in labels:
             counts[last, label] = counts.get((last, label), 0) + 1
             last = label
         state.update((last,))
-        yield pd.DataFrame([(key[0], s, d, n) for (s, d), n in counts.items()], columns=["trace", "src", "dst", "traversed"])
+        yield pd.DataFrame({"trace": [key[0]] * len(counts), "src": [s for s, _ in counts], "dst": [d for _, d in counts], "traversed": list(counts.values())})
 
     return events.groupBy("trace").applyInPandasWithState(step, "trace string, src string, dst string, traversed long", "last string", "update", GroupStateTimeout.NoTimeout)
 
