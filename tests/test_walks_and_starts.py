@@ -91,3 +91,13 @@ def test_large_graphs_are_measured_by_joins_and_others_whole(spark, monkeypatch)
         monkeypatch.setattr(ws, "WHOLE", whole)
         found.append({(x["a"], x["b"]): x["distance"] for x in ws.matrix_distances(pairs, v, e).collect()})
     assert len(found[0]) == 36 and found[1] == pytest.approx(found[0]) and found[2] == pytest.approx(found[0]) and len(joined) == 2
+
+
+def test_modes_with_one_order_share_a_search(spark, monkeypatch):
+    v = spark.createDataFrame([("ok", 1, k, l) for k, l in enumerate("abcab")], "outcome string, graph_id int, vid int, label string")
+    e = spark.createDataFrame([("ok", 1, k, k + 1, "") for k in range(4)], "outcome string, graph_id int, src int, dst int, label string")
+    searched = []
+    real = emb._partial
+    monkeypatch.setattr(emb, "_partial", lambda pattern, order, typed: searched.append(order) or real(pattern, order, typed))
+    found = {x["mode"]: (x["vertex"], x["embeddings"]) for x in emb.starts((["a", "b", "c"], [(0, 1, ""), (1, 2, "")]), v, e, emb.STARTS[1:]).collect()}
+    assert set(found) == set(emb.STARTS[1:]) and {n for _, n in found.values()} == {1} and len(searched) <= 2

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 Pattern = tuple[list[str], list[tuple[int, int, str]]]
 
 
@@ -92,12 +94,12 @@ def _typed(pattern: Pattern, vertices: DataFrame, edges: DataFrame) -> DataFrame
     return found.join(labelled.withColumnsRenamed({"vid": "src", "l": "sl"}), [*keys, "src"]).join(labelled.withColumnsRenamed({"vid": "dst", "l": "dl"}), [*keys, "dst"])
 
 
-def statistics_of(pattern: Pattern, vertices: DataFrame, edges: DataFrame) -> Statistics:
+def statistics_of(pattern: Pattern, vertices: DataFrame, edges: DataFrame, typed: DataFrame | None = None) -> Statistics:
     """At most as many rows as the pattern has labels, and pairs of labels with a label of an edge, reach the driver."""
     labels = {r["label"]: r["count"] for r in vertices.where(F.col("label").isin(pattern[0])).groupBy("label").count().collect()}
     if not pattern[1]:
         return labels, {}
-    counts = _typed(pattern, vertices, edges).groupBy("sl", "dl", "el").agg(F.count("*").alias("n"), F.count_if(F.col("src") != F.col("dst")).alias("apart"))
+    counts = (_typed(pattern, vertices, edges) if typed is None else typed).groupBy("sl", "dl", "el").agg(F.count("*").alias("n"), F.count_if(F.col("src") != F.col("dst")).alias("apart"))
     return labels, {(r["sl"], r["dl"], r["el"]): (r["n"], r["apart"]) for r in counts.collect()}
 
 
@@ -140,6 +142,23 @@ def embeddings(pattern: Pattern, vertices: DataFrame, edges: DataFrame, start: s
     return found.select(*keys, F.array(*(F.col(f"v{k}") for k in range(len(v)))).alias("m"))
 
 
+def starts(pattern: Pattern, vertices: DataFrame, edges: DataFrame, modes: tuple[str, ...]) -> DataFrame:
+    """mode, vertex, embeddings: where each mode starts, and the number of embeddings found from there.  The pattern's edges are typed and counted once, and
+    modes that join in the same order share one search."""
+    typed = staged(_typed(pattern, vertices, edges), "typed")
+    known = statistics_of(pattern, vertices, edges, typed)
+    orders: dict[tuple, list[tuple[str, int]]] = {}
+    for mode in modes:
+        vertex = start_vertex(pattern, known, mode)
+        orders.setdefault(tuple(edge_order_from(pattern, known, vertex)), []).append((mode, vertex))
+    found = []
+    for order, theirs in orders.items():
+        *_, (_, last) = _partial(pattern, list(order), typed)
+        each = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(k).alias("vertex")) for m, k in theirs))).alias("at")
+        found.append(last.agg(F.count("*").alias("embeddings")).select(each, "embeddings").select("at.mode", "at.vertex", "embeddings"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def join_sizes(pattern: Pattern, vertices: DataFrame, edges: DataFrame, start: str, seed: int = 0) -> DataFrame:
     """step (from 1), src, dst (vertices of the pattern), rows: partial embeddings after each join of the order that a start gives."""
     known = statistics_of(pattern, vertices, edges)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -501,12 +500,7 @@ def _starts_sql() -> str:
 def embedding_starts(spark: SparkSession, d: str) -> DataFrame:
     """The vertex of a pattern that each mode starts at, and the number of embeddings, which is the same from all."""
     v, e = (staged(x, "graph") for x in _event_graph(spark, d))
-    known = embeddings.statistics_of(_CLICK_VIEW_ERROR, v, e)
-    found = [
-        embeddings.embeddings(_CLICK_VIEW_ERROR, v, e, mode).agg(F.lit(mode).alias("mode"), F.lit(embeddings.start_vertex(_CLICK_VIEW_ERROR, known, mode)).alias("vertex"), F.count("*").alias("embeddings"))
-        for mode in embeddings.STARTS[1:]  # all but the random one
-    ]
-    return functools.reduce(DataFrame.unionByName, found)
+    return embeddings.starts(_CLICK_VIEW_ERROR, v, e, embeddings.STARTS[1:])  # all but the random one
 
 
 _WALKS = f"""with recursive {SQL.strip()[5:]}, gv as (select user_id, wk, label l from v union select user_id, wk, 'entry' from tr), sz as (select user_id, wk, count(*) n from gv group by all),
