@@ -22,6 +22,12 @@ from ..plans.traces import ENTRY
 Fold = Callable[[tuple, tuple, list[dict[str, Any]]], tuple[tuple, list[tuple]]]
 
 
+def _values(column: pd.Series) -> list:
+    """Without frames, which cost more than the few rows in them."""
+    found = column.tolist()
+    return [None if null else x for x, null in zip(found, column.isna(), strict=True)] if column.hasnans else found
+
+
 def in_order(events: DataFrame, keys: list[str], tie: str, fold: Fold, start: tuple, memory: str, emitted: str, delay: str, gap_seconds: int) -> DataFrame:
     """emitted (a schema: the keys, then what fold gives), in append mode.  events: a streaming frame of the keys, ts, the tie-breaking column and others.
 
@@ -39,7 +45,7 @@ def in_order(events: DataFrame, keys: list[str], tie: str, fold: Fold, start: tu
         have = list(zip(*held[n_memory + 1 :], strict=True))
         if not state.hasTimedOut:
             for b in batches:
-                have += b[kept].astype(object).where(b[kept].notna(), None).itertuples(index=False, name=None)
+                have += zip(*(_values(b[c]) for c in kept), strict=True)
         passed = max(0, state.getCurrentWatermarkMs()) * 1000
         listed = sorted((dict(zip(kept, x, strict=True)) for x in have), key=lambda x: (x["us"], x[tie] is not None, x[tie]))
         ripe = [x for x in listed if x["us"] <= passed]
@@ -63,7 +69,8 @@ def in_order(events: DataFrame, keys: list[str], tie: str, fold: Fold, start: tu
             state.update((*now, last, *([x[c] for x in rest] for c in kept)))
             due = rest[0]["us"] if rest else last + gap
             state.setTimeoutTimestamp(max(-(-due // 1000), passed // 1000 + 1))
-        yield pd.DataFrame([(*key, *x) for x in out], columns=names)
+        if out:
+            yield pd.DataFrame(dict(zip(names, zip(*((*key, *x) for x in out), strict=True), strict=True)))
 
     return rows.groupBy(*keys).applyInPandasWithState(step, columns, f"{memory}, last_us long, {waiting}", "append", GroupStateTimeout.EventTimeTimeout)
 
