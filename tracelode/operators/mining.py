@@ -6,26 +6,31 @@ that hold all of its edges.  Mining is then level-wise joins: the embeddings of
 edges of the same graph that touch the pattern.  ``labels_unique`` tests the premise; graphs that break it are
 relabelled by ``with_unique_labels``, which numbers the repeats of a label within its graph.
 
-Scale: a level is one join on graph_id and one aggregation; patterns below the support threshold and, for top-k,
-those whose bound can't reach the k-th best score are dropped before the next join.  Only the k-th score (one
-number a level) reaches the driver.  Each level is written to the shared folder.
+Scale: inside, edges and labels are numbers.  A level is one join on graph_id whose rows, a pattern's embedding and an edge that touches it, are
+counted where they arise by pattern and edge: that count is the grown pattern's support, whichever part it grew from, so no embedding is
+shuffled or made distinct to be counted.  Where all frequent patterns grow, each set of edges arises once, in its canonical order (``Graphs.met``).
+Patterns below the support threshold and, for top-k, those whose bound can't reach the k-th best score are dropped before the next join.
+Only the k-th score and counts (a few numbers a level) reach the driver.  The patterns of each level are written to the shared folder, and so
+are embeddings of three edges and more.
 """
 
 from __future__ import annotations
 
 import math
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import ieee_div, score, upper_bound
-from ..staging import staged
+from ..staging import partitions, staged
 from .ranking import order_key, with_place
 from .support import graph_totals, priors
 
 SEP = " -> "
+#: Rows of edges in a task of a join, and the most patterns that are broadcast.
+ROWS, BROADCAST = 1_000_000, 50_000
 
 
 def labels_unique(vertices: DataFrame) -> DataFrame:
@@ -49,31 +54,6 @@ def _key(pattern: Column) -> Column:
     return F.array_join(pattern, "; ")
 
 
-def one_edge(edges: DataFrame) -> DataFrame:
-    """Embeddings of the one-edge patterns: pattern (sorted array of edge names), labels, outcome, graph_id."""
-    e = edges.select("outcome", "graph_id", "src", "dst").distinct()
-    return e.select(F.array(edge_name()).alias("pattern"), F.array_sort(F.array_distinct(F.array("src", "dst"))).alias("labels"), "outcome", "graph_id")
-
-
-def extend(embeddings: DataFrame, edges: DataFrame) -> DataFrame:
-    """Embeddings of the patterns with one more edge that touches them."""
-    e = edges.select("outcome", "graph_id", "src", "dst").distinct().select("outcome", "graph_id", "src", "dst", edge_name().alias("edge"))
-    touching = F.array_contains("labels", F.col("src")) | F.array_contains("labels", F.col("dst"))
-    grown = embeddings.join(e, ["outcome", "graph_id"]).where(touching & ~F.array_contains("pattern", F.col("edge")))
-    return grown.select(
-        F.array_sort(F.concat("pattern", F.array("edge"))).alias("pattern"), F.array_sort(F.array_distinct(F.concat("labels", F.array("src", "dst")))).alias("labels"), "outcome", "graph_id"
-    ).distinct()
-
-
-def pattern_support(embeddings: DataFrame, min_fails: int = 2) -> DataFrame:
-    """pattern, labels, fail_graphs, ok_graphs of the patterns that occur in at least min_fails failing graphs."""
-    return (
-        embeddings.groupBy("pattern", "labels")
-        .agg(F.count_if(F.col("outcome") == "fail").alias("fail_graphs"), F.count_if(F.col("outcome") == "ok").alias("ok_graphs"))
-        .where(F.col("fail_graphs") >= min_fails)
-    )
-
-
 def _part_counts(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """part (a label or an edge name), n: passing graphs that hold it."""
     v = vertices.where("outcome = 'ok'").select("graph_id", F.col("label").alias("part")).distinct()
@@ -95,9 +75,95 @@ def with_pattern_score(patterns: DataFrame, parts: DataFrame, totals: DataFrame,
     return joined.withColumn("score", score(name)(f, o, pf, po)).withColumn("bound", upper_bound(name, pf, po, f, o, ieee_div(F.lit(float(min_fails)), total), least_o)).drop("fail_total", "ok_total", *([] if keep_parts else ["parts_ok"]))
 
 
-def _once(edges: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What every level reads, written once."""
-    return staged(edges.select("outcome", "graph_id", "src", "dst").distinct(), "edges"), staged(vertices.select("outcome", "graph_id", "label").distinct(), "vertices")
+class Graphs:
+    """What every level reads, written once.
+
+    names: src, dst, edge, eid, s, d (numbers of the edge and of its labels), fail_graphs, ok_graphs, one row a label edge; rows: outcome, graph_id, eid, s, d,
+    one row an edge of a graph; totals and parts as the scores take them, if there are vertices.
+    """
+
+    def __init__(self, edges: DataFrame, vertices: DataFrame | None = None):
+        e = staged(edges.select("outcome", "graph_id", "src", "dst").distinct(), "edges")
+        if vertices is not None:
+            v = staged(vertices.select("outcome", "graph_id", "label").distinct(), "vertices")
+            self.totals = staged(graph_totals(v), "totals")
+            self.parts = staged(_part_counts(e, v), "parts")
+        found = staged(e.groupBy("src", "dst").agg(*_counts()).withColumn("eid", F.monotonically_increasing_id()), "names")
+        ends = found.select(F.explode(F.array("src", "dst")).alias("label")).distinct().where("label IS NOT NULL")
+        labels = staged(ends.withColumn("lid", F.monotonically_increasing_id()), "labels")
+        numbers = lambda c, name: labels.select(F.col("label").alias(c), F.col("lid").alias(name))
+        self.names = staged(found.join(numbers("src", "s"), "src", "left").join(numbers("dst", "d"), "dst", "left").withColumn("edge", edge_name()), "names")
+        self.rows = staged(e.join(self.names.select("src", "dst", "eid", "s", "d"), ["src", "dst"]).select("outcome", "graph_id", "eid", "s", "d"), "rows")
+        self.n_edges = self.names.count()
+        self.dealt = max(partitions(self.rows.sparkSession), -(-self.rows.count() // ROWS))
+
+    def one_edge(self, min_fails: int = 2) -> DataFrame:
+        """pattern, labels, fail_graphs, ok_graphs and seq (the numbers of the edges, as they were joined) of the frequent one-edge patterns."""
+        labels = F.array_sort(F.array_distinct(F.array("src", "dst")))
+        return self.names.where(F.col("fail_graphs") >= min_fails).select(F.array("edge").alias("pattern"), labels.alias("labels"), "fail_graphs", "ok_graphs", F.array("eid").alias("seq"))
+
+    def edges(self, min_fails: int = 2) -> DataFrame:
+        """The rows of frequent edges (no other one is part of a frequent pattern), dealt by graph."""
+        frequent = self.names.where(F.col("fail_graphs") >= min_fails).select("eid")
+        return _semi(self.rows, frequent, "eid", self.n_edges).repartition(self.dealt, "outcome", "graph_id")
+
+    def first(self, min_fails: int = 2) -> DataFrame:
+        """The embeddings of the frequent one-edge patterns: seq, ends (the labels of its edges, two an edge), at, outcome, graph_id."""
+        return self.edges(min_fails).select(F.array("eid").alias("seq"), F.array("s", "d").alias("ends"), F.lit(0).cast("long").alias("at"), "outcome", "graph_id")
+
+    def met(self, level: DataFrame, min_fails: int = 2, full: bool = False) -> DataFrame:
+        """Embeddings with each edge of their graph that touches them: seq, ends, at of what they grow to.
+
+        ``at`` is the place of the first edge that the last one touches.  If level is ``full`` (it has all frequent patterns, each
+        in its canonical order), grown patterns are kept in their canonical order only, so each arises once: its least edge first, then the edges that touch
+        it, in order, then those that touch the second but not the first, in order, and so on.  An order's beginnings are canonical and connected.
+        """
+        grown = level.join(self.edges(min_fails), ["outcome", "graph_id"])
+        place = lambda c: F.nullif(F.array_position("ends", F.col(c)), F.lit(0).cast("long"))
+        met = grown.withColumn("touches", F.shiftright(F.least(place("s"), place("d")) - 1, 1)).where("touches IS NOT NULL")
+        later = (F.col("touches") > F.col("at")) | ((F.col("touches") == F.col("at")) & (F.col("eid") > F.element_at("seq", -1)))
+        met = met.where((F.col("eid") > F.col("seq")[0]) & later if full else ~F.array_contains("seq", F.col("eid")))
+        return met.select(F.concat("seq", F.array("eid")).alias("seq"), F.concat("ends", F.array("s", "d")).alias("ends"), F.col("touches").alias("at"), "outcome", "graph_id")
+
+    def grown(self, level: DataFrame, alive: DataFrame, min_fails: int = 2, full: bool = False) -> DataFrame:
+        """As one_edge, the frequent patterns of one more edge that alive ones grow to.  level: embeddings of the alive patterns."""
+        counts = self.met(level, min_fails, full).groupBy("seq").agg(*_counts()).where(F.col("fail_graphs") >= min_fails)
+        parents = alive.select(F.col("seq").alias("parent"), F.col("pattern").alias("of"), F.col("labels").alias("of_labels"))
+        keyed = counts.withColumn("parent", F.slice("seq", F.lit(1), F.size("seq") - 1)).withColumn("eid", F.element_at("seq", -1))
+        named = keyed.join(parents, "parent").join(self.names.select("eid", "edge", "src", "dst"), "eid")
+        labels = F.array_sort(F.array_distinct(F.concat("of_labels", F.array("src", "dst"))))
+        kids = named.select(F.array_sort(F.concat("of", F.array("edge"))).alias("pattern"), labels.alias("labels"), "fail_graphs", "ok_graphs", "seq")
+        if full:
+            return kids
+        # from whichever part a pattern grew, its support is the same
+        return kids.groupBy(F.array_sort("seq").alias("edges")).agg(F.min_by(F.struct("pattern", "labels", "fail_graphs", "ok_graphs", "seq"), "seq").alias("kid")).select("kid.*")
+
+    def level(self, before: DataFrame | None, size: int, alive: DataFrame, n_alive: int, min_fails: int = 2, full: bool = False) -> DataFrame:
+        """The embeddings of the n_alive patterns of size edges, which those of the level before, if any, grew to.  Those of two edges follow the join that made
+        them, larger ones are written."""
+        kept = _semi(self.first(min_fails) if before is None else self.met(before, min_fails, full), alive.select("seq"), "seq", n_alive)
+        return kept if size < 3 else staged(kept, "embeddings")
+
+
+def _counts() -> tuple[Column, Column]:
+    return F.count_if(F.col("outcome") == "fail").alias("fail_graphs"), F.count_if(F.col("outcome") == "ok").alias("ok_graphs")
+
+
+def _semi(rows: DataFrame, keyed: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows whose key is among the n of keyed; a broadcast join leaves rows where they are."""
+    return rows.join(F.broadcast(keyed) if n <= BROADCAST else keyed, key, "left_semi")
+
+
+def frequent(edges: DataFrame, n_edges: int, min_fails: int = 2) -> DataFrame:
+    """pattern, labels, fail_graphs, ok_graphs of all patterns of n_edges edges in at least min_fails failing graphs."""
+    g = Graphs(edges)
+    found, level = g.one_edge(min_fails), None
+    for size in range(1, n_edges):
+        # anti-monotone: a pattern that is frequent has frequent parts
+        found = staged(found, "patterns")
+        level = g.level(level, size, found, found.count(), min_fails, full=True)
+        found = g.grown(level, found, min_fails, full=True)
+    return found.drop("seq")
 
 
 def mine(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, min_edges: int = 1, k: int | None = None, improving: bool = False, timeout_s: float | None = None, true_prior: bool = False, start: DataFrame | None = None, stats: dict | None = None) -> DataFrame:
@@ -108,18 +174,30 @@ def mine(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_e
     far is returned.  start holds patterns that are known already, whose scores prune from the first level on.  stats, if given, gets the number of
     patterns extended.
     """
+    _check(max_edges, min_edges, min_fails)
+    until = None if timeout_s is None else time.monotonic() + timeout_s
+    return _mine(Graphs(edges, vertices), name, max_edges, min_fails, min_edges, k, improving, until, true_prior, start, stats)
+
+
+def mine_each(edges: DataFrame, vertices: DataFrame, names: Iterable[str], max_edges: int = 3, min_fails: int = 2, k: int | None = None) -> dict[str, DataFrame]:
+    """What ``mine`` finds by each of the scores, of graphs that are written once."""
+    _check(max_edges, 1, min_fails)
+    g = Graphs(edges, vertices)
+    return {name: _mine(g, name, max_edges, min_fails, k=k) for name in names}
+
+
+def _check(max_edges: int, min_edges: int, min_fails: int) -> None:
     if max_edges < 1 or min_edges < 0 or min_fails < 1:
         raise ValueError("max_edges and min_fails start at 1, min_edges at 0")
-    began = time.monotonic()
-    edges, vertices = _once(edges, vertices)
-    totals = graph_totals(vertices)
-    parts = staged(_part_counts(edges, vertices), "parts")
+
+
+def _mine(g: Graphs, name: str, max_edges: int, min_fails: int, min_edges: int = 1, k: int | None = None, improving: bool = False, until: float | None = None, true_prior: bool = False, start: DataFrame | None = None, stats: dict | None = None) -> DataFrame:
     found = start
-    level = one_edge(edges)
+    frequent, level, full = g.one_edge(min_fails), None, True
     previous: DataFrame | None = None
     for size in range(1, max_edges + 1):
-        level = staged(level, "embeddings")
-        scored = with_pattern_score(pattern_support(level, min_fails), parts, totals, name, max_edges, min_fails, true_prior)
+        frequent = staged(frequent, "frequent")
+        scored = with_pattern_score(frequent, g.parts, g.totals, name, max_edges, min_fails, true_prior)
         if improving and previous is not None:
             # a pattern stays if one of its parents scores less
             parents = scored.select("pattern", F.explode("pattern").alias("edge")).select("pattern", F.array_remove(F.col("pattern"), F.col("edge")).alias("parent"))
@@ -128,15 +206,19 @@ def mine(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_e
         scored = staged(scored, "patterns")
         previous = scored.select(F.col("pattern").alias("parent"), F.col("score").alias("parent_score"))
         if size >= min_edges:
-            found = scored if found is None else found.unionByName(scored)
-        if size == max_edges or (timeout_s is not None and time.monotonic() - began > timeout_s):
+            now = scored.drop("seq")
+            found = now if found is None else found.unionByName(now)
+        if size == max_edges or (until is not None and time.monotonic() > until):
             break
         alive = scored
         if k is not None and found is not None:
             found, alive = _best(found, k, scored)
+        n_alive = alive.count()
         if stats is not None:
-            stats["extended"] = stats.get("extended", 0) + alive.count()
-        level = extend(level.join(alive.select("pattern"), "pattern", "left_semi"), edges)
+            stats["extended"] = stats.get("extended", 0) + n_alive
+        level = g.level(level, size, alive, n_alive, min_fails, full)
+        full = full and n_alive == frequent.count()
+        frequent = g.grown(level, alive, min_fails, full)
     assert found is not None
     return _top(found, k) if k is not None else found
 
@@ -168,25 +250,27 @@ def leap(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_e
     neither kept nor extended; what it leaps to is kept, whatever becomes of its parents.  The reference, which searches best first, leaps where such an
     extension happens to have been visited; here it doesn't depend on the order of a search.  start and stats as in ``mine``.
     """
-    edges, vertices = _once(edges, vertices)
-    totals = graph_totals(vertices)
-    parts = staged(_part_counts(edges, vertices), "parts")
+    return _leap(Graphs(edges, vertices), name, max_edges, min_fails, k, sigma, start, stats)
+
 
-    def patterns(level: DataFrame) -> DataFrame:
-        return staged(with_pattern_score(pattern_support(level, min_fails), parts, totals, name, max_edges, min_fails, keep_parts=True), "patterns")
+def _leap(g: Graphs, name: str, max_edges: int, min_fails: int, k: int, sigma: float, start: DataFrame | None = None, stats: dict | None = None) -> DataFrame:
+    def patterns(frequent: DataFrame) -> DataFrame:
+        return staged(with_pattern_score(staged(frequent, "frequent"), g.parts, g.totals, name, max_edges, min_fails, keep_parts=True), "patterns")
 
-    level = staged(one_edge(edges), "embeddings")
-    scored, found = patterns(level), start
+    kids, level, full = patterns(g.one_edge(min_fails)), None, True
+    scored, found = kids, start
     for size in range(1, max_edges + 1):
-        now = scored.drop("parts_ok")
+        now = scored.drop("parts_ok", "seq")
         before = now if found is None else found.unionByName(now)
         if size == max_edges:
             return _top(before, k)
         _, alive = _best(before, k, scored)
+        n_alive = alive.count()
         if stats is not None:
-            stats["extended"] = stats.get("extended", 0) + alive.count()
-        grown = staged(extend(level.join(alive.select("pattern"), "pattern", "left_semi"), edges), "embeddings")
-        kids = patterns(grown)
+            stats["extended"] = stats.get("extended", 0) + n_alive
+        level = g.level(level, size, alive, n_alive, min_fails, full)
+        full = full and n_alive == kids.count()
+        kids = patterns(g.grown(level, alive, min_fails, full))
         jumps = staged(_jumps(alive, kids, sigma), "jumps")
         gone = jumps.where("leaps").select(F.col("parent").alias("pattern")).distinct()
         if stats is not None:
@@ -194,7 +278,7 @@ def leap(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_e
         found = staged(before.join(gone, "pattern", "left_anti"), "found")
         # a kid stays if a pattern leaps to it or some parent of it stays
         held = jumps.join(gone.select(F.col("pattern").alias("parent"), F.lit(True).alias("gone")), "parent", "left").where(F.col("leaps") | F.col("gone").isNull()).select("pattern").distinct()
-        scored, level = staged(kids.join(held, "pattern", "left_semi"), "patterns"), grown
+        scored = staged(kids.join(held, "pattern", "left_semi"), "patterns")
     raise ValueError("max_edges starts at 1")
 
 
@@ -219,19 +303,19 @@ def halving_leap(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1
     """Leaps at a support that is halved, from all failing graphs on, until the sum of the k best scores moves by no more than
     ``settled`` or the support is down at min_fails; then a pass without leaps at min_fails.  Each pass starts from the best patterns of the one before,
     whose k-th score prunes it from its first level on.  stats gets the number of patterns that the last pass extends."""
-    edges, vertices = _once(edges, vertices)
-    fails = graph_totals(vertices).first()["fail_total"]
+    g = Graphs(edges, vertices)
+    fails = g.totals.first()["fail_total"]
     share, before, now = 1.0, -math.inf, math.inf
     best: DataFrame | None = None
     while True:
         support = max(1, min_fails, int(share * fails))
-        best = staged(leap(edges, vertices, name, max_edges, support, k, sigma, best), "best")
+        best = staged(_leap(g, name, max_edges, support, k, sigma, best), "best")
         before, now = now, best.agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("s")).first()["s"]
         if support <= min_fails or abs(now - before) <= settled:
             break
         share /= 2
     # what a pass of higher support says of the most that may grow from a pattern holds for that support only
-    return mine(edges, vertices, name, max_edges, min_fails, k=k, start=best, stats=stats)
+    return _mine(g, name, max_edges, min_fails, k=k, start=best, stats=stats)
 
 
 class _Climb:
@@ -239,13 +323,11 @@ class _Climb:
     in proportion to the score, until there is none.  The choice is an argmax of seeded exponential keys, so it can be repeated."""
 
     def __init__(self, edges: DataFrame, vertices: DataFrame, name: str, max_edges: int, min_fails: int, seed: int, weighted: bool):
-        self.edges, self.vertices = _once(edges, vertices)
-        self.totals = graph_totals(self.vertices)
-        self.parts = staged(_part_counts(self.edges, self.vertices), "parts")
+        self.g = Graphs(edges, vertices)
         self.name, self.max_edges, self.min_fails, self.seed, self.weighted = name, max_edges, min_fails, seed, weighted
 
-    def scored(self, level: DataFrame) -> DataFrame:
-        return staged(with_pattern_score(pattern_support(level, self.min_fails), self.parts, self.totals, self.name, self.max_edges, self.min_fails, keep_parts=True), "patterns")
+    def scored(self, frequent: DataFrame) -> DataFrame:
+        return staged(with_pattern_score(staged(frequent, "frequent"), self.g.parts, self.g.totals, self.name, self.max_edges, self.min_fails, keep_parts=True), "patterns")
 
     @staticmethod
     def better(than: str) -> Column:
@@ -262,11 +344,13 @@ class _Climb:
 
     def run(self, first: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """first turns the scored one-edge patterns into the options (walk, pattern, labels, score) of every walk."""
-        level = staged(one_edge(self.edges), "embeddings")
-        at = staged(self.chosen(first(self.scored(level)), 0), "walks")
+        level, scored = None, self.scored(self.g.one_edge(self.min_fails))
+        at = staged(self.chosen(first(scored), 0), "walks")
         for step in range(1, self.max_edges):
-            level = staged(extend(level.join(at.select("pattern").distinct(), "pattern", "left_semi"), self.edges), "embeddings")
-            grown = self.scored(level).select("pattern", "labels", "score", "parts_ok", F.explode("pattern").alias("edge")).withColumn("parent", F.array_remove(F.col("pattern"), F.col("edge")))
+            alive = staged(scored.join(at.select("pattern").distinct(), "pattern", "left_semi"), "alive")
+            level = self.g.level(level, step, alive, alive.count(), self.min_fails)
+            scored = self.scored(self.g.grown(level, alive, self.min_fails))
+            grown = scored.select("pattern", "labels", "score", "parts_ok", F.explode("pattern").alias("edge")).withColumn("parent", F.array_remove(F.col("pattern"), F.col("edge")))
             options = at.select("walk", F.col("pattern").alias("parent"), F.col("score").alias("parent_score")).join(grown, "parent").where(self.better("parent_score")).select("walk", "pattern", "labels", "score")
             moved = self.chosen(options, step)
             at = staged(moved.unionByName(at.join(moved.select("walk"), "walk", "left_anti")), "walks")

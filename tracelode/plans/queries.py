@@ -208,13 +208,7 @@ _P3 = f"""p3 as (select a.e || '; ' || b.e || '; ' || c.e pattern, sum(a.failed)
 
 
 def _mined(spark: SparkSession, d: str, size: int) -> DataFrame:
-    edges = traces.edges(spark, d)
-    level = mining.one_edge(edges)
-    for _ in range(size - 1):
-        # anti-monotone: a pattern that is frequent has frequent parts
-        frequent = mining.pattern_support(level).select("pattern")
-        level = mining.extend(level.join(frequent, "pattern", "left_semi"), edges)
-    return mining.pattern_support(level).select(_pattern().alias("pattern"), "fail_graphs", "ok_graphs")
+    return mining.frequent(traces.edges(spark, d), size).select(_pattern().alias("pattern"), "fail_graphs", "ok_graphs")
 
 
 @query(f"{SQL}, {_E2}, {_P2} select pattern, cast(fa as bigint) fail_graphs, cast(oa as bigint) ok_graphs from p2")

@@ -3,7 +3,7 @@ value in it exceeds 150; an edge leads from each event to the next one, the firs
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 ENTRY = "entry"
@@ -26,18 +26,24 @@ def outcomes(events: DataFrame) -> DataFrame:
     return events.groupBy("graph_id").agg(F.when(F.max(F.when(F.col("value") > 150, 1).otherwise(0)) == 1, "fail").otherwise("ok").alias("outcome"))
 
 
+def _failed(window: WindowSpec) -> Column:
+    """outcome, found where a trace's events meet anyway."""
+    return F.when(F.max(F.when(F.col("value") > 150, 1).otherwise(0)).over(window) == 1, "fail").otherwise("ok").alias("outcome")
+
+
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """outcome, graph_id, label, fn_name, bbid, one row for each label of a trace."""
     e = steps(spark, sf_dir)
-    return e.select("graph_id", "label", "fn_name", "bbid").distinct().join(outcomes(e), "graph_id")
+    return e.select("graph_id", "label", "fn_name", "bbid", _failed(Window.partitionBy("graph_id"))).distinct()
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """outcome, graph_id, src, dst, traversed."""
     e = steps(spark, sf_dir)
     w = Window.partitionBy("graph_id").orderBy("ts", "event_id")
-    flows = e.select("graph_id", F.coalesce(F.lag("label").over(w), F.lit(ENTRY)).alias("src"), F.col("label").alias("dst"))
-    return flows.groupBy("graph_id", "src", "dst").agg(F.count("*").alias("traversed")).join(outcomes(e), "graph_id")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    flows = e.select("graph_id", F.coalesce(F.lag("label").over(w), F.lit(ENTRY)).alias("src"), F.col("label").alias("dst"), _failed(whole))
+    return flows.groupBy("graph_id", "src", "dst", "outcome").agg(F.count("*").alias("traversed")).select("graph_id", "src", "dst", "traversed", "outcome")
 
 
 #: The same in SQL: ev (events with label), tr (traces), v (labels of traces), fl (edges of traces), n (totals).
