@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelode.operators import mining
-from tracelode.plans import traces
+from tracelode.plans import queries, traces
 
 
 def _connected(edges) -> bool:
@@ -83,6 +83,18 @@ def test_best_and_improving_patterns_of_three_edges(graphs):
     assert {tuple(r["pattern"]) for r in mining.mine(e, v, "precision", 3, 2, improving=True).collect()} == kept
 
 
+def _written(monkeypatch) -> Counter:
+    names, write = Counter(), mining.staged
+    monkeypatch.setattr(mining, "staged", lambda df, name: (names.update([name]), write(df, name))[1])
+    return names
+
+
+def test_compared_miners_share_their_graphs(spark, monkeypatch):
+    names = _written(monkeypatch)
+    queries.compare_miners(spark, "/root/testdata/sf0.001")
+    assert names["edges"] == 1 and names["vertices"] == 1 and names["embeddings"] == 0
+
+
 def test_traces_shuffle_events_once(spark):
     """The outcome of a trace is found where its events meet; before, it was a second pass that was joined."""
     for found in (traces.edges, traces.vertices):

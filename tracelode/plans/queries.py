@@ -362,8 +362,8 @@ def cluster_metrics(spark: SparkSession, d: str) -> DataFrame:
 # -- localisation end to end
 
 
-def _mined_patterns(spark: SparkSession, d: str, name: str = "precision", k: int = 10) -> DataFrame:
-    return mining.mine(traces.edges(spark, d), traces.vertices(spark, d), name, max_edges=2, k=k)
+def _mined_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return mining.mine(traces.edges(spark, d), traces.vertices(spark, d), "precision", max_edges=2, k=10)
 
 
 _PJ = f"with recursive {_PS.strip()[5:]}, us as (select pattern id, list(distinct label) items, any_value(score) score from (select * from ss order by score desc, pattern limit 10) join lab using (pattern) group by 1), {_JP.replace(str(EPSILON), '0.5')}, {_RE}, {_CC}"
@@ -432,8 +432,8 @@ _RH = f"rh as (select method, score_group, before, size, count(*) h from rn wher
 )
 def compare_miners(spark: SparkSession, d: str) -> DataFrame:
     """Two miners' patterns compared, with where the first fault is."""
-    runs = {name: _mined_patterns(spark, d, name) for name in ("precision", "contrast")}
-    found = localisation.compare(runs, spark.createDataFrame([(_FAULTY,)], "label string"))
+    runs = mining.mine_each(traces.edges(spark, d), traces.vertices(spark, d), ("precision", "contrast"), max_edges=2, k=10)
+    found = localisation.compare(runs, spark.range(1).select(F.lit(_FAULTY).alias("label")))
     return found.select("method", "n", *(rounded(c, 6).alias(c) for c in ("sum", "mean", "stddev", "stderr")), "rank", F.col("score_group").cast("long").alias("score_group"))
 
 
