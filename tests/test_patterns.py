@@ -95,6 +95,13 @@ def test_compared_miners_share_their_graphs(spark, monkeypatch):
     assert names["edges"] == 1 and names["vertices"] == 1 and names["embeddings"] == 0
 
 
+def test_improving_patterns_write_no_embeddings(graphs, monkeypatch):
+    e, v, _ = graphs
+    names = _written(monkeypatch)
+    mining.mine(e, v, "precision", 2, improving=True)
+    assert names["embeddings"] == 0
+
+
 def test_traces_shuffle_events_once(spark):
     """The outcome of a trace is found where its events meet; before, it was a second pass that was joined."""
     for found in (traces.edges, traces.vertices):
