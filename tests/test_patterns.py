@@ -102,6 +102,13 @@ def test_improving_patterns_write_no_embeddings(graphs, monkeypatch):
     assert names["embeddings"] == 0
 
 
+def test_passes_of_a_halving_leap_share_their_graphs(graphs, monkeypatch):
+    e, v, _ = graphs
+    names = _written(monkeypatch)
+    mining.halving_leap(e, v, "contrast", 2, 2, k=2)
+    assert names["edges"] == 1 and names["rows"] == 1 and names["embeddings"] == 0
+
+
 def test_traces_shuffle_events_once(spark):
     """The outcome of a trace is found where its events meet; before, it was a second pass that was joined."""
     for found in (traces.edges, traces.vertices):
