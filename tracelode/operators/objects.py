@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..staging import partitions, staged
+from .joins import join_split
 
 _TWO64 = "18446744073709551616"
+#: Rows of a range of covariates, and the most bins that are broadcast.
+RANGE, BINS = 500_000, 20_000
 
 
 def int_dissimilar(a: Column, b: Column, compat: bool = False) -> Column:
@@ -94,29 +97,35 @@ def nearest_covariate(individuals: DataFrame, width: float | None = None, own: b
 
     individuals: func_name, id, bin, covariate.  Instead of all pairs, each bin's covariates are merged in one order with
     the seekers, and the nearest one before and after is carried along.  Rows are dealt by ranges of function, bin and covariate, so that a
-    hot function or bin is spread; what reaches over a border are each range's first and last offer, a row a range and bin.
+    hot function or bin is spread, as many ranges as hold about RANGE rows each, a range a task; what reaches over a border, the last offer before
+    a range and the first one behind it, joins the range as two more rows a bin.
     """
     keys = ["func_name", "other_bin"]
-    bins = individuals.select("func_name", F.col("bin").alias("other_bin")).distinct()
-    pairs = individuals.join(bins, "func_name")
+    bins = staged(individuals.groupBy("func_name", F.col("bin").alias("other_bin")).agg(F.count("*").alias("n")), "bins")
+    by_function = bins.groupBy("func_name").agg(F.collect_list(F.struct("other_bin")).alias("bins"), F.sum("n").alias("n"))
+    total = by_function.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(a) for a, c in (("rows", F.col("n")), ("bins", F.size("bins")), ("seekers", F.col("n") * F.size("bins"))))).first()
+    ranges = max(partitions(individuals.sparkSession), -(-(total["rows"] + total["seekers"]) // RANGE))
+    # few bins go to where the individuals are
+    met = individuals.join(F.broadcast(by_function.drop("n")), "func_name") if total["bins"] <= BINS else join_split(individuals, by_function, "func_name", "n", total["rows"])
+    pairs = met.withColumn("of", F.explode("bins")).withColumn("other_bin", F.col("of.other_bin"))
     seekers = (pairs if own else pairs.where("bin != other_bin")).select(*keys, "covariate", "id", "bin", F.lit(None).cast("struct<c:double,i:bigint>").alias("offer"))
     offers = individuals.groupBy("func_name", F.col("bin").alias("other_bin"), "covariate").agg(F.min("id").alias("i")).select(
         *keys, "covariate", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("bin"), F.struct(F.col("covariate").cast("double").alias("c"), F.col("i").cast("long").alias("i")).alias("offer")
     )
-    both = seekers.unionByName(offers)
-    ranged = staged(both.repartitionByRange(partitions(both.sparkSession), *keys, "covariate").withColumn("part", F.spark_partition_id()), "ranged")
-    ends = ranged.groupBy("part", *keys).agg(F.min("offer").alias("first"), F.max("offer").alias("last"))
+    ranged = staged(seekers.unionByName(offers).repartitionByRange(ranges, *keys, "covariate").withColumn("part", F.spark_partition_id()), "ranged")
+    end = F.when(F.col("offer").isNotNull(), F.struct("covariate", "offer"))
+    ends = staged(ranged.groupBy("part", *keys).agg(F.min(end).alias("first"), F.max(end).alias("last")), "ends")
     along = Window.partitionBy(*keys).orderBy("part")
-    borders = ends.select(
-        "part", *keys, F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("behind")
-    )
+    before, behind = F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.last("first", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1))
+    reach = ends.select("part", *keys, before.alias("before"), behind.alias("behind"))
+    over = reach.select("part", *keys, F.explode(F.array("before", "behind")).alias("at")).where("at IS NOT NULL").select(*keys, "at.covariate", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("bin"), "at.offer", "part")
     inside = Window.partitionBy("part", *keys)
     below = F.last("offer", ignorenulls=True).over(inside.orderBy("covariate", F.col("offer").isNull()).rowsBetween(Window.unboundedPreceding, 0))
     above = F.last("offer", ignorenulls=True).over(inside.orderBy(F.desc("covariate"), F.col("offer").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-    met = ranged.select("*", below.alias("below"), above.alias("above")).where("id IS NOT NULL").join(borders, ["part", *keys])
+    found = ranged.unionByName(over).repartitionById(ranges, "part").select("*", below.alias("below"), above.alias("above")).where("id IS NOT NULL")
     far = lambda o: F.when(o.isNotNull(), F.struct(F.abs(F.col("covariate") - o["c"]).alias("distance"), o["i"].alias("other_id")))
-    best = F.least(far(F.coalesce("below", "before")), far(F.coalesce("above", "behind")))
-    out = met.select("func_name", "id", "bin", "other_bin", best.alias("m")).select("func_name", "id", "bin", "other_bin", "m.other_id", "m.distance")
+    best = F.least(far(F.col("below")), far(F.col("above")))
+    out = found.select("func_name", "id", "bin", "other_bin", best.alias("m")).select("func_name", "id", "bin", "other_bin", "m.other_id", "m.distance")
     return out if width is None else out.where(F.col("distance") < width)
 
 
