@@ -102,6 +102,20 @@ def test_improving_patterns_write_no_embeddings(graphs, monkeypatch):
     assert names["embeddings"] == 0
 
 
+def test_embeddings_are_numbers_dealt_by_their_rows(spark, graphs):
+    """Before, arrays were made and searched at every pair, and the shuffle partitions said how many tasks a few rows went to, each with its own count of every pattern."""
+    e, _, _ = graphs
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "100")
+        g = mining.Graphs(e)
+        met = g.met(g.first(2), 2, full=True)
+        assert g.edges(2).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        assert not any(kind.startswith("array") for _, kind in met.dtypes) and mining._size(met) == 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_passes_of_a_halving_leap_share_their_graphs(graphs, monkeypatch):
     e, v, _ = graphs
     names = _written(monkeypatch)

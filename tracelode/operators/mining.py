@@ -19,18 +19,21 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import ieee_div, score, upper_bound
-from ..staging import partitions, staged
+from ..staging import staged
 from .ranking import order_key, with_place
 from .support import graph_totals, priors
 
 SEP = " -> "
-#: Rows of edges in a task of a join, and the most patterns that are broadcast.
-ROWS, BROADCAST = 1_000_000, 50_000
+#: Rows of edges in a task of a join (with fewer, what it counts by pattern is hardly fewer rows than it met), and the most patterns that are broadcast.
+ROWS, BROADCAST = 250_000, 50_000
+#: An edge in rows, and what tells a graph there; the hash alone wouldn't.
+EDGE, GRAPH = ("eid", "s", "d"), ["hash", "outcome", "graph_id"]
 
 
 def labels_unique(vertices: DataFrame) -> DataFrame:
@@ -95,7 +98,7 @@ class Graphs:
         self.names = staged(found.join(numbers("src", "s"), "src", "left").join(numbers("dst", "d"), "dst", "left").withColumn("edge", edge_name()), "names")
         self.rows = staged(e.join(self.names.select("src", "dst", "eid", "s", "d"), ["src", "dst"]).select("outcome", "graph_id", "eid", "s", "d"), "rows")
         self.n_edges = self.names.count()
-        self.dealt = max(partitions(self.rows.sparkSession), -(-self.rows.count() // ROWS))
+        self.dealt = max(self.rows.sparkSession.sparkContext.defaultParallelism, -(-self.rows.count() // ROWS))
 
     def one_edge(self, min_fails: int = 2) -> DataFrame:
         """pattern, labels, fail_graphs, ok_graphs and seq (the numbers of the edges, as they were joined) of the frequent one-edge patterns."""
@@ -103,31 +106,38 @@ class Graphs:
         return self.names.where(F.col("fail_graphs") >= min_fails).select(F.array("edge").alias("pattern"), labels.alias("labels"), "fail_graphs", "ok_graphs", F.array("eid").alias("seq"))
 
     def edges(self, min_fails: int = 2) -> DataFrame:
-        """The rows of frequent edges (no other one is part of a frequent pattern), dealt by graph."""
+        """The rows of frequent edges (no other one is part of a frequent pattern), dealt by graph.  hash orders graphs quickly where they are sorted to be joined."""
         frequent = self.names.where(F.col("fail_graphs") >= min_fails).select("eid")
-        return _semi(self.rows, frequent, "eid", self.n_edges).repartition(self.dealt, "outcome", "graph_id")
+        kept = _semi(self.rows, frequent, ["eid"], self.n_edges)
+        return kept.withColumn("hash", F.xxhash64("outcome", "graph_id")).repartition(self.dealt, *GRAPH)
 
     def first(self, min_fails: int = 2) -> DataFrame:
-        """The embeddings of the frequent one-edge patterns: seq, ends (the labels of its edges, two an edge), at, outcome, graph_id."""
-        return self.edges(min_fails).select(F.array("eid").alias("seq"), F.array("s", "d").alias("ends"), F.lit(0).cast("long").alias("at"), "outcome", "graph_id")
+        """The embeddings of the frequent one-edge patterns: seq_0, s_0, d_0 (numbers, where arrays would be made and searched at every pair), at, hash, outcome, graph_id."""
+        return self.edges(min_fails).select(*(F.col(c).alias(n) for c, n in zip(EDGE, _edge(0))), F.lit(0).alias("at"), *GRAPH)
 
     def met(self, level: DataFrame, min_fails: int = 2, full: bool = False) -> DataFrame:
-        """Embeddings with each edge of their graph that touches them: seq, ends, at of what they grow to.
+        """Embeddings with each edge of their graph that touches them: seq_i, s_i, d_i of what they grow to, at, hash, outcome, graph_id.
 
         ``at`` is the place of the first edge that the last one touches.  If level is ``full`` (it has all frequent patterns, each
         in its canonical order), grown patterns are kept in their canonical order only, so each arises once: its least edge first, then the edges that touch
         it, in order, then those that touch the second but not the first, in order, and so on.  An order's beginnings are canonical and connected.
         """
-        grown = level.join(self.edges(min_fails), ["outcome", "graph_id"])
-        place = lambda c: F.nullif(F.array_position("ends", F.col(c)), F.lit(0).cast("long"))
-        met = grown.withColumn("touches", F.shiftright(F.least(place("s"), place("d")) - 1, 1)).where("touches IS NOT NULL")
-        later = (F.col("touches") > F.col("at")) | ((F.col("touches") == F.col("at")) & (F.col("eid") > F.element_at("seq", -1)))
-        met = met.where((F.col("eid") > F.col("seq")[0]) & later if full else ~F.array_contains("seq", F.col("eid")))
-        return met.select(F.concat("seq", F.array("eid")).alias("seq"), F.concat("ends", F.array("s", "d")).alias("ends"), F.col("touches").alias("at"), "outcome", "graph_id")
+        size = _size(level)
+        numbers = [F.col(_edge(i)[0]) for i in range(size)]
+        touched = [F.col("s").isin(*ends) | F.col("d").isin(*ends) for ends in ([F.col(c) for c in _edge(i)[1:]] for i in range(size))]
+        touches = reduce(lambda rest, i: F.when(touched[i], F.lit(i)).otherwise(rest), reversed(range(size)), F.lit(size))
+        new = F.col("eid") > numbers[0] if full else ~F.col("eid").isin(*numbers)
+        met = level.join(self.edges(min_fails), GRAPH).where(new & reduce(Column.__or__, touched)).withColumn("touches", touches)
+        if full:
+            met = met.where((F.col("touches") > F.col("at")) | ((F.col("touches") == F.col("at")) & (F.col("eid") > numbers[-1])))
+        grown = (F.col(c).alias(n) for c, n in zip(EDGE, _edge(size)))
+        return met.select(*(c for i in range(size) for c in _edge(i)), *grown, F.col("touches").alias("at"), *GRAPH)
 
     def grown(self, level: DataFrame, alive: DataFrame, min_fails: int = 2, full: bool = False) -> DataFrame:
         """As one_edge, the frequent patterns of one more edge that alive ones grow to.  level: embeddings of the alive patterns."""
-        counts = self.met(level, min_fails, full).groupBy("seq").agg(*_counts()).where(F.col("fail_graphs") >= min_fails)
+        met = self.met(level, min_fails, full)
+        seq = [_edge(i)[0] for i in range(_size(met))]
+        counts = met.groupBy(*seq).agg(*_counts()).where(F.col("fail_graphs") >= min_fails).withColumn("seq", F.array(*seq)).drop(*seq)
         parents = alive.select(F.col("seq").alias("parent"), F.col("pattern").alias("of"), F.col("labels").alias("of_labels"))
         keyed = counts.withColumn("parent", F.slice("seq", F.lit(1), F.size("seq") - 1)).withColumn("eid", F.element_at("seq", -1))
         named = keyed.join(parents, "parent").join(self.names.select("eid", "edge", "src", "dst"), "eid")
@@ -138,18 +148,32 @@ class Graphs:
         # from whichever part a pattern grew, its support is the same
         return kids.groupBy(F.array_sort("seq").alias("edges")).agg(F.min_by(F.struct("pattern", "labels", "fail_graphs", "ok_graphs", "seq"), "seq").alias("kid")).select("kid.*")
 
-    def level(self, before: DataFrame | None, size: int, alive: DataFrame, n_alive: int, min_fails: int = 2, full: bool = False) -> DataFrame:
+    def level(self, before: DataFrame | None, size: int, alive: DataFrame, n_alive: int, min_fails: int = 2, full: bool = False, whole: bool = False) -> DataFrame:
         """The embeddings of the n_alive patterns of size edges, which those of the level before, if any, grew to.  Those of two edges follow the join that made
-        them, larger ones are written."""
-        kept = _semi(self.first(min_fails) if before is None else self.met(before, min_fails, full), alive.select("seq"), "seq", n_alive)
+        them, larger ones are written.  whole: all frequent patterns are alive, so those of one edge need no looking up, and both sides of the join are the same shuffle."""
+        if before is None and whole:
+            return self.first(min_fails)
+        seq = [_edge(i)[0] for i in range(size)]
+        keys = alive.select(*(F.col("seq")[i].alias(c) for i, c in enumerate(seq)))
+        kept = _semi(self.first(min_fails) if before is None else self.met(before, min_fails, full), keys, seq, n_alive)
         return kept if size < 3 else staged(kept, "embeddings")
 
 
+def _edge(i: int) -> tuple[str, str, str]:
+    """The columns of an embedding's edge."""
+    return f"seq_{i}", f"s_{i}", f"d_{i}"
+
+
+def _size(embeddings: DataFrame) -> int:
+    """How many edges the embeddings have."""
+    return sum(c.startswith("seq_") for c in embeddings.columns)
+
+
 def _counts() -> tuple[Column, Column]:
     return F.count_if(F.col("outcome") == "fail").alias("fail_graphs"), F.count_if(F.col("outcome") == "ok").alias("ok_graphs")
 
 
-def _semi(rows: DataFrame, keyed: DataFrame, key: str, n: int) -> DataFrame:
+def _semi(rows: DataFrame, keyed: DataFrame, key: list[str], n: int) -> DataFrame:
     """The rows whose key is among the n of keyed; a broadcast join leaves rows where they are."""
     return rows.join(F.broadcast(keyed) if n <= BROADCAST else keyed, key, "left_semi")
 
@@ -161,7 +185,7 @@ def frequent(edges: DataFrame, n_edges: int, min_fails: int = 2) -> DataFrame:
     for size in range(1, n_edges):
         # anti-monotone: a pattern that is frequent has frequent parts
         found = staged(found, "patterns")
-        level = g.level(level, size, found, found.count(), min_fails, full=True)
+        level = g.level(level, size, found, found.count(), min_fails, full=True, whole=True)
         found = g.grown(level, found, min_fails, full=True)
     return found.drop("seq")
 
@@ -216,8 +240,9 @@ def _mine(g: Graphs, name: str, max_edges: int, min_fails: int, min_edges: int =
         n_alive = alive.count()
         if stats is not None:
             stats["extended"] = stats.get("extended", 0) + n_alive
-        level = g.level(level, size, alive, n_alive, min_fails, full)
-        full = full and n_alive == frequent.count()
+        whole = n_alive == frequent.count()
+        level = g.level(level, size, alive, n_alive, min_fails, full, whole)
+        full = full and whole
         frequent = g.grown(level, alive, min_fails, full)
     assert found is not None
     return _top(found, k) if k is not None else found
@@ -268,8 +293,9 @@ def _leap(g: Graphs, name: str, max_edges: int, min_fails: int, k: int, sigma: f
         n_alive = alive.count()
         if stats is not None:
             stats["extended"] = stats.get("extended", 0) + n_alive
-        level = g.level(level, size, alive, n_alive, min_fails, full)
-        full = full and n_alive == kids.count()
+        whole = n_alive == kids.count()
+        level = g.level(level, size, alive, n_alive, min_fails, full, whole)
+        full = full and whole
         kids = patterns(g.grown(level, alive, min_fails, full))
         jumps = staged(_jumps(alive, kids, sigma), "jumps")
         gone = jumps.where("leaps").select(F.col("parent").alias("pattern")).distinct()
