@@ -123,6 +123,28 @@ def test_passes_of_a_halving_leap_share_their_graphs(graphs, monkeypatch):
     assert names["edges"] == 1 and names["rows"] == 1 and names["embeddings"] == 0
 
 
+def test_miners_read_events_once(spark, monkeypatch):
+    """Labels are found from the edges that are written; before, events were shuffled by trace and sorted a second time for them."""
+    read, table = Counter(), traces.table
+    monkeypatch.setattr(traces, "table", lambda spark, d, name: (read.update([name]), table(spark, d, name))[1])
+    queries.halving_leap_patterns(spark, "/root/testdata/sf0.001")
+    assert read == {"events": 1}
+
+
+def test_labels_found_from_edges(spark):
+    e, v = (found(spark, "/root/testdata/sf0.001") for found in (traces.edges, traces.vertices))
+    g = mining.Graphs(e, traces.labels)
+    expected = {tuple(r) for r in mining._part_counts(e, v).collect()}
+    assert {tuple(r) for r in g.parts.collect()} == expected and g.parts.count() == len(expected)
+    assert g.totals.collect() == mining.graph_totals(v).collect()
+
+
+def test_two_edges_of_one_name_count_a_graph_once(spark):
+    rows = [("ok", 1, "a -> b", "c"), ("ok", 1, "a", "b -> c"), ("ok", 2, "a", "b -> c"), ("fail", 3, "a", "b -> c")]
+    g = mining.Graphs(spark.createDataFrame(rows, "outcome string, graph_id long, src string, dst string"), traces.labels)
+    assert {tuple(r) for r in g.parts.collect()} == {("a -> b -> c", 2), ("c", 1), ("b -> c", 2)}
+
+
 def test_traces_shuffle_events_once(spark):
     """The outcome of a trace is found where its events meet; before, it was a second pass that was joined."""
     for found in (traces.edges, traces.vertices):

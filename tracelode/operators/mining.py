@@ -34,6 +34,8 @@ SEP = " -> "
 ROWS, BROADCAST = 250_000, 50_000
 #: An edge in rows, and what tells a graph there; the hash alone wouldn't.
 EDGE, GRAPH = ("eid", "s", "d"), ["hash", "outcome", "graph_id"]
+#: outcome, graph_id, label, or how they are found from edges (outcome, graph_id, src, dst).
+Vertices = DataFrame | Callable[[DataFrame], DataFrame]
 
 
 def labels_unique(vertices: DataFrame) -> DataFrame:
@@ -82,15 +84,12 @@ class Graphs:
     """What every level reads, written once.
 
     names: src, dst, edge, eid, s, d (numbers of the edge and of its labels), fail_graphs, ok_graphs, one row a label edge; rows: outcome, graph_id, eid, s, d,
-    one row an edge of a graph; totals and parts as the scores take them, if there are vertices.
+    one row an edge of a graph; totals and parts as the scores take them, if there are vertices.  Vertices may be a function of the edges, which then reads
+    what is written here, so that the source is read once.
     """
 
-    def __init__(self, edges: DataFrame, vertices: DataFrame | None = None):
+    def __init__(self, edges: DataFrame, vertices: Vertices | None = None):
         e = staged(edges.select("outcome", "graph_id", "src", "dst").distinct(), "edges")
-        if vertices is not None:
-            v = staged(vertices.select("outcome", "graph_id", "label").distinct(), "vertices")
-            self.totals = staged(graph_totals(v), "totals")
-            self.parts = staged(_part_counts(e, v), "parts")
         found = staged(e.groupBy("src", "dst").agg(*_counts()).withColumn("eid", F.monotonically_increasing_id()), "names")
         ends = found.select(F.explode(F.array("src", "dst")).alias("label")).distinct().where("label IS NOT NULL")
         labels = staged(ends.withColumn("lid", F.monotonically_increasing_id()), "labels")
@@ -99,6 +98,20 @@ class Graphs:
         self.rows = staged(e.join(self.names.select("src", "dst", "eid", "s", "d"), ["src", "dst"]).select("outcome", "graph_id", "eid", "s", "d"), "rows")
         self.n_edges = self.names.count()
         self.dealt = max(self.rows.sparkSession.sparkContext.defaultParallelism, -(-self.rows.count() // ROWS))
+        if vertices is not None:
+            # dealt by graph, a graph's labels stay together in what is written
+            held = vertices if isinstance(vertices, DataFrame) else vertices(e).repartition(self.dealt, "outcome", "graph_id")
+            v = staged(held.select("outcome", "graph_id", "label").distinct(), "vertices")
+            self.totals = staged(graph_totals(v), "totals")
+            self.parts = staged(self._parts(e, v), "parts")
+
+    def _parts(self, e: DataFrame, v: DataFrame) -> DataFrame:
+        """As _part_counts, of rows that are distinct already; the graphs of edges are counted in names."""
+        if self.names.select("edge").distinct().count() != self.n_edges:
+            return _part_counts(e, v)  # labels hold the separator: a graph may have two edges of one name
+        labels = v.where("outcome = 'ok'").groupBy(F.col("label").alias("part")).agg(F.count("*").alias("n"))
+        named = self.names.where("ok_graphs > 0").select(F.col("edge").alias("part"), F.col("ok_graphs").alias("n"))
+        return labels.unionByName(named).groupBy("part").agg(F.sum("n").alias("n"))
 
     def one_edge(self, min_fails: int = 2) -> DataFrame:
         """pattern, labels, fail_graphs, ok_graphs and seq (the numbers of the edges, as they were joined) of the frequent one-edge patterns."""
@@ -190,7 +203,7 @@ def frequent(edges: DataFrame, n_edges: int, min_fails: int = 2) -> DataFrame:
     return found.drop("seq")
 
 
-def mine(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, min_edges: int = 1, k: int | None = None, improving: bool = False, timeout_s: float | None = None, true_prior: bool = False, start: DataFrame | None = None, stats: dict | None = None) -> DataFrame:
+def mine(edges: DataFrame, vertices: Vertices, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, min_edges: int = 1, k: int | None = None, improving: bool = False, timeout_s: float | None = None, true_prior: bool = False, start: DataFrame | None = None, stats: dict | None = None) -> DataFrame:
     """Scored patterns of min_edges to max_edges edges: pattern, labels, fail_graphs, ok_graphs, score, bound.
 
     With k, the k best ones (ties by pattern), and what can't reach the k-th score is not extended.  With improving,
@@ -203,7 +216,7 @@ def mine(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_e
     return _mine(Graphs(edges, vertices), name, max_edges, min_fails, min_edges, k, improving, until, true_prior, start, stats)
 
 
-def mine_each(edges: DataFrame, vertices: DataFrame, names: Iterable[str], max_edges: int = 3, min_fails: int = 2, k: int | None = None) -> dict[str, DataFrame]:
+def mine_each(edges: DataFrame, vertices: Vertices, names: Iterable[str], max_edges: int = 3, min_fails: int = 2, k: int | None = None) -> dict[str, DataFrame]:
     """What ``mine`` finds by each of the scores, of graphs that are written once."""
     _check(max_edges, 1, min_fails)
     g = Graphs(edges, vertices)
@@ -267,7 +280,7 @@ def contains_pattern(edges: DataFrame, pattern: list[tuple[str, str]], graphs: D
     return graphs.select("outcome", "graph_id").distinct().join(held, ["outcome", "graph_id"], "left_anti" if missing else "left_semi")
 
 
-def leap(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, k: int = 10, sigma: float = 0.01, start: DataFrame | None = None, stats: dict | None = None) -> DataFrame:
+def leap(edges: DataFrame, vertices: Vertices, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, k: int = 10, sigma: float = 0.01, start: DataFrame | None = None, stats: dict | None = None) -> DataFrame:
     """Top-k with structural leaps.
 
     A pattern leaps to an extension of it if their failing and their passing frequencies both differ by less than sigma (2 d / (a + b)), the extension
@@ -325,7 +338,7 @@ def _jumps(parents: DataFrame, kids: DataFrame, sigma: float) -> DataFrame:
     return pairs.select("pattern", "parent", leaps.alias("leaps"))
 
 
-def halving_leap(edges: DataFrame, vertices: DataFrame, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, k: int = 10, sigma: float = 0.01, settled: float = 0.01, stats: dict | None = None) -> DataFrame:
+def halving_leap(edges: DataFrame, vertices: Vertices, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, k: int = 10, sigma: float = 0.01, settled: float = 0.01, stats: dict | None = None) -> DataFrame:
     """Leaps at a support that is halved, from all failing graphs on, until the sum of the k best scores moves by no more than
     ``settled`` or the support is down at min_fails; then a pass without leaps at min_fails.  Each pass starts from the best patterns of the one before,
     whose k-th score prunes it from its first level on.  stats gets the number of patterns that the last pass extends."""
@@ -348,7 +361,7 @@ class _Climb:
     """Random walks up the pattern lattice, all as rows of one table: a walk goes on to a better extension, uniformly or
     in proportion to the score, until there is none.  The choice is an argmax of seeded exponential keys, so it can be repeated."""
 
-    def __init__(self, edges: DataFrame, vertices: DataFrame, name: str, max_edges: int, min_fails: int, seed: int, weighted: bool):
+    def __init__(self, edges: DataFrame, vertices: Vertices, name: str, max_edges: int, min_fails: int, seed: int, weighted: bool):
         self.g = Graphs(edges, vertices)
         self.name, self.max_edges, self.min_fails, self.seed, self.weighted = name, max_edges, min_fails, seed, weighted
 
@@ -383,7 +396,7 @@ class _Climb:
         return at
 
 
-def walks(edges: DataFrame, vertices: DataFrame, n_walks: int = 10, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, seed: int = 0, weighted: bool = True) -> DataFrame:
+def walks(edges: DataFrame, vertices: Vertices, n_walks: int = 10, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, seed: int = 0, weighted: bool = True) -> DataFrame:
     """walk, pattern, score of where each walk ends.  A walk starts at a one-edge pattern."""
     # each pattern offers itself to every walk, and the offers are aggregated where they arise
     offers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_walks - 1).cast("long"))).alias("walk")
@@ -407,7 +420,7 @@ def top_labels(ranked: DataFrame, share: float = 0.0625, least: int = 10, min_gr
     return joined.where((F.col("place") <= F.col("total")) | (before < min_groups)).select("label", "score", "place")
 
 
-def label_walks(edges: DataFrame, vertices: DataFrame, ranked: DataFrame, per_label: int = 2, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, min_edges: int = 1, share: float = 0.0625, least: int = 10, min_groups: int = 2, skip_seen: bool = False, seed: int = 0, weighted: bool = True) -> DataFrame:
+def label_walks(edges: DataFrame, vertices: Vertices, ranked: DataFrame, per_label: int = 2, name: str = "relative_f1", max_edges: int = 3, min_fails: int = 2, min_edges: int = 1, share: float = 0.0625, least: int = 10, min_groups: int = 2, skip_seen: bool = False, seed: int = 0, weighted: bool = True) -> DataFrame:
     """pattern, labels, score, label, place: the different patterns that walks from the best labels end at, each with the first label
     that led there.  With skip_seen, a label in a pattern of a label before it that isn't skipped itself has no walks.
 

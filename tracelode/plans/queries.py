@@ -232,13 +232,13 @@ _PS = f"""{SQL}, {_E2}, {_VO}, eo as (select src, dst, sum(1 - failed) k from fl
 
 @query(f"{_PS} select pattern, cast(fa as bigint) fail_graphs, round(score, 9) + 0.0 score from ss order by ss.score desc, pattern limit 10")
 def topk_patterns(spark: SparkSession, d: str) -> DataFrame:
-    found = mining.mine(traces.edges(spark, d), traces.vertices(spark, d), "precision", max_edges=2, k=10)
+    found = mining.mine(traces.edges(spark, d), traces.labels, "precision", max_edges=2, k=10)
     return found.select(_pattern().alias("pattern"), "fail_graphs", rounded("score").alias("score"))
 
 
 @query(f"{_PS} select distinct b.pattern, round(b.score, 9) + 0.0 score from ss b join ss a on b.ne = 2 and a.ne = 1 and (a.e1 = b.e1 or a.e1 = b.e2) and b.score > a.score union all select pattern, round(score, 9) + 0.0 from ss where ne = 1")
 def improving_patterns(spark: SparkSession, d: str) -> DataFrame:
-    found = mining.mine(traces.edges(spark, d), traces.vertices(spark, d), "precision", max_edges=2, improving=True)
+    found = mining.mine(traces.edges(spark, d), traces.labels, "precision", max_edges=2, improving=True)
     return found.select(_pattern().alias("pattern"), rounded("score").alias("score"))
 
 
@@ -258,12 +258,12 @@ def pattern_missing_in_traces(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def leap_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return mining.leap(traces.edges(spark, d), traces.vertices(spark, d), max_edges=2).select(_pattern().alias("pattern"), "fail_graphs", "ok_graphs", rounded("score").alias("score"))
+    return mining.leap(traces.edges(spark, d), traces.labels, max_edges=2).select(_pattern().alias("pattern"), "fail_graphs", "ok_graphs", rounded("score").alias("score"))
 
 
 @query()
 def walk_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return mining.walks(traces.edges(spark, d), traces.vertices(spark, d), n_walks=10, max_edges=2, seed=3).select("walk", _pattern().alias("pattern"), rounded("score").alias("score"))
+    return mining.walks(traces.edges(spark, d), traces.labels, n_walks=10, max_edges=2, seed=3).select("walk", _pattern().alias("pattern"), rounded("score").alias("score"))
 
 
 # -- clusters
@@ -363,7 +363,7 @@ def cluster_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mined_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return mining.mine(traces.edges(spark, d), traces.vertices(spark, d), "precision", max_edges=2, k=10)
+    return mining.mine(traces.edges(spark, d), traces.labels, "precision", max_edges=2, k=10)
 
 
 _PJ = f"with recursive {_PS.strip()[5:]}, us as (select pattern id, list(distinct label) items, any_value(score) score from (select * from ss order by score desc, pattern limit 10) join lab using (pattern) group by 1), {_JP.replace(str(EPSILON), '0.5')}, {_RE}, {_CC}"
@@ -407,13 +407,13 @@ def fewest_passing(f: Column, o: Column, pf: Column, po: Column) -> Column:
 @query()
 def label_walk_patterns(spark: SparkSession, d: str) -> DataFrame:
     ranked = scored_labels(spark, d, fewest_passing)
-    found = mining.label_walks(traces.edges(spark, d), traces.vertices(spark, d), ranked, name=fewest_passing, max_edges=2, skip_seen=True, seed=5)
+    found = mining.label_walks(traces.edges(spark, d), traces.labels, ranked, name=fewest_passing, max_edges=2, skip_seen=True, seed=5)
     return found.select(_pattern().alias("pattern"), rounded("score").alias("score"), "label", "place")
 
 
 @query(ORACLES["topk_patterns"])
 def halving_leap_patterns(spark: SparkSession, d: str) -> DataFrame:
-    found = mining.halving_leap(traces.edges(spark, d), traces.vertices(spark, d), "precision", max_edges=2, k=10)
+    found = mining.halving_leap(traces.edges(spark, d), traces.labels, "precision", max_edges=2, k=10)
     return found.select(_pattern().alias("pattern"), "fail_graphs", rounded("score").alias("score"))
 
 
@@ -432,7 +432,7 @@ _RH = f"rh as (select method, score_group, before, size, count(*) h from rn wher
 )
 def compare_miners(spark: SparkSession, d: str) -> DataFrame:
     """Two miners' patterns compared, with where the first fault is."""
-    runs = mining.mine_each(traces.edges(spark, d), traces.vertices(spark, d), ("precision", "contrast"), max_edges=2, k=10)
+    runs = mining.mine_each(traces.edges(spark, d), traces.labels, ("precision", "contrast"), max_edges=2, k=10)
     found = localisation.compare(runs, spark.range(1).select(F.lit(_FAULTY).alias("label")))
     return found.select("method", "n", *(rounded(c, 6).alias(c) for c in ("sum", "mean", "stddev", "stderr")), "rank", F.col("score_group").cast("long").alias("score_group"))
 
@@ -654,7 +654,7 @@ def chain_control(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def chain_patterns(spark: SparkSession, d: str) -> DataFrame:
-    found = mining.mine(traces.edges(spark, d), traces.vertices(spark, d), "precision", max_edges=2, k=10).select(_pattern().alias("pattern"), "labels", rounded("score").alias("score"))
+    found = mining.mine(traces.edges(spark, d), traces.labels, "precision", max_edges=2, k=10).select(_pattern().alias("pattern"), "labels", rounded("score").alias("score"))
     return markov.pattern_chain(found, found.select("pattern", F.explode("labels").alias("label"))).withColumn("p", rounded("p"))
 
 

@@ -46,6 +46,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.groupBy("graph_id", "src", "dst", "outcome").agg(F.count("*").alias("traversed")).select("graph_id", "src", "dst", "traversed", "outcome")
 
 
+def labels(edges: DataFrame) -> DataFrame:
+    """outcome, graph_id, label of the traces that edges are of: an edge leads to each event.  A label may come more than once."""
+    return edges.select("outcome", "graph_id", F.col("dst").alias("label"))
+
+
 #: The same in SQL: ev (events with label), tr (traces), v (labels of traces), fl (edges of traces), n (totals).
 SQL = """
 with ev as (select user_id, date_trunc('week', ts) wk, ts, event_id, event_type, cast(floor(value/10) % 4 as int) bbid,
