@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -658,6 +659,33 @@ def test_token_files_hold_the_librarys_ids(spark, path):
     assert len(flat) == at and flat[expected[3][1] + expected[3][2] - 1] == 1
 
 
+def encoded(encoder, rows, size=token_files.GATHERED):
+    batches = [pa.record_batch([pa.array([0] * len(part)), pa.array(part, pa.string())], ["doc_id", "text"]) for part in (rows[at : at + 100] for at in range(0, len(rows), 100))]
+    return [ids.tolist() for _, texts in token_files.gathered(iter(batches), size) for ids in encoder.encode(texts, [1])]
+
+
+def test_words_of_letters_and_symbols_need_the_model_alone(spark, monkeypatch):
+    rows = [t for _, t in collected(real(spark))]
+    sent, ids_of = [], token_files.ChunkEncoder.ids_of
+    monkeypatch.setattr(token_files.ChunkEncoder, "ids_of", lambda self, chunks: sent.extend(chunks) or ids_of(self, chunks))
+    encoder = token_files.ChunkEncoder(WORDS, 1)
+    assert encoded(encoder, rows) == [[*e.ids, 1] for e in Tokenizer.from_file(WORDS).encode_batch(rows, add_special_tokens=False)]
+    assert 0 < len(sent) < 0.1 * len({w for t in rows for w in t.split()})
+
+
+@pytest.mark.parametrize(("size", "cache_words"), [(token_files.GATHERED, token_files.CACHE_WORDS), (0, 50)])
+def test_chunks_of_odd_characters_have_the_librarys_ids(size, cache_words):
+    parts = [
+        *"aAjJsSkK09.,;!'$%_`~^()<>|-", *" \t\n\x0b\x0c\r", "\x00", "\x01", "\x1c", "\x1f", "\x85", "\xa0", *"ªº«»£´¨¸×÷ßẞÉéÀàØøþÞÿŸƖſİıŁȷ", *"\u0300\u030c\u0327\u0338\u0345\u20d0", *"ΑΣςЖж日💥①Ⅳʰ\u212a\u212b\u2028\u200b\ufeff。‘’…",
+        *"the word's DON'T I'LL <|endoftext|> <|ENDOFTEXT|> <|startoftext|>. WORD. word, end.\n (x). it's. ä. Ö, 5. ». x’s. \u212a. ж.".split(" "), "\uac00\u11a8", *(w + " " for w in ("a.", "J\u030c,", "!.", ".,", "£.", "x'.", "7,", "ÿ.", "日.", "\x0b.", "\xa0,")),
+    ]
+    chosen = np.random.default_rng(5)
+    rows = ["", *parts, *(a + b for a in parts for b in parts), *("".join(chosen.choice(parts, n)) for n in chosen.integers(3, 40, 3000))]
+    expected = [[*e.ids, 1] for e in Tokenizer.from_file(WORDS).encode_batch(rows, add_special_tokens=False)]
+    got = encoded(token_files.ChunkEncoder(WORDS, 1, cache_words), rows, size)
+    assert [(t, g) for t, g, e in zip(rows, got, expected, strict=True) if g != e] == []
+
+
 def test_an_end_id_beyond_the_vocabulary_widens_the_files(spark):
     folder = token_files.write(spark.createDataFrame([(1, "a b")], SCHEMA), WORDS, end_id=70_000)
     assert token_files.manifest(folder)["dtype"] == "uint32" and token_files.load(folder, 0, "ids", "<u4")[-1] == 70_000
