@@ -196,6 +196,59 @@ def test_repeats_are_cut_as_by_brute_force(spark, pack, hot, bucket):
     same(suffix_dedup.cut(docs, pack, hot, bucket).collect(), cut_by_brute_force(collected(docs)))
 
 
+def test_hot_anchors_move_little_more_than_others(spark):
+    """A line that all packs hold, in texts that have nothing else in common: before, each string around its ends moved by itself, 26 of 50 bytes an anchor."""
+    r = np.random.default_rng(8)
+    line = "this line is the same one in every text of all, whoever wrote it down and wherever it is read again, from first to last"
+    rows = [(k, "".join(map(chr, r.integers(97, 123, 150))) + line + "".join(map(chr, r.integers(97, 123, 150)))) for k in range(3000)]
+    docs = spark.createDataFrame(rows, SCHEMA).localCheckpoint()
+    sc = spark.sparkContext._jsc.sc()
+
+    def moved(hot):
+        sizes = []
+        for work in (lambda: None, lambda: same(suffix_dedup.cut(docs, 40_000, hot).collect(), expected)):
+            work()
+            sc.listenerBus().waitUntilEmpty(30_000)
+            sizes.append(sc.statusStore().executorList(False).apply(0).totalShuffleWrite())
+        return sizes[1] - sizes[0]
+
+    expected = list(cut_by_brute_force(rows))
+    assert sum(x[2] for x in expected) >= 2999 * len(line)
+    assert moved(1) < 1.15 * moved(10**9)
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """Their answers come by id: the same place is covered in one of the rows and not in another."""
+    r = np.random.default_rng(9)
+    a, b, c = ("".join(map(chr, r.integers(97, 123, 200))) for _ in range(3))
+    rows = [(1, a), (2, a + b), (2, c + a), (2, b + c), (2, b + c), (None, b), (None, c + "x"), (None, "x" * 200), (3, "x" * 200 + a), (-5, c[:99])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    same(suffix_dedup.cut(docs).collect(), cut_by_brute_force(collected(docs)))
+
+
+def test_halves_decide_all_strings():
+    r = np.random.default_rng(4)
+    around = np.repeat(r.integers(97, 123, (20, suffix_dedup.AROUND)).astype(np.uint8), 12, axis=0)
+    for row in around:
+        row[: r.integers(0, 25)] = r.integers(97, 123)
+        row[75 - r.integers(0, 25) :] = r.integers(97, 123)
+    around[::7, :9] = suffix_dedup.PAD
+    around[::5, 60:] = suffix_dedup.PAD
+    did = r.integers(0, 40, len(around))
+    got = np.zeros(len(around), np.uint32)
+    for half, wide, asked, known in suffix_dedup.halves(around, did):
+        bits = np.uint32((1 << suffix_dedup.HALF) - 1 << half * suffix_dedup.HALF)
+        got[known] |= bits
+        for middle in {x[12:50].tobytes() for x in wide[asked]}:
+            p = np.array([x for x in asked if wide[x, 12:50].tobytes() == middle])
+            blob = suffix_dedup._pack_asked(half, did[p], p, p, wide[p])
+            d, rid, at, shown = suffix_dedup._unpack_asked(blob)
+            assert sorted(rid) == sorted(at) == sorted(p) and (did[rid] == d).all()
+            got[rid] |= suffix_dedup.windows_covered(shown, d)
+    whole = np.array([sum(1 << o for o in range(26) if suffix_dedup.PAD not in x[o : o + 50]) for x in around], np.uint32)
+    assert (got & whole == suffix_dedup.windows_covered(around, did)).all() and (got & whole).any()
+
+
 def test_anchors_of_a_long_text_are_found_in_pieces():
     text = np.random.default_rng(6).integers(97, 101, 5000).astype(np.uint8).tobytes()
     for piece in (60, 1000, 4951, 4950):
